@@ -1,14 +1,23 @@
-"""The queries opN_<name> of this subpackage over whole tables, with production parameters, and their SQL."""
+"""The queries opN_<name> of this subpackage over whole tables, with production parameters, and their SQL.
+
+None has SQL: the SQL engine has neither the hashes, tokenizers and image format that the contracts name nor, for the
+repeated passages, a form that ends in time over whole tables. Each is tested against brute force instead.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, pii, piece_codec
+from . import ann, html_template, media, packing, pii, piece_codec, quality, simhash, substring, warc
 from .common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -17,13 +26,35 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both derivatives of a response record for each page, with digest and length of the record itself."""
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return made.withColumn("n_bytes", F.length("record").cast("long")).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed(table(spark, sf_dir, "documents"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("key") % 50 == 0)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_pieces, op7_packing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_pii, op3_pieces, op4_simhash, op5_quality, op6_warc, op7_packing, op8_substring, op9_ann, op10_media)}
 ORACLE_SQL: dict[str, str] = {}
