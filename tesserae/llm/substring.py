@@ -108,7 +108,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
     found = anchors(docs, key, text)
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     marks = materialise(found.join(again, "anchor").groupBy("key").agg(F.collect_list(F.struct("pos", F.col("n").cast("int").alias("n"))).alias("m")).select("key", F.col("m.pos").alias("pos"), F.col("m.n").alias("n")))
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col(key).isNotNull())
     cool = _windows(texts.join(marks, "key").select("key", "text", "pos", "n"), False, hot)
     least = cool.withColumn("first", F.min("key").over(Window.partitionBy("h1", "h2"))).where("key > first").select("key", "tag", "pos")
     hottest = marks.where(F.exists("n", lambda n: n > hot))
@@ -146,7 +146,10 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
     table; other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
-    joined = _with_cuts(docs.select(key, text), key, text, hot).select(key, text, "_cuts")
+    # The texts are dealt by key as for the windows, so Spark shuffles them once; rows without a key need no join.
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col(key).isNotNull())
+    joined = texts.join(repeats(docs, key, text, hot), "key", "left").select(F.col("key").cast(kind).alias(key), F.col("text").alias(text), F.col("cuts").alias("_cuts"))
+    joined = joined.unionByName(docs.where(F.col(key).isNull()).select(key, text, F.lit(None).cast(joined.schema["_cuts"].dataType).alias("_cuts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
