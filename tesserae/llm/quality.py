@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on at most FIT labelled rows that are not held out; null keys, labels and keys without a document are left out."""
     usable = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where(F.col("_key").isNotNull() & F.col("_label").isNotNull() & ~held_out(F.col("_key")))
     sample = usable.withColumn("_h", F.xxhash64("_key")).orderBy("_h", "_key", "_label").limit(FIT)
-    joined = docs.join(F.broadcast(sample), F.col(key) == F.col("_key")).select("_h", "_label", F.col(text).alias("_text"))
+    texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_key")).select("_h", "_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -133,11 +133,6 @@ def _kept(text: str | None, cuts: list[dict] | None) -> tuple[list[bytes], np.nd
     return words, gone
 
 
-def _with_cuts(docs: DataFrame, key: str, text: str, hot: int) -> DataFrame:
-    cuts = repeats(docs, key, text, hot).withColumnRenamed("cuts", "_cuts").withColumnRenamed("key", "_key")
-    return docs.join(cuts, F.col(key).cast("long") == F.col("_key"), "left").drop("_key")
-
-
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) for every row of docs; keys are integers.
 
@@ -166,17 +161,22 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """docs with repeated passages cut out of text: where any is cut, the kept words are joined by one space."""
-    joined, names = _with_cuts(docs, key, text, hot), docs.columns
+    """docs with repeated passages cut out of text: where any is cut, the kept words are joined by one space.
+
+    Odd rows are treated as in removed(); other columns of any name come through unchanged.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct("*").alias("row"))
+    joined = rows.join(repeats(docs, key, text, hot), "key", "left").select("row", "text", "cuts")
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                i, j = b.schema.get_field_index(text), b.schema.get_field_index("_cuts")
                 out = []
-                for x, c in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True):
+                for x, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     words, gone = _kept(x, c)
                     out.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode() if gone.any() else x)
-                yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type)).select(names)
+                row = pa.RecordBatch.from_struct_array(b.column(0))
+                yield row.set_column(at, row.schema.field(at), pa.array(out, row.schema.field(at).type))
 
-    return joined.select(*docs.columns, "_cuts").mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
