@@ -24,7 +24,8 @@ REMEMBERED = 900_000
 #: Words that are longer are not remembered.
 LONG = 64
 END = 2
-SPECIAL = "<|"
+#: New words that go to the tokenizer as one text, with one of its special tokens between them.
+TOGETHER = 100
 
 
 class WordTokens:
@@ -36,23 +37,43 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
+        self.specials = [x for _, x in special]
+        self.cut, self.between = special[0] if special else (-1, "")
         self.known: dict[str, bytes] = {}
 
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. A special token is cut out of a text before anything else, so words beside one stay apart."""
+        lists = self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if not self.between else []
+        if lists:
+            return [np.array(e.ids, "<u4").tobytes() for e in lists]
+        out = []
+        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([self.between.join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, cuts = ids.tobytes(), [-1, *np.flatnonzero(ids == self.cut).tolist(), len(ids)]
+            if len(cuts) != len(part) + 1:
+                raise RuntimeError("words ran together")
+            out += [raw[4 * s + 4 : 4 * e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         known = self.known
         split = [(x or "").replace("\n", " ").split(" ") for x in texts]
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for ws in split for w in ws if w not in known})
-        once = {}
-        for at in range(0, len(new), 5_000):
-            part = new[at : at + 5_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= LONG else once)[w] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*split).difference(known)
+        odd = [w for w in new if "<" in w and any(x in w for x in self.specials)]
+        once = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd}
+        plain = list(new.difference(odd))
+        for at in range(0, len(plain), 5_000):
+            part = plain[at : at + 5_000]
+            for w, x in zip(part, self._encoded(part), strict=True):
+                (known if len(w) <= LONG else once)[w] = x
         if once:
             return [b"".join([known[w] if w in known else once[w] for w in ws]) for ws in split]
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 @lru_cache(2)
