@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, table_queries  # noqa: F401  the second registers its queries with the first
+from .plans import entity_queries, graph_queries, table_queries  # noqa: F401  the others register their queries with graph_queries
 from .plans.graph_queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

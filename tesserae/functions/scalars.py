@@ -71,10 +71,11 @@ def hostname(url: Column) -> Column:
 
 
 def business_domain(path: Column) -> Column:
-    """The first segment of a route; a leading /api goes; .py paths give their stem; null is unknown, nothing is root."""
-    route = F.regexp_replace(path, "^/api(?=/|$)", "")
-    first = F.try_element_at(F.filter(F.split(route, "/"), lambda x: x != ""), F.lit(1))
-    return F.when(path.isNull(), "unknown").when(F.endswith(path, F.lit(".py")), stem(path)).otherwise(F.coalesce(first, F.lit("root")))
+    """The first segment of a route, the second after api; .py paths give their stem; null and empty are unknown, / is root."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    first, second = (F.try_element_at(parts, F.lit(k)) for k in (1, 2))
+    segment = F.when(first == "api", F.coalesce(second, first)).otherwise(F.coalesce(first, F.lit("root")))
+    return F.when(F.coalesce(path, F.lit("")) == "", "unknown").when(F.endswith(path, F.lit(".py")), stem(path)).otherwise(segment)
 
 
 def code_identifiers(text: Column) -> Column:
@@ -136,3 +137,42 @@ def masked_url(url: Column) -> Column:
 
 def searchable(*parts: Column) -> Column:
     return F.concat_ws(" | ", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def embeddable(source: Column, kind: Column, name: Column, path: Column, most: int = 800) -> Column:
+    """The head of the source, or a sentence of type, name and path where there is none."""
+    return F.coalesce(F.nullif(F.substring(source, 1, most), F.lit("")), F.concat_ws(" ", kind, name, F.lit("in"), path))
+
+
+def event_extension(payload: Column) -> Column:
+    """The stated extension of an event's JSON payload, else the suffix of its file or repository path, else unknown."""
+    of = lambda k: F.nullif(suffix(F.get_json_object(payload, k)), F.lit(""))
+    return F.coalesce(F.get_json_object(payload, "$.file_extension"), of("$.file_path"), of("$.repo_path"), F.lit("unknown"))
+
+
+def reply_json(text: Column) -> Column:
+    """The JSON part of a model's reply: thinking is cut, and of fenced blocks the first json one, else the first, is taken."""
+    bare = stripped(F.regexp_replace(text, r"(?s)<think\b[^>]*>.*?</think\s*>", ""))
+    fenced = lambda mark: stripped(F.substring_index(F.regexp_extract(bare, "(?s)" + mark + "(.*)", 1), "```", 1))
+    return F.when(bare.contains("```json"), fenced("```json")).when(bare.contains("```"), fenced("```")).otherwise(bare)
+
+
+def entry_label(source: Column) -> Column:
+    return F.when(source == "doc", "DocEntity").when(source == "code", "CodeEntity").otherwise("ResourceEntity")
+
+
+def found_share(wanted: Column, text: Column) -> Column:
+    """The share of wanted strings that text holds, in any case; zero if none is wanted."""
+    n = F.size(wanted)
+    return F.when(n > 0, F.size(F.filter(wanted, lambda w: F.contains(F.lower(text), F.lower(w)))) / n).otherwise(0.0)
+
+
+def level_score(level: Column, tools: Column, answer: Column) -> Column:
+    """Tools and answer weighted by the question's level: .3/.7, .4/.6, above .5/.5."""
+    t = F.when(level == 1, 0.3).when(level == 2, 0.4).otherwise(0.5)
+    return tools * t + answer * (1 - t)

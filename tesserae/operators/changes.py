@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import diff_change
+from ..functions.scalars import diff_change, stable_id
 
 
 def detect(old: DataFrame, new: DataFrame, deletions: bool = True) -> DataFrame:
@@ -34,3 +34,28 @@ def work(changes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def report(changes: DataFrame) -> DataFrame:
     return changes.groupBy("change_type").agg(F.count("*").alias("n"))
+
+
+def cached(cache: DataFrame, changes: DataFrame) -> DataFrame:
+    """The cache (path, sha) after changes (path, change_type, new_sha): deleted paths go, others get their new digest."""
+    new = changes.select("path", "change_type", "new_sha")
+    both = cache.join(new, "path", "full").where("change_type is null or change_type <> 'DELETED'")
+    return both.select("path", F.coalesce("new_sha", "sha").alias("sha"))
+
+
+def flagged(nodes: DataFrame, impacts: DataFrame) -> DataFrame:
+    """nodes (id, ...) with stale set where an impact (node_id) reaches them."""
+    hit = impacts.select(F.col("node_id").alias("id"), F.lit(True).alias("_hit")).distinct()
+    return nodes.join(hit, "id", "left").withColumn("stale", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def changeset(changes: DataFrame) -> DataFrame:
+    """One row (changeset_id, n_files, n_added, n_deleted, n_modified); the id is cs- and 12 digits over all changes.
+
+    The digests of the rows are added up as numbers, so the order of rows plays no part and no task sees them all.
+    """
+    total = F.sum(F.xxhash64("path", "change_type", "new_sha").cast("decimal(38,0)"))
+    kind = F.col("change_type")
+    n = lambda c, name: F.count_if(c).alias(name)
+    got = changes.agg(total.alias("t"), F.count("*").alias("n_files"), n(kind == "ADDED", "n_added"), n(kind == "DELETED", "n_deleted"), n(~kind.isin("ADDED", "DELETED"), "n_modified"))
+    return got.select(F.concat(F.lit("cs-"), F.substring(stable_id(F.col("t")), 1, 12)).alias("changeset_id"), "n_files", "n_added", "n_deleted", "n_modified")

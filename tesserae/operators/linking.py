@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hostname, stable_id
+
 LINKS = 50
 
 
@@ -49,8 +51,6 @@ def word_links(docs: DataFrame, entities: DataFrame, most: int = LINKS) -> DataF
 
 def services(urls: DataFrame) -> DataFrame:
     """(service, id, n_calls, first_page) per host of (page_id, url); the first page of a host names it."""
-    from ..functions.scalars import hostname, stable_id
-
     host = hostname(F.col("url"))
     return urls.where("url is not null").groupBy(host.alias("service")).agg(F.count("*").alias("n_calls"), F.min("page_id").alias("first_page")).withColumn("id", stable_id(F.col("service")))
 
@@ -67,3 +67,22 @@ def sections(docs: DataFrame) -> DataFrame:
     numbered = marked.withColumn("section", F.count("title").over(w)).withColumn("any", F.count("title").over(Window.partitionBy("doc_id")))
     kept = numbered.where("section > 0 or any = 0")
     return kept.groupBy("doc_id", "section").agg(F.coalesce(F.max("title"), F.lit("")).alias("title"), F.count("*").alias("n_lines"))
+
+
+def external_modules(imports: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, name, n_imports): a module for each imported name (target_name) that no entity (name) has."""
+    names = imports.where("target_name <> ''").groupBy(F.col("target_name").alias("name")).agg(F.count("*").alias("n_imports"))
+    return names.join(entities.select("name"), "name", "left_anti").select(stable_id(F.lit("module"), F.col("name")).alias("id"), "name", "n_imports")
+
+
+def resolve_typed(wanted: DataFrame, entities: DataFrame, strict: bool = False) -> DataFrame:
+    """wanted (entity_type, file_path, name, ...) with the id of the first entity, by ord, of that type, path and name.
+
+    Without one, and unless strict, the first of that type and name in any file. how is exact, loose or null.
+    """
+    exact = entities.groupBy("entity_type", "file_path", "name").agg(F.min_by("id", "ord").alias("exact"))
+    out = wanted.join(exact, ["entity_type", "file_path", "name"], "left")
+    loose = entities.groupBy("entity_type", "name").agg(F.min_by("id", "ord").alias("loose"))
+    out = out.withColumn("loose", F.lit(None).cast(entities.schema["id"].dataType)) if strict else out.join(loose, ["entity_type", "name"], "left")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "loose")
+    return out.withColumn("id", F.coalesce("exact", "loose")).withColumn("how", how).drop("exact", "loose")

@@ -93,3 +93,18 @@ def resolve(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     # wanted is a stated list of names; the inner side of the loop join is that list, never the nodes.
     loose = nodes.join(F.broadcast(rest), F.col("name").contains(F.col("wanted"))).groupBy("wanted").agg(best).withColumn("how", F.lit("contains"))
     return exact.unionByName(loose)
+
+
+def context(graph: Graph, wanted: DataFrame) -> DataFrame:
+    """(id, direction, rel_type, other, name): both directions of the edges at nodes wanted (id), with the other end's name."""
+    e = graph.edges
+    out = e.join(wanted.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.lit("out").alias("direction"), "rel_type", F.col("dst").alias("other"))
+    back = e.join(wanted.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), F.lit("in").alias("direction"), "rel_type", F.col("src").alias("other"))
+    return out.unionByName(back).join(graph.nodes.select(F.col("id").alias("other"), "name"), "other").select("id", "direction", "rel_type", "other", "name")
+
+
+def lookup(nodes: DataFrame, name: str, most: int = 5) -> DataFrame:
+    """(id, name, how): nodes of exactly that name, else the first `most`, by name and id, that contain it, as suggestions."""
+    exact = nodes.where(F.col("name") == name).select("id", "name", F.lit("exact").alias("how"))
+    near = nodes.where(F.col("name").contains(name)).orderBy("name", "id").limit(most).select("id", "name", F.lit("suggestion").alias("how"))
+    return exact.unionByName(near.join(exact.select(F.lit(1)).limit(1), F.lit(True), "left_anti"))

@@ -10,13 +10,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import FUSION
+from ..functions.scalars import FUSION, lowered
 from ..graph import Graph
 
-STEP = re.compile(r"(\^?)([A-Za-z_]+)(\+|\*|\{(\d+)(?:,(\d+))?\})?$")
+STEP = re.compile(r"(\^?)([A-Za-z_]+)(\+|\*|\{(\d+)(?:(,)(\d*))?\})?$")
 SOME = {"in": lambda c, v: c.isin(*v), "equals": lambda c, v: c == v, "exists": lambda c, v: c.isNotNull(), ">": lambda c, v: c > v, "<": lambda c, v: c < v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v}
 ALL = {"not_in": lambda c, v: ~c.isin(*v), "not_equals": lambda c, v: c != v}
 
@@ -54,7 +54,9 @@ def parse_path(path: str, max_depth: int = 3, known: set[str] | None = None) ->
             raise ValueError(f"bad step {token!r}")
         least, most = {"+": (1, max_depth), "*": (0, max_depth), None: (1, 1)}.get(m[3], (0, 0))
         if m[4]:
-            least, most = (int(m[4]), min(int(m[5]), max_depth)) if m[5] else (int(m[4]), int(m[4]))
+            # {m} is not capped, {m,} goes up to the greatest depth
+            least = int(m[4])
+            most = min(int(m[6] or max_depth), max_depth) if m[5] else least
         if least > most:
             raise ValueError(f"no hops in {token!r}")
         steps.append((bool(m[1]), m[2].lower(), least, most))
@@ -159,3 +161,35 @@ def from_ontology(entity_types: DataFrame, properties: DataFrame, relations: Dat
     enums = properties.where("size(enum_values) > 0").select(F.concat(F.lit("enum_"), "id"), F.lit("SELF"), F.col("name"), F.lit("in"), F.array_join("enum_values", ","), F.lit("block"), sure(F.col("confidence")))
     paths = relations.select(F.concat(F.lit("rel_"), "id"), F.concat(F.upper("relation_type"), F.lit(" -> "), F.col("range_label")), F.lit("id"), F.lit("exists"), F.lit(None).cast("string"), F.when(sure(F.col("confidence")) < 0.7, "allow").otherwise("warn"), sure(F.col("confidence")))
     return types.union(enums).union(paths)
+
+
+# Severity and number of directions of each kind of axiom.
+AXIOMS = {"DOMAIN": ("warn", 1), "RANGE": ("warn", 1), "DISJOINT_WITH": ("block", 2), "EQUIVALENT_CLASS": ("escalate", 2)}
+
+
+def from_axioms(axioms: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(axiom_id, direction, ontology_ref, value, severity, confidence) rules from axioms (axiom_id, axiom_type, subject, object, confidence).
+
+    Unknown kinds and confidences under 0.7 give none; under 0.9 the severity is lowered. subject and object are ids of
+    concepts (concept_id, name), or names where no concept has that id. A null confidence is one.
+    """
+    kinds = F.create_map(*[x for k, (s, n) in AXIOMS.items() for x in (F.lit(k), F.struct(F.lit(s).alias("severity"), F.lit(n).alias("n")))])
+    sure = F.coalesce("confidence", F.lit(1.0))
+    known = axioms.select("axiom_id", "axiom_type", "subject", "object", sure.alias("confidence"), F.try_element_at(kinds, F.col("axiom_type")).alias("k")).where("confidence >= 0.7 and k is not null")
+    for end in ("subject", "object"):
+        names = concepts.select(F.col("concept_id").alias(end), F.col("name").alias(f"{end}_name"))
+        known = known.join(names, end, "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", end, F.lit("")))
+    a, b = F.col("subject_name"), F.col("object_name")
+    way = lambda d, x, y: F.struct(F.lit(d).alias("direction"), x.alias("ref"), y.alias("to"))
+    both = (F.col("k.n") == 2) & (a != "") & (b != "")
+    single = way("single", a, F.when(a != "", b).otherwise(""))
+    ways = F.when(both, F.array(way("forward", a, b), way("reverse", b, a))).otherwise(F.array(single))
+    severity = lowered(F.col("k.severity"), F.when(F.col("confidence") < 0.9, 1).otherwise(0))
+    rows = known.select("axiom_id", "axiom_type", severity.alias("severity"), F.least(F.lit(1.0), "confidence").alias("confidence"), F.explode(ways).alias("w"))
+    value = F.when(F.col("w.to") != "", F.concat_ws(":", "axiom_type", "w.to")).otherwise(F.col("axiom_type"))
+    return rows.select("axiom_id", "w.direction", F.nullif("w.ref", F.lit("")).alias("ontology_ref"), value.alias("value"), "severity", "confidence")
+
+
+def as_table(spark: SparkSession, shapes: list[Shape]) -> DataFrame:
+    """(shape_id, label, operation, severity, priority) of a registry's shapes."""
+    return spark.createDataFrame([(s.id, s.label, s.operation, s.severity, s.priority) for s in shapes], "shape_id string, label string, operation string, severity string, priority int")

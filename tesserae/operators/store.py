@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -60,3 +63,42 @@ def version_state(versions: DataFrame, current: str) -> DataFrame:
     last = versions.agg(F.max_by("version", "applied_at").alias("version"))
     now = parts(F.lit(current))
     return last.select("version", F.when(F.col("version").isNull(), "EMPTY").when(parts(F.col("version")) == now, "MATCH").when(parts(F.col("version")) < now, "BEHIND").otherwise("AHEAD").alias("state"))
+
+
+def set_property(nodes: DataFrame, key: str, name: str, value: Column) -> DataFrame:
+    """nodes with one property of the node `key` set; names that are no identifier of a column raise."""
+    if not re.fullmatch(r"[A-Za-z_]\w*", name) or name not in nodes.columns or name == "id":
+        raise ValueError(f"no such property: {name}")
+    return nodes.withColumn(name, F.when(F.col("id") == key, value).otherwise(F.col(name)))
+
+
+def orphans(graph: Graph) -> DataFrame:
+    """Nodes without a label or without an edge."""
+    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    return graph.nodes.where("label is null").unionByName(graph.nodes.where("label is not null").join(ends, "id", "left_anti"))
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors (id, text, ...) merged by id; new ones with blank text are left out."""
+    return upsert(old, new.where("trim(coalesce(text, '')) <> ''"), ["id"])
+
+
+Step = tuple[str, Callable[[Graph], Graph]]
+
+
+def _number(version: str) -> tuple[int, ...]:
+    return tuple(int(x) for x in version.split("."))
+
+
+def migrated(graph: Graph, steps: list[Step], now: str, wanted: str) -> tuple[Graph, list[str]]:
+    """The graph after the steps (version, change) above `now` up to `wanted`, in order of their numbers, and their versions.
+
+    Steps are DataFrame transforms, so all of them are one plan; repeated versions raise.
+    """
+    numbers = [_number(v) for v, _ in steps]
+    if len(set(numbers)) < len(numbers):
+        raise ValueError("a version is registered twice")
+    path = sorted((s for s in steps if _number(now) < _number(s[0]) <= _number(wanted)), key=lambda s: _number(s[0]))
+    for _, change in path:
+        graph = change(graph)
+    return graph, [v for v, _ in path]

@@ -43,3 +43,20 @@ def layers(rows: DataFrame, known: list[str]) -> DataFrame:
 def last_audit(audit: DataFrame) -> DataFrame:
     """The last row of (ord, action, target) per action."""
     return audit.withColumn("r", F.row_number().over(Window.partitionBy("action").orderBy(F.desc("ord")))).where("r = 1").drop("r")
+
+
+def roles(log: DataFrame) -> DataFrame:
+    """(user, repo, role) in force after a log of grants and revocations (user, repo, role, ord); a null role revokes."""
+    return log.groupBy("user", "repo").agg(F.max_by("role", "ord").alias("role")).where("role is not null")
+
+
+def skills_after(skills: DataFrame, deleted: DataFrame) -> DataFrame:
+    """skills (signature, layer, ...) after soft deletion: deleted (signature) get the layer retired and keep their row."""
+    gone = deleted.select("signature", F.lit(True).alias("_gone")).distinct()
+    return skills.join(gone, "signature", "left").withColumn("layer", F.when(F.col("_gone"), "retired").otherwise(F.col("layer"))).drop("_gone")
+
+
+def out_of_range(rows: DataFrame, name: str = "confidence") -> DataFrame:
+    """Rows whose confidence is null, not a number or outside 0..1."""
+    c = F.col(name)
+    return rows.where(c.isNull() | F.isnan(c) | ~c.between(0, 1))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import skills
 
+Handler = Callable[[DataFrame, int], None]
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -40,6 +43,41 @@ def windowed(events: DataFrame, size: str = "1 day", late: str = "2 days") -> Da
     return timed.groupBy(F.window("at", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def gated(events: DataFrame, prefix: str) -> DataFrame:
+    """Events (source, ...) that come from a source of this prefix; completions of handlers pass no gate, so none loops."""
+    return events.where(F.startswith("source", F.lit(prefix)))
+
+
+def handler_counts(handled: DataFrame) -> DataFrame:
+    """(handler, n_ok, n_failed) of (handler, ok); on a stream, write in update or complete mode."""
+    return handled.groupBy("handler").agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"))
+
+
+def completions(handled: DataFrame) -> DataFrame:
+    """(event_type, source, of, handler): one cascade level, a completed or failed event per handled event (event_id, handler, ok)."""
+    return handled.select(F.when(F.col("ok"), "handler.completed").otherwise("handler.failed").alias("event_type"), F.lit("engine").alias("source"), F.col("event_id").alias("of"), "handler")
+
+
+def dispatch(events: DataFrame, handlers: dict[str, Handler], routes: dict[str, list[str]], checkpoint: str, retries: int = 1) -> None:
+    """Work off what is there: each micro-batch goes to the handlers that its types are routed to, as (batch rows, batch id).
+
+    A handler is tried retries + 1 times for a batch; its last error stops the query, which starts again at that batch.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = routed(batch, routes)
+        for name, handle in handlers.items():
+            for left in range(retries, -1, -1):
+                try:
+                    handle(rows.where(F.col("handler") == name), batch_id)
+                    break
+                except Exception:
+                    if not left:
+                        raise
+
+    events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> None:
     """Work off what is there into an in-memory table, for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scalars as S
 from tesserae.graph import Graph
-from tesserae.operators import changes, clustering, impact, patterns, shapes, store, tables
+from tesserae.operators import actions, capabilities, changes, clustering, impact, patterns, shapes, store, tables
 from tesserae.sources import files
 from tesserae.streaming import events as stream
 
@@ -166,3 +166,100 @@ def test_python_files(spark, tmp_path):
     (tmp_path / "build" / "c.py").write_text("x = 1")
     got = {(r.kind, r.name, r.target) for r in files.python_entities(files.scan(spark, str(tmp_path), (".py",))).collect()}
     assert got == {("module", "a", None), ("module", "bad", None), ("class", "A", "doc"), ("extends", "A", "Base"), ("function", "A.m", None), ("imports", None, "path"), ("imports", None, "y"), ("calls", "A.m", "run_it")}
+
+
+def test_path_grammar():
+    steps = lambda p, d=3: shapes.parse_path(p, d)[0]
+    assert steps("CALLS -> CodeEntity") == [(False, "calls", 1, 1)]
+    assert steps("^CALLS+ -> CodeEntity") == [(True, "calls", 1, 3)]
+    assert steps("CALLS* / IMPORTS{2} -> CodeEntity") == [(False, "calls", 0, 3), (False, "imports", 2, 2)]
+    assert steps("CALLS{5} -> CodeEntity") == [(False, "calls", 5, 5)]
+    assert steps("CALLS{2,} -> CodeEntity") == [(False, "calls", 2, 3)]
+    assert steps("CALLS{1,9} -> CodeEntity") == [(False, "calls", 1, 3)]
+    for bad in ("CALLS", "CALLS{ -> X", "A/B/C/D -> X", "CALLS{4,} -> X"):
+        with pytest.raises(ValueError):
+            shapes.parse_path(bad)
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()[0]
+
+
+def test_capability_scalars(spark):
+    c = capabilities
+    domain = lambda p, n="f": one(spark, c.domain(F.lit(p), F.lit(n)))
+    assert [domain(p) for p in ("/api/credit/x", "/orders", "/app/api/pay.py", "/", "/api")] == ["credit", "orders", "pay", "root", "api"]
+    assert [domain(None, n) for n in ("validate_credit_card", "order_list", "ping", "")] == ["credit", "order", "unknown", "unknown"]
+    assert domain("", "get_total") == "total"
+    plain = lambda t: one(spark, c.plain_type(F.lit(t)))
+    assert [plain(t) for t in ("Optional[str]", "str | None", "'A'", "", None, "dict[str, int]")] == ["str", "str", "A", "any", "any", "dict[str, int]"]
+    contract = lambda j: one(spark, c.contract(F.lit(j)))
+    assert contract('["a: int", "b", "c: x: y", "a: str | None"]') == {"a": "str", "b": "any", "c": "x: y"}
+    assert contract("nope") == contract(None) == contract("[]") == {}
+    words = one(spark, c.keywords(F.lit("Get_total_x"), F.lit("@p a The total of all")))
+    assert words == ["get", "total", "x", "the", "of"]
+    assert one(spark, c.description(F.lit("\n  First. \n rest"), F.lit("f"))) == "First."
+    assert one(spark, c.description(F.lit("  \n"), F.lit("f"))) == "Capability: f"
+
+
+def test_topics_skip_bad_metadata_and_repeats(spark):
+    published = spark.createDataFrame([("a", "t"), ("a", "t"), ("b", ""), ("c", None)], "source string, topic string")
+    consumers = spark.createDataFrame([("e", "mq_consumer", '{"topic": "t"}'), ("f", "mq_consumer", "{"), ("g", "http_api", '{"topic": "t"}'), ("h", "mq_consumer", None)], "id string, entry_category string, entry_metadata string")
+    got = capabilities.topics(published, consumers).collect()
+    assert sorted((r.topic, r.rel_type, r.entity) for r in got) == [("t", "consumed_by", "e"), ("t", "publishes_to", "a")]
+    assert len({r.id for r in got}) == 1
+
+
+def test_approvals_and_conditions(spark):
+    rows = [(None, [], False, "query_entity"), (None, ["w"], False, "query_entity"), ("no", [], False, "query_entity"), (None, [], True, None), (None, [], None, "create_entity"), (None, [], None, "unknown")]
+    asked = spark.createDataFrame(rows, "block_reason string, warnings array<string>, requires_approval boolean, function string")
+    levels = lambda **k: [r.level for r in actions.approvals(asked, **k).collect()]
+    assert levels() == ["approved", "pending", "pending", "pending", "pending", "approved"]
+    assert levels(on_block="auto_reject", on_warn="auto_allow") == ["approved", "approved", "denied", "pending", "pending", "approved"]
+    assert one(spark, actions.condition(F.lit(3), ">=", F.lit(3)))
+    with pytest.raises(ValueError):
+        actions.condition(F.lit(1), "<=", F.lit(1))
+    with pytest.raises(Exception, match="field is missing"):
+        one(spark, actions.condition(F.lit(None).cast("int"), ">", F.lit(1)))
+
+
+def test_migrations_go_by_number(spark):
+    g = Graph(spark.createDataFrame([("a", "X", None, None, None, None, None, None)], NODE), edges(spark, []))
+    steps = [(v, lambda g, v=v: Graph(g.nodes.withColumn("label", F.concat("label", F.lit(f" {v}"))), g.edges)) for v in ("1.10.0", "1.2.0", "2.0.0")]
+    moved, path = store.migrated(g, steps, "1.1.0", "1.10.0")
+    assert path == ["1.2.0", "1.10.0"] and moved.nodes.first().label == "X 1.2.0 1.10.0"
+    assert store.migrated(g, steps, "2.0.0", "2.0.0")[1] == []
+    with pytest.raises(ValueError):
+        store.migrated(g, [*steps, ("2.0.0", lambda g: g)], "1.0.0", "2.0.0")
+    with pytest.raises(ValueError):
+        store.set_property(g.nodes, "a", "id; drop", F.lit("x"))
+
+
+def test_lookup_suggests_only_without_an_exact_name(spark):
+    n = spark.createDataFrame([(k, "X", name, None, None, None, None, None) for k, name in (("a", "ring"), ("b", "rings"), ("c", "string"))], NODE)
+    assert [(r.id, r.how) for r in patterns.lookup(n, "ring").collect()] == [("a", "exact")]
+    assert [(r.id, r.how) for r in patterns.lookup(n, "rin").collect()] == [("a", "suggestion"), ("b", "suggestion"), ("c", "suggestion")]
+    assert patterns.lookup(n, "zzz").collect() == []
+
+
+def test_changeset_ignores_row_order(spark):
+    rows = [("a", "ADDED", None, "1"), ("b", "DELETED", "2", None), ("c", "BODY", "3", "4")]
+    make = lambda rs: changes.changeset(spark.createDataFrame(rs, "path string, change_type string, old_sha string, new_sha string")).first()
+    assert make(rows) == make(rows[::-1]) and make(rows).changeset_id.startswith("cs-") and len(make(rows).changeset_id) == 15
+    assert make(rows).changeset_id != make(rows[:2]).changeset_id
+    assert tuple(make(rows))[1:] == (3, 1, 1, 1)
+
+
+def test_dispatch_tries_again(spark, tmp_path):
+    spark.createDataFrame([(1, "click"), (2, "view")], "event_id long, event_type string").write.parquet(str(tmp_path / "in"))
+    seen, failures = [], [RuntimeError("once")]
+
+    def build(rows, batch_id):
+        if failures:
+            raise failures.pop()
+        seen.extend(("build", r.event_id) for r in rows.collect())
+
+    arriving = spark.readStream.schema("event_id long, event_type string").parquet(str(tmp_path / "in"))
+    handlers = {"build": build, "audit": lambda rows, _: seen.extend(("audit", r.event_id) for r in rows.collect())}
+    stream.dispatch(arriving, handlers, {"*": ["audit"], "click": ["build"]}, str(tmp_path / "check"))
+    assert sorted(seen) == [("audit", 1), ("audit", 2), ("build", 1)]
