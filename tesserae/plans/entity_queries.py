@@ -286,7 +286,7 @@ def str_08_handler_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'click' event_type, count(*) n FROM events WHERE event_type='click' AND user_id%3=0", graph=False)
 def str_06_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("source", F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("git_watcher:"), "user_id")).otherwise("butler.engine"))
+    e = table(spark, sf_dir, "events").withColumn("source", F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("git_watcher:"), "user_id")).otherwise("engine"))
     return stream.gated(e.where("event_type = 'click'"), "git_watcher").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
