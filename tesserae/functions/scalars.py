@@ -24,7 +24,7 @@ def snake_to_camel(c: Column) -> Column:
 def upper_snake(c: Column) -> Column:
     """CamelCase to UPPER_SNAKE; text that is upper case already stays."""
     cut = F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2"), "([A-Za-z])([0-9])", "$1_$2")
-    return F.when(c == F.upper(c), c).otherwise(F.upper(cut))
+    return F.when(c.rlike("^[A-Z][A-Z0-9_]*$"), c).otherwise(F.upper(cut))
 
 
 def lowered(severity: Column, steps: Column) -> Column:
@@ -86,16 +86,23 @@ def code_identifiers(text: Column) -> Column:
 
 def doc_type(path: Column) -> Column:
     p = F.lower(path)
-    return F.when(p.contains("readme"), "readme").when(p.contains("docs/") & p.contains("api"), "api_doc").when(p.contains("docs/"), "document").when(p.contains("arch") | p.contains("design"), "architecture_doc").otherwise("comment")
+    return F.when(p.contains("readme"), "readme").when(p.contains("docs/") & p.contains("api"), "api_doc").when(p.contains("docs/"), "module_doc").when(p.contains("arch") | p.contains("design"), "architecture_doc").otherwise("comment")
+
+
+def doc_line(line: Column) -> Column:
+    """Whether a stripped line is a comment or opens, closes or is a docstring; a whole one must be longer than 7."""
+    edge = lambda mark: (F.startswith(line, F.lit(mark)), F.endswith(line, F.lit(mark)))
+    (opens, closes), (opens_single, closes_single) = edge('"""'), edge("'''")
+    whole = (opens & closes) | (opens_single & closes_single)
+    return F.coalesce(F.startswith(line, F.lit("#")) | F.when(whole, F.length(line) > 7).otherwise(opens | opens_single | closes | closes_single), F.lit(False))
 
 
 def diff_change(diff: Column) -> Column:
-    """SIGNATURE if a changed line defines something, DOC_ONLY if all are comments, docstrings or empty, else BODY."""
-    changed = F.filter(F.split(F.coalesce(diff, F.lit("")), "\n"), lambda x: x.rlike(r"^[+-](?![+-]{2})"))
-    bodies = F.transform(changed, lambda x: F.trim(F.substring(x, 2, 1 << 20)))
-    signature = F.exists(bodies, lambda x: x.rlike(r"^(async\s+def|def|class)\s"))
-    doc = F.forall(bodies, lambda x: (x == "") | x.rlike(r"^(#|\"\"\"|''')"))
-    return F.when(signature, "SIGNATURE").when(doc, "DOC_ONLY").otherwise("BODY")
+    """SIGNATURE if a changed line defines something, DOC_ONLY if all are documentation or empty, else BODY."""
+    changed = F.filter(F.split(F.coalesce(diff, F.lit("")), "\\r?\\n"), lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(\+\+\+|---)"))
+    bodies = F.filter(F.transform(changed, lambda x: stripped(F.substring(x, 2, 1 << 20))), lambda x: x != "")
+    signature = F.exists(bodies, lambda x: x.rlike(r"^(async def|def|class) "))
+    return F.when(signature, "SIGNATURE").when(F.forall(bodies, doc_line), "DOC_ONLY").otherwise("BODY")
 
 
 def git_status(code: Column) -> Column:
@@ -176,3 +183,50 @@ def level_score(level: Column, tools: Column, answer: Column) -> Column:
     """Tools and answer weighted by the question's level: .3/.7, .4/.6, above .5/.5."""
     t = F.when(level == 1, 0.3).when(level == 2, 0.4).otherwise(0.5)
     return tools * t + answer * (1 - t)
+
+
+#: Words that a read-only query may not hold.
+WRITES = ("create", "merge", "delete", "set", "remove", "drop", "insert", "update", "upsert", "alter", "detach")
+
+
+def is_write(statement: Column) -> Column:
+    """Whether a statement holds a whole word that writes, in any case; null does not."""
+    return F.coalesce(statement.rlike(r"(?i)\b(" + "|".join(WRITES) + r")\b"), F.lit(False))
+
+
+def identifier(name: Column) -> Column:
+    """Whether a name can stand for a label, relation or field; null cannot."""
+    return F.coalesce(name.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), F.lit(False))
+
+
+def approval_token(*parts: Column) -> Column:
+    """12 hex digits of the SHA-256 of intent, target, session and nonce joined by colons; null parts are empty."""
+    return F.substring(F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 12)
+
+
+def pattern_signature(kind: Column, extension: Column) -> Column:
+    return F.concat_ws(":", kind, F.coalesce(extension, F.lit("unknown")))
+
+
+def literal(c: Column) -> Column:
+    """A string as a quoted literal with backslashes, quotes and line breaks escaped; null is NULL."""
+    escaped = c
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(written))
+    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("NULL"))
+
+
+def exact_answer(wanted: Column, answer: Column) -> Column:
+    """1.0 if the answer holds the wanted text and no longer word around it, in any case, else 0.0."""
+    w, a = F.lower(stripped(wanted)), F.lower(stripped(answer))
+    longer = F.exists(F.regexp_extract_all(a, F.lit("[a-z_]+"), 0), lambda x: F.contains(x, w) & (x != w))
+    return F.when(F.contains(a, w) & ~longer, 1.0).otherwise(0.0)
+
+
+def held_answer(wanted: Column, answer: Column) -> Column:
+    return F.when(F.contains(F.lower(answer), F.lower(wanted)), 1.0).otherwise(0.0)
+
+
+def safe_url(url: Column) -> Column:
+    """Whether a repository address is http or https with a host and without white space; null is not."""
+    return F.coalesce(url.rlike(r"^(?i:https?)://[^\s/]+(/\S*)?$"), F.lit(False))

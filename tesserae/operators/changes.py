@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import diff_change, stable_id
@@ -59,3 +61,10 @@ def changeset(changes: DataFrame) -> DataFrame:
     n = lambda c, name: F.count_if(c).alias(name)
     got = changes.agg(total.alias("t"), F.count("*").alias("n_files"), n(kind == "ADDED", "n_added"), n(kind == "DELETED", "n_deleted"), n(~kind.isin("ADDED", "DELETED"), "n_modified"))
     return got.select(F.concat(F.lit("cs-"), F.substring(stable_id(F.col("t")), 1, 12)).alias("changeset_id"), "n_files", "n_added", "n_deleted", "n_modified")
+
+
+def absolute(path: Column, root: str) -> Column:
+    """path below root; a leading name of the root's own folder is cut, absolute paths and nulls stay."""
+    root = root.rstrip("/")
+    bare = F.regexp_replace(path, "^" + re.escape(root.rsplit("/", 1)[-1]) + "/", "")
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root + "/"), bare))

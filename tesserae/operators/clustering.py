@@ -126,3 +126,9 @@ def jaccard(sets: DataFrame, least: float = 0.8, hot: int = 1_000) -> DataFrame:
     met = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > F.lit(least) * F.greatest("na", "nb"))).dropDuplicates(["a", "b"])
     common = F.size(F.array_intersect("ia", "ib"))
     return met.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("overlap")).where(F.col("overlap") > least)
+
+
+def modules(members: DataFrame) -> DataFrame:
+    """(community, module_id, n, members): a module's id is the digest of its sorted members (id), equal names apart."""
+    ids = F.array_sort(F.collect_set("id"))
+    return members.groupBy("community").agg(ids.alias("members")).select("community", F.sha2(F.array_join("members", ","), 256).alias("module_id"), F.size("members").cast("long").alias("n"), "members")

@@ -86,3 +86,8 @@ def resolve_typed(wanted: DataFrame, entities: DataFrame, strict: bool = False)
     out = out.withColumn("loose", F.lit(None).cast(entities.schema["id"].dataType)) if strict else out.join(loose, ["entity_type", "name"], "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "loose")
     return out.withColumn("id", F.coalesce("exact", "loose")).withColumn("how", how).drop("exact", "loose")
+
+
+def trusted(relations: DataFrame, types: tuple[str, ...], least: float = 0.5) -> DataFrame:
+    """Relations of a known type whose confidence is least or more; null counts as neither."""
+    return relations.where(F.col("relation_type").isin(*types) & (F.col("confidence") >= least))

@@ -154,11 +154,11 @@ SHAPES = [
 def from_ontology(entity_types: DataFrame, properties: DataFrame, relations: DataFrame) -> DataFrame:
     """(id, path, field, operator, value, severity) rules from entity types, enumerated properties and relations.
 
-    Types that are none are skipped; a null confidence is 0.5, above one is one. Relations under 0.7 only allow.
+    Types that are none are skipped; a null confidence is 0.5, of properties 1, above one is one. Relations under 0.7 only allow.
     """
-    sure = lambda c: F.least(F.lit(1.0), F.coalesce(c, F.lit(0.5)))
+    sure = lambda c, none=0.5: F.least(F.lit(1.0), F.coalesce(c, F.lit(none)))
     types = entity_types.where("coalesce(is_entity_type, true)").select(F.concat(F.lit("type_"), "id").alias("id"), F.lit("SELF").alias("path"), F.lit("name").alias("field"), F.lit("in").alias("operator"), F.col("name").alias("value"), F.lit("warn").alias("severity"), sure(F.col("confidence")).alias("confidence"))
-    enums = properties.where("size(enum_values) > 0").select(F.concat(F.lit("enum_"), "id"), F.lit("SELF"), F.col("name"), F.lit("in"), F.array_join("enum_values", ","), F.lit("block"), sure(F.col("confidence")))
+    enums = properties.where("size(enum_values) > 0").select(F.concat(F.lit("enum_"), "id"), F.lit("SELF"), F.col("name"), F.lit("in"), F.array_join("enum_values", ","), F.lit("block"), sure(F.col("confidence"), 1.0))
     paths = relations.select(F.concat(F.lit("rel_"), "id"), F.concat(F.upper("relation_type"), F.lit(" -> "), F.col("range_label")), F.lit("id"), F.lit("exists"), F.lit(None).cast("string"), F.when(sure(F.col("confidence")) < 0.7, "allow").otherwise("warn"), sure(F.col("confidence")))
     return types.union(enums).union(paths)
 
