@@ -230,3 +230,9 @@ def held_answer(wanted: Column, answer: Column) -> Column:
 def safe_url(url: Column) -> Column:
     """Whether a repository address is http or https with a host and without white space; null is not."""
     return F.coalesce(url.rlike(r"^(?i:https?)://[^\s/]+(/\S*)?$"), F.lit(False))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text: as UTF-8 where they are valid, else as Latin-1."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))

@@ -51,3 +51,10 @@ def align(names: DataFrame, concepts: DataFrame, near: DataFrame | None = None,
     how = F.when(blank, "none").when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").when(F.col("near").isNotNull(), "vector").otherwise("none")
     got = out.withColumn("method", how)
     return got.select("name", F.when(F.col("method") != "none", F.coalesce("exact", "alias", "near")).alias("concept_id"), "method", F.when(F.col("method").isin("exact", "alias"), 1.0).when(F.col("method") == "vector", distance_confidence(F.col("d"))).otherwise(0.0).alias("confidence"))
+
+
+def hashed(text: Column, d: int = 256) -> Column:
+    """Counts of a text's words, in lower case, in d places by their hash; a null text gives zeros. It needs no model."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(d)))
+    return F.aggregate(places, F.array_repeat(F.lit(0.0), d), lambda sums, at: F.transform(sums, lambda x, i: F.when(i == at, x + 1.0).otherwise(x)))
