@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..graph import graph_from_tables, table
 from ..operators import impact, patterns, shapes, vectors
+from ..sources import java
 from .graph_queries import query
 from .inventory_queries import cases
 
@@ -130,3 +131,44 @@ def vec_12_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 cases("prs_09_decoded", lambda c: S.decoded(F.unhex(c)), [("C3A9", "é"), ("E9", "é"), ("61", "a"), ("", ""), (None, None)])
+
+
+JAVA = """package s{n};
+import base.{{Root}}{n};
+/* class Gone { */
+@Service("x")
+public class S{k} extends Root{n} implements Api, Other<T> {
+    public S{k}(Repo r) { this.r = r; }
+    public int find(final Map<String, Integer> m) {
+        helper{n}(new Item("}"));
+        restTemplate.getForObject("http://svc{n}/a");
+        kafkaTemplate.send("topic.{n}", m);
+        return m.size();
+    }
+}
+""".replace("{{Root}}", "Root")
+_JAVA_SQL = "WITH c AS (SELECT s_suppkey k, s_nationkey n, 'src/S'||s_suppkey||'.java' file_path FROM supplier)"
+
+
+def _java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Java file for each supplier, as entities and relations."""
+    body = F.lit(JAVA)
+    for mark, c in (("{k}", "s_suppkey"), ("{n}", "s_nationkey")):
+        body = F.replace(body, F.lit(mark), F.col(c).cast("string"))
+    return java.java_entities(table(spark, sf_dir, "supplier").select(F.format_string("src/S%d.java", F.col("s_suppkey")).alias("path"), body.cast("binary").alias("content")))
+
+
+@query(_JAVA_SQL + " SELECT file_path, 'module' kind, 's'||n AS name, 0 start_line, 13 end_line FROM c UNION ALL SELECT file_path, 'class', 'S'||k, 4, 12 FROM c UNION ALL SELECT file_path, 'constructor', 'S'||k||'.<init>(Repo)', 5, 5 FROM c UNION ALL SELECT file_path, 'method', 'S'||k||'.find(Map)', 6, 11 FROM c", graph=False)
+def prs_06_java_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _java(spark, sf_dir).where("kind in ('module', 'class', 'constructor', 'method')").select("file_path", "kind", "name", "start_line", "end_line")
+
+
+@query(_JAVA_SQL + ", r AS (SELECT file_path, k, n, unnest(['extends','implements','implements','imports','calls','calls','calls','uses']) kind, unnest(['Root'||n,'Api','Other','Root'||n,'helper'||n,'getForObject','send','Item']) target FROM c) SELECT file_path, kind, target FROM r", graph=False)
+def prs_07_java_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What types extend, implement and import, and methods call and use, without the platform's own names."""
+    return _java(spark, sf_dir).where("kind in ('extends', 'implements', 'imports', 'calls', 'uses')").select("file_path", "kind", "target")
+
+
+@query(_JAVA_SQL + " SELECT file_path, 'calls_service' kind, 'svc'||n target FROM c UNION ALL SELECT file_path, 'publishes_to', 'topic.'||n FROM c", graph=False)
+def prs_11_java_external_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _java(spark, sf_dir).where("kind in ('calls_service', 'publishes_to')").select("file_path", "kind", "target")

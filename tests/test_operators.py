@@ -263,3 +263,67 @@ def test_dispatch_tries_again(spark, tmp_path):
     handlers = {"build": build, "audit": lambda rows, _: seen.extend(("audit", r.event_id) for r in rows.collect())}
     stream.dispatch(arriving, handlers, {"*": ["audit"], "click": ["build"]}, str(tmp_path / "check"))
     assert sorted(seen) == [("audit", 1), ("audit", 2), ("build", 1)]
+
+
+JAVA = """package a.b;
+import java.util.List;
+import x.y.*;
+import static q.Z.go;
+/** doc { */
+@Service("x")
+public class Orders<T extends Foo> extends base.Base<T> implements Api, Other<List<T>> {
+    private final Repo repo = new Repo(1);
+    public Orders(Repo r) { this.repo = r; }
+    @Override
+    public List<String> find(final Map<String, Integer> m, int[] k) throws IOException {
+        if (k == null) { helper(k); }
+        Item i = new Item("}");
+        restTemplate.getForObject("http://svc1/a", String.class);
+        kafkaTemplate.send("topic.a", i);
+        rabbitTemplate.convertAndSend("q.b", i);
+        return repo.load(m).size();
+    }
+    abstract void later(int a);
+    enum Kind { A, B; int code() { return 1; } }
+    interface Api { void go(); }
+}
+record Point(int x, int y) { }
+@interface Marked { }
+"""
+
+
+def test_java_files(spark):
+    from tesserae.sources.java import java_entities
+
+    df = spark.createDataFrame([("A.java", bytearray(JAVA.encode())), ("empty.java", bytearray(b"")), ("broken.java", bytearray(b"class { ) } } \"")), ("null.java", None)], "path string, content binary")
+    got = {(r.file_path, r.kind, r.name, r.target) for r in java_entities(df).collect()}
+    a = {x[1:] for x in got if x[0] == "A.java"}
+    assert {n for k, n, _ in a if k in ("method", "constructor")} == {"Orders.<init>(Repo)", "Orders.find(Map,int[])", "Orders.later(int)", "Kind.code()", "Api.go()"}
+    assert {(k, n) for k, n, _ in a if k in ("class", "enum", "interface", "record", "annotation")} == {("class", "Orders"), ("enum", "Kind"), ("interface", "Api"), ("record", "Point"), ("annotation", "Marked")}
+    assert {(k, t) for k, _, t in a if t} == {("imports", "List"), ("imports", "go"), ("extends", "Base"), ("implements", "Api"), ("implements", "Other"), ("calls", "helper"), ("uses", "Item"), ("calls", "getForObject"), ("calls", "send"), ("calls", "convertAndSend"), ("calls", "load"), ("calls_service", "svc1"), ("publishes_to", "topic.a"), ("publishes_to", "q.b")}
+    assert {x[:2] for x in got if x[0] != "A.java"} == {("empty.java", "module"), ("broken.java", "module")}
+
+
+def test_ontology_files(spark, tmp_path):
+    from tesserae.operators import shapes
+    from tesserae.sources import ontologies
+
+    (tmp_path / "o.json").write_text('{"entity_types": [{"id": "a", "name": "A", "confidence": 0.9},\n {"id": "b", "name": "B", "is_entity_type": false}], "properties": [{"id": "p", "name": "p", "value_type": "enum", "enum_values": ["x", "y"]}], "metadata": {}}')
+    got = ontologies.read(spark, str(tmp_path / "o.json"))
+    assert [r.id for r in got["entity_types"].collect()] == ["a", "b"] and got["axioms"].count() == 0
+    rules = shapes.from_ontology(got["entity_types"], got["properties"], got["relations"].selectExpr("id", "name relation_type", "range_concept_id range_label", "confidence"))
+    assert {(r.id, r.value, r.confidence) for r in rules.collect()} == {("type_a", "A", 0.9), ("enum_p", "x,y", 1.0)}
+
+
+def test_snapshots_and_saved_graphs(spark, tmp_path):
+    from tesserae.graph import Graph, graph_from_tables
+    from tesserae.sources import ontologies
+
+    (tmp_path / "c.json").write_text('{"a.py": "1", "b.py": "2"}')
+    assert {tuple(r) for r in ontologies.read_snapshot(spark, str(tmp_path / "c.json")).collect()} == {("a.py", "1"), ("b.py", "2")}
+    ontologies.write_snapshot(spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary"), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 1
+    g = graph_from_tables(spark, "/root/testdata/sf0.001")
+    g.save(str(tmp_path / "g"))
+    back = Graph.load(spark, str(tmp_path / "g"))
+    assert back.nodes.count() == g.nodes.count() and back.edges.exceptAll(g.edges).isEmpty() and back.nodes.columns == g.nodes.columns
