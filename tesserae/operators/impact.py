@@ -56,25 +56,27 @@ def impact(edges: DataFrame, changed: DataFrame, depth: int = 3, checkpoint: boo
     steps = steps.where(F.col("rel_type").isin(*WEIGHTS))
     key = ["source", "change", "direction", "node_id"]
     front = changed.select(F.col("id").alias("source"), "change", F.explode(F.array(F.lit("FORWARD"), F.lit("BACKWARD"))).alias("direction"), F.col("id").alias("node_id")).distinct()
-    best = None
+    best = front.withColumns({"score": F.lit(None).cast("double"), "depth": F.lit(0)})
     for d in range(1, min(depth, len(DECAY)) + 1):
-        met = front.join(steps.withColumnRenamed("at", "node_id"), ["node_id", "direction"]).where("to <> source")
-        level = met.select("source", "change", "direction", F.col("to").alias("node_id"), (weight(F.col("rel_type"), F.col("change")) * DECAY[d - 1]).alias("score")).where(F.col("score") >= LEAST).groupBy(key).agg(F.max("score").alias("score")).withColumn("depth", F.lit(d))
-        if best is not None:
-            level = level.join(best.select(*key, F.col("score").alias("before")), key, "left").where("before is null or score > before").drop("before")
-        level = _kept(level) if checkpoint else level
-        front = level.select(key)
-        both = level if best is None else best.unionByName(level)
-        best = both.groupBy(key).agg(F.max_by(F.struct("score", "depth"), F.struct("score", -F.col("depth"))).alias("b")).select(*key, "b.score", "b.depth")
+        # A level's front are the rows that the level before has just improved; old and new rows meet in one aggregate.
+        met = best.where(F.col("depth") == d - 1).select(key).join(steps.withColumnRenamed("at", "node_id"), ["node_id", "direction"]).where("to <> source")
+        level = met.select("source", "change", "direction", F.col("to").alias("node_id"), (weight(F.col("rel_type"), F.col("change")) * DECAY[d - 1]).alias("new")).where(F.col("new") >= LEAST)
+        both = level.select(*key, "new", F.lit(None).cast("double").alias("old"), F.lit(None).cast("int").alias("before"))
+        if d > 1:
+            both = both.unionByName(best.select(*key, F.lit(None).cast("double").alias("new"), F.col("score").alias("old"), F.col("depth").alias("before")))
+        better = F.col("old").isNull() | F.coalesce(F.col("new") > F.col("old"), F.lit(False))
+        best = both.groupBy(key).agg(F.max("new").alias("new"), F.max("old").alias("old"), F.max("before").alias("before")).select(*key, F.greatest("new", "old").alias("score"), F.when(better, d).otherwise(F.col("before")).alias("depth"))
         best = _kept(best) if checkpoint else best
     return best
 
 
 def merged(impacts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The best row per node and direction over all sources, ties to the smaller depth and then source, with severity."""
-    best = impacts.groupBy("node_id", "direction").agg(F.max_by(F.struct("score", "depth"), F.struct("score", -F.col("depth"))).alias("b"))
+    """The best row per node and direction over all sources, ties to the smaller depth, with severity; depths are below 16."""
+    # Score, to six digits, and depth in one number: an aggregate over numbers needs no sort.
+    packed = F.round(F.col("score") * 1_000_000).cast("long") * 16 + 15 - F.col("depth")
+    best = impacts.groupBy("node_id", "direction").agg(F.max(packed).alias("b")).select("node_id", "direction", (F.shiftright("b", 4) / 1_000_000).alias("score"), (15 - F.col("b").bitwiseAND(F.lit(15))).alias("depth"))
     named = best.join(nodes.select(F.col("id").alias("node_id"), "label", "name", "file_path"), "node_id")
-    return named.select("node_id", "label", "name", "file_path", "direction", F.round("b.score", 6).alias("impact_score"), severity(F.col("b.score")).alias("severity"), F.col("b.depth").cast("int").alias("depth"))
+    return named.select("node_id", "label", "name", "file_path", "direction", F.round("score", 6).alias("impact_score"), severity(F.col("score")).alias("severity"), F.col("depth").cast("int").alias("depth"))
 
 
 def report(rows: DataFrame) -> DataFrame:
