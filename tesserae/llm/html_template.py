@@ -1,12 +1,14 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-A page is a sequence of tags and text runs. A tag's role is its path of containers with the tag, class and id. Roles
-whose occurrences per page are the same on all pages, their occurrence vectors, form an equivalence class; a vector is
-known by sums of hashes of (page, occurrences), which Spark adds up within tasks first, so a host with very many pages
-is no large group. Classes that occur on at least half of a host's pages, hold several roles, and whose spans are apart
-from or within one another are nested into the host's template. The template's slot that holds the article is chosen by
-its markup and its share of unlinked text. Hosts of few pages use the template of all hosts together, and so do pages
-that lack their host's slot. What remains in that slot, without its boilerplate parts, is the text.
+A page is a sequence of tags and text runs. A tag's role is its path of containers with the tag, class and id; a text
+token is a block's text under its role. Roles and text tokens whose occurrences per page are the same on all pages, their
+occurrence vectors, form an equivalence class; a vector is known by sums of hashes of (page, occurrences), which Spark
+adds up within tasks first, so a host with very many pages is no large group. Classes that occur on at least half of a
+host's pages, hold several tokens, and whose spans are apart from or within one another are nested into the host's
+template. The template's slot that holds the article is chosen by its unlinked text, weighed by its markup; all article
+roles go together. Hosts of few pages use the template of all hosts together, and so do pages that lack their host's
+slot. What remains in the slots, without their boilerplate parts and the template's own text, is the text. The page's own
+tags decide only where no template has a slot, or where the slot is all of the body.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import materialise
 
 #: Hosts with fewer pages than this are read with the template of all hosts.
 FEW = 3
+#: Text is the template's own only if it is on this many pages of a host that differ from one another.
+TEXT_PAGES = 10
 #: Templates up to this size in all are broadcast; beyond it they are joined.
 BROADCAST_BYTES = 32 << 20
 
@@ -96,10 +100,37 @@ def _id(role: str) -> int:
     return xxhash.xxh3_64_intdigest(role.encode()) >> 1
 
 
+def _token(role: str, raw: str) -> str:
+    """The text token of a block of this role, blanks aside; roles start with a slash, so no role is equal."""
+    return f"#{xxhash.xxh3_64_hexdigest(f'{role} {" ".join(raw.split())}'.encode())}"
+
+
 def _profile(page: str) -> dict[str, list]:
-    """Per role of the blocks of a page: occurrences, first and last place, letters directly in it, those in links, boilerplate."""
+    """Per role of the blocks of a page: occurrences, first and last place, letters directly in it, those in links, boilerplate.
+
+    Text tokens outside boilerplate are listed beside the roles, without letters.
+    """
     found: dict[str, list] = {}
+    run: list[str] = []
+    at = None
+
+    def end(k: int) -> None:
+        if at is not None and not at.bad and not "".join(run).isspace():
+            r = found.setdefault(_token(at.role, "".join(run)), [0, k, k, 0, 0, False])
+            r[0] += 1
+            r[2] = k
+        run.clear()
+
+    k = 0
     for k, (kind, node, raw) in enumerate(events(page)):
+        if kind == "text":
+            run.append(raw)
+            at = node
+        elif kind == "break" or node.tag in BLOCKS:
+            end(k)
+            at = None
+        elif node.tag == "br":
+            run.append(" ")
         if kind == "open" and node.tag in BLOCKS:
             r = found.setdefault(node.role, [0, k, k, 0, 0, node.bad])
             r[0] += 1
@@ -110,6 +141,7 @@ def _profile(page: str) -> dict[str, list]:
             r[3] += n
             r[4] += n * node.link
             r[2] = k
+    end(k)
     return found
 
 
@@ -133,7 +165,7 @@ def profiles(pages: DataFrame) -> DataFrame:
 
 
 def _template(roles: pd.DataFrame) -> pd.DataFrame:
-    """One host's template: its classes of roles, nested, and the slot of the article; roles occur on half of its pages."""
+    """One host's template: its classes of roles and text, nested, the slots of the article, the best first, and its text."""
     roles = roles.sort_values(["first", "role"])
     classes = [g for _, g in roles.groupby(["n", "v1", "v2"], sort=False)]
     # A class's span; it is valid if it lies within or apart from those chosen before it, largest first.
@@ -144,53 +176,82 @@ def _template(roles: pd.DataFrame) -> pd.DataFrame:
             if all(hi <= a or lo >= b or (a <= lo and hi <= b) or (lo <= a and b <= hi) for a, b in spans):
                 spans.append((lo, hi))
                 valid += g["role"].tolist()
-    total = {r: (x, y) for r, x, y in zip(roles["role"], roles["letters"], roles["linked"], strict=True)}
-    good = roles[~roles["bad"] & roles["role"].isin(valid)]
-    best, chosen = None, ""
-    for role in good["role"]:
+    good = roles[~roles["bad"]]
+    total = {r: x - y for r, x, y in zip(good["role"], good["letters"], good["linked"], strict=True)}
+    best, chosen, articles = None, "", []
+    for role in good["role"][good["role"].isin(valid)]:
         name = role.rsplit("/", 1)[-1].split(".")
         if name[0] not in CONTAINERS or name[0] == "html":
             continue
-        below = [total[r] for r in total if r == role or r.startswith(role + "/")]
-        plain = sum(x for x, _ in below) - sum(y for _, y in below)
+        if name[0] == "article":
+            articles.append(role)
+        plain = sum(x for r, x in total.items() if r == role or r.startswith(role + "/"))
         named = 3 if name[0] == "article" else 2 if name[0] == "main" else 1 if not ARTICLE.isdisjoint(name[1:]) else 0
-        rank = (named > 0, named, plain if named else plain / (1 + 0.05 * sum(x for x, _ in total.values()) * (name[0] == "body")), -role.count("/"))
+        rank = (plain * (1 + named) / (1 + 0.05 * sum(total.values()) * (name[0] == "body" and not named)), named, -role.count("/"))
         if best is None or rank > best:
             best, chosen = rank, role
-    return pd.DataFrame({"host": [roles["host"].iloc[0]], "slot": [chosen], "roles": [len(valid)]})
+    slots = [chosen, *(r for r in articles if r != chosen and chosen in articles)] if chosen else []
+    texts = [r for r in valid if r[0] == "#"]
+    return pd.DataFrame({"host": [roles["host"].iloc[0]], "slot": [chosen], "roles": [len(valid) - len(texts)], "slots": [slots], "texts": [texts]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, roles) for each host of at least FEW pages, and for all pages together under a null host."""
+    """(host, slot, roles, slots, texts) for each host of at least FEW pages, and for all pages together as host *.
+
+    Text that copies of a page share is no evidence: of a token's pages, as many as the host has copies are not counted.
+    All pages together have no text of their own.
+    """
     sums = [F.sum(c).alias(c) for c in ("v1", "v2", "first", "last", "letters", "linked")]
-    by_host = materialise(profiles(pages).groupBy("host", "role").agg(F.count("*").alias("n"), *sums, F.max("bad").alias("bad")))
+    tokens = profiles(pages).groupBy("host", "role").agg(F.count("*").alias("n"), *sums, F.max("bad").alias("bad"))
+    by_host = materialise(tokens.where(f"role not like '#%' or n >= {TEXT_PAGES}"))
     # Places are means over the pages; a role counts where half of the pages have it.
-    every = by_host.groupBy("role").agg(F.sum("n").alias("n"), *sums, F.max("bad").alias("bad")).select(F.lit("*").alias("host"), "*")
+    every = by_host.where("role not like '#%'").groupBy("role").agg(F.sum("n").alias("n"), *sums, F.max("bad").alias("bad")).select(F.lit("*").alias("host"), "*")
     rows = by_host.select(every.columns).unionByName(every)
     size = rows.where("role = ''").select("host", F.col("n").alias("pages"))
-    often = rows.where("role <> ''").join(size, "host").where(f"pages >= {FEW} and 2 * n >= pages").select("host", "role", "n", "v1", "v2", (F.col("first") / F.col("n")).alias("first"), (F.col("last") / F.col("n")).alias("last"), "letters", "linked", "bad")
-    return often.groupBy("host").applyInPandas(_template, "host string, slot string, roles int")
+    copies = pages.groupBy("host").agg((F.count("*") - F.count_distinct(F.xxhash64("page"))).alias("copies"))
+    sized = rows.where("role <> ''").join(size.join(copies, "host", "left"), "host").where(f"pages >= {FEW} and 2 * n >= pages")
+    often = sized.where(f"role not like '#%' or (n - copies >= {TEXT_PAGES} and 2 * (n - copies) >= pages - copies)").select("host", "role", "n", "v1", "v2", (F.col("first") / F.col("n")).alias("first"), (F.col("last") / F.col("n")).alias("last"), "letters", "linked", "bad")
+    return often.groupBy("host").applyInPandas(_template, "host string, slot string, roles int, slots array<string>, texts array<string>")
+
 
+def article(page: str, slots: list[str], general: list[str], texts: set[str]) -> str:
+    """The text of the slots that the page has, its host's or else the general ones, without the template's own text.
 
-def article(page: str, slots: list[str]) -> str:
-    """The text of the first of these slots that the page has, else of an article, main or body element, else of all."""
+    If one is an article, or none is less than the body, all articles of the page are; without these main or body or all.
+    """
     seen = list(events(page))
     opened = {n.role for k, n, _ in seen if k == "open"}
-    tags = {n.tag: n.role for k, n, _ in reversed(seen) if k == "open" and not n.bad and n.tag in ("article", "main", "body")}
-    if "article" in tags:
-        slots = [s for s in slots if s.rsplit("/", 1)[-1].split(".")[0] == "article"] + [tags["article"]]
-    slot = next((s for s in [*slots, *(tags[t] for t in ("article", "main", "body") if t in tags)] if s in opened), "")
-    blocks, run = [], []
+    tags: dict[str, list[str]] = {}
+    for k, n, _ in seen:
+        if k == "open" and not n.bad and n.tag in ("article", "main", "body"):
+            tags.setdefault(n.tag, []).append(n.role)
+    named = next((tags[t] for t in ("article", "main", "body") if t in tags), [""])
+    tag = lambda s: s.rsplit("/", 1)[-1].split(".")[0]
+    inside = next((x for x in ([s for s in among if s in opened and tag(s) != "body"] for among in (slots, general)) if x), named)
+    if any(tag(s) == "article" for s in inside):
+        inside = [*inside, *tags.get("article", ())]
+    slot, under = set(inside), tuple(s + "/" for s in inside)
+    whole = "" in slot
+    belongs = lambda n: not n.bad and (whole or n.role in slot or n.role.startswith(under))
+    blocks, run, at = [], [], ""
+
+    def end() -> None:
+        raw = "".join(run)
+        if not texts or _token(at, raw) not in texts:
+            blocks.append(raw)
+        run.clear()
+
     for kind, node, raw in seen:
         if kind == "text":
-            if not node.bad and (node.role == slot or node.role.startswith(slot + "/") or not slot):
+            if belongs(node):
                 run.append(raw)
+                at = node.role
         elif kind == "break" or node.tag in BLOCKS:
-            blocks.append("".join(run))
-            run = []
+            end()
         elif node.tag == "br":
             run.append(" ")
-    return "\n".join(x for x in (" ".join(html.unescape(b).split()) for b in [*blocks, "".join(run)]) if x)
+    end()
+    return "\n".join(x for x in (" ".join(html.unescape(b).split()) for b in blocks) if x)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -204,17 +265,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     host = F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
     read = pages.select(host.alias("host"), F.concat_ws("|", F.col(key).cast("string"), F.col(url)).alias("name"), F.col(page).alias("page"))
     made = materialise(templates(read))
-    size = made.agg(F.sum(F.length("host") + F.length("slot") + 64)).first()[0] or 0
-    general = made.where("host = '*'").select("slot").first()
-    general = general[0] if general else ""
-    own = made.where("host <> '*'").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"))
+    size = made.agg(F.sum(F.length("host") + F.length(F.concat_ws(" ", "slots", "texts")) + 64)).first()[0] or 0
+    general = made.where("host = '*'").select("slots").first()
+    general = list(general[0]) if general else []
+    own = made.where("host <> '*'").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), F.col("slots").alias("_slots"), F.col("texts").alias("_texts"))
     own = F.broadcast(own) if size <= BROADCAST_BYTES else own
-    joined = pages.select(key, url, page).withColumn("_at", host).join(own, F.col("_at") == F.col("_host"), "left").select(key, url, page, "_slot")
+    joined = pages.select(key, url, page).withColumn("_at", host).join(own, F.col("_at") == F.col("_host"), "left").select(key, url, page, "_slot", "_slots", "_texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                texts = [article(x or "", [s for s in (slot, general) if s]) for x, slot in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                texts = [article(x or "", slots or [], general, set(own or ())) for x, slots, own in zip(*(b.column(k).to_pylist() for k in (2, 4, 5)), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)], [key, url, "text", "n_chars", "slot"])
 
     return joined.mapInArrow(run, f"{key} {kind}, {url} string, text string, n_chars long, slot string")

@@ -183,6 +183,21 @@ def test_template_extraction(spark):
     assert html_template.extract(pages.limit(0)).count() == 0
 
 
+def test_template_decides_slots_and_own_text(spark):
+    def page(k):
+        return f"<html><body><div class=top>Brand</div><article class=lead><p>Lead {k}<p>Read <b>more</b> on our app</article><article class=more><p>More {k}{'<p>Seen twice' if k < 2 else ''}</article><p>Outside {k}</body></html>"
+
+    def teaser(k):
+        return f"<html><body><article class=teaser><p>T {k}</article><div class=text><p>{'Long text of the page. ' * 9}{k}</div></body></html>"
+
+    rows = [(k, "http://a.example/", page(k)) for k in range(12)] + [(k, "http://b.example/", page(99)) for k in range(20, 35)] + [(k, "http://c.example/", teaser(k)) for k in range(40, 52)]
+    found = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == f"Lead {k}\nMore {k}" + "\nSeen twice" * (k < 2) for k in range(12))
+    # Fifteen copies of one page are no evidence that its text is the template's.
+    assert all(found[k] == "Lead 99\nRead more on our app\nMore 99" for k in range(20, 35))
+    assert all(found[k] == ("Long text of the page. " * 9) + str(k) for k in range(40, 52))
+
+
 def test_equal_occurrence_vectors_form_one_class():
     import pandas as pd
 
