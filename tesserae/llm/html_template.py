@@ -32,31 +32,43 @@ TEXT_PAGES = 10
 #: Templates up to this size in all are broadcast; beyond it they are joined.
 BROADCAST_BYTES = 32 << 20
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|svg|iframe|textarea|select|button|math|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|template|svg|iframe|textarea|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 CONTAINERS = frozenset("html head body main article section nav aside header footer div form ul ol table dl figure fieldset dialog menu details".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre tr td th caption dt dd figcaption hr address summary legend title option".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NEVER = frozenset("head title nav aside footer form menu dialog fieldset option".split())
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notices popup modal newsletter subscribe sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies respond share sharing social related recommended login signup search toolbar skip pagination pager complementary contentinfo".split())
+#: Words that make no other name of a boilerplate name they stand beside, as in site-footer.
+AROUND = frozenset("site page global top bottom left right box block bar area wrap wrapper container section list item items slot unit inner outer widget widgets".split())
+#: Blocks that go by their name; headings and inline elements never do.
+NAMED = BLOCKS - frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main content post entry story body articlebody maincontent".split())
 WORD = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "role", "bad", "link")
+    """An open element; bad: boilerplate by its tags, named: the roles, from itself outwards, that are boilerplate by name."""
 
-    def __init__(self, tag: str, role: str, bad: bool, link: bool):
-        self.tag, self.role, self.bad, self.link = tag, role, bad, link
+    __slots__ = ("tag", "role", "bad", "named", "link")
 
+    def __init__(self, tag: str, role: str, bad: bool, named: tuple[str, ...], link: bool):
+        self.tag, self.role, self.bad, self.named, self.link = tag, role, bad, named, link
 
-def _named(attributes: str) -> list[str]:
-    return [w.lower() for m in NAMES.finditer(attributes) for v in m.groups() if v for w in WORD.findall(v)] if "=" in attributes else []
+
+def _names(attributes: str) -> list[str]:
+    """The whole names in class, id and role, in lower case."""
+    return [w for m in ATTRIBUTE.finditer(attributes) if m.group(1).lower() in ("class", "id", "role") for v in m.groups()[1:] if v for w in v.lower().split()] if "=" in attributes else []
+
+
+def _boilerplate(name: str) -> bool:
+    words = set(WORD.findall(name))
+    return not BOILERPLATE.isdisjoint(words) and words <= BOILERPLATE | AROUND
 
 
 def events(page: str) -> Iterator[tuple[str, Node, str]]:
     """("open", node, ""), ("text", innermost node, raw text) and ("break", node, "") for a page, in order."""
-    root = Node("", "", False, False)
+    root = Node("", "", False, (), False)
     stack, at = [root], 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -84,11 +96,13 @@ def events(page: str) -> Iterator[tuple[str, Node, str]]:
                     del stack[k:]
             yield "break", stack[-1], ""
         up = stack[-1]
-        words = _named(m.group(4))
+        names = _names(m.group(4))
+        words = [w for n in names for w in WORD.findall(n)]
         role = f"{up.role}/{name}{''.join('.' + w for w in words)}" if name in BLOCKS else up.role
         inside = any(x.tag in ("article", "main") for x in stack)
-        bad = up.bad or name in NEVER or (name == "header" and not inside) or (name not in ("html", "body", "main", "article") and not BOILERPLATE.isdisjoint(words))
-        node = Node(name, role, bad, up.link or name == "a")
+        bad = up.bad or name in NEVER or (name == "header" and not inside)
+        named = (role, *up.named) if name in NAMED and any(map(_boilerplate, names)) else up.named
+        node = Node(name, role, bad, named, up.link or name == "a")
         yield "open", node, ""
         if name not in VOID and not m.group(4).endswith("/"):
             stack.append(node)
@@ -108,14 +122,15 @@ def _token(role: str, raw: str) -> str:
 def _profile(page: str) -> dict[str, list]:
     """Per role of the blocks of a page: occurrences, first and last place, letters directly in it, those in links, boilerplate.
 
-    Text tokens outside boilerplate are listed beside the roles, without letters.
+    Text tokens outside boilerplate are listed beside the roles, without letters, and so is each role that is boilerplate
+    by its name, behind a "!".
     """
     found: dict[str, list] = {}
     run: list[str] = []
     at = None
 
     def end(k: int) -> None:
-        if at is not None and not at.bad and not "".join(run).isspace():
+        if at is not None and not at.bad and not at.named and not "".join(run).isspace():
             r = found.setdefault(_token(at.role, "".join(run)), [0, k, k, 0, 0, False])
             r[0] += 1
             r[2] = k
@@ -132,11 +147,13 @@ def _profile(page: str) -> dict[str, list]:
         elif node.tag == "br":
             run.append(" ")
         if kind == "open" and node.tag in BLOCKS:
-            r = found.setdefault(node.role, [0, k, k, 0, 0, node.bad])
+            r = found.setdefault(node.role, [0, k, k, 0, 0, node.bad or bool(node.named)])
             r[0] += 1
             r[2] = k
+            if node.named and node.named[0] == node.role:
+                found["!" + node.role] = [1, k, k, 0, 0, True]
         elif kind == "text" and node.role:
-            r = found.setdefault(node.role, [0, k, k, 0, 0, node.bad])
+            r = found.setdefault(node.role, [0, k, k, 0, 0, node.bad or bool(node.named)])
             n = len(raw) - raw.count(" ")
             r[3] += n
             r[4] += n * node.link
@@ -196,14 +213,18 @@ def _template(roles: pd.DataFrame) -> pd.DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, roles, slots, texts) for each host of at least FEW pages, and for all pages together as host *.
+    """(host, slot, roles, slots, texts, named) for each host of at least FEW pages, and for all pages together as host *.
+
+    named: the roles with a name of boilerplate that at least FEW of the host's pages have.
 
     Text that copies of a page share is no evidence: of a token's pages, as many as the host has copies are not counted.
     All pages together have no text of their own.
     """
     sums = [F.sum(c).alias(c) for c in ("v1", "v2", "first", "last", "letters", "linked")]
     tokens = profiles(pages).groupBy("host", "role").agg(F.count("*").alias("n"), *sums, F.max("bad").alias("bad"))
-    by_host = materialise(tokens.where(f"role not like '#%' or n >= {TEXT_PAGES}"))
+    by_host = materialise(tokens.where(f"role not like '#%' or n >= {TEXT_PAGES}").where(f"role not like '!%' or n >= {FEW}"))
+    named = by_host.where("role like '!%'").groupBy("host").agg(F.collect_list(F.substring("role", 2, 1 << 20)).alias("named"))
+    by_host = by_host.where("role not like '!%'")
     # Places are means over the pages; a role counts where half of the pages have it.
     every = by_host.where("role not like '#%'").groupBy("role").agg(F.sum("n").alias("n"), *sums, F.max("bad").alias("bad")).select(F.lit("*").alias("host"), "*")
     rows = by_host.select(every.columns).unionByName(every)
@@ -211,28 +232,30 @@ def templates(pages: DataFrame) -> DataFrame:
     copies = pages.groupBy("host").agg((F.count("*") - F.count_distinct(F.xxhash64("page"))).alias("copies"))
     sized = rows.where("role <> ''").join(size.join(copies, "host", "left"), "host").where(f"pages >= {FEW} and 2 * n >= pages")
     often = sized.where(f"role not like '#%' or (n - copies >= {TEXT_PAGES} and 2 * (n - copies) >= pages - copies)").select("host", "role", "n", "v1", "v2", (F.col("first") / F.col("n")).alias("first"), (F.col("last") / F.col("n")).alias("last"), "letters", "linked", "bad")
-    return often.groupBy("host").applyInPandas(_template, "host string, slot string, roles int, slots array<string>, texts array<string>")
+    return often.groupBy("host").applyInPandas(_template, "host string, slot string, roles int, slots array<string>, texts array<string>").join(named, "host", "left")
 
 
-def article(page: str, slots: list[str], general: list[str], texts: set[str]) -> str:
+def article(page: str, slots: list[str], general: list[str], texts: set[str], named: set[str] | None) -> str:
     """The text of the slots that the page has, its host's or else the general ones, without the template's own text.
 
+    Blocks with a name of boilerplate are left out if their role is in named, or all of them if that is None.
     If one is an article, or none is less than the body, all articles of the page are; without these main or body or all.
     """
     seen = list(events(page))
+    out = lambda n: n.bad or bool(n.named) and (named is None or not named.isdisjoint(n.named))
     opened = {n.role for k, n, _ in seen if k == "open"}
     tags: dict[str, list[str]] = {}
     for k, n, _ in seen:
-        if k == "open" and not n.bad and n.tag in ("article", "main", "body"):
+        if k == "open" and n.tag in ("article", "main", "body") and not out(n):
             tags.setdefault(n.tag, []).append(n.role)
-    named = next((tags[t] for t in ("article", "main", "body") if t in tags), [""])
+    tagged = next((tags[t] for t in ("article", "main", "body") if t in tags), [""])
     tag = lambda s: s.rsplit("/", 1)[-1].split(".")[0]
-    inside = next((x for x in ([s for s in among if s in opened and tag(s) != "body"] for among in (slots, general)) if x), named)
+    inside = next((x for x in ([s for s in among if s in opened and tag(s) != "body"] for among in (slots, general)) if x), tagged)
     if any(tag(s) == "article" for s in inside):
         inside = [*inside, *tags.get("article", ())]
     slot, under = set(inside), tuple(s + "/" for s in inside)
     whole = "" in slot
-    belongs = lambda n: not n.bad and (whole or n.role in slot or n.role.startswith(under))
+    belongs = lambda n: not out(n) and (whole or n.role in slot or n.role.startswith(under))
     blocks, run, at = [], [], ""
 
     def end() -> None:
@@ -265,17 +288,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     host = F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
     read = pages.select(host.alias("host"), F.concat_ws("|", F.col(key).cast("string"), F.col(url)).alias("name"), F.col(page).alias("page"))
     made = materialise(templates(read))
-    size = made.agg(F.sum(F.length("host") + F.length(F.concat_ws(" ", "slots", "texts")) + 64)).first()[0] or 0
+    size = made.agg(F.sum(F.length("host") + F.length(F.concat_ws(" ", "slots", "texts", "named")) + 64)).first()[0] or 0
     general = made.where("host = '*'").select("slots").first()
     general = list(general[0]) if general else []
-    own = made.where("host <> '*'").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), F.col("slots").alias("_slots"), F.col("texts").alias("_texts"))
+    own = made.where("host <> '*'").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), F.col("slots").alias("_slots"), F.col("texts").alias("_texts"), F.coalesce("named", F.array()).alias("_named"))
     own = F.broadcast(own) if size <= BROADCAST_BYTES else own
-    joined = pages.select(key, url, page).withColumn("_at", host).join(own, F.col("_at") == F.col("_host"), "left").select(key, url, page, "_slot", "_slots", "_texts")
+    joined = pages.select(key, url, page).withColumn("_at", host).join(own, F.col("_at") == F.col("_host"), "left").select(key, url, page, "_slot", "_slots", "_texts", "_named")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                texts = [article(x or "", slots or [], general, set(own or ())) for x, slots, own in zip(*(b.column(k).to_pylist() for k in (2, 4, 5)), strict=True)]
+                texts = [article(x or "", slots or [], general, set(own or ()), None if named is None else set(named)) for x, slots, own, named in zip(*(b.column(k).to_pylist() for k in (2, 4, 5, 6)), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)], [key, url, "text", "n_chars", "slot"])
 
     return joined.mapInArrow(run, f"{key} {kind}, {url} string, text string, n_chars long, slot string")

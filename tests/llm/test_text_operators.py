@@ -198,6 +198,19 @@ def test_template_decides_slots_and_own_text(spark):
     assert all(found[k] == ("Long text of the page. " * 9) + str(k) for k in range(40, 52))
 
 
+def test_boilerplate_goes_by_whole_names_that_recur(spark):
+    kept = ["<h2 id='related-work'>A{k}</h2>", "<section id='search-algorithms'>B{k}</section>", "<div class='side-by-side'>C{k}</div>", "<section id='social-history'>D{k}</section>", "<p class='notice-period'>E{k}</p>", "<h2 class=related>F{k}</h2>", "<p><span class=notice>G{k}</span></p>", "<div data-role='related'>H{k}</div>", "<p><math><mi>x{k}</mi></math></p>", "<p><object>I{k}</object></p>", "<noscript>J{k}</noscript>"]
+    gone = ["<div class='box related'>Z{k}</div>", "<div class='site-footer'>Z{k}</div>"]
+
+    def page(k):
+        return "<html><body><article>" + "".join(kept + gone).replace("{k}", str(k)) + ("<section id=social>Once</section>" if k == 3 else "") + "</article></body></html>"
+
+    rows = [(k, "http://a.example/", page(k)) for k in range(6)] + [(9, "http://b.example/", page(9))]
+    found = {r.page_id: r.text.split("\n") for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, text in found.items():
+        assert text == [f"{x}{k}" for x in "ABCDEFGHxIJ"] + ["Once"] * (k == 3)
+
+
 def test_equal_occurrence_vectors_form_one_class():
     import pandas as pd
 
