@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Entities of one file are linked with each other if there are 2 to this many.
 CLIQUE = 30
 SWEEPS = 100
-#: Components of up to this many nodes are swept one by one in sorted order, exactly; larger ones in synchronous rounds.
+#: Components of up to this many nodes are swept in one task each, larger ones by joins; the labels are the same.
 ONE_TASK = 50_000
 
 
@@ -63,11 +63,40 @@ def sweep(adjacency: dict[str, set[str]], sweeps: int = SWEEPS) -> dict[str, str
     return label
 
 
+def sweep_large(edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+    """(id, community) as sweep() gives them, by joins over the edges (a, b), so that no component meets in one task.
+
+    In a sweep a node sees the new labels of smaller nodes and the old ones of larger nodes. New labels start as the old
+    ones and are voted anew until none changes: then every node agrees with the smaller ones around it, which only the
+    sequential sweep's labels do. That takes as many rounds as changes follow one another in a sweep, and one more.
+    """
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).where("x <> y").distinct().persist()
+    label = both.select(F.col("x").alias("id"), F.col("x").alias("old"), F.col("x").alias("new")).distinct()
+    for _ in range(sweeps):
+        first = True
+        while True:
+            seen = both.join(label.withColumnRenamed("id", "y"), "y").select("x", "y", F.when(F.col("y") < F.col("x"), F.col("new")).otherwise(F.col("old")).alias("community"))
+            votes = seen.groupBy("x", "community").agg(F.count("*").alias("v"), F.min("y").alias("y"))
+            won = votes.groupBy("x").agg(F.min_by("community", F.struct(-F.col("v"), "y")).alias("won"))
+            step = label.join(won, F.col("id") == F.col("x")).select("id", "old", F.col("won").alias("new"), (F.col("won") != F.col("new")).alias("moved"))
+            step = step.checkpoint(eager=True) if step.sparkSession.sparkContext.getCheckpointDir() else step.localCheckpoint(eager=True)
+            moved = not step.where("moved").isEmpty()
+            label = step.drop("moved")
+            if not moved:
+                break
+            first = False
+        # Without a round that moved a label, the whole sweep changed nothing.
+        if first:
+            break
+        label = label.select("id", F.col("new").alias("old"), "new")
+    both.unpersist()
+    return label.select("id", F.col("new").alias("community"))
+
+
 def label_propagation(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """(id, community) for every node of edges (a, b).
+    """(id, community) for every node of edges (a, b), by sequential sweeps in sorted order at every size.
 
-    Components do not interact, so each that fits one_task is swept alone and exactly. In larger ones each round gives
-    every node the commonest label around it, the smallest of equals, in SWEEPS / 10 synchronous rounds: all rows stay.
+    Components do not interact, so each that fits one_task is swept alone there, and the larger ones by joins.
     """
     comps = components(edges)
     size = comps.groupBy("component").agg(F.count("*").alias("n"))
@@ -84,12 +113,7 @@ def label_propagation(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     large = placed.where(F.col("n") > one_task).select("a", "b")
     if large.isEmpty():
         return exact
-    both = large.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(large.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    label = both.select(F.col("x").alias("id"), F.col("x").alias("community")).distinct()
-    for _ in range(SWEEPS // 10):
-        votes = both.join(label.withColumnRenamed("id", "y"), "y").groupBy("x", "community").agg(F.count("*").alias("v"))
-        label = votes.groupBy("x").agg(F.max_by("community", F.struct("v", F.hash("community"))).alias("community")).withColumnRenamed("x", "id")
-    return exact.unionByName(label)
+    return exact.unionByName(sweep_large(large))
 
 
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -82,6 +82,21 @@ def test_label_propagation_and_cohesion(spark):
     assert {r.community: round(r.cohesion, 6) for r in clustering.cohesion(inside, members).collect()} == {"t": 1.0, "c": round(2 / 3, 6), "s": 0.0}
 
 
+def test_labels_do_not_depend_on_the_size_of_components(spark):
+    rng = random.Random(2)
+    pairs = {(f"n:{k % 3}", f"s:{k}") for k in range(40)} | {(f"n:{k}", "r:0") for k in range(3)}
+    pairs |= {tuple(sorted((f"{g}{rng.randrange(9)}", f"{g}{rng.randrange(9)}"))) for g in "abc" for _ in range(14)}
+    pairs = {p for p in pairs if p[0] != p[1]}
+    adjacency: dict = {}
+    for a, b in pairs:
+        adjacency.setdefault(a, set()).add(b)
+        adjacency.setdefault(b, set()).add(a)
+    frame = spark.createDataFrame(sorted(pairs), "a string, b string")
+    want = clustering.sweep(adjacency)
+    assert {r.id: r.community for r in clustering.label_propagation(frame, one_task=1).collect()} == want
+    assert {r.id: r.community for r in clustering.label_propagation(frame, one_task=20).collect()} == want
+
+
 def test_path_grammar():
     assert shapes.parse_path("CALLS+ -> X") == ([(False, "calls", 1, 3)], "X")
     assert shapes.parse_path("^CALLS* -> X")[0] == [(True, "calls", 0, 3)]
