@@ -15,6 +15,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n)
 
 
+#: Queries in one block of search_all.
+BLOCK = 4_096
+SHARES = 64
+
+
+def search_all(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """search() for any number of queries: each block of about block queries meets each share of the vectors in a join.
+
+    Nothing is broadcast by this plan or sent to the driver but the number of queries.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    pool = (vectors if where is None else vectors.where(where)).select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(SHARES)).alias("share"))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    spread = pool.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    scored = spread.join(asked.hint("shuffle_hash"), ["block", "share"]).where("query_id <> id").select("query_id", "id", "share", (1 - cosine(F.col("embedding"), F.col("vector"))).alias("distance")).where("distance is not null")
+    return _best(scored, k)
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest of (query_id, id, share, distance), cut within the shares first."""
+    cut = lambda df, *by: df.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
+    part = cut(scored, "query_id", "share").select("query_id", F.explode("best").alias("b")).select("query_id", "b.*")
+    return cut(part, "query_id").select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", "b.id", "b.distance", (F.col("rank") + 1).alias("rank"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows of vectors (id, embedding, ...) to queries (query_id, vector).
 
@@ -23,10 +48,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | N
     """
     pool = vectors if where is None else vectors.where(where)
     scored = pool.join(F.broadcast(queries), F.col("query_id") != F.col("id")).select("query_id", "id", (1 - cosine(F.col("embedding"), F.col("vector"))).alias("distance")).where("distance is not null")
-    salted = scored.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(64)))
-    cut = lambda df, *by: df.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
-    part = cut(salted, "query_id", "share").select("query_id", F.explode("best").alias("b")).select("query_id", "b.*")
-    return cut(part, "query_id").select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", "b.id", "b.distance", (F.col("rank") + 1).alias("rank"))
+    return _best(scored.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES))), k)
 
 
 def count(vectors: DataFrame, where: Column | None = None) -> DataFrame:

@@ -83,6 +83,14 @@ def fil_09_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(e.selectExpr("vec_id id", "embedding", "label"), asked, 5, F.col("label") == 1).select("query_id", "id")
 
 
+@query()
+def fil_09_metadata_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every row whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0").selectExpr("vec_id query_id", "embedding vector")
+    return vectors.search_all(e.selectExpr("vec_id id", "embedding", "label"), asked, 5, F.col("label") == 1).select("query_id", "id")
+
+
 PREDICATES = [("in", ("restricted", "public")), ("equals", "restricted"), ("exists", None), ("not_in", ("public", "internal")), ("not_equals", "public"), ("like", "x")]
 
 

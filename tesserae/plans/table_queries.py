@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,14 @@ def vec_02_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(v, asked).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def vec_02_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all rows."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.search_all(v, asked).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT count(*) n FROM embeddings WHERE label = 3", graph=False)
 def vec_03_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.count(table(spark, sf_dir, "embeddings"), F.col("label") == 3)
@@ -125,11 +135,20 @@ def vec_03_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH g AS (SELECT q.vec_id query_id, (v.label=q.label) ok, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1-list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id) r FROM embeddings q JOIN embeddings v ON v.vec_id<>q.vec_id WHERE q.vec_id < 50 QUALIFY r<=3) SELECT round(avg(CASE WHEN t1 THEN 1.0 ELSE 0 END),6) recall_1, round(avg(CASE WHEN t3 THEN 1.0 ELSE 0 END),6) recall_3 FROM (SELECT query_id, bool_or(ok AND r=1) t1, bool_or(ok) t3 FROM g GROUP BY 1)", graph=False)
 def agg_14_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of queries whose own label is found at rank 1 and among the first 3."""
-    e = table(spark, sf_dir, "embeddings")
+    return _recall(table(spark, sf_dir, "embeddings"), "id < 50", vectors.search)
+
+
+@query()
+def agg_14_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over every row whose id is divisible by 20."""
+    return _recall(table(spark, sf_dir, "embeddings"), "id % 20 = 0", vectors.search_all)
+
+
+def _recall(e: DataFrame, asked: str, search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
     v = e.select(F.col("vec_id").alias("id"), "embedding")
-    found = vectors.search(v, v.where("id < 50").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 3)
+    found = search(v, v.where(asked).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 3)
     labels = e.select(F.col("vec_id").alias("id"), F.col("label").alias("l"))
-    ok = found.join(labels, "id").join(F.broadcast(labels.where("id < 50").toDF("query_id", "q")), "query_id").withColumn("ok", F.col("l") == F.col("q"))
+    ok = found.join(labels, "id").join(labels.where(asked).toDF("query_id", "q"), "query_id").withColumn("ok", F.col("l") == F.col("q"))
     per = ok.groupBy("query_id").agg(F.bool_or(F.col("ok") & (F.col("rank") == 1)).alias("t1"), F.bool_or("ok").alias("t3"))
     return per.agg(F.round(F.avg(F.col("t1").cast("double")), 6).alias("recall_1"), F.round(F.avg(F.col("t3").cast("double")), 6).alias("recall_3"))
 

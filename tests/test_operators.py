@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scalars as S
 from tesserae.graph import Graph
-from tesserae.operators import actions, capabilities, changes, clustering, impact, patterns, shapes, store, tables
+from tesserae.operators import actions, capabilities, changes, clustering, impact, patterns, shapes, store, tables, vectors
 from tesserae.sources import files
 from tesserae.streaming import events as stream
 
@@ -342,3 +342,36 @@ def test_snapshots_and_saved_graphs(spark, tmp_path):
     g.save(str(tmp_path / "g"))
     back = Graph.load(spark, str(tmp_path / "g"))
     assert back.nodes.count() == g.nodes.count() and back.edges.exceptAll(g.edges).isEmpty() and back.nodes.columns == g.nodes.columns
+
+
+def test_registered_searches_ask_every_twentieth_row(spark):
+    from tesserae import catalog
+
+    sf = "/root/testdata/sf0.001"
+    e = {r.vec_id: r for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+
+    def distance(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return 1 - dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5)
+
+    near = {q: sorted((distance(r.embedding, e[q].embedding), i) for i, r in e.items() if i != q) for q in e if q % 20 == 0}
+    want = {(q, i, k + 1) for q, best in near.items() for k, (_, i) in enumerate(best[:5])}
+    assert {tuple(r) for r in catalog.QUERIES["vec_02_search_all"](spark, sf).collect()} == want
+    labelled = {(q, i) for q, best in near.items() for _, i in [b for b in best if e[b[1]].label == 1][:5]}
+    assert {tuple(r) for r in catalog.QUERIES["fil_09_metadata_all"](spark, sf).collect()} == labelled
+    hits = [[e[i].label == e[q].label for _, i in best[:3]] for q, best in near.items()]
+    recall = catalog.QUERIES["agg_14_recall_all"](spark, sf).first()
+    assert recall.recall_1 == round(sum(h[0] for h in hits) / len(hits), 6) and recall.recall_3 == round(sum(map(any, hits)) / len(hits), 6)
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id id", "embedding")
+    asked = v.where("id % 20 = 0").selectExpr("id query_id", "embedding vector")
+    assert {(r.query_id, r.id, r["rank"]) for r in vectors.search_all(v, asked, block=3).collect()} == want
+
+
+def test_registered_impacts_take_all_modules(spark):
+    from tesserae import catalog
+    from tesserae.graph import graph_from_tables
+
+    g = graph_from_tables(spark, "/root/testdata/sf0.001")
+    changed = g.labelled("ModuleEntity").select("id", F.lit("BODY").alias("change"))
+    want = impact.impact(g.edges, changed).count()
+    assert sum(r.n for r in catalog.QUERIES["gr_09_impact_all_changes"](spark, "/root/testdata/sf0.001").where("change = 'BODY'").collect()) == want
