@@ -119,19 +119,97 @@ def test_media(spark, docs, sample):
     assert rows[0].feature == rows[1].feature
 
 
-def test_the_general_decoder_agrees_with_the_fixed_width_one():
-    data = media.padded(bytes(range(256)) * 5)
-    image = media.Image(media.encode(data))
 
-    class General(media.Image):
-        def _fixed_width(self, *a):
-            return False
 
-    general = General(media.encode(data))
-    assert (general.blocks == image.blocks).all() and media.payload_of(general) == data
-    assert image.thumbnail().shape == (image.height // 8, image.width // 8)
-    with pytest.raises(ValueError):
-        media.Image(b"no image")
+def plain_blocks(data: bytes) -> list[list[int]]:
+    """Coefficients of an image with a restart after each MCU and no subsampling, read bit by bit."""
+    tables, at = {}, 2
+    while data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + size]
+        while data[at + 1] == 0xC4 and body:
+            code, k, found = 0, 17, {}
+            for length in range(1, 17):
+                for _ in range(body[length]):
+                    found[f"{code:0{length}b}"] = body[k]
+                    code, k = code + 1, k + 1
+                code *= 2
+            tables[body[0]], body = found, body[k:]
+        at += 2 + size
+    out = []
+    for part in re.split(rb"\xff[\xd0-\xd7]", data[at + 2 + int.from_bytes(data[at + 2 : at + 4], "big") : -2]):
+        bits, p = "".join(f"{x:08b}" for x in part.replace(b"\xff\0", b"\xff")), 0
+
+        def symbol(table, bits=bits):
+            nonlocal p
+            length = next(n for n in range(1, 17) if bits[p : p + n] in table)
+            p += length
+            return table[bits[p - length : p]]
+
+        def number(size, bits=bits):
+            nonlocal p
+            p += size
+            v = int(bits[p - size : p] or "0", 2)
+            return v if not size or bits[p - size] == "1" else v - 2**size + 1
+
+        for _ in range(3):
+            block = [0] * 64
+            block[0], k = number(symbol(tables[0])), 1
+            while k < 64:
+                rs = symbol(tables[16])
+                if rs == 0:
+                    break
+                k += rs >> 4
+                block[k], k = number(rs & 15), k + 1
+            out.append(block)
+    return out
+
+
+def test_media_codes():
+    rng = np.random.default_rng(4)
+    zero = bytes([media.MIDDLE])
+    data = [media.padded(bytes(range(256)) * 5), media.padded(b""), zero * 192, b"a" + zero * 30 + b"b" + zero * 160 + b"\xff" * 192, rng.integers(0, 256, 192 * 40, np.uint8).tobytes()]
+    made = media.encode(data)
+    for payload, image, read in zip(data, made, media.decode(made), strict=True):
+        assert [*read.blocks.reshape(-1, 64).tolist()] == plain_blocks(image) and media.payload_of(read) == payload
+    assert media.encode(data[1:2]) == made[1:2]
+    for bad in (b"no image", made[0][:-40], made[0][:100], made[0].replace(b"\xff\xd1", b"")):
+        with pytest.raises(ValueError):
+            media.decode([bad])
+
+
+def test_media_of_another_encoder(spark):
+    """Java's own encoder subsamples colour and sets no restarts; thumbnails are the means of the luminance of 8x8 pixels."""
+    jvm = spark._jvm
+    wide, high = 52, 37
+    y, x = np.mgrid[:high, :wide]
+    red, green, blue = (128 + 100 * np.sin(x / 17 + y / 29)).astype(int), (x * 3 + y) % 256, (y * 5) % 200
+    whole = jvm.java.awt.image.BufferedImage(wide, high, 1)
+    for i in range(high):
+        for j in range(wide):
+            whole.setRGB(j, i, int(red[i, j]) << 16 | int(green[i, j]) << 8 | int(blue[i, j]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(whole, "jpg", out)
+    image = media.decode([bytes(out.toByteArray())])[0]
+    assert (image.width, image.height) == (wide, high)
+    light = 0.299 * red + 0.587 * green + 0.114 * blue
+    for i in range(high // 8):
+        for j in range(wide // 8):
+            assert abs(light[8 * i : 8 * i + 8, 8 * j : 8 * j + 8].mean() - int(image.thumbnail()[i, j])) < 4
+    own = media.encode([media.padded(b"some text " * 200)])[0]
+    read = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(own))
+    assert (read.getWidth(), read.getHeight()) == (32, 24)
+    rows = spark.createDataFrame([(1, bytes(out.toByteArray())), (2, b"none"), (None, None), (1, own), (1, own)], "key long, media binary")
+    got = [(r.key, r.width, r.height, r.error) for r in media.described(rows).collect()]
+    assert got == [(1, wide, high, None), (2, None, None, "no start of image"), (None, None, None, None), (1, 32, 24, None), (1, 32, 24, None)]
+    assert media.described(rows.limit(0)).count() == 0
+
+
+def test_media_odd_rows(spark, docs):
+    rows = media.store(docs([(None, "a"), (3, "x" * 300_000), (3, "b"), (3, "b"), (4, None), (4, "")])).collect()
+    assert len(rows) == 6 and [r.n_bytes for r in sorted(rows, key=lambda r: r.n_bytes)] == [0, 0, 1, 1, 1, 300_000]
+    assert len({(r.media_sha256, r.feature) for r in rows if r.n_bytes == 0}) == 1
+    assert media.store(docs(["a"]).limit(0)).count() == 0
 
 
 def test_quality(spark, docs):
