@@ -2,9 +2,11 @@
 
 The 64 bits form a ring of nine segments. If two fingerprints differ in at most 4 bits, then from some segment on every
 chain of l consecutive segments holds at most l * 4 / 9 differences (the strong form of the pigeonhole principle on a
-ring). The first two segments of that chain agree, and of the next two at least one does: a key of these three
-segments, 21 or 22 bits, brings such pairs together, 18 keys a fingerprint. Pairs that meet must pass the budgets of
-all longer chains from there, the last of which is the full Hamming check.
+ring). So of the chain's first segments a known number agree: the first two, then at least one of the next two, then
+at least four of the first six, and so on. A key is one such choice of agreeing segments: 3 segments and 18 keys a
+fingerprint, 4 segments and 45 keys, or 5 segments and more keys. All of them bring every such pair together; the more
+distinct fingerprints there are, the longer the keys are taken, so that chance keeps few fingerprints in a bucket. Pairs
+that meet must pass the budgets of all longer chains from there, the last of which is the full Hamming check.
 
 Pairs are not listed. In each bucket every fingerprint is first compared with two centres, the smallest and the largest
 one, and components are formed. Only buckets with several components left are looked at again: there, in blocks of
@@ -15,12 +17,13 @@ components is lost, and a group of very many near copies costs a few comparisons
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, word_bounds
@@ -41,8 +44,21 @@ def _ring(start: int, length: int) -> int:
     return sum(SEGMENTS[(start + k) % PARTS] for k in range(length))
 
 
-#: (start of the chain, mask of the key): the first two segments and one of the next two.
-KEYS = [(k, _signed(_ring(k, 2) | SEGMENTS[(k + x) % PARTS])) for k in range(PARTS) for x in (2, 3)]
+#: Fingerprints that chance may leave in a bucket, on average, before keys get longer.
+CHANCE = 32
+
+
+def _agreeing(many: int) -> list[tuple[int, ...]]:
+    """The ways in which the first `many` agreeing segments of a chain within its budgets can lie."""
+    return [c for c in combinations(range(PARTS), many) if all(x - k <= x * MOST // PARTS for k, x in enumerate(c))]
+
+
+def keys(distinct: int) -> list[tuple[int, int]]:
+    """(start of the chain, mask of the key) for so many distinct fingerprints; any length finds all pairs."""
+    many = next((n for n in (3, 4) if distinct <= CHANCE << (n * BITS // PARTS)), 5)
+    return [(k, _signed(sum(SEGMENTS[(k + x) % PARTS] for x in c))) for k in range(PARTS) for c in _agreeing(many)]
+
+
 #: For each start: masks of the chains of 3 to 9 segments and the differences they may hold.
 CHAINS = {k: [(_signed(_ring(k, n)), n * MOST // PARTS) for n in range(3, PARTS + 1)] for k in range(PARTS)}
 
@@ -108,8 +124,9 @@ def _between(block: pd.DataFrame) -> pd.DataFrame:
 
 def _distinct_components(reps: DataFrame) -> DataFrame:
     """(rep, component) for the representatives (fp, rep) of distinct fingerprints that have any link."""
-    keys = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(start).alias("start"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")) for j, (start, mask) in enumerate(KEYS)])).alias("key")
-    keyed = reps.select("fp", "rep", keys).select("fp", "rep", "key.*")
+    spark = reps.sparkSession
+    each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(start).alias("start"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")) for j, (start, mask) in enumerate(keys(reps.count()))])).alias("key")
+    keyed = reps.select("fp", "rep", each).select("fp", "rep", "key.*")
     me = F.struct("fp", "rep")
     buckets = keyed.groupBy("j", "k").agg(F.count("*").alias("n"), F.min(me).alias("low"), F.max(me).alias("high")).where("n > 1")
     met = materialise(keyed.join(buckets, ["j", "k"]))
@@ -122,7 +139,9 @@ def _distinct_components(reps: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = left.join(mixed, ["j", "k"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    more = materialise(paired.groupBy("j", "k", "x", "y").applyInPandas(_between, "a long, b long"))
+    # A stated number of partitions: few bytes stand for much work here, so they must not be joined into one task.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    more = materialise(paired.repartition(tasks, "j", "k", "x", "y").groupBy("j", "k", "x", "y").applyInPandas(_between, "a long, b long"))
     if more.isEmpty():
         return first.toDF("rep", "component")
     stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -151,7 +170,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component, that of its smallest key; rows with a null key stay. All columns stay."""
+    """docs with one row of each component, that of its smallest key; rows with a null key stay. All columns stay.
+
+    Of rows that share that key the one with the smallest text stays, nulls first.
+    """
     kept = components(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    one = docs.join(materialise(kept), key, "left_semi").dropDuplicates([key])
+    rows = docs.join(materialise(kept), key, "left_semi").select(F.struct(*docs.columns).alias("row"))
+    order = Window.partitionBy(f"row.{key}").orderBy(f"row.{text}")
+    one = rows.withColumn("r", F.row_number().over(order)).where("r = 1").select("row.*")
     return one.unionByName(docs.where(F.col(key).isNull()))
