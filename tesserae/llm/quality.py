@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 1 << 18
@@ -45,7 +45,7 @@ def indicators(text: str | None) -> np.ndarray:
     runs, k = same, 2
     while k <= RUNS and runs.any():
         found.append(_slots(np.array([k]), 1 << 27))
-        runs, k = runs[1:] & same[k - 1 :] if len(runs) > 1 else runs[:0], k + 1
+        runs, k = runs[:-1] & same[k - 1 :], k + 1
     return np.unique(np.concatenate(found))
 
 
@@ -135,17 +135,22 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fit on at most FIT labelled rows that are not held out; null keys, labels and keys without a document are left out."""
+    """Fit on at most FIT labelled rows that are not held out; null keys, labels and keys without a document are left out.
+
+    A key counts once: with its smallest label, and with the text of the smallest hash. Spark picks them, so no more
+    than FIT rows of indicators reach the driver.
+    """
     usable = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where(F.col("_key").isNotNull() & F.col("_label").isNotNull() & ~held_out(F.col("_key")))
-    sample = usable.withColumn("_h", F.xxhash64("_key")).orderBy("_h", "_key", "_label").limit(FIT)
+    sample = usable.groupBy("_key").agg(F.min("_label").alias("_label")).withColumn("_h", F.xxhash64("_key")).orderBy("_h", "_key").limit(FIT)
     texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_key")).select("_h", "_label", "_text")
+    joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_key")).select("_key", "_h", "_label", "_text")
+    one = joined.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_text")))).where("_r = 1").select("_h", "_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([indicators(x).astype("<i4").tobytes() for x in b.column(2).to_pylist()], pa.binary())], ["h", "label", "slots"])
 
-    found = sorted((r.h, r.label, bytes(r.slots)) for r in joined.mapInArrow(run, "h long, label int, slots binary").toLocalIterator())[: 2 * FIT]
+    found = sorted((r.h, r.label, bytes(r.slots)) for r in one.mapInArrow(run, "h long, label int, slots binary").toLocalIterator())
     return fit([np.frombuffer(s, "<i4") for _, _, s in found], [x for _, x, _ in found])
 
 
