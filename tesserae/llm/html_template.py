@@ -4,11 +4,11 @@ A page is a sequence of tags and text runs. A tag's role is its path of containe
 token is a block's text under its role. Roles and text tokens whose occurrences per page are the same on all pages, their
 occurrence vectors, form an equivalence class; a vector is known by sums of hashes of (page, occurrences), which Spark
 adds up within tasks first, so a host with very many pages is no large group. Classes that occur on at least half of a
-host's pages, hold several tokens, and whose spans are apart from or within one another are nested into the host's
-template. The template's slot that holds the article is chosen by its unlinked text, weighed by its markup; all article
-roles go together. Hosts of few pages use the template of all hosts together, and so do pages that lack their host's
-slot. What remains in the slots, without their boilerplate parts and the template's own text, is the text. The page's own
-tags decide only where no template has a slot, or where the slot is all of the body.
+host's pages and on SUPPORT of them, hold several tokens, and whose spans are apart from or within one another are nested
+into the host's template. The template's slot that holds the article is chosen by its unlinked text, weighed by its
+markup; all article roles go together. Pages that lack their host's slot, or whose host repeats too little to have any,
+use the template of all hosts together. What remains in the slots, without their boilerplate parts and the template's own
+text, is the text. The page's own tags decide only where no template has a slot, or where the slot is all of the body.
 """
 
 from __future__ import annotations
@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Hosts with fewer pages than this are read with the template of all hosts.
-FEW = 3
-#: Text is the template's own only if it is on this many pages of a host that differ from one another.
-TEXT_PAGES = 10
+#: A token is of a template only if it is on this many pages of the host, a text only if on as many that are no copies.
+SUPPORT = 3
 #: Templates up to this size in all are broadcast; beyond it they are joined.
 BROADCAST_BYTES = 32 << 20
 
@@ -45,6 +43,7 @@ AROUND = frozenset("site page global top bottom left right box block bar area wr
 NAMED = BLOCKS - frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main content post entry story body articlebody maincontent".split())
 WORD = re.compile(r"[A-Za-z]+")
+FORM, FORM_END, WHOLE = (re.compile(x, re.I) for x in (r"<form\b", r"</form\b", r"<(?:article|main)\b"))
 
 
 class Node:
@@ -66,10 +65,21 @@ def _boilerplate(name: str) -> bool:
     return not BOILERPLATE.isdisjoint(words) and words <= BOILERPLATE | AROUND
 
 
+def _wrapping_forms(page: str) -> set[int]:
+    """Where forms begin that are no part of the page but are put around it: they hold its article or most of it."""
+    out = set()
+    for m in FORM.finditer(page):
+        end = FORM_END.search(page, m.end())
+        stop = end.start() if end else len(page)
+        if 2 * (stop - m.start()) > len(page) or WHOLE.search(page, m.end(), stop):
+            out.add(m.start())
+    return out
+
+
 def events(page: str) -> Iterator[tuple[str, Node, str]]:
     """("open", node, ""), ("text", innermost node, raw text) and ("break", node, "") for a page, in order."""
     root = Node("", "", False, (), False)
-    stack, at = [root], 0
+    stack, at, wrapping = [root], 0, _wrapping_forms(page)
     for m in TOKEN.finditer(page):
         if m.start() > at:
             yield "text", stack[-1], page[at : m.start()]
@@ -100,7 +110,7 @@ def events(page: str) -> Iterator[tuple[str, Node, str]]:
         words = [w for n in names for w in WORD.findall(n)]
         role = f"{up.role}/{name}{''.join('.' + w for w in words)}" if name in BLOCKS else up.role
         inside = any(x.tag in ("article", "main") for x in stack)
-        bad = up.bad or name in NEVER or (name == "header" and not inside)
+        bad = up.bad or (name in NEVER and m.start() not in wrapping) or (name == "header" and not inside)
         named = (role, *up.named) if name in NAMED and any(map(_boilerplate, names)) else up.named
         node = Node(name, role, bad, named, up.link or name == "a")
         yield "open", node, ""
@@ -213,16 +223,16 @@ def _template(roles: pd.DataFrame) -> pd.DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, roles, slots, texts, named) for each host of at least FEW pages, and for all pages together as host *.
+    """(host, slot, roles, slots, texts, named) for each host whose pages share any tokens, and for all pages together as host *.
 
-    named: the roles with a name of boilerplate that at least FEW of the host's pages have.
+    named: the roles with a name of boilerplate that at least SUPPORT of the host's pages have.
 
     Text that copies of a page share is no evidence: of a token's pages, as many as the host has copies are not counted.
     All pages together have no text of their own.
     """
     sums = [F.sum(c).alias(c) for c in ("v1", "v2", "first", "last", "letters", "linked")]
     tokens = profiles(pages).groupBy("host", "role").agg(F.count("*").alias("n"), *sums, F.max("bad").alias("bad"))
-    by_host = materialise(tokens.where(f"role not like '#%' or n >= {TEXT_PAGES}").where(f"role not like '!%' or n >= {FEW}"))
+    by_host = materialise(tokens.where(f"n >= {SUPPORT} or (role not like '#%' and role not like '!%')"))
     named = by_host.where("role like '!%'").groupBy("host").agg(F.collect_list(F.substring("role", 2, 1 << 20)).alias("named"))
     by_host = by_host.where("role not like '!%'")
     # Places are means over the pages; a role counts where half of the pages have it.
@@ -230,8 +240,8 @@ def templates(pages: DataFrame) -> DataFrame:
     rows = by_host.select(every.columns).unionByName(every)
     size = rows.where("role = ''").select("host", F.col("n").alias("pages"))
     copies = pages.groupBy("host").agg((F.count("*") - F.count_distinct(F.xxhash64("page"))).alias("copies"))
-    sized = rows.where("role <> ''").join(size.join(copies, "host", "left"), "host").where(f"pages >= {FEW} and 2 * n >= pages")
-    often = sized.where(f"role not like '#%' or (n - copies >= {TEXT_PAGES} and 2 * (n - copies) >= pages - copies)").select("host", "role", "n", "v1", "v2", (F.col("first") / F.col("n")).alias("first"), (F.col("last") / F.col("n")).alias("last"), "letters", "linked", "bad")
+    sized = rows.where("role <> ''").join(size.join(copies, "host", "left"), "host").where(f"n >= {SUPPORT} and 2 * n >= pages")
+    often = sized.where(f"role not like '#%' or (n - copies >= {SUPPORT} and 2 * (n - copies) >= pages - copies)").select("host", "role", "n", "v1", "v2", (F.col("first") / F.col("n")).alias("first"), (F.col("last") / F.col("n")).alias("last"), "letters", "linked", "bad")
     return often.groupBy("host").applyInPandas(_template, "host string, slot string, roles int, slots array<string>, texts array<string>").join(named, "host", "left")
 
 

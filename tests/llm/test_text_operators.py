@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import collections
+import gzip
 import hashlib
+import html.parser
+import http.client
+import io
 import json
 import re
 import zlib
@@ -12,7 +17,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import html_template, media, packing, pii, piece_codec, quality, queries, warc
+from tesserae.llm import html_template, media, packing, pii, piece_codec, quality, queries, simhash, substring, warc
 
 from .conftest import SF
 
@@ -230,6 +235,42 @@ def test_quality(spark, docs):
     assert quality.scored(docs(["a"]).limit(0), frame).count() == 0
 
 
+def plain_indicators(text: str) -> set[int]:
+    """Slots of the n-grams, one by one."""
+    data, found = text.encode(), set()
+    slot = lambda code, salt: ((code + salt) * 2654435761 % (1 << 32)) >> 14
+    for n, salt in ((1, 1 << 25), (2, 1 << 26), (3, 0)):
+        found |= {slot(int.from_bytes(data[k : k + n], "big"), salt) for k in range(len(data) - n + 1)}
+    run = 1
+    words = data.split()
+    for a, b in zip(words[:-1], words[1:], strict=True):
+        run = run + 1 if a == b else 1
+        found |= {slot(n, 1 << 27) for n in range(2, min(run, quality.RUNS) + 1)}
+    return found
+
+
+def test_indicators_and_ratios(sample):
+    texts = ["", "a", "ab", "x x x y y", "w " * 40, "é" * 9, *sample.text.fillna("").tolist()[:20]]
+    rows = [quality.indicators(t) for t in texts]
+    assert [set(r.tolist()) for r in rows] == [plain_indicators(t) for t in texts]
+    y = [1.0 if k % 3 else -1.0 for k in range(len(texts))]
+    ratio = quality._ratios(rows, np.array(y))
+    counts = {label: collections.Counter(s for t, v in zip(texts, y, strict=True) if v == label for s in plain_indicators(t)) for label in (1.0, -1.0)}
+    total = {label: quality.SLOTS + sum(c.values()) for label, c in counts.items()}
+    for s in set().union(*map(plain_indicators, texts)):
+        want = np.log((1 + counts[1.0][s]) / total[1.0]) - np.log((1 + counts[-1.0][s]) / total[-1.0])
+        assert abs(ratio[s] - want) < 1e-12
+
+
+def test_sample_takes_each_key_once(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "FIT", 6)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: seen.append((len(rows), sorted(labels))))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(k, 1) for k in range(30)], "doc_id long, quality int")
+    quality.train(docs([(k, f"text {k} {n}") for k in range(30) for n in range(9)]), labels)
+    assert seen[0][0] == 6
+
+
 def test_dual_descent_meets_its_optimum():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 50, 8)) for _ in range(60)]
@@ -244,7 +285,7 @@ def test_dual_descent_meets_its_optimum():
     assert all(primal(w) <= primal(w + 1e-2 * rng.standard_normal(len(w)) * (w != 0)) + 1e-3 for _ in range(20))
 
 
-PAGE = "<html><head><title>T</title><script>x<y</script></head><body><nav><a>Home</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line {k}</h1><p>One  two<br>three<p>Four &#233;{k}</article><div class=comments><p>Nice!</div><footer>(c)</footer></body></html>"
+PAGE = "<html><head><title>T</title><script>x<y</script></head><body><nav><a>Home</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line {k}</h1><p>One  {k} two<br>three<p>Four &#233;{k}</article><div class=comments><p>Nice!</div><footer>(c)</footer></body></html>"
 
 
 def test_template_extraction(spark):
@@ -254,7 +295,7 @@ def test_template_extraction(spark):
     assert len(found) == len(rows)
     for r in found:
         if r.page_id < 100:
-            assert r.text == f"Head & line {r.page_id}\nOne two three\nFour é{r.page_id}"
+            assert r.text == f"Head & line {r.page_id}\nOne {r.page_id} two three\nFour é{r.page_id}"
         elif r.page_id < 102:
             assert (r.text, r.n_chars) == ("", 0)
         assert r.n_chars == len(r.text)
@@ -289,6 +330,81 @@ def test_boilerplate_goes_by_whole_names_that_recur(spark):
         assert text == [f"{x}{k}" for x in "ABCDEFGHxIJ"] + ["Once"] * (k == 3)
 
 
+WORDS_OF_STORIES = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
+
+
+def story(k: int, n: int = 30) -> str:
+    return " ".join(WORDS_OF_STORIES[(k * 7 + i * i * (k + 3)) % 14] + str(k) for i in range(n))
+
+
+#: Pages of one host each, and what is their text: fixed parts around and inside the story, teasers, forms around pages.
+HOSTS = {
+    "fixed-around": lambda k: (f"<html><body><div class=wrap><p>Brought to you by our partner</p><div class=text><p>{story(k)}<p>{story(k + 50)}</div><p>All rights reserved</p></div></body></html>", [story(k), story(k + 50)]),
+    "fixed-inside": lambda k: (f"<html><body><article><h1>Title {k}</h1><p>{story(k)}</p><div class=box><p>Join our club today</p></div><p>{story(k + 9)}</p></article></body></html>", [f"Title {k}", story(k), story(k + 9)]),
+    "teaser": lambda k: (f"<html><body><main><article class=teaser><p>Teaser {k}</p></article><div class=story><p>{story(k, 90)}</p></div></main></body></html>", [f"Teaser {k}", story(k, 90)]),
+    "wrapping-form": lambda k: (f"<html><body><form id=aspnetForm><div class=menu><a href=x>Home</a></div><div class=cnt><p>{story(k)}</p></div></form></body></html>", [story(k)]),
+    "own-form": lambda k: (f"<html><body><article><p>{story(k)}</p><form><p>Write to us {k}</p></form></article></body></html>", [story(k)]),
+    "names": lambda k: (f"<html><body><article><p class=related-work>Related {story(k)}</p><div class=side-effects><p>Side {story(k + 5)}</p></div><h2 id=comment>Head {k}</h2></article></body></html>", [f"Related {story(k)}", f"Side {story(k + 5)}", f"Head {k}"]),
+    "without-names": lambda k: (f"<html><body><div class=a><a href=1>Sports</a> <a href=2>News</a></div><div class=b><p>{story(k, 60)}</p><p>{story(k + 3, 60)}</p></div><div class=c>Imprint</div></body></html>", [story(k, 60), story(k + 3, 60)]),
+}
+
+
+def hosts(spark, n: int):
+    return spark.createDataFrame([(f"{name} {k}", f"http://{name}.example/{k}", made(k)[0]) for name, made in HOSTS.items() for k in range(n)], "page_id string, url string, html string")
+
+
+@pytest.mark.parametrize("n", [8, 3])
+def test_fixed_parts_teasers_forms_and_names(spark, n):
+    found = {r.page_id: r.text for r in html_template.extract(hosts(spark, n)).collect()}
+    for name, made in HOSTS.items():
+        for k in range(n):
+            assert found[f"{name} {k}"] == "\n".join(made(k)[1]), name
+    without = {f"{name} {k}": html_template.article(made(k)[0], [], [], set(), None) for name, made in HOSTS.items() for k in range(n)}
+    assert {x.split()[0] for x in found if found[x] != without[x]} == {"fixed-around", "fixed-inside", "teaser", "without-names"}
+
+
+def plain_templates(pages: list[tuple[str, str, str]]) -> dict[str, tuple]:
+    """(slots, texts, named) of each host (host, key, html), from whole occurrence vectors."""
+    out = {}
+    for host in {h for h, _, _ in pages}:
+        own = [(key, page) for h, key, page in pages if h == host]
+        copies = len(own) - len({page for _, page in own})
+        vectors, places = collections.defaultdict(list), collections.defaultdict(list)
+        for key, page in own:
+            for token, row in html_template._profile(page).items():
+                vectors[token].append((key, row[0]))
+                places[token].append(row)
+        named = {t[1:] for t, v in vectors.items() if t[0] == "!" and len(v) >= 3}
+        enough = lambda t, v, own=own, copies=copies: len(v) >= 3 and 2 * len(v) >= len(own) and (t[0] != "#" or (len(v) - copies >= 3 and 2 * (len(v) - copies) >= len(own) - copies))
+        tokens = {t: sorted(v) for t, v in vectors.items() if t[0] != "!" and enough(t, v)}
+        mean = {t: [sum(r[i] for r in places[t]) / len(places[t]) for i in (1, 2)] for t in tokens}
+        classes: dict[tuple, list[str]] = {}
+        for t in sorted(tokens, key=lambda t: (mean[t][0], t)):
+            classes.setdefault(tuple(tokens[t]), []).append(t)
+        ranked = sorted(classes.values(), key=lambda g: (-len(tokens[g[0]]), -len(g), min(mean[t][0] for t in g), g[0]))
+        chosen: list[tuple[float, float, list[str]]] = []
+        for g in ranked:
+            lo, hi = min(mean[t][0] for t in g), max(mean[t][1] for t in g)
+            if (len(g) > 1 or len(tokens[g[0]]) == max(map(len, tokens.values()))) and all(hi <= a or lo >= b or a <= lo <= hi <= b or lo <= a <= b <= hi for a, b, _ in chosen):
+                chosen.append((lo, hi, g))
+        valid = {t for _, _, g in chosen for t in g}
+        out[host] = ({t for t in valid if t[0] == "#"}, named, {t for t in valid if t[0] == "/"})
+    return {h: x for h, x in out.items() if x[2]}
+
+
+def test_templates_agree_with_whole_occurrence_vectors(spark):
+    made = [(r.url.split("/")[2], r.page_id, r.html) for r in hosts(spark, 6).collect()]
+    given = [(r.url.split("/")[2], str(r.page_id), r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    copied = [("copies.example", str(k), HOSTS["fixed-inside"](k // 4)[0]) for k in range(20)]
+    pages = made + given + copied
+    want = plain_templates(pages)
+    found = {r.host: r for r in html_template.templates(spark.createDataFrame(pages, "host string, name string, page string")).where("host <> '*'").collect()}
+    assert found.keys() == want.keys() and len(want) > 30
+    for host, (texts, named, roles) in want.items():
+        r = found[host]
+        assert set(r.texts) == texts and set(r.named or ()) == named and r.roles == len(roles) and set(r.slots) <= roles, host
+
+
 def test_equal_occurrence_vectors_form_one_class():
     import pandas as pd
 
@@ -297,28 +413,118 @@ def test_equal_occurrence_vectors_form_one_class():
     assert made.slot.tolist() == ["/html/body/article"] and made.roles.tolist() == [3]
 
 
+def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record that another library's parser of headers reads."""
+    version, _, rest = data.partition(b"\r\n")
+    assert version == b"WARC/1.0"
+    source = io.BytesIO(rest)
+    headers = dict(http.client.parse_headers(source).items())
+    block = source.read(int(headers["Content-Length"]))
+    assert source.read() == b"\r\n\r\n"
+    return headers, block
+
+
+class Visible(html.parser.HTMLParser):
+    """Words of a simple page, read by the standard library."""
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.hidden, self.out = 0, []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "title")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "title")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
 def test_warc_derivatives(spark):
-    pages = spark.createDataFrame([(1, "http://a.example/x", PAGE, "x"), (2, None, None, "x"), (None, "http://b\r\nX: y", "<a href='/z?a=1&amp;b'>t</a>", "x"), (1, "http://a.example/x", PAGE, "x")], "page_id long, url string, html string, record string")
-    sources = {r.page_id: warc.parse(bytes(r.record)) for r in warc.responses(pages).collect()}
+    pages = spark.createDataFrame([(1, "http://a.example/x", PAGE, "x"), (2, None, None, "x"), (None, "http://b\r\nX: y", "<a href='/z?a=1&amp;b'>t</a>", "x"), (1, "http://a.example/x", PAGE, "x"), (3, "u", "<p>long page</p>" * 60_000, "x")], "page_id long, url string, html string, record string")
+    given = {r.page_id: r.html for r in pages.collect()}
+    sources = {r.page_id: read_record(bytes(r.record)) for r in warc.responses(pages).collect()}
     made = warc.derivatives(warc.responses(pages)).collect()
-    assert len(made) == 8
+    assert len(made) == 10 and {r.error for r in made} == {None}
     for r in made:
-        headers, body = warc.parse(bytes(r.record))
+        headers, body = read_record(bytes(r.record))
         source, block = sources[r.page_id]
         assert headers["WARC-Refers-To"] == r.refers_to == source["WARC-Record-ID"]
-        assert headers["WARC-Target-URI"] == source["WARC-Target-URI"] and headers["WARC-Date"] == source["WARC-Date"]
+        assert headers["WARC-Target-URI"] == headers.get("WARC-Refers-To-Target-URI", "") == source["WARC-Target-URI"] if source["WARC-Target-URI"] else "WARC-Target-URI" not in headers
+        assert headers["WARC-Date"] == headers["WARC-Refers-To-Date"] == source["WARC-Date"]
         assert headers["WARC-Source-Payload-Digest"] == warc.sha1(block.partition(b"\r\n\r\n")[2])
         assert headers["WARC-Block-Digest"] == warc.sha1(body)
         if r.warc_type == "metadata":
             json.loads(body)
-        elif r.page_id == 1:
-            assert b"Head & line" in body and b"x<y" not in body
-    assert len({r.record_id for r in made}) == 6
-    with pytest.raises(ValueError):
-        warc.parse(b"HTTP/1.1")
+        else:
+            assert body.decode().split() == " ".join(Visible(given[r.page_id] or "").out).split() or r.page_id == 1
+    assert len({r.record_id for r in made}) == 8
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def a_record(kind: str = "response", http_head: bytes = b"Content-Type: text/html", payload: bytes = b"<p>one</p>", more: bytes = b"WARC-Record-ID: <urn:1>\r\n") -> bytes:
+    block = b"HTTP/1.1 200 OK\r\n" + http_head + b"\r\n\r\n" + payload
+    return b"WARC/1.1\r\nwarc-type: " + kind.encode() + b"\r\n" + more + b"WARC-target-uri: http://x/\r\ncontent-length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("record, want", [
+    (a_record(), "one"),
+    (a_record(kind="request"), None),
+    (a_record(http_head=b"content-type: text/html; charset=no-such"), "one"),
+    (a_record(http_head=b"Content-Type: text/html; charset=hex"), "one"),
+    (a_record(http_head=b"content-TYPE: text/html; Charset=\"ISO-8859-1\"", payload=b"<p>caf\xe9"), "café"),
+    (a_record(http_head=b"Content-Type: text/html", payload=b"<meta charset=latin-1><p>caf\xe9"), "café"),
+    (a_record(http_head=b"Content-Type: text/html\r\nContent-Encoding: gzip", payload=gzip.compress(b"<p>packed")), "packed"),
+    (a_record(http_head=b"Content-Type: text/html\r\nContent-Encoding: gzip", payload=b"<p>not packed"), "not packed"),
+    (a_record(http_head=b"Transfer-Encoding: chunked", payload=b"4\r\n<p>a\r\n2;x=y\r\nbc\r\n0\r\n\r\n"), "abc"),
+    (a_record(http_head=b"Content-Type: text/plain", payload=b"a  <b>"), "a  <b>"),
+    (a_record(http_head=b"Content-Type: image/png", payload=b"\x89PNG"), ""),
+    (b"HTTP/1.1 200", ValueError), (a_record()[:-30], ValueError), (a_record().replace(b"content-length", b"length"), ValueError), (a_record(more=b""), ValueError), (b"", ValueError),
+])
+def test_warc_records_of_others(record, want):
+    if want is ValueError:
+        with pytest.raises(ValueError):
+            warc.derive(record)
+        return
+    made = {r[0]: r for r in warc.derive(record)}
+    assert set(made) == (set() if want is None else {"metadata", "conversion"} if want else {"metadata"})
+    if want:
+        assert read_record(made["conversion"][5])[1].decode() == want
+
+
+def test_warc_files(spark):
+    many = [a_record(), a_record(kind="warcinfo"), a_record(payload=b"<p>two")]
+    packed = b"".join(gzip.compress(r) for r in many)
+    files = [("plain", b"".join(many)), ("packed", packed), ("cut", packed[:-60]), ("other", b"".join(many) + b"junk"), ("empty", b""), ("null", None)]
+    got: dict[str, list] = {}
+    for r in warc.records(spark.createDataFrame(files, "path string, content binary")).orderBy("path", "position").collect():
+        got.setdefault(r.path, []).append(None if r.record is None else bytes(r.record))
+    assert got == {"plain": many, "packed": many, "cut": [*many[:2], None], "other": [*many, None]}
+    rows = spark.createDataFrame([(1, a_record()), (2, b"junk"), (None, None), (None, a_record())], "page_id long, record binary")
+    assert sorted((str(r.page_id), str(r.warc_type), str(r.error)) for r in warc.derivatives(rows).collect()) == [("1", "conversion", "None"), ("1", "metadata", "None"), ("2", "None", "no WARC record"), ("None", "conversion", "None"), ("None", "metadata", "None")]
+
+
+TABLE_OPERATORS = {
+    "pii": pii.detect, "pieces": lambda d: piece_codec.encode_decode(d, PIECES), "simhash": simhash.components, "substring": substring.removed, "media": media.store,
+    "packing": lambda d: packing.pack(d, WORDS).where("start = 0").select("doc_id", "doc_tokens"),
+}
+
+
+@pytest.mark.parametrize("name", TABLE_OPERATORS)
+def test_null_keys_repeated_rows_and_empty_tables(docs, name):
+    rows = [(None, "a b"), (None, None), (3, "x y"), (3, "x y"), (4, ""), (4, None), (5, "long " * 50_000), (6, "x y")]
+    run = TABLE_OPERATORS[name]
+    got: dict[int | None, list] = {}
+    for r in run(docs(rows)).collect():
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    assert {k: len(v) for k, v in got.items()} == {None: 2, 3: 2, 4: 2, 5: 1, 6: 1}
+    assert got[3][0] == got[3][1] == got[6][0] and got[4][0] == got[4][1]
+    assert run(docs(["a"]).limit(0)).count() == 0
+
+
 def test_queries_cover_whole_tables(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op2_pii", "op10_media", "op8_substring", "op4_simhash"):
