@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. A temporary one stands in only where all run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -29,12 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors cost one read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tesserae/{uuid.uuid4().hex}"
+    path = removed_at_exit(spark, f"{shared_dir(spark)}/tesserae/{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
