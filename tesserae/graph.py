@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import new_path
+
 NODE_COLUMNS = ["id", "label", "name", "entity_type", "file_path", "entry_category", "sensitivity", "lines"]
 EDGE_COLUMNS = ["src", "dst", "rel_type", "weight"]
+NODE_SCHEMA = ", ".join(f"{c} {'int' if c == 'lines' else 'string'}" for c in NODE_COLUMNS)
+EDGE_SCHEMA = "src string, dst string, rel_type string, weight double"
 
 
 @dataclass
@@ -31,7 +35,8 @@ class Graph:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Graph:
-        return cls(spark.read.parquet(f"{path}/nodes").select(NODE_COLUMNS), spark.read.parquet(f"{path}/edges").select(EDGE_COLUMNS))
+        """The schema is stated, so that no file is opened to plan, and so are the partitions' types."""
+        return cls(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").select(NODE_COLUMNS), spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges").select(EDGE_COLUMNS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +80,19 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(union(nodes), union(edges))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """graph_from_tables() laid out once a session by label and relation, so that later plans scan what they need of it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = new_path(spark)
+        graph_from_tables(spark, sf_dir).save(path)
+        _STORED[key] = path
+    return Graph.load(spark, _STORED[key])
+
+
 #: The same graph in SQL, for the oracle.
 NODES_SQL = """nodes AS (
  SELECT 'r:'||r_regionkey id, 'RepositoryEntity' label, r_name AS name, 'repository' entity_type, NULL::VARCHAR file_path, NULL::VARCHAR entry_category, NULL::VARCHAR sensitivity, NULL::INT lines FROM region

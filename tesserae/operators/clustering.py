@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stable_id
+from ..shared import materialised, remove
+
 #: Entities of one file are linked with each other if there are 2 to this many.
 CLIQUE = 30
 SWEEPS = 100
-#: Components of up to this many nodes are swept in one task each, larger ones by joins; the labels are the same.
-ONE_TASK = 50_000
+#: Components of up to this many edges are swept in one task each, larger ones by joins; the labels are the same.
+ONE_TASK = 100_000
 
 
 def clustering_edges(edges: DataFrame, nodes: DataFrame, types: list[str]) -> DataFrame:
@@ -27,16 +30,20 @@ def clustering_edges(edges: DataFrame, nodes: DataFrame, types: list[str]) -> Da
     return both.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, component): the smallest id that can be reached, by alternating minimum steps with pointer jumps."""
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    label = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l"))
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component): the smallest id that can be reached, by alternating minimum steps with pointer jumps.
+
+    A round is written to the shared folder, and the one before it is removed.
+    """
+    both = materialised(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))))
+    label = materialised(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")))
     before = None
     for _ in range(rounds):
         near = both.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
         step = label.join(near, "x").select("x", F.least("l", "m").alias("l"))
         jump = step.join(step.select(F.col("x").alias("l"), F.col("l").alias("ll")), "l", "left").select("x", F.least("l", F.coalesce("ll", "l")).alias("l"))
-        label = jump.checkpoint(eager=True) if jump.sparkSession.sparkContext.getCheckpointDir() else jump.persist()
+        old, label = label, materialised(jump)
+        remove(old)
         now = tuple(label.agg(F.sum(F.xxhash64("x", "l").cast("decimal(38,0)"))).first())
         if now == before:
             return label.toDF("id", "component")
@@ -70,7 +77,8 @@ def sweep_large(edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     ones and are voted anew until none changes: then every node agrees with the smaller ones around it, which only the
     sequential sweep's labels do. That takes as many rounds as changes follow one another in a sweep, and one more.
     """
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).where("x <> y").distinct().persist()
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).where("x <> y").distinct()
+    both = materialised(both)
     label = both.select(F.col("x").alias("id"), F.col("x").alias("old"), F.col("x").alias("new")).distinct()
     for _ in range(sweeps):
         first = True
@@ -79,7 +87,7 @@ def sweep_large(edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
             votes = seen.groupBy("x", "community").agg(F.count("*").alias("v"), F.min("y").alias("y"))
             won = votes.groupBy("x").agg(F.min_by("community", F.struct(-F.col("v"), "y")).alias("won"))
             step = label.join(won, F.col("id") == F.col("x")).select("id", "old", F.col("won").alias("new"), (F.col("won") != F.col("new")).alias("moved"))
-            step = step.checkpoint(eager=True) if step.sparkSession.sparkContext.getCheckpointDir() else step.localCheckpoint(eager=True)
+            step = materialised(step)
             moved = not step.where("moved").isEmpty()
             label = step.drop("moved")
             if not moved:
@@ -89,18 +97,18 @@ def sweep_large(edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
         if first:
             break
         label = label.select("id", F.col("new").alias("old"), "new")
-    both.unpersist()
     return label.select("id", F.col("new").alias("community"))
 
 
-def label_propagation(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def label_propagation(edges: DataFrame, nodes: DataFrame | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """(id, community) for every node of edges (a, b), by sequential sweeps in sorted order at every size.
 
-    Components do not interact, so each that fits one_task is swept alone there, and the larger ones by joins.
+    nodes (id) without an edge keep their own id as community. Components do not interact, so each whose edges fit
+    one_task is swept alone there, and the larger ones by joins; their labels do not depend on which way is taken.
     """
-    comps = components(edges)
-    size = comps.groupBy("component").agg(F.count("*").alias("n"))
-    placed = edges.join(comps, F.col("a") == F.col("id")).join(size, "component").select("component", "n", "a", "b")
+    comps = materialised(components(edges))
+    placed = edges.join(comps, F.col("a") == F.col("id")).select("component", "a", "b")
+    size = placed.groupBy("component").agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         adjacency: dict[str, set[str]] = {}
@@ -109,11 +117,14 @@ def label_propagation(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
             adjacency.setdefault(b, set()).add(a)
         return pd.DataFrame(sorted(sweep(adjacency).items()), columns=["id", "community"])
 
-    exact = placed.where(F.col("n") <= one_task).groupBy("component").applyInPandas(run, "id string, community string")
-    large = placed.where(F.col("n") > one_task).select("a", "b")
-    if large.isEmpty():
-        return exact
-    return exact.unionByName(sweep_large(large))
+    out = placed.join(size.where(F.col("n") <= one_task), "component").select("component", "a", "b").groupBy("component").applyInPandas(run, "id string, community string")
+    large = placed.join(size.where(F.col("n") > one_task), "component").select("a", "b")
+    if not large.isEmpty():
+        out = out.unionByName(sweep_large(large))
+    if nodes is not None:
+        alone = nodes.select("id").distinct().join(comps.select("id"), "id", "left_anti")
+        out = out.unionByName(alone.select("id", F.col("id").alias("community")))
+    return out
 
 
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -135,24 +146,41 @@ def described(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.withColumn("k", same).select("community", F.when(F.col("k") > 0, F.element_at("lo", F.greatest(F.col("k"), F.lit(1)))).alias("name"), F.array_join("names", ",").alias("classes"), "n_functions")
 
 
-def jaccard(sets: DataFrame, least: float = 0.8, hot: int = 1_000) -> DataFrame:
-    """(a, b, overlap) with a < b for pairs of sets (id, item) whose overlap is above least.
+def set_classes(sets: DataFrame) -> DataFrame:
+    """(id, rep) for sets (id, item): rep is the smallest id with the same items, told by their number and digests."""
+    distinct = sets.where("id is not null and item is not null").distinct()
+    print_of = [F.count("*"), *(F.sum(h.cast("decimal(38,0)")) for h in (F.xxhash64("item"), F.xxhash64("item", F.lit(1))))]
+    prints = distinct.groupBy("id").agg(*[c.alias(f"p{k}") for k, c in enumerate(print_of)])
+    least = prints.groupBy("p0", "p1", "p2").agg(F.min("id").alias("rep"))
+    return prints.join(least, ["p0", "p1", "p2"]).select("id", "rep")
+
+
+def jaccard(sets: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, overlap) with a < b for pairs of unequal sets (id, item) whose overlap is above least.
 
-    Prefix filtering: items are ordered from rare to frequent, and only sets that share one of their first
-    n - ceil(least * n) + 1 items are compared; exact, since any other pair overlaps too little.
+    Equal sets count once, under their smallest id (set_classes), so copies give no pairs. Prefix filtering: items are
+    ordered from rare to frequent, and only sets that share one of their first n - ceil(least * n) + 1 items are compared;
+    exact, since any other pair overlaps too little. Only ids and sizes go through that join; the items that a candidate
+    pair shares are counted by joins of the pair with both sets.
     """
     distinct = sets.where("id is not null and item is not null").distinct()
+    distinct = materialised(distinct.join(set_classes(sets).where("id = rep").select("id"), "id", "left_semi"))
     often = distinct.groupBy("item").agg(F.count("*").alias("f"))
-    ordered = distinct.join(often, "item").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "item"))), lambda x: x["item"]).alias("items"))
-    sized = ordered.withColumn("n", F.size("items"))
-    prefix = sized.select("id", "n", "items", F.explode(F.slice("items", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("item"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"), "item"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"), "item")
-    met = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > F.lit(least) * F.greatest("na", "nb"))).dropDuplicates(["a", "b"])
-    common = F.size(F.array_intersect("ia", "ib"))
-    return met.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("overlap")).where(F.col("overlap") > least)
+    sized = distinct.groupBy("id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "item"))
+    prefix = distinct.join(often, "item").withColumn("at", rank).join(sized, "id").where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "n", "item")
+    a, b = prefix.toDF("a", "na", "item"), prefix.toDF("b", "nb", "item")
+    met = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > F.lit(least) * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
+    both = met.join(distinct.toDF("a", "item"), "a").join(distinct.toDF("b", "item"), ["b", "item"])
+    common = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return common.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("overlap")).where(F.col("overlap") > least)
 
 
 def modules(members: DataFrame) -> DataFrame:
-    """(community, module_id, n, members): a module's id is the digest of its sorted members (id), equal names apart."""
-    ids = F.array_sort(F.collect_set("id"))
-    return members.groupBy("community").agg(ids.alias("members")).select("community", F.sha2(F.array_join("members", ","), 256).alias("module_id"), F.size("members").cast("long").alias("n"), "members")
+    """(community, module_id, n): a module's id stands for its members (id), whatever their order and the community's name.
+
+    Members stay rows: the digits of their digests are added up, so no row holds a module's members.
+    """
+    digits = F.conv(F.substring(F.md5("id"), 1, 12), 16, 10).cast("decimal(38,0)")
+    per = members.select("community", "id").distinct().groupBy("community").agg(F.sum(digits).alias("s"), F.count("*").alias("n"))
+    return per.select("community", stable_id(F.lit("module"), F.col("s"), F.col("n")).alias("module_id"), "n")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialised
+
 # Weight of a relation by kind of change (ADDED, DELETED, SIGNATURE, BODY, DOC_ONLY).
 CHANGES = ("ADDED", "DELETED", "SIGNATURE", "BODY", "DOC_ONLY")
 WEIGHTS = {
@@ -33,50 +33,43 @@ def severity(score: Column) -> Column:
     return F.when(score >= 0.8, "CRITICAL").when(score >= 0.5, "HIGH").when(score >= 0.2, "MEDIUM").otherwise("LOW")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df through a table in the shared folder, where the session names one: each level reads the one before it."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not shared:
-        return df
-    path = f"{shared}/tesserae-impact/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+def impact(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
+    """(change, direction, node_id, score, depth) from changed (id, change): each node's best score over all changed nodes.
 
-def impact(edges: DataFrame, changed: DataFrame, depth: int = 3, checkpoint: bool = False) -> DataFrame:
-    """(source, change, direction, node_id, score, depth) from changed (id, change): the best score of each node.
+    FORWARD goes to nodes that depend on a changed one, BACKWARD to those it depends on. A score is a relation's weight
+    times the depth's decay, not multiplied along the path. Scores below LEAST do not count, and nothing is an impact of
+    itself. Of equal scores the smaller depth counts. Null ids never match; repeated rows count once.
 
-    FORWARD goes to nodes that depend on the changed one, BACKWARD to those it depends on. A score is a relation's
-    weight times the depth's decay, not multiplied along the path; a node is visited again only for a better score.
-    Scores below LEAST and the source itself are dropped. Each level is one join and one aggregate whose partial sums
-    are combined before the shuffle. Null ids never match; repeated rows count once.
+    A later visit of a node can only lower the scores beyond it, so a level needs no memory of those before: its rows are
+    the nodes at that distance, one per kind of change and direction, however many changed nodes reach them. The smallest
+    and the largest of these tell whether one is another than the node itself. Levels are written to the shared folder.
     """
-    steps = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), "rel_type", F.lit("FORWARD").alias("direction")).unionByName(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "rel_type", F.lit("BACKWARD").alias("direction")))
-    steps = steps.where(F.col("rel_type").isin(*WEIGHTS))
-    key = ["source", "change", "direction", "node_id"]
-    front = changed.select(F.col("id").alias("source"), "change", F.explode(F.array(F.lit("FORWARD"), F.lit("BACKWARD"))).alias("direction"), F.col("id").alias("node_id")).distinct()
-    best = front.withColumns({"score": F.lit(None).cast("double"), "depth": F.lit(0)})
+    ways = [edges.select(F.col(a).alias("at"), F.col(b).alias("to"), "rel_type", F.lit(d).alias("direction")) for a, b, d in (("dst", "src", "FORWARD"), ("src", "dst", "BACKWARD"))]
+    steps = ways[0].unionByName(ways[1]).where(F.col("rel_type").isin(*WEIGHTS))
+    front = changed.select(F.col("id").alias("at"), "change").distinct().select("at", "change", F.explode(F.array(F.lit("FORWARD"), F.lit("BACKWARD"))).alias("direction"), F.col("at").alias("lo"), F.col("at").alias("hi"))
+    found = None
     for d in range(1, min(depth, len(DECAY)) + 1):
-        # A level's front are the rows that the level before has just improved; old and new rows meet in one aggregate.
-        met = best.where(F.col("depth") == d - 1).select(key).join(steps.withColumnRenamed("at", "node_id"), ["node_id", "direction"]).where("to <> source")
-        level = met.select("source", "change", "direction", F.col("to").alias("node_id"), (weight(F.col("rel_type"), F.col("change")) * DECAY[d - 1]).alias("new")).where(F.col("new") >= LEAST)
-        both = level.select(*key, "new", F.lit(None).cast("double").alias("old"), F.lit(None).cast("int").alias("before"))
-        if d > 1:
-            both = both.unionByName(best.select(*key, F.lit(None).cast("double").alias("new"), F.col("score").alias("old"), F.col("depth").alias("before")))
-        better = F.col("old").isNull() | F.coalesce(F.col("new") > F.col("old"), F.lit(False))
-        best = both.groupBy(key).agg(F.max("new").alias("new"), F.max("old").alias("old"), F.max("before").alias("before")).select(*key, F.greatest("new", "old").alias("score"), F.when(better, d).otherwise(F.col("before")).alias("depth"))
-        best = _kept(best) if checkpoint else best
-    return best
+        met = front.join(steps, ["at", "direction"]).withColumn("score", weight(F.col("rel_type"), F.col("change")) * DECAY[d - 1]).where(F.col("score") >= LEAST)
+        other = (F.col("lo") != F.col("to")) | (F.col("hi") != F.col("to"))
+        level = met.groupBy("change", "direction", F.col("to").alias("at")).agg(F.max(F.when(other, F.col("score"))).alias("score"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        level = materialised(level) if d < depth else level
+        scored = level.where("score is not null").select("change", "direction", F.col("at").alias("node_id"), "score", F.lit(d).alias("depth"))
+        found = scored if found is None else found.unionByName(scored)
+        front = level.select("at", "change", "direction", "lo", "hi")
+    return _best(found, "change", "direction", "node_id")
+
+
+def _best(rows: DataFrame, *by: str) -> DataFrame:
+    """The best score and its smallest depth, below 16, as one number: an aggregate over numbers needs no sort."""
+    packed = F.round(F.col("score") * 1_000_000).cast("long") * 16 + 15 - F.col("depth")
+    return rows.groupBy(*by).agg(F.max(packed).alias("b")).select(*by, (F.shiftright("b", 4) / 1_000_000).alias("score"), (15 - F.col("b").bitwiseAND(F.lit(15))).cast("int").alias("depth"))
 
 
 def merged(impacts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The best row per node and direction over all sources, ties to the smaller depth, with severity; depths are below 16."""
-    # Score, to six digits, and depth in one number: an aggregate over numbers needs no sort.
-    packed = F.round(F.col("score") * 1_000_000).cast("long") * 16 + 15 - F.col("depth")
-    best = impacts.groupBy("node_id", "direction").agg(F.max(packed).alias("b")).select("node_id", "direction", (F.shiftright("b", 4) / 1_000_000).alias("score"), (15 - F.col("b").bitwiseAND(F.lit(15))).alias("depth"))
+    """The best row per node and direction over all kinds of change, ties to the smaller depth, with severity."""
+    best = _best(impacts, "node_id", "direction")
     named = best.join(nodes.select(F.col("id").alias("node_id"), "label", "name", "file_path"), "node_id")
-    return named.select("node_id", "label", "name", "file_path", "direction", F.round("score", 6).alias("impact_score"), severity(F.col("score")).alias("severity"), F.col("depth").cast("int").alias("depth"))
+    return named.select("node_id", "label", "name", "file_path", "direction", F.round("score", 6).alias("impact_score"), severity(F.col("score")).alias("severity"), "depth")
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -56,6 +56,15 @@ def reachable(edges: DataFrame, starts: DataFrame, least: int, most: int, direct
     return out
 
 
+def business_impact(graph: Graph, starts: DataFrame, most: int = MOST_HOPS) -> DataFrame:
+    """(start, node, name, distance) distinct: entry points from which starts (id) are called over 1 to most calls.
+
+    As a path uses no call twice, paths are followed; each step keeps one row a path.
+    """
+    found = paths(graph.typed("calls"), starts, 1, most, "in").select("start", "node", F.col("hops").alias("distance")).distinct()
+    return found.join(graph.nodes.where("entry_category is not null").select(F.col("id").alias("node"), "name"), "node").select("start", "node", "name", "distance")
+
+
 def neighbourhood(graph: Graph, centre: str, depth: int, limit: int, labels: list[str] | None = None) -> Graph:
     """Nodes within depth (1 to 3) undirected hops, limit (1 to 500) of them by id besides the centre, and their edges."""
     depth, limit = max(1, min(3, depth)), max(1, min(500, limit))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance_confidence
@@ -15,40 +17,71 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n)
 
 
-#: Queries in one block of search_all.
+#: Queries in one block of a search.
 BLOCK = 4_096
-SHARES = 64
-
 
-def search_all(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """search() for any number of queries: each block of about block queries meets each share of the vectors in a join.
 
-    Nothing is broadcast by this plan or sent to the driver but the number of queries.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    pool = (vectors if where is None else vectors.where(where)).select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(SHARES)).alias("share"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
-    spread = pool.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = spread.join(asked.hint("shuffle_hash"), ["block", "share"]).where("query_id <> id").select("query_id", "id", "share", (1 - cosine(F.col("embedding"), F.col("vector"))).alias("distance")).where("distance is not null")
-    return _best(scored, k)
+def _length(v: str) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest of (query_id, id, share, distance), cut within the shares first."""
-    cut = lambda df, *by: df.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
-    part = cut(scored, "query_id", "share").select("query_id", F.explode("best").alias("b")).select("query_id", "b.*")
-    return cut(part, "query_id").select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", "b.id", "b.distance", (F.col("rank") + 1).alias("rank"))
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, block: int = BLOCK, within: str | None = None) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest rows of vectors (id, embedding, ...) to each of queries (query_id, vector).
 
+    where filters vectors; within names a column of both that must be equal where the query has a value.
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest rows of vectors (id, embedding, ...) to queries (query_id, vector).
-
-    queries is a stated set whose size the caller bounds; each is compared with every row. Best lists are merged from
-    partial ones: rows are first cut to the k best of each task's share, so no query's distances meet in one task.
+    Each block of about `block` queries meets each share of the vectors in a join on the two; nothing is broadcast by
+    this plan or sent to the driver but the number of queries. Lengths are computed once a vector, and every task cuts
+    its rows to the k nearest of a query before they are shuffled. Distance is 1 - cosine in double precision, ties go to
+    the smaller id. Null and zero vectors, those of another length, and a query's own id take no part.
+    """
+    spark = vectors.sparkSession
+    blocks, shares = max(1, -(-queries.count() // block)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    part = lambda name: (F.col(within) if within else F.lit(None).cast("string")).alias(name)
+    pool = (vectors if where is None else vectors.where(where)).select("id", "embedding", _length("embedding").alias("n"), dealt("id", shares).alias("share"), part("_has")).where("n > 0").withColumn("block", every(blocks))
+    asked = queries.select("query_id", "vector", _length("vector").alias("m"), dealt("query_id", blocks).alias("block"), part("_asks")).where("m > 0").withColumn("share", every(shares))
+    dot = F.aggregate(F.zip_with("embedding", "vector", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    met = pool.join(asked.hint("shuffle_hash"), ["block", "share"]).where((F.col("query_id") != F.col("id")) & (F.size("embedding") == F.size("vector")) & (F.col("_asks").isNull() | (F.col("_asks") == F.col("_has"))))
+    scored = met.select("query_id", "id", (1 - dot / (F.col("n") * F.col("m"))).alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def text_search(vectors: DataFrame, queries: DataFrame, embed: Callable[[Column], Column], k: int = 10, where: Column | None = None) -> DataFrame:
+    """(query_id, rank, distance, id, ...): the k nearest rows of vectors (id, embedding, ...), whole, to texts (query_id, text)."""
+    asked = queries.where(F.trim("text") != "").select("query_id", embed(F.col("text")).alias("vector"))
+    found = search(vectors, asked, k, where).select("query_id", "rank", "distance", "id")
+    return found.join(vectors.drop("embedding"), "id").select("query_id", "rank", "distance", "id", *[c for c in vectors.columns if c not in ("id", "embedding")])
+
+
+def capabilities_found(capabilities: DataFrame, wishes: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
+    """(query_id, rank, id, name, business_domain, confidence): the nearest capabilities to wishes (query_id, text, business_domain).
+
+    capabilities: (id, name, business_domain, searchable). A wish with a domain finds only those of that domain.
     """
-    pool = vectors if where is None else vectors.where(where)
-    scored = pool.join(F.broadcast(queries), F.col("query_id") != F.col("id")).select("query_id", "id", (1 - cosine(F.col("embedding"), F.col("vector"))).alias("distance")).where("distance is not null")
-    return _best(scored.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES))), k)
+    pool = capabilities.select("id", "name", "business_domain", embed(F.col("searchable")).alias("embedding"))
+    asked = wishes.where(F.trim("text") != "").select("query_id", embed(F.col("text")).alias("vector"), "business_domain")
+    found = search(pool, asked, k, within="business_domain").select("query_id", "rank", "id", distance_confidence(F.col("distance")).alias("confidence"))
+    return found.join(pool.drop("embedding"), "id").select("query_id", "rank", "id", "name", "business_domain", "confidence")
+
+
+def get(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of vectors whose id is among ids (id)."""
+    return vectors.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def delete(vectors: DataFrame, ids: DataFrame | None = None, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The vectors left after those with an id among ids (id), or for which where holds, are deleted, and (n) how many are."""
+    gone = vectors.where("false")
+    left = vectors
+    if ids is not None:
+        gone, left = get(left, ids), left.join(ids.select("id").distinct(), "id", "left_anti")
+    if where is not None:
+        hit = F.coalesce(where, F.lit(False))
+        gone, left = gone.unionByName(left.where(hit)), left.where(~hit)
+    return left, gone.agg(F.count("*").alias("n"))
 
 
 def count(vectors: DataFrame, where: Column | None = None) -> DataFrame:

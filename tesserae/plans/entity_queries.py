@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import entry_points
 from ..functions import scalars as S
-from ..graph import Graph, graph_from_tables, table
-from ..operators import actions, capabilities, changes, impact, linking, patterns, shapes, store, tables
+from ..graph import Graph, stored_graph, table
+from ..operators import actions, capabilities, changes, impact, linking, patterns, shapes, store, tables, vectors
 from ..streaming import events as stream
 from .graph_queries import query
 from .table_queries import CHANGES_SQL, SHAPES_SQL, SIGN_SQL, _changes
@@ -19,14 +19,14 @@ SAMPLE = 50
 @query(f", s AS (SELECT id FROM nodes WHERE label IN ('ModuleEntity','RepositoryEntity','ServiceEntity') ORDER BY id LIMIT {SAMPLE}) SELECT src, dst, rel_type FROM edges WHERE src IN (FROM s) AND dst IN (FROM s)")
 def gr_05_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first nodes of some labels by id, a stated number, and the edges among them."""
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     nodes = g.nodes.where(F.col("label").isin("ModuleEntity", "RepositoryEntity", "ServiceEntity")).orderBy("id").limit(SAMPLE)
     return patterns.induced(g.edges, nodes).select("src", "dst", "rel_type")
 
 
 @query(", u AS (SELECT src h, dst t, least(src,dst)||rel_type||greatest(src,dst) e FROM edges UNION ALL SELECT dst, src, least(src,dst)||rel_type||greatest(src,dst) FROM edges) SELECT t node, 1 hops FROM u WHERE h='r:1' UNION ALL SELECT b.t, 2 FROM u a JOIN u b ON b.h=a.t AND a.e<>b.e WHERE a.h='r:1'")
 def gr_06_undirected_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return patterns.paths(g.edges, g.nodes.where("id = 'r:1'"), 1, 2, "both").select("node", "hops")
 
 
@@ -38,24 +38,24 @@ def gr_10_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT e.src id, 'out' direction, rel_type, dst other, n.name FROM edges e JOIN nodes n ON n.id=dst WHERE src IN ('n:3','p:7') UNION ALL SELECT dst, 'in', rel_type, src, n.name FROM edges JOIN nodes n ON n.id=src WHERE dst IN ('n:3','p:7')")
 def gr_20_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([("n:3",), ("p:7",)], "id string")
-    return patterns.context(graph_from_tables(spark, sf_dir), wanted)
+    return patterns.context(stored_graph(spark, sf_dir), wanted)
 
 
 @query("SELECT count(*) n FROM (SELECT id FROM nodes WHERE label='CodeEntity' AND id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges) LIMIT 100)")
 def gr_21_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many code entities are isolated, counted up to 100 as a report does."""
-    return patterns.isolated(graph_from_tables(spark, sf_dir), "CodeEntity").limit(100).agg(F.count("*").alias("n"))
+    return patterns.isolated(stored_graph(spark, sf_dir), "CodeEntity").limit(100).agg(F.count("*").alias("n"))
 
 
 @query("SELECT id, name, 'suggestion' how FROM (SELECT id, name FROM nodes WHERE label='CodeEntity' AND name LIKE '%ring%' ORDER BY name, id LIMIT 5)")
 def gr_23_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.lookup(graph_from_tables(spark, sf_dir).labelled("CodeEntity"), "ring")
+    return patterns.lookup(stored_graph(spark, sf_dir).labelled("CodeEntity"), "ring")
 
 
 @query("SELECT c.dst customer, p.dst part, count(*) n FROM edges c JOIN edges p ON p.src=c.src WHERE c.rel_type='calls' AND p.rel_type='imports' GROUP BY 1,2")
 def join_03_shared_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two patterns that share their start: customers and parts that meet in orders."""
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     c, p = g.typed("calls").select("src", F.col("dst").alias("customer")), g.typed("imports").select("src", F.col("dst").alias("part"))
     return c.join(p, "src").groupBy("customer", "part").agg(F.count("*").alias("n"))
 
@@ -101,7 +101,7 @@ def prs_15_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_18_changed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One join for all changed files."""
     changed = spark.createDataFrame([("lib/Brand#1.java", "BODY"), ("src/n3.py", "BODY")], "path string, change_type string")
-    return changes.work(changed, graph_from_tables(spark, sf_dir).labelled("CodeEntity")).groupBy("id").agg(F.count("*").alias("n"))
+    return changes.work(changed, stored_graph(spark, sf_dir).labelled("CodeEntity")).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT * FROM (VALUES ('update_entity','sensitive_data'),('update_entity','region_rules'),('update_entity','http_entry_point'),('update_entity','large_unit'),('update_entity','upstream_chain'),('update_entity','open_suppliers')) v(\"function\", shape_id)", graph=False)
@@ -139,13 +139,13 @@ def fn_22_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, lines::INT lines, b branches, round(least(1.0::DOUBLE, lines/100.0::DOUBLE*0.5+b/20.0::DOUBLE*0.5),2) complexity, concat_ws(',', CASE WHEN b>10 THEN '_validate_inputs:'||least(30, lines//3) END, '_process_core:'||least(40, lines//3), CASE WHEN lines>200 THEN '_handle_errors:'||least(25, lines//5) END) parts FROM (SELECT id, lines, (lines//5)%16 b FROM nodes WHERE lines>100)")
 def act_05_refactor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = graph_from_tables(spark, sf_dir).nodes.select("id", "lines", F.expr("(lines div 5) % 16").cast("int").alias("branches"))
+    n = stored_graph(spark, sf_dir).nodes.select("id", "lines", F.expr("(lines div 5) % 16").cast("int").alias("branches"))
     return actions.eligible(n).select("id", "lines", "branches", "complexity", F.array_join("splits", ",").alias("parts"))
 
 
 @query("SELECT id, '## `'||name||'`'||chr(10)||chr(10)||'**Type**: `function`'||chr(10)||chr(10)||'**Parameters**:'||chr(10)||chr(10)||'- `a`'||chr(10)||'- `b`'||chr(10)||chr(10)||'**Returns**: `Any`'||chr(10) markdown FROM nodes WHERE id LIKE 'p:%'")
 def act_06_api_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = graph_from_tables(spark, sf_dir).nodes.where("id like 'p:%'")
+    n = stored_graph(spark, sf_dir).nodes.where("id like 'p:%'")
     return actions.api_docs(n.select("id", "name", "entity_type", F.array(F.lit("a"), F.lit("b")).alias("params"), F.lit(None).cast("string").alias("returns"), F.lit(None).cast("string").alias("docstring")))
 
 
@@ -161,7 +161,7 @@ DECISION_SQL = SHAPES_SQL + ", top AS (SELECT id, max(rk) rk FROM hits GROUP BY
 @query(DECISION_SQL + " SELECT CASE coalesce(rk,0) WHEN 3 THEN 'denied' WHEN 0 THEN 'approved' ELSE 'pending' END AS level, count(*) n FROM code LEFT JOIN top USING (id) GROUP BY 1")
 def act_13_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approval of a harmless function on every code entity: blocks are denied, whatever else triggers waits."""
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     decided = shapes.fused(g.labelled("CodeEntity"), shapes.results(g, shapes.SHAPES))
     asked = actions.checked(decided).select("*", F.lit(False).alias("requires_approval"), F.lit("query_entity").alias("function"))
     return actions.approvals(asked, on_block="auto_reject").groupBy("level").agg(F.count("*").alias("n"))
@@ -169,7 +169,7 @@ def act_13_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(DECISION_SQL + " SELECT coalesce(rk,0)=3 AS blocked, CASE coalesce(rk,0) WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::BIGINT n_warnings, count(*) n FROM code LEFT JOIN top USING (id) GROUP BY 1,2")
 def shp_10_action_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     decided = shapes.fused(g.labelled("CodeEntity"), shapes.results(g, shapes.SHAPES))
     return actions.checked(decided).groupBy(F.col("block_reason").isNotNull().alias("blocked"), F.size("warnings").cast("long").alias("n_warnings")).agg(F.count("*").alias("n"))
 
@@ -184,13 +184,13 @@ def act_14_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, label, name, CASE WHEN id='p:7' THEN 'restricted' ELSE sensitivity END sensitivity FROM nodes WHERE label='CodeEntity'")
 def snk_08_set_property(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = graph_from_tables(spark, sf_dir).labelled("CodeEntity")
+    n = stored_graph(spark, sf_dir).labelled("CodeEntity")
     return store.set_property(n, "p:7", "sensitivity", F.lit("restricted")).select("id", "label", "name", "sensitivity")
 
 
 @query("SELECT label, count(*) n FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges) GROUP BY label")
 def snk_09_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.orphans(graph_from_tables(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
+    return store.orphans(stored_graph(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id AS id, sha256(CASE WHEN doc_id%5=0 AND doc_id%2=0 THEN 'new' ELSE text END) sha FROM documents WHERE doc_id%3<>0 OR (doc_id%5=0 AND doc_id%2=0)", graph=False)
@@ -200,10 +200,12 @@ def snk_11_upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert_vectors(d.where("id % 3 <> 0"), new).select("id", F.sha2("text", 256).alias("sha"))
 
 
-@query("SELECT label, count(*) n FROM embeddings WHERE label <> 3 GROUP BY label", graph=False)
+@query("WITH gone AS (SELECT doc_id id FROM labels WHERE toxic=1) SELECT label::VARCHAR label, count(*) n FROM embeddings WHERE label <> 3 AND vec_id NOT IN (SELECT id FROM gone) GROUP BY 1 UNION ALL SELECT 'deleted', count(*) FROM embeddings WHERE label = 3 OR vec_id IN (SELECT id FROM gone)", graph=False)
 def snk_12_delete_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left after a delete by metadata."""
-    return table(spark, sf_dir, "embeddings").where("label <> 3").groupBy("label").agg(F.count("*").alias("n"))
+    """What is left after a delete by ids and by metadata, and how many rows it took."""
+    v = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    left, gone = vectors.delete(v, table(spark, sf_dir, "labels").where("toxic = 1").selectExpr("doc_id id"), F.col("label") == 3)
+    return left.groupBy(F.col("label").cast("string").alias("label")).agg(F.count("*").alias("n")).unionByName(gone.select(F.lit("deleted").alias("label"), "n"))
 
 
 @query("SELECT coalesce(label, 'none') || '/2' label, count(*) n FROM nodes WHERE label <> 'DocEntity' GROUP BY 1")
@@ -214,13 +216,13 @@ def ddl_05_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("1.9.0", lambda g: Graph(g.nodes.withColumn("label", F.concat("label", F.lit("/2"))).withColumn("label", F.regexp_replace("label", "^DocEntity/2$", "DocEntity")), g.edges)),
         ("2.0.0", lambda g: Graph(g.nodes.limit(0), g.edges)),
     ]
-    moved, _ = store.migrated(graph_from_tables(spark, sf_dir), steps, "1.2.0", "1.10.0")
+    moved, _ = store.migrated(stored_graph(spark, sf_dir), steps, "1.2.0", "1.10.0")
     return moved.nodes.groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) n, count(*) - count(DISTINCT id) repeated FROM nodes")
 def ddl_01_unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = graph_from_tables(spark, sf_dir).nodes.groupBy("id").agg(F.count("*").alias("k"))
+    per = stored_graph(spark, sf_dir).nodes.groupBy("id").agg(F.count("*").alias("k"))
     return per.agg(F.sum("k").alias("n"), F.sum(F.col("k") - 1).alias("repeated"))
 
 
@@ -240,7 +242,7 @@ def inc_03_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, count(*) FILTER (id IN (SELECT 's:'||l_suppkey FROM lineitem WHERE l_partkey=7)) n_stale, count(*) n FROM nodes WHERE label IN ('ServiceEntity','DocEntity') GROUP BY label")
 def inc_07_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     hit = g.typed("implements").where("src = 'p:7'").select(F.col("dst").alias("node_id"))
     nodes = g.nodes.where(F.col("label").isin("ServiceEntity", "DocEntity"))
     return changes.flagged(nodes, hit).groupBy("label").agg(F.count_if("stale").alias("n_stale"), F.count("*").alias("n"))
@@ -300,14 +302,14 @@ def agg_13_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) n, count(*) FILTER (id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)) isolated, round(100.0*count(*) FILTER (id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges))/count(*),4)::DOUBLE percent FROM nodes WHERE label='CodeEntity'")
 def agg_15_isolated_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     whole, alone = g.labelled("CodeEntity").agg(F.count("*").alias("n")), patterns.isolated(g, "CodeEntity").agg(F.count("*").alias("isolated"))
     return whole.join(alone, F.lit(True)).select("n", "isolated", F.round(100.0 * F.col("isolated") / F.col("n"), 4).alias("percent"))
 
 
 @query("SELECT entity_type, file_path, count(*) n, min(id) first, max(id) last FROM nodes WHERE label='CodeEntity' GROUP BY 1,2")
 def agg_12_ids_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_from_tables(spark, sf_dir).labelled("CodeEntity").groupBy("entity_type", "file_path").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    return stored_graph(spark, sf_dir).labelled("CodeEntity").groupBy("entity_type", "file_path").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 BOUNDS = (0.5, 1.0, 2.5, 5.0, 10.0)
@@ -322,7 +324,7 @@ def agg_20_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, name, priority::INT priority FROM (SELECT id, name, lines priority FROM nodes WHERE lines IS NOT NULL ORDER BY lines DESC, id LIMIT 10)")
 def srt_01_top_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_from_tables(spark, sf_dir).nodes.where("lines is not null").orderBy(F.desc("lines"), "id").limit(10).select("id", "name", F.col("lines").alias("priority"))
+    return stored_graph(spark, sf_dir).nodes.where("lines is not null").orderBy(F.desc("lines"), "id").limit(10).select("id", "name", F.col("lines").alias("priority"))
 
 
 @query("SELECT l_orderkey, string_agg(DISTINCT x, ',' ORDER BY x) covered FROM (SELECT l_orderkey, l_returnflag x FROM lineitem WHERE l_returnflag IN ('A','R')) GROUP BY 1", graph=False)
@@ -346,10 +348,10 @@ def fn_02_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", S.snake_to_camel(joined).alias("camel"), S.upper_snake(title).alias("snake"), S.relation_name(F.when(F.col("p_partkey") % 2 == 0, "hasPart").otherwise("ownsPart")).alias("relation"))
 
 
-@query("SELECT id, regexp_extract(file_path, '[^/]*$') base, regexp_replace(regexp_extract(file_path, '[^/]*$'), '\\.[^.]+$', '') stem, regexp_extract(file_path, '\\.[^./]+$') suffix, CASE WHEN file_path LIKE 'src/%' THEN substr(file_path, 5) ELSE file_path END relative, CASE WHEN file_path LIKE 'docs/%' THEN 'document' ELSE 'comment' END kind FROM nodes WHERE file_path IS NOT NULL")
+@query("SELECT id, regexp_extract(file_path, '[^/]*$') base, regexp_replace(regexp_extract(file_path, '[^/]*$'), '\\.[^.]+$', '') stem, regexp_extract(file_path, '\\.[^./]+$') suffix, CASE WHEN file_path LIKE 'src/%' THEN substr(file_path, 5) ELSE file_path END relative, CASE WHEN file_path LIKE 'docs/%' THEN 'module_doc' ELSE 'comment' END kind FROM nodes WHERE file_path IS NOT NULL")
 def fn_08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("file_path")
-    return graph_from_tables(spark, sf_dir).nodes.where("file_path is not null").select("id", S.basename(p).alias("base"), S.stem(p).alias("stem"), S.suffix(p).alias("suffix"), S.normal_path(p, "src").alias("relative"), S.doc_type(p).alias("kind"))
+    return stored_graph(spark, sf_dir).nodes.where("file_path is not null").select("id", S.basename(p).alias("base"), S.stem(p).alias("stem"), S.suffix(p).alias("suffix"), S.normal_path(p, "src").alias("relative"), S.doc_type(p).alias("kind"))
 
 
 @query("SELECT p_partkey, p_name LIKE 'red %' OR p_name LIKE '% red %' OR p_name LIKE '% red' OR p_name='red' bounded FROM part", graph=False)

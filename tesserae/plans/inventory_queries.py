@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entry_points
 from ..functions import scalars as S
-from ..graph import Graph, graph_from_tables, table
+from ..graph import Graph, stored_graph, table
 from ..operators import actions, capabilities, changes, clustering, impact, linking, patterns, shapes, store, vectors
 from ..sources import files
 from .graph_queries import ORACLE_SQL, QUERIES, query
@@ -46,28 +46,28 @@ def cases(name: str, function: Callable[[Column], Column], given: list[tuple[obj
 
 @query("SELECT id, name FROM nodes WHERE label='CodeEntity' AND entity_type='class' AND entry_category='http_api'")
 def fil_01_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_from_tables(spark, sf_dir).labelled("CodeEntity").where("entity_type = 'class' and entry_category = 'http_api'").select("id", "name")
+    return stored_graph(spark, sf_dir).labelled("CodeEntity").where("entity_type = 'class' and entry_category = 'http_api'").select("id", "name")
 
 
 @query("SELECT id, file_path FROM nodes WHERE starts_with(file_path, 'src/n1')")
 def fil_03_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_from_tables(spark, sf_dir).nodes.where(F.startswith("file_path", F.lit("src/n1"))).select("id", "file_path")
+    return stored_graph(spark, sf_dir).nodes.where(F.startswith("file_path", F.lit("src/n1"))).select("id", "file_path")
 
 
 @query("SELECT id, sensitivity FROM nodes WHERE sensitivity IS NOT NULL")
 def fil_05_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_from_tables(spark, sf_dir).nodes.where("sensitivity is not null").select("id", "sensitivity")
+    return stored_graph(spark, sf_dir).nodes.where("sensitivity is not null").select("id", "sensitivity")
 
 
 @query("SELECT label IS NOT NULL AS labelled, count(*) n FROM nodes GROUP BY 1")
 def fil_07_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_from_tables(spark, sf_dir).nodes.groupBy(F.col("label").isNotNull().alias("labelled")).agg(F.count("*").alias("n"))
+    return stored_graph(spark, sf_dir).nodes.groupBy(F.col("label").isNotNull().alias("labelled")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'none' given, count(*) n FROM edges UNION ALL SELECT 'two', count(*) FROM edges WHERE rel_type IN ('calls','extends')")
 def fil_08_optional_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of types that filters only if it holds any."""
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     count = lambda df, name: df.agg(F.lit(name).alias("given"), F.count("*").alias("n"))
     return count(g.typed(), "none").unionByName(count(g.typed("calls", "extends"), "two"))
 
@@ -75,20 +75,25 @@ def fil_08_optional_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 COSINE_SQL = "list_dot_product(a.embedding::DOUBLE[],b.embedding::DOUBLE[])/(sqrt(list_dot_product(a.embedding::DOUBLE[],a.embedding::DOUBLE[]))*sqrt(list_dot_product(b.embedding::DOUBLE[],b.embedding::DOUBLE[])))"
 
 
-@query(f"SELECT query_id, id FROM (SELECT a.vec_id query_id, b.vec_id id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1-{COSINE_SQL},9), b.vec_id) r FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id AND b.label=1 WHERE a.vec_id IN (0,3)) WHERE r<=5", graph=False)
-def fil_09_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata filters the vectors before their distances are computed."""
+def _of_label(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id in (0, 3)").selectExpr("vec_id query_id", "embedding vector")
-    return vectors.search(e.selectExpr("vec_id id", "embedding", "label"), asked, 5, F.col("label") == 1).select("query_id", "id")
+    asked = e.where("vec_id % 20 = 0").selectExpr("vec_id query_id", "embedding vector")
+    return vectors.search(e.selectExpr("vec_id id", "embedding", "label"), asked, k, F.col("label") == 1).select("query_id", "id")
+
 
+OF_LABEL_SQL = f"SELECT query_id, id FROM (SELECT a.vec_id query_id, b.vec_id id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1-{COSINE_SQL},9), b.vec_id) r FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id AND b.label=1 WHERE a.vec_id % 20 = 0) WHERE r<="
 
-@query()
+
+@query(OF_LABEL_SQL + "5", graph=False)
+def fil_09_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata filters the vectors before their distances are computed; every row whose id is divisible by 20 asks."""
+    return _of_label(spark, sf_dir, 5)
+
+
+@query(OF_LABEL_SQL + "10", graph=False)
 def fil_09_metadata_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every row whose id is divisible by 20."""
-    e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 20 = 0").selectExpr("vec_id query_id", "embedding vector")
-    return vectors.search_all(e.selectExpr("vec_id id", "embedding", "label"), asked, 5, F.col("label") == 1).select("query_id", "id")
+    """The same with ten neighbours each."""
+    return _of_label(spark, sf_dir, 10)
 
 
 PREDICATES = [("in", ("restricted", "public")), ("equals", "restricted"), ("exists", None), ("not_in", ("public", "internal")), ("not_equals", "public"), ("like", "x")]
@@ -97,7 +102,7 @@ PREDICATES = [("in", ("restricted", "public")), ("equals", "restricted"), ("exis
 @query(", f AS (SELECT src id, bool_or(sensitivity IN ('restricted','public')) i, bool_or(sensitivity='restricted') e, bool_and(sensitivity NOT IN ('public','internal')) ni, bool_and(sensitivity<>'public') ne, count(sensitivity)>0 x FROM edges JOIN nodes n ON n.id=dst WHERE rel_type='imports' GROUP BY 1) SELECT 'in' \"operator\", count(*) FILTER (i) n FROM f UNION ALL SELECT 'equals', count(*) FILTER (e) FROM f UNION ALL SELECT 'exists', count(*) FILTER (x) FROM f UNION ALL SELECT 'not_in', count(*) FILTER (x AND ni) FROM f UNION ALL SELECT 'not_equals', count(*) FILTER (x AND ne) FROM f UNION ALL SELECT 'like', 0")
 def fil_10_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many entities each predicate over the values at their paths' ends holds for; unknown ones hold for none."""
-    g, out = graph_from_tables(spark, sf_dir), None
+    g, out = stored_graph(spark, sf_dir), None
     for operator, value in PREDICATES:
         one = shapes.triggered(g, shapes.Shape(operator, "IMPORTS -> CodeEntity", "sensitivity", operator, value, "warn")).agg(F.lit(operator).alias("operator"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
@@ -112,13 +117,13 @@ def fil_12_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id AS node_id, name AS title, lines::BIGINT AS size_lines FROM nodes WHERE label='CodeEntity'")
 def fil_13_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_from_tables(spark, sf_dir).labelled("CodeEntity").select(F.col("id").alias("node_id"), F.col("name").alias("title"), F.col("lines").cast("long").alias("size_lines"))
+    return stored_graph(spark, sf_dir).labelled("CodeEntity").select(F.col("id").alias("node_id"), F.col("name").alias("title"), F.col("lines").cast("long").alias("size_lines"))
 
 
 @query('SELECT id, file_path AS "filePath", entry_category AS "entryCategory" FROM nodes WHERE label=\'CodeEntity\'')
 def fil_15_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns in snake case as camel case, for readers that expect it."""
-    df = graph_from_tables(spark, sf_dir).labelled("CodeEntity").select("id", "file_path", "entry_category")
+    df = stored_graph(spark, sf_dir).labelled("CodeEntity").select("id", "file_path", "entry_category")
     camel = lambda c: c.split("_")[0] + "".join(x.title() for x in c.split("_")[1:])
     return df.withColumnsRenamed({c: camel(c) for c in df.columns})
 
@@ -142,13 +147,13 @@ def fil_18_ontology_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fil_19_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allowed entities, written as label:name, never trigger."""
     names = [r[0] for r in table(spark, sf_dir, "part").where("p_partkey in (1, 2, 3)").select("p_name").collect()]
-    return shapes.triggered(graph_from_tables(spark, sf_dir), shapes.Shape("large", "SELF", "lines", ">", 100, "warn", 1, allow=tuple(f"CodeEntity:{n}" for n in names)))
+    return shapes.triggered(stored_graph(spark, sf_dir), shapes.Shape("large", "SELF", "lines", ">", 100, "warn", 1, allow=tuple(f"CodeEntity:{n}" for n in names)))
 
 
 @query("SELECT 'on' shape_id, count(*) n FROM nodes WHERE label='CodeEntity' AND lines>100")
 def fil_20_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [shapes.Shape(n, "SELF", "lines", ">", 100, "warn", 1, enabled=n == "on") for n in ("on", "off")]
-    return shapes.results(graph_from_tables(spark, sf_dir), rules).groupBy("shape_id").agg(F.count("*").alias("n"))
+    return shapes.results(stored_graph(spark, sf_dir), rules).groupBy("shape_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id FROM events WHERE event_type IN ('click','view') AND value/100.0>=0.5", graph=False)
@@ -246,7 +251,7 @@ def fn_38_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", c AS (SELECT label, count(*) n FROM nodes GROUP BY 1) SELECT sum(n)::BIGINT total FROM c")
 def agg_04_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_from_tables(spark, sf_dir).nodes.groupBy("label").count().agg(F.sum("count").alias("total"))
+    return stored_graph(spark, sf_dir).nodes.groupBy("label").count().agg(F.sum("count").alias("total"))
 
 
 @query("SELECT l_partkey, max(l_quantity) best, arg_max(l_suppkey, (l_quantity, -l_orderkey, -l_linenumber)) supplier FROM lineitem GROUP BY 1", graph=False)
@@ -274,14 +279,14 @@ def agg_17_changes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT dst node, 1 hops, row_number() OVER (ORDER BY dst) place FROM edges WHERE src='n:3'")
 def srt_02_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = patterns.paths(graph_from_tables(spark, sf_dir).edges, graph_from_tables(spark, sf_dir).nodes.where("id = 'n:3'"), 1, 1)
+    found = patterns.paths(stored_graph(spark, sf_dir).edges, stored_graph(spark, sf_dir).nodes.where("id = 'n:3'"), 1, 1)
     return found.select("node", "hops", F.row_number().over(Window.partitionBy("hops").orderBy("node")).alias("place"))
 
 
 @query("SELECT id, name FROM nodes WHERE label='CodeEntity' ORDER BY name, id LIMIT 100")
 def srt_04_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred by name: a limit after a total order, so each task keeps a hundred rows."""
-    return graph_from_tables(spark, sf_dir).labelled("CodeEntity").select("id", "name").orderBy("name", "id").limit(100)
+    return stored_graph(spark, sf_dir).labelled("CodeEntity").select("id", "name").orderBy("name", "id").limit(100)
 
 
 @query("SELECT * FROM (VALUES ('region_rules',10),('sensitive_data',10),('upstream_chain',6),('http_entry_point',5),('large_unit',3),('open_suppliers',2)) v(shape_id, priority)", graph=False)
@@ -291,7 +296,7 @@ def srt_06_shapes_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'out' direction, dst other FROM edges WHERE src='p:7' UNION ALL SELECT 'in', src FROM edges WHERE dst='p:7'")
 def set_01_both_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph_from_tables(spark, sf_dir).edges
+    e = stored_graph(spark, sf_dir).edges
     return e.where("src = 'p:7'").select(F.lit("out").alias("direction"), F.col("dst").alias("other")).unionByName(e.where("dst = 'p:7'").select(F.lit("in").alias("direction"), F.col("src").alias("other")))
 
 
@@ -315,7 +320,7 @@ def set_05_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT src, dst FROM edges JOIN nodes a ON a.id=src JOIN nodes b ON b.id=dst WHERE rel_type='imports' AND b.sensitivity IS NOT NULL")
 def join_05_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges both of whose ends exist, here with marked ends; the others dangle."""
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     ids = g.nodes.select("id")
     ends = g.nodes.where("sensitivity is not null").select(F.col("id").alias("dst"))
     return g.typed("imports").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ends, "dst", "left_semi").select("src", "dst")
@@ -360,12 +365,12 @@ def vec_08_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(", v AS (SELECT id, list(DISTINCT name) n FROM (SELECT src id, n.name FROM edges JOIN nodes n ON n.id=dst WHERE rel_type='extends') GROUP BY 1) SELECT id, n[1] AS value FROM v")
 def shp_07_path_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values at the ends of each entity's path."""
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return patterns.paths(g.typed("extends"), g.nodes, 1, 1).join(g.nodes.select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value")
 
 
 def _swapped(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return g, table(spark, sf_dir, "part")
 
 
@@ -380,7 +385,7 @@ def snk_02_batch_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT src, dst, rel_type, CASE WHEN rel_type='extends' AND src LIKE 's:%' THEN 0.25 ELSE weight END weight FROM edges")
 def snk_05_batch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of edges merged by its key; those without an end in the graph are dropped."""
-    g, s = graph_from_tables(spark, sf_dir), table(spark, sf_dir, "supplier")
+    g, s = stored_graph(spark, sf_dir), table(spark, sf_dir, "supplier")
     batch = s.selectExpr("concat('s:', s_suppkey) src", "concat('n:', s_nationkey) dst", "'extends' rel_type", "0.25D weight").unionByName(s.selectExpr("concat('s:', s_suppkey) src", "'nowhere' dst", "'extends' rel_type", "1D weight"))
     return store.upsert_edges(g, batch)
 
@@ -388,19 +393,19 @@ def snk_05_batch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 0::BIGINT n_nodes, 0::BIGINT n_edges")
 def snk_10_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes deleted, and with them all edges."""
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     left = store.delete_nodes(g, g.nodes)
     return left.nodes.agg(F.count("*").alias("n_nodes")).join(F.broadcast(left.edges.agg(F.count("*").alias("n_edges"))))
 
 
 @query("SELECT c_nationkey::VARCHAR community, string_agg(DISTINCT c_name, ',' ORDER BY c_name) classes, 0::BIGINT n_functions FROM customer GROUP BY 1", graph=False)
 def gr_16_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = graph_from_tables(spark, sf_dir).nodes.where("entity_type = 'class'").select("id", "file_path", "entity_type", "name")
+    n = stored_graph(spark, sf_dir).nodes.where("entity_type = 'class'").select("id", "file_path", "entity_type", "name")
     members = table(spark, sf_dir, "customer").selectExpr("concat('c:', c_custkey) id", "cast(c_nationkey as string) community")
     return clustering.described(members, n).select("community", "classes", F.col("n_functions").cast("long").alias("n_functions"))
 
 
-@query("SELECT sha256(string_agg('c:'||c_custkey, ',' ORDER BY 'c:'||c_custkey)) module_id, count(*) n FROM customer GROUP BY c_nationkey", graph=False)
+@query("SELECT substr(sha256('module|'||sum(('0x'||substr(md5('c:'||c_custkey),1,12))::BIGINT)::VARCHAR||'|'||count(*)),1,32) module_id, count(*) n FROM customer GROUP BY c_nationkey", graph=False)
 def gr_17_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules are known by their members, so that equal names do not collide."""
     members = table(spark, sf_dir, "customer").selectExpr("concat('c:', c_custkey) id", "c_nationkey community")

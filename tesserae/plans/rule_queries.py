@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..graph import graph_from_tables, table
+from ..graph import stored_graph, table
 from ..operators import impact, patterns, shapes, vectors
 from ..sources import java
 from .graph_queries import query
@@ -80,7 +80,7 @@ def fil_22_axiom_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gr_08_merged_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best score of each node and direction, at the smallest depth that has it."""
     found = table(spark, sf_dir, "lineitem").selectExpr("concat('p:', l_partkey) node_id", "if(l_suppkey % 2 = 0, 'forward', 'backward') direction", "l_quantity / 100.0D score", "l_linenumber % 3 + 1 depth")
-    return impact.merged(found, graph_from_tables(spark, sf_dir).nodes.where("id like 'p:%'")).select("node_id", "direction", "impact_score", "depth")
+    return impact.merged(found, stored_graph(spark, sf_dir).nodes.where("id like 'p:%'")).select("node_id", "direction", "impact_score", "depth")
 
 
 @query("SELECT node_id, max(s) best, count(*) n FROM (SELECT 'p:'||l_partkey node_id, l_discount s FROM lineitem UNION ALL SELECT 'p:'||p_partkey, 0.05 FROM part) GROUP BY 1", graph=False)
@@ -114,7 +114,7 @@ def join_14_aligned_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT src id, n.name region, 'critical' severity FROM edges JOIN nodes n ON n.id=dst WHERE rel_type='semantic_impact' AND n.name IN ('ASIA','EUROPE')")
 def act_08_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities subject to items of high severity."""
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     items = g.labelled("RepositoryEntity").where("name in ('ASIA', 'EUROPE')").select(F.col("id").alias("node"), F.col("name").alias("region"))
     return patterns.paths(g.typed("semantic_impact"), g.nodes, 1, 1).join(items, "node").select(F.col("start").alias("id"), "region", F.lit("critical").alias("severity"))
 

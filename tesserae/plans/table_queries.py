@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..graph import graph_from_tables, table
+from ..graph import stored_graph, table
 from ..operators import changes, linking, shapes, store, tables, vectors
 from ..streaming import events as stream
 from .graph_queries import query
@@ -25,7 +25,7 @@ SHAPES_SQL = """, code AS (SELECT * FROM nodes WHERE label='CodeEntity'),
 
 @query(SHAPES_SQL + " SELECT id, shape_id, severity, priority::BIGINT priority FROM hits")
 def shp_06_shape_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes.results(graph_from_tables(spark, sf_dir), shapes.SHAPES).select("id", "shape_id", "severity", F.col("priority").cast("long").alias("priority"))
+    return shapes.results(stored_graph(spark, sf_dir), shapes.SHAPES).select("id", "shape_id", "severity", F.col("priority").cast("long").alias("priority"))
 
 
 @query(SHAPES_SQL + """, top AS (SELECT id, max(rk) rk, count(*) n FROM hits GROUP BY id), mp AS (SELECT id, max(priority) p FROM hits JOIN top USING (id, rk) GROUP BY id),
@@ -33,19 +33,19 @@ def shp_06_shape_results(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT c.id, CASE coalesce(rk,0) WHEN 0 THEN 'allow' WHEN 1 THEN 'warn' WHEN 2 THEN 'escalate' ELSE 'block' END decision, coalesce(n,0) n_triggered, coalesce(s,'') suggestion FROM code c LEFT JOIN top USING (id) LEFT JOIN sug USING (id)""")
 def shape_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All shapes for all code entities, fused to one decision each."""
-    g = graph_from_tables(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return shapes.fused(g.labelled("CodeEntity"), shapes.results(g, shapes.SHAPES)).withColumn("n_triggered", F.col("n_triggered").cast("long"))
 
 
 @query(SHAPES_SQL + " SELECT shape_id, count(*) n FROM hits GROUP BY shape_id")
 def agg_09_hits_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes.results(graph_from_tables(spark, sf_dir), shapes.SHAPES).groupBy("shape_id").agg(F.count("*").alias("n"))
+    return shapes.results(stored_graph(spark, sf_dir), shapes.SHAPES).groupBy("shape_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT id FROM nodes WHERE label='CodeEntity' AND lines > 100 AND id IN (SELECT id FROM nodes WHERE name NOT LIKE '%1') AND coalesce(sensitivity,'') NOT IN ('public','internal')")
 def fil_11_exemption(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = shapes.Shape("large", "SELF", "lines", ">", 100, "warn", 1, field_filter="name not like '%1'", unless=("sensitivity", ("public", "internal")))
-    return shapes.triggered(graph_from_tables(spark, sf_dir), shape)
+    return shapes.triggered(stored_graph(spark, sf_dir), shape)
 
 
 @query("SELECT 'rel_'||n_nationkey id, 'SEMANTIC_IMPACT -> RepositoryEntity' path, 'id' field, 'exists' \"operator\", NULL::VARCHAR AS value, CASE WHEN n_nationkey/25.0 < 0.7 THEN 'allow' ELSE 'warn' END severity, n_nationkey/25.0::DOUBLE confidence FROM nation UNION ALL SELECT 'type_'||r_regionkey, 'SELF', 'name', 'in', r_name, 'warn', 0.5 FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'enum_seg', 'SELF', 'c_mktsegment', 'in', string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment), 'block', 1.0 FROM customer", graph=False)
@@ -112,19 +112,59 @@ def prs_08_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.sections(table(spark, sf_dir, "documents"))
 
 
-@query("SELECT q.vec_id query_id, v.vec_id id, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1-list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id) rank FROM embeddings q JOIN embeddings v ON v.vec_id<>q.vec_id WHERE q.vec_id < 20 QUALIFY rank <= 5", graph=False)
-def vec_02_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    asked = v.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vectors.search(v, asked).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+NEAREST_SQL = "SELECT q.vec_id query_id, v.vec_id id, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1-list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id) rank FROM embeddings q JOIN embeddings v ON v.vec_id<>q.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= "
 
 
-@query()
-def vec_02_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Every row whose id is divisible by 20 against all rows."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vectors.search_all(v, asked).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    return vectors.search(v, asked, k).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(NEAREST_SQL + "5", graph=False)
+def vec_02_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, 5)
+
+
+@query(NEAREST_SQL + "10", graph=False)
+def vec_02_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ten neighbours each."""
+    return _nearest(spark, sf_dir, 10)
+
+
+#: Counts of the words of a text in 64 places by their hash, as vectors.hashed() makes them, and texts of conversations.
+TALK_SQL = """WITH t AS (SELECT conv_id*1000+turn id, role, text, regexp_extract_all(lower(text), '[a-z0-9]+') ws FROM conversations),
+ p AS (SELECT id, list_transform(ws, lambda w: ('0x'||substr(md5(w),1,8))::BIGINT % 64) ps FROM t), h AS (SELECT id, list_transform(range(64), lambda k: len(list_filter(ps, lambda x: x = k))::DOUBLE) e FROM p),
+ v AS (SELECT t.id, role, text, e, sqrt(list_dot_product(e, e)) n FROM t JOIN h USING (id) WHERE list_dot_product(e, e) > 0)"""
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+    return t.withColumn("embedding", vectors.hashed(F.col("text"), 64))
+
+
+@query(TALK_SQL + " SELECT q.id query_id, v.id, v.role, length(v.text) n_chars, round(1-list_dot_product(v.e,q.e)/(v.n*q.n), 9) distance FROM v q JOIN v ON v.id<>q.id WHERE q.id % 20 = 0 AND v.role='assistant' QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY 1-list_dot_product(v.e,q.e)/(v.n*q.n), v.id) <= 3", graph=False)
+def vec_01_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers nearest to the text of every turn whose id is divisible by 20."""
+    talk = _talk(spark, sf_dir)
+    found = vectors.text_search(talk, talk.where("id % 20 = 0").selectExpr("id query_id", "text"), lambda c: vectors.hashed(c, 64), 3, F.col("role") == "assistant")
+    return found.select("query_id", "id", "role", F.length("text").cast("long").alias("n_chars"), F.round("distance", 9).alias("distance"))
+
+
+@query(TALK_SQL + " SELECT q.id query_id, v.id, v.role AS business_domain, round(1/(1+1-list_dot_product(v.e,q.e)/(v.n*q.n)), 4) confidence FROM v q JOIN v ON v.id<>q.id AND (q.id % 40 = 0 OR v.role=q.role) WHERE q.id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY 1-list_dot_product(v.e,q.e)/(v.n*q.n), v.id) <= 2", graph=False)
+def vec_11_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as capabilities of their role's domain, found by text; every other wish names a domain."""
+    talk = _talk(spark, sf_dir)
+    known = talk.selectExpr("id", "role name", "role business_domain", "text searchable")
+    wishes = talk.where("id % 20 = 0").selectExpr("id query_id", "text", "case when id % 40 <> 0 then role end business_domain")
+    return vectors.capabilities_found(known, wishes, lambda c: vectors.hashed(c, 64), 2).select("query_id", "id", "business_domain", "confidence")
+
+
+@query("SELECT vec_id id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic=1)", graph=False)
+def src_08_vectors_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return vectors.get(v, table(spark, sf_dir, "labels").where("toxic = 1").selectExpr("doc_id id")).select("id", "label")
 
 
 @query("SELECT count(*) n FROM embeddings WHERE label = 3", graph=False)
@@ -132,25 +172,28 @@ def vec_03_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.count(table(spark, sf_dir, "embeddings"), F.col("label") == 3)
 
 
-@query("WITH g AS (SELECT q.vec_id query_id, (v.label=q.label) ok, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1-list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id) r FROM embeddings q JOIN embeddings v ON v.vec_id<>q.vec_id WHERE q.vec_id < 50 QUALIFY r<=3) SELECT round(avg(CASE WHEN t1 THEN 1.0 ELSE 0 END),6) recall_1, round(avg(CASE WHEN t3 THEN 1.0 ELSE 0 END),6) recall_3 FROM (SELECT query_id, bool_or(ok AND r=1) t1, bool_or(ok) t3 FROM g GROUP BY 1)", graph=False)
+RECALL_SQL = "WITH g AS (SELECT q.vec_id query_id, (v.label=q.label) ok, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1-list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id) r FROM embeddings q JOIN embeddings v ON v.vec_id<>q.vec_id WHERE q.vec_id % 20 = 0 QUALIFY r<={k}) SELECT round(avg(CASE WHEN t1 THEN 1.0 ELSE 0 END),6) recall_1, round(avg(CASE WHEN t3 THEN 1.0 ELSE 0 END),6) recall_3 FROM (SELECT query_id, bool_or(ok AND r=1) t1, bool_or(ok) t3 FROM g GROUP BY 1)"
+
+
+@query(RECALL_SQL.replace("{k}", "3"), graph=False)
 def agg_14_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of queries whose own label is found at rank 1 and among the first 3."""
-    return _recall(table(spark, sf_dir, "embeddings"), "id < 50", vectors.search)
+    """Share of every twentieth row whose own label is found at rank 1 and among the first 3."""
+    return _recall(table(spark, sf_dir, "embeddings"), 3)
 
 
-@query()
+@query(RECALL_SQL.replace("{k}", "10").replace("recall_3", "recall_10"), graph=False)
 def agg_14_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over every row whose id is divisible by 20."""
-    return _recall(table(spark, sf_dir, "embeddings"), "id % 20 = 0", vectors.search_all)
+    """The same among the first 10."""
+    return _recall(table(spark, sf_dir, "embeddings"), 10)
 
 
-def _recall(e: DataFrame, asked: str, search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+def _recall(e: DataFrame, k: int) -> DataFrame:
     v = e.select(F.col("vec_id").alias("id"), "embedding")
-    found = search(v, v.where(asked).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 3)
+    found = vectors.search(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), k)
     labels = e.select(F.col("vec_id").alias("id"), F.col("label").alias("l"))
-    ok = found.join(labels, "id").join(labels.where(asked).toDF("query_id", "q"), "query_id").withColumn("ok", F.col("l") == F.col("q"))
+    ok = found.join(labels, "id").join(labels.where("id % 20 = 0").toDF("query_id", "q"), "query_id").withColumn("ok", F.col("l") == F.col("q"))
     per = ok.groupBy("query_id").agg(F.bool_or(F.col("ok") & (F.col("rank") == 1)).alias("t1"), F.bool_or("ok").alias("t3"))
-    return per.agg(F.round(F.avg(F.col("t1").cast("double")), 6).alias("recall_1"), F.round(F.avg(F.col("t3").cast("double")), 6).alias("recall_3"))
+    return per.agg(F.round(F.avg(F.col("t1").cast("double")), 6).alias("recall_1"), F.round(F.avg(F.col("t3").cast("double")), 6).alias(f"recall_{k}"))
 
 
 @query("SELECT DISTINCT c_name AS name, CASE WHEN c_custkey%4=0 THEN 'n'||c_custkey WHEN c_custkey%4=1 THEN 'a'||c_custkey END concept_id, CASE c_custkey%4 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' ELSE 'none' END AS method, CASE WHEN c_custkey%4<2 THEN 1.0 ELSE 0.0 END::DOUBLE confidence FROM customer", graph=False)

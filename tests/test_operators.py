@@ -55,7 +55,7 @@ def test_impact_of_random_graphs(spark):
     changed = spark.createDataFrame([(f"{g}:0", "BODY") for g in range(30)], "id string, change string")
     got: dict = {}
     for r in impact.impact(spark.createDataFrame(rows, EDGE).distinct(), changed).where("direction = 'BACKWARD'").collect():
-        got.setdefault(r.source, {})[r.node_id] = round(r.score, 6)
+        got.setdefault(f"{r.node_id.split(':')[0]}:0", {})[r.node_id] = round(r.score, 6)
     for g in range(30):
         steps: dict = {}
         for a, b, k, _ in rows:
@@ -63,6 +63,22 @@ def test_impact_of_random_graphs(spark):
         assert got.get(f"{g}:0", {}) == walk(steps, f"{g}:0")
 
 
+def test_impact_of_many_sources_is_the_best_of_each(spark):
+    """Sources that reach one another, in cycles too: the merged search against one search a source."""
+    rng = random.Random(6)
+    rows = sorted({(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}", rng.choice([*impact.WEIGHTS, "unknown"]), 1.0) for _ in range(70)})
+    sources = [f"n{k}" for k in range(0, 25, 4)]
+    got = {r.node_id: (round(r.score, 6), r.depth) for r in impact.impact(spark.createDataFrame(rows, EDGE), spark.createDataFrame([(x, "BODY") for x in sources], "id string, change string")).where("direction = 'BACKWARD'").collect()}
+    steps: dict = {}
+    for a, b, k, _ in rows:
+        steps.setdefault(a, []).append((k, b))
+    want: dict = {}
+    for source in sources:
+        for m, s in walk(steps, source).items():
+            want[m] = max(s, want.get(m, 0))
+    assert {m: s for m, (s, _) in got.items()} == want
+
+
 def test_label_propagation_and_cohesion(spark):
     assert set(clustering.sweep({"a": {"b", "c"}, "b": {"a", "c"}, "c": {"a", "b"}}).values()).__len__() == 1
     assert len(set(clustering.sweep({"a": {"b"}, "b": {"a"}, "c": {"d"}, "d": {"c"}}).values())) == 2
@@ -76,7 +92,8 @@ def test_label_propagation_and_cohesion(spark):
         adjacency.setdefault(a, set()).add(b)
         adjacency.setdefault(b, set()).add(a)
     assert {r.id: r.community for r in clustering.label_propagation(frame).collect()} == clustering.sweep(adjacency)
-    assert clustering.label_propagation(frame, one_task=1).count() == len(adjacency)
+    alone = spark.createDataFrame([("zz",), ("zz",), (next(iter(adjacency)),)], "id string")
+    assert {r.id: r.community for r in clustering.label_propagation(frame, alone, one_task=1).collect()} == clustering.sweep(adjacency) | {"zz": "zz"}
     members = spark.createDataFrame([("1", "t"), ("2", "t"), ("3", "t"), ("4", "c"), ("5", "c"), ("6", "c"), ("7", "s")], "id string, community string")
     inside = spark.createDataFrame([("1", "2"), ("2", "3"), ("1", "3"), ("4", "5"), ("5", "6")], "a string, b string")
     assert {r.community: round(r.cohesion, 6) for r in clustering.cohesion(inside, members).collect()} == {"t": 1.0, "c": round(2 / 3, 6), "s": 0.0}
@@ -356,15 +373,39 @@ def test_registered_searches_ask_every_twentieth_row(spark):
 
     near = {q: sorted((distance(r.embedding, e[q].embedding), i) for i, r in e.items() if i != q) for q in e if q % 20 == 0}
     want = {(q, i, k + 1) for q, best in near.items() for k, (_, i) in enumerate(best[:5])}
-    assert {tuple(r) for r in catalog.QUERIES["vec_02_search_all"](spark, sf).collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["vec_02_search"](spark, sf).collect()} == want
     labelled = {(q, i) for q, best in near.items() for _, i in [b for b in best if e[b[1]].label == 1][:5]}
-    assert {tuple(r) for r in catalog.QUERIES["fil_09_metadata_all"](spark, sf).collect()} == labelled
+    assert {tuple(r) for r in catalog.QUERIES["fil_09_metadata"](spark, sf).collect()} == labelled
     hits = [[e[i].label == e[q].label for _, i in best[:3]] for q, best in near.items()]
-    recall = catalog.QUERIES["agg_14_recall_all"](spark, sf).first()
+    recall = catalog.QUERIES["agg_14_recall"](spark, sf).first()
     assert recall.recall_1 == round(sum(h[0] for h in hits) / len(hits), 6) and recall.recall_3 == round(sum(map(any, hits)) / len(hits), 6)
     v = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id id", "embedding")
     asked = v.where("id % 20 = 0").selectExpr("id query_id", "embedding vector")
-    assert {(r.query_id, r.id, r["rank"]) for r in vectors.search_all(v, asked, block=3).collect()} == want
+    assert {(r.query_id, r.id, r["rank"]) for r in vectors.search(v, asked, block=3).collect()} == want
+
+
+def test_vector_search_odd_rows(spark):
+    rows = [(0, [1.0, 0.0], "a"), (1, [0.0, 2.0], "a"), (2, None, "a"), (3, [0.0, 0.0], "a"), (4, [1.0], "a"), (5, [1.0, 1.0], "b"), (6, [2.0, 2.0], None)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>, kind string")
+    asked = spark.createDataFrame([(0, [1.0, 0.0], "b"), (9, [1.0, 0.0], None), (3, [0.0, 0.0], None), (8, None, None)], "query_id long, vector array<float>, kind string")
+    got = sorted((r.query_id, r["rank"], r.id) for r in vectors.search(v, asked, 3, within="kind").collect())
+    assert got == [(0, 1, 5), (9, 1, 0), (9, 2, 5), (9, 3, 6)]
+    assert vectors.search(v, asked.limit(0)).count() == 0 and vectors.search(v.limit(0), asked).count() == 0
+    left, gone = vectors.delete(v, spark.createDataFrame([(0,), (77,), (0,)], "id long"), F.col("kind") == "b")
+    assert sorted(r.id for r in left.collect()) == [1, 2, 3, 4, 6] and gone.first().n == 2
+
+
+def test_jaccard_of_sets(spark):
+    rng = random.Random(3)
+    sets = {k: {rng.randrange(12) for _ in range(rng.randrange(1, 7))} for k in range(60)}
+    frame = spark.createDataFrame([(k, x) for k, s in sets.items() for x in s for _ in range(2)] + [(None, 1), (99, None)], "id int, item int")
+    reps = {}
+    for k, s in sorted(sets.items()):
+        reps.setdefault(frozenset(s), k)
+    assert {r.id: r.rep for r in clustering.set_classes(frame).collect()} == {k: reps[frozenset(s)] for k, s in sets.items()}
+    chosen = sorted(reps.values())
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in chosen for b in chosen if a < b and len(sets[a] & sets[b]) > 0.4 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b): round(r.overlap, 6) for r in clustering.jaccard(frame, 0.4).collect()} == want
 
 
 def test_registered_impacts_take_all_modules(spark):
