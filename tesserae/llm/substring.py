@@ -5,7 +5,8 @@ two positions some shift below 31 brings both into the cover, so two equal windo
 Anchors that occur once are dropped. Around the others the match is extended: each window of 50 words that contains one
 is hashed (96 bits), and goes where the same window starts under a smaller key. Windows are judged on the input.
 
-Shuffled are anchors and the windows around repeated ones, never pairs of documents. Two equal windows meet by the
+Shuffled are anchors and the windows around repeated ones, never pairs of documents; a text has one row for a window
+however often it repeats it, so texts of a repeated line make no large groups. Two equal windows meet by the
 anchor they share, so windows around anchors of at most HOT occurrences and windows around hotter ones are handled
 apart. Of the former a group holds at most PERIOD * HOT rows, HOT for each alignment, and is sorted. The latter are first
 reduced to their smallest key, within tasks before the shuffle, and then joined back, a join whose hot keys Spark splits.
@@ -67,11 +68,21 @@ def anchors(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "anchor long, key long, pos int")
 
 
+def _digests(words: list[bytes], at: np.ndarray) -> np.ndarray:
+    """Three 32-bit numbers for each window of 50 words that starts there."""
+    joined, starts, ends = word_bounds(words)
+    digest = xxhash.xxh3_128_digest
+    found = b"".join([digest(joined[s:e]) for s, e in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)])
+    return np.frombuffer(found, "<i4").reshape(-1, 4)[:, :3]
+
+
 def _windows(marked: DataFrame, hot: bool, limit: int) -> DataFrame:
-    """(h1, h2, key, tag, pos): windows of 50 words around repeated anchors; marked: (key, text, marks of (pos, n))."""
+    """(h1, h2, key, tag, pos): windows of 50 words around repeated anchors; marked: (key, text, marks of (pos, n)).
+
+    A window that a text repeats is one row, with the inverted bits of its first place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for whole in batches:
             for b in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
                 cols: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -93,9 +104,12 @@ def _windows(marked: DataFrame, hot: bool, limit: int) -> DataFrame:
                     at = np.flatnonzero(near(pos[often] if hot else pos[~often]))
                     if not len(at):
                         continue
-                    joined, starts, ends = word_bounds(words)
-                    got = np.frombuffer(b"".join([digest(joined[s:e]) for s, e in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)]), "<i4").reshape(-1, 4)
-                    for c, v in zip(cols, (np.ascontiguousarray(got[:, :2]).view("<i8")[:, 0], got[:, 2], np.full(len(at), d, np.int64), np.full(len(at), _tag(x), np.int32), at.astype(np.int32)), strict=True):
+                    got = _digests(words, at)
+                    h1, h2 = np.ascontiguousarray(got[:, :2]).view("<i8")[:, 0], got[:, 2]
+                    if len(np.unique(h1)) < len(h1):
+                        _, first, times = np.unique(got, axis=0, return_index=True, return_counts=True)
+                        h1, h2, at = h1[first], h2[first], np.where(times > 1, ~at[first], at[first])
+                    for c, v in zip(cols, (h1, h2, np.full(len(at), d, np.int64), np.full(len(at), _tag(x), np.int32), at.astype(np.int32)), strict=True):
                         c.append(v)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h1", "h2", "key", "tag", "pos"])
@@ -104,7 +118,7 @@ def _windows(marked: DataFrame, hot: bool, limit: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """(key, cuts): for each key with any, the (tag, pos) of windows that also start under a smaller key."""
+    """(key, cuts): for each key with any, the (tag, pos) of windows that also start under a smaller key, pos as in _windows()."""
     found = anchors(docs, key, text)
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     marks = materialise(found.join(again, "anchor").groupBy("key").agg(F.collect_list(F.struct("pos", F.col("n").cast("int").alias("n"))).alias("m")).select("key", F.col("m.pos").alias("pos"), F.col("m.n").alias("n")))
@@ -124,11 +138,14 @@ def _kept(text: str | None, cuts: list[dict] | None) -> tuple[list[bytes], np.nd
     gone = np.zeros(len(words), bool)
     if cuts:
         tag = _tag(text or "")
+        at = np.array([c["pos"] for c in cuts if c["tag"] == tag], np.int64)
+        if (at < 0).any():
+            every = [x.tobytes() for x in _digests(words, np.arange(len(words) - WINDOW + 1))]
+            again = {every[~p] for p in at[at < 0].tolist()}
+            at = np.concatenate((at[at >= 0], np.flatnonzero([x in again for x in every])))
         edge = np.zeros(len(words) + 1, np.int64)
-        for c in cuts:
-            if c["tag"] == tag:
-                edge[c["pos"]] += 1
-                edge[c["pos"] + WINDOW] -= 1
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + WINDOW, -1)
         gone = np.cumsum(edge[:-1]) > 0
     return words, gone
 
