@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import complexity
+from ..functions.scalars import approval_token, complexity
 
 # Danger levels of the functions, and those that need no approval.
 DANGER = {
@@ -97,3 +97,22 @@ def consulted(functions: DataFrame, shapes: DataFrame) -> DataFrame:
     named = functions.select("function", F.explode(F.array_distinct("capabilities")).alias("c"))
     parts = named.select("function", F.substring_index("c", ":", 1).alias("label"), F.upper(F.substring_index("c", ":", -1)).alias("operation"))
     return parts.join(shapes, ["label", "operation"]).select("function", "shape_id").distinct()
+
+
+def step_approvals(steps: DataFrame, target: str, session: str, nonce: str) -> DataFrame:
+    """steps (step, decision) of a plan with token: a one-time token for those to escalate, null for the others; blocked ones may not go on."""
+    token = approval_token(F.concat(F.lit("dag:"), "step"), F.lit(target), F.lit(session), F.lit(nonce))
+    return steps.withColumn("token", F.when(F.col("decision") == "escalate", token)).withColumn("may_proceed", ~F.col("decision").isin("block", "escalate"))
+
+
+def resolved(pending: DataFrame, answers: DataFrame, now: float, ttl: float = TTL) -> DataFrame:
+    """(token, action, approved, may_proceed) for the first answer (token, approved, at) to each token asked for (token, at).
+
+    The rows are the log of the answers: rejected, resolved, expired, or unknown for tokens that were not asked for.
+    Later answers to a token find it used.
+    """
+    known = pending.select("token", F.col("at").alias("asked"), F.lit(True).alias("known"))
+    nth = F.row_number().over(Window.partitionBy("token").orderBy("at", "approved"))
+    judged = answers.withColumn("nth", nth).join(known, "token", "left")
+    action = F.when(F.col("known").isNull(), "unknown").when(F.col("nth") > 1, "used").when(F.col("asked") < F.col("at") - ttl, "expired").when(F.col("approved"), "resolved").otherwise("rejected")
+    return judged.where(F.col("at") <= now).select("token", action.alias("action"), "approved", (action == "resolved").alias("may_proceed"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import diff_change, stable_id
+from ..functions.scalars import diff_change, git_status, stable_id
+from ..graph import Graph
+from ..shared import materialised
+from . import impact
+from .store import delete_nodes
 
 
 def detect(old: DataFrame, new: DataFrame, deletions: bool = True) -> DataFrame:
@@ -68,3 +73,56 @@ def absolute(path: Column, root: str) -> Column:
     root = root.rstrip("/")
     bare = F.regexp_replace(path, "^" + re.escape(root.rsplit("/", 1)[-1]) + "/", "")
     return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root + "/"), bare))
+
+
+def listed(lines: DataFrame) -> DataFrame:
+    """(status, path) of a name-status listing (value): fields are cut at tabs, the last one is the path; other lines are left out."""
+    parts = F.split("value", "\t")
+    return lines.where(F.size(parts) >= 2).select(git_status(parts[0]).alias("status"), F.element_at(parts, -1).alias("path"))
+
+
+@dataclass
+class Update:
+    """What an incremental update finds and makes: changes, impacts, the graph after it, nodes to look at again, one row of counts."""
+
+    changes: DataFrame
+    impacts: DataFrame
+    graph: Graph
+    flagged: DataFrame
+    report: DataFrame
+
+
+def update(graph: Graph, old: DataFrame, new: DataFrame, parsed: Graph, diffs: DataFrame | None = None, depth: int = 3) -> Update:
+    """Detect changes between snapshots (path, content), follow their impact, apply them to the graph, and record them.
+
+    parsed holds the nodes and edges of the new files. Nodes of deleted files go with their edges; those of files with a
+    changed body or signature are replaced by the parsed ones, and those of added files are added, with the edges from
+    them whose ends exist; files with changed documentation alone keep their nodes, and only their vectors are new.
+    Concepts and documents that the change reaches are flagged. Nothing is collected: all parts are plans, and only the
+    changes and impacts are written to the shared folder, since several parts read them.
+    """
+    found = detect(old, new)
+    changes = materialised(classified(found, diffs) if diffs is not None else found)
+    kinds = changes.select(F.col("path").alias("file_path"), "change_type")
+    touched = graph.nodes.join(kinds, "file_path").select("id", F.col("change_type").alias("change"))
+    impacts = materialised(impact.merged(impact.impact(graph.edges, touched, depth), graph.nodes))
+    rebuilt = kinds.where("change_type not in ('DELETED', 'DOC_ONLY')")
+    fresh = parsed.nodes.join(rebuilt, "file_path").select(*graph.nodes.columns, "change_type")
+    left = delete_nodes(graph, touched.where("change <> 'DOC_ONLY'"))
+    nodes = left.nodes.unionByName(fresh.drop("change_type"))
+    ids = nodes.select("id")
+    relations = parsed.edges.join(fresh.select(F.col("id").alias("src")), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    after = Graph(nodes, left.edges.unionByName(relations.select(graph.edges.columns)).distinct())
+    flagged = impacts.where(F.col("label").isin("ConceptEntity", "DocEntity")).select("node_id", "label").distinct()
+    count = lambda df, name, where="true": df.agg(F.count_if(F.expr(where)).alias(name))
+    rows = [
+        changeset(changes).select("changeset_id", F.col("n_files").alias("changes_detected")), count(fresh, "nodes_added", "change_type = 'ADDED'"), count(fresh, "nodes_updated", "change_type <> 'ADDED'"),
+        count(touched, "nodes_deleted", "change = 'DELETED'"), count(relations, "relations_rebuilt"), count(touched, "vectors_of_documentation", "change = 'DOC_ONLY'"), count(impacts, "impacted_nodes"),
+        flagged.agg(F.count_if(F.col("label") == "ConceptEntity").alias("concepts_flagged"), F.count_if(F.col("label") == "DocEntity").alias("docs_flagged")),
+    ]
+    report = rows[0]
+    for r in rows[1:]:
+        # One row each.
+        report = report.crossJoin(r)
+    vectors = F.col("nodes_added") + F.col("nodes_updated") + F.col("vectors_of_documentation")
+    return Update(changes, impacts, after, flagged, report.withColumn("vectors_updated", vectors).drop("vectors_of_documentation"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hostname, stable_id
+from ..functions.scalars import basename, bounded, code_identifiers, hostname, stable_id
 
 LINKS = 50
 
@@ -27,26 +27,95 @@ def unresolved(resolved: DataFrame) -> DataFrame:
     return resolved.where("src is null or dst is null")
 
 
+GRAM = 3
+
+
+def _grams(text: Column, length: int) -> Column:
+    """The distinct substrings of a length."""
+    n = F.length(text) - length + 1
+    return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr(text, k, F.lit(length)))).otherwise(F.array().cast("array<string>")))
+
+
+def contained(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(text_id, needle_id) for texts (text_id, text) that hold needles (needle_id, needle) as substrings; empty needles are in none.
+
+    A pair is proposed by an equi join on the needle's rarest substring of GRAM characters, or on the whole of a shorter
+    needle, and confirmed by the text itself. Of the texts only substrings that some needle has go into the join.
+    """
+    wanted = needles.where("length(needle) > 0").select("needle_id", "needle", F.least(F.length("needle"), F.lit(GRAM)).alias("size"))
+    out = None
+    for size in range(1, GRAM + 1):
+        of_size = wanted.where(F.col("size") == size)
+        proposed = of_size.select("needle_id", "needle", F.explode(_grams(F.col("needle"), size)).alias("gram"))
+        known = proposed.select("gram").distinct()
+        held = texts.select("text_id", F.explode(_grams(F.col("text"), size)).alias("gram")).join(known, "gram", "left_semi")
+        often = held.groupBy("gram").agg(F.count("*").alias("f"))
+        # A needle with a substring that no text has is in none.
+        rarest = proposed.join(often, "gram", "left").groupBy("needle_id", "needle").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram")).alias("r")).where("r.f > 0").select("needle_id", "needle", "r.gram")
+        met = rarest.join(held, "gram").select("needle_id", "needle", "text_id").join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle_id")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def alias_links(entities: DataFrame, assets: DataFrame) -> DataFrame:
-    """(id, asset_id) by whole name parts: an alias links to the first entity, by id, of which it is a part, any case.
+    """(id, asset_id): each alias of assets (asset_id, aliases), in order, links the first entity (id, name, ord) that holds it.
 
-    Names are cut at anything but letters and digits, so that the join is on equal parts and not all pairs. assets:
-    (asset_id, aliases).
+    An alias is held as a substring, in any case. An entity that an earlier alias of the asset has linked is passed over
+    for the next one. An asset of m aliases needs no more than the first m entities of each, so no alias is a large group.
     """
-    parts = entities.select("id", F.explode(F.array_distinct(F.split(F.lower("name"), "[^a-z0-9]+"))).alias("part")).where("part <> ''")
-    wanted = assets.select("asset_id", F.explode("aliases").alias("alias")).select("asset_id", F.lower("alias").alias("part")).distinct()
-    return parts.join(wanted, "part").groupBy("asset_id", "part").agg(F.min("id").alias("id")).select("id", "asset_id").distinct()
+    listed = assets.select("asset_id", F.size("aliases").alias("m"), F.posexplode("aliases").alias("at", "alias")).where("alias <> ''")
+    names = entities.select(F.col("id").alias("text_id"), F.lower("name").alias("text"))
+    needles = listed.select(F.lower("alias").alias("needle")).distinct().withColumn("needle_id", F.col("needle"))
+    found = contained(names, needles).select(F.col("text_id").alias("id"), F.col("needle_id").alias("low")).join(entities.select("id", "ord"), "id")
+    met = listed.withColumn("low", F.lower("alias")).join(found, "low")
+    first = met.withColumn("r", F.row_number().over(Window.partitionBy("asset_id", "at").orderBy("ord", "id"))).where("r <= m")
+    # In order of aliases and then of entities: an entity is taken if none of its alias was before it and it is free.
+    ordered = first.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("at", "r", "id"))).alias("all"))
+    none = F.array().cast(f"array<{dict(entities.dtypes)['id']}>")
+    start = F.struct(F.lit(-1).alias("done"), none.alias("taken"))
+    taken = F.aggregate("all", start, lambda s, x: F.when((s["done"] < x["at"]) & ~F.array_contains(s["taken"], x["id"]), F.struct(x["at"].alias("done"), F.array_append(s["taken"], x["id"]).alias("taken"))).otherwise(s))
+    return ordered.select("asset_id", F.explode(taken["taken"]).alias("id")).select("id", "asset_id")
+
 
+#: Characters that may stand beside a path in a text; words of texts and paths are cut at them.
+BOUNDARY = r"[ ./\\_-]+"
 
-def word_links(docs: DataFrame, entities: DataFrame, most: int = LINKS) -> DataFrame:
-    """(doc_id, id, rank): entities (id, word, ord) whose word a document (doc_id, text) holds, the first `most` by ord.
 
-    Words meet by an equi join of distinct words, not by a contains over all pairs. The limit per document is part of
-    the feature.
+def document_links(docs: DataFrame, index: DataFrame, most: int = LINKS) -> DataFrame:
+    """(doc_id, id, rule, rank): documents (doc_id, text) linked to entities (id, file_path, name, ord), the first `most` by ord.
+
+    The first rule that holds counts: the text's first occurrence of the whole path stands between boundaries, or that of
+    its last part does, or the name, of over three characters, is an identifier of a fenced python block. Null texts
+    link nothing. The limit per document is part of the feature.
+
+    Paths are proposed by an equi join on the rarest word of their last part, names by one on identifiers.
+    """
+    texts = docs.where("text is not null").select("doc_id", "text")
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", BOUNDARY))).alias("word")).where("word <> ''")
+    paths = index.where("file_path <> ''").select("file_path").distinct().withColumn("base", basename(F.col("file_path")))
+    parts = paths.select("file_path", "base", F.explode(F.array_distinct(F.split("base", BOUNDARY))).alias("word")).where("word <> ''")
+    known = words.join(parts.select("word").distinct(), "word", "left_semi")
+    often = known.groupBy("word").agg(F.count("*").alias("f"))
+    rarest = parts.join(often, "word", "left").groupBy("file_path", "base").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "word")).alias("r")).select("file_path", "base", "r.word")
+    whole, last = bounded(F.col("text"), F.col("file_path")), bounded(F.col("text"), F.col("base")) & (F.col("base") != F.col("file_path"))
+    by_path = rarest.join(known, "word").join(texts, "doc_id").select("doc_id", "file_path", F.when(whole, 1).when(last, 2).alias("rule")).where("rule is not null")
+    named = texts.select("doc_id", F.explode(code_identifiers(F.col("text"))).alias("name"))
+    found = by_path.join(index.select("id", "ord", "file_path"), "file_path").select("doc_id", "id", "ord", "rule")
+    found = found.unionByName(named.where("length(name) > 3").join(index.select("id", "ord", "name"), "name").select("doc_id", "id", "ord", F.lit(3).alias("rule")))
+    once = found.groupBy("doc_id", "id", "ord").agg(F.min("rule").alias("rule"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "id"))).where(F.col("rank") <= most).select("doc_id", "id", "rule", "rank")
+
+
+def cross_type(code: DataFrame, others: DataFrame, relation: str = "describes") -> DataFrame:
+    """(source, target, relation_type, confidence) where the source text of code (id, source) holds the name of others (id, name).
+
+    others describe code, or code is derived from them (derived_from). Names are held as they are, without boundaries.
     """
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("word")).where("word <> ''")
-    met = words.join(entities, "word").select("doc_id", "id", "ord").distinct()
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "id"))).where(F.col("rank") <= most).select("doc_id", "id", "rank")
+    if relation not in ("describes", "derived_from"):
+        raise ValueError(f"unknown relation {relation}")
+    held = contained(code.where("source is not null").select(F.col("id").alias("text_id"), F.col("source").alias("text")), others.where("name is not null").select(F.col("id").alias("needle_id"), F.col("name").alias("needle")))
+    ends = ("needle_id", "text_id") if relation == "describes" else ("text_id", "needle_id")
+    return held.select(F.col(ends[0]).alias("source"), F.col(ends[1]).alias("target"), F.lit(relation).alias("relation_type"), F.lit(0.7).alias("confidence"))
 
 
 def services(urls: DataFrame) -> DataFrame:
@@ -55,15 +124,22 @@ def services(urls: DataFrame) -> DataFrame:
     return urls.where("url is not null").groupBy(host.alias("service")).agg(F.count("*").alias("n_calls"), F.min("page_id").alias("first_page")).withColumn("id", stable_id(F.col("service")))
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, section, title, n_lines) per heading of one to three # of (doc_id, text); none: the whole text, untitled.
+def sections(docs: DataFrame, form: str = "markdown") -> DataFrame:
+    """(doc_id, section, title, n_lines) per heading of (doc_id, text); none: the whole text, untitled.
 
-    Text before the first heading is dropped; empty and null texts have no section.
+    Headings are lines of one to three # in markdown, and in rst lines over a line of three or more of = : ` ~ or -. Text
+    before the first heading is dropped, the line below a heading of rst too; empty and null texts have no section.
     """
     lines = docs.where("length(trim(coalesce(text, ''))) > 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    heading = F.regexp_extract("line", r"^#{1,3}\s+(.+?)\s*$", 1)
-    marked = lines.withColumn("title", F.nullif(heading, F.lit("")))
     w = Window.partitionBy("doc_id").orderBy("at")
+    if form == "rst":
+        rule = F.col("line").rlike(r"^[=:`~-]{3,}\s*$")
+        # A rule under a heading is no heading of the next rule, nor is it text.
+        under = lines.withColumn("next", F.lead(rule).over(w)).withColumn("rule", rule)
+        heading = F.when(F.col("next") & (F.trim("line") != "") & ~F.col("rule"), F.trim("line"))
+        marked = under.withColumn("title", heading).withColumn("below", F.lag("title").over(w).isNotNull() & F.col("rule")).where("not below").drop("next", "rule", "below")
+    else:
+        marked = lines.withColumn("title", F.nullif(F.regexp_extract("line", r"^#{1,3}\s+(.+?)\s*$", 1), F.lit("")))
     numbered = marked.withColumn("section", F.count("title").over(w)).withColumn("any", F.count("title").over(Window.partitionBy("doc_id")))
     kept = numbered.where("section > 0 or any = 0")
     return kept.groupBy("doc_id", "section").agg(F.coalesce(F.max("title"), F.lit("")).alias("title"), F.count("*").alias("n_lines"))

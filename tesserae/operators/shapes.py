@@ -38,6 +38,10 @@ class Shape:
     unless: tuple[str, tuple] | None = None
     field_filter: str | None = None
     allow: tuple[str, ...] = field(default=())
+    name: str = ""
+    description: str = ""
+    ontology_ref: str | None = None
+    confidence: float = 1.0
 
 
 def parse_path(path: str, max_depth: int = 3, known: set[str] | None = None) -> tuple[list[tuple[bool, str, int, int]], str | None]:

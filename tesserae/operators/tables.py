@@ -20,6 +20,27 @@ def evicted(traces: DataFrame, now: float, ttl: float = 3600.0, most: int = 500)
     return old.unionByName(live.join(kept, "trace_id", "left_anti").select("trace_id", F.lit("excess").alias("reason")))
 
 
+def traces(log: DataFrame) -> DataFrame:
+    """(trace_id, started, ended, n_steps, last_step) after a log (trace_id, ord, kind, at, step) of traces.
+
+    kind is start, step, end or delete. A start begins a trace anew, a delete removes it until the next start; steps and
+    ends of a trace that is not there have no effect. The log is folded by aggregates that are combined before the
+    shuffle: only what follows a trace's last start counts, and its last delete.
+    """
+    ord_of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("ord")))
+    last = log.groupBy("trace_id").agg(ord_of("start").alias("s"), ord_of("delete").alias("d")).where("s is not null and (d is null or d < s)").select("trace_id", "s")
+    since = log.join(last, "trace_id").where("ord >= s")
+    first = lambda kind, c: F.min(F.when(F.col("kind") == kind, F.col(c)))
+    got = since.groupBy("trace_id").agg(first("start", "at").alias("started"), first("end", "at").alias("ended"), F.count_if(F.col("kind") == "step").alias("n_steps"), F.max_by(F.when(F.col("kind") == "step", F.col("step")), F.when(F.col("kind") == "step", F.col("ord"))).alias("last_step"))
+    return got
+
+
+def skills_in_order(skills: DataFrame, most: int) -> DataFrame:
+    """The first `most` skills (signature, confidence, ...) by confidence, the surest first, ties by signature, with their place."""
+    top = skills.orderBy(F.desc("confidence"), "signature").limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("confidence"), "signature")))
+
+
 def permitted(resources: DataFrame, grants: DataFrame, user: str, needed: str = "reader") -> DataFrame:
     """resources (repo, ...) that the last grant (user, repo, role, ord) of the user to their repo allows."""
     mine = grants.where(F.col("user") == user).groupBy("repo").agg(F.max_by("role", "ord").alias("role")).where(role_allows(F.col("role"), needed))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..graph import stored_graph, table
-from ..operators import impact, patterns, shapes, vectors
+from ..operators import impact, patterns, shapes, tables, vectors
 from ..sources import java
+from ..streaming import events as stream
 from .graph_queries import query
 from .inventory_queries import cases
 
@@ -83,11 +84,15 @@ def gr_08_merged_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.merged(found, stored_graph(spark, sf_dir).nodes.where("id like 'p:%'")).select("node_id", "direction", "impact_score", "depth")
 
 
-@query("SELECT node_id, max(s) best, count(*) n FROM (SELECT 'p:'||l_partkey node_id, l_discount s FROM lineitem UNION ALL SELECT 'p:'||p_partkey, 0.05 FROM part) GROUP BY 1", graph=False)
+@query(""", w(rel, a, b) AS (VALUES ('calls',0.7::DOUBLE,0.9::DOUBLE),('implements',0.5,0.8),('extends',0.6,0.9),('imports',0.3,0.5),('semantic_impact',0.4,0.5)),
+ steps AS (SELECT dst x, src y, rel_type, 'FORWARD' dir FROM edges UNION ALL SELECT src, dst, rel_type, 'BACKWARD' FROM edges),
+ l AS (SELECT y node_id, dir, max(a) s FROM steps JOIN w ON rel=rel_type WHERE x LIKE 's:%' GROUP BY 1, 2 UNION ALL SELECT y, dir, max(b) FROM steps JOIN w ON rel=rel_type WHERE x LIKE 'n:%' GROUP BY 1, 2)
+ SELECT node_id, dir AS direction, round(max(s), 6) score, count(*) n FROM l GROUP BY 1, 2""")
 def set_02_united_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "lineitem").selectExpr("concat('p:', l_partkey) node_id", "l_discount s")
-    b = table(spark, sf_dir, "part").selectExpr("concat('p:', p_partkey) node_id", "0.05D s")
-    return a.unionByName(b).groupBy("node_id").agg(F.max("s").alias("best"), F.count("*").alias("n"))
+    """Two lists of impacts, of changed bodies of services and of changed signatures of modules, put together."""
+    g = stored_graph(spark, sf_dir)
+    lists = [impact.impact(g.edges, g.labelled(label).select("id", F.lit(change).alias("change")), 1) for label, change in (("ServiceEntity", "BODY"), ("ModuleEntity", "SIGNATURE"))]
+    return lists[0].unionByName(lists[1]).groupBy("node_id", "direction").agg(F.round(F.max("score"), 6).alias("score"), F.count("*").alias("n"))
 
 
 @query("SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) latest FROM orders", graph=False)
@@ -96,10 +101,10 @@ def srt_10_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
 
 
-@query("SELECT event_type pattern, user_id%10 AS skill, n::BIGINT n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id%10) place FROM (SELECT event_type, user_id%10 user_id, count(*) n FROM events GROUP BY 1,2)", graph=False)
+@query("WITH h AS (SELECT event_type||':'||coalesce(json_extract_string(props,'$.k'),'unknown') signature, count(*)-1 hits FROM events GROUP BY 1), c AS (SELECT signature, hits, round(least(1.0, 0.5::DOUBLE+hits*0.1::DOUBLE),6) confidence FROM h) SELECT signature, confidence, row_number() OVER (ORDER BY confidence DESC, signature) place FROM c QUALIFY place <= 20", graph=False)
 def srt_07_skills_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("pattern"), F.expr("user_id % 10").alias("skill")).agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.partitionBy("pattern").orderBy(F.desc("n"), "skill")))
+    found = tables.skills_in_order(stream.reflection(table(spark, sf_dir, "events")), 20)
+    return found.select("signature", "confidence", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey%3=0 THEN n.n_nationkey::VARCHAR END concept_id FROM orders JOIN customer ON c_custkey=o_custkey JOIN nation n ON n.n_nationkey=c_nationkey", graph=False)

@@ -73,20 +73,6 @@ def join_07_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.unresolved(linking.resolve_names(relations, entities)).agg(F.count("*").alias("n"))
 
 
-@query("WITH p AS (SELECT p_partkey id, unnest(list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'))) part FROM part), a(asset_id, alias) AS (VALUES ('A','blue'),('A','red'),('B','ring'),('B','PART'),('B','5')) SELECT DISTINCT min(id) id, asset_id FROM p JOIN a ON lower(alias)=part GROUP BY asset_id, part", graph=False)
-def join_11_alias_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = spark.createDataFrame([("A", ["blue", "red"]), ("B", ["ring", "PART", "5"])], "asset_id string, aliases array<string>")
-    return linking.alias_links(table(spark, sf_dir, "part").selectExpr("p_partkey id", "p_name name"), assets)
-
-
-@query("WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) word FROM documents), e AS (SELECT item_id id, item_id ord, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) > 7))) word FROM benchmark), m AS (SELECT DISTINCT doc_id, id, ord FROM d JOIN e USING (word)) SELECT doc_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, id) rank FROM m) WHERE rank <= 50", graph=False)
-def join_12_document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents linked to the benchmark items with which they share a word of over 7 letters, at most 50 each."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 7))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.explode(words).alias("word"), F.col("item_id").alias("ord"))
-    return linking.word_links(table(spark, sf_dir, "documents"), items).withColumn("rank", F.col("rank").cast("long"))
-
-
 @query("SELECT r_regionkey::BIGINT AS k, r_name AS repo FROM region WHERE r_name IN ('ASIA','EUROPE')", graph=False)
 def join_16_permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     grants = spark.createDataFrame([("u", "ASIA", "reader", 1), ("u", "ASIA", "writer", 2), ("u", "AFRICA", "writer", 1), ("u", "AFRICA", "reader", 2), ("v", "AMERICA", "admin", 1), ("u", "EUROPE", "admin", 1)], "user string, repo string, role string, ord int")
@@ -260,9 +246,16 @@ def srt_11_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.evicted(traces, now, 20.0, 10)
 
 
-@query("SELECT conv_id, count(*) n_steps, count(DISTINCT role) n_roles, arg_max(role, turn) last_role, sum(length(text))::BIGINT n_chars FROM conversations GROUP BY 1", graph=False)
+@query("SELECT conv_id trace_id, min(turn)::BIGINT started, max(CASE WHEN role='assistant' THEN turn END)::BIGINT ended_at, count(*) n_steps, arg_max(length(text), turn) last_chars FROM conversations WHERE conv_id % 7 <> 0 GROUP BY 1", graph=False)
 def tab_03_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_steps"), F.countDistinct("role").alias("n_roles"), F.max_by("role", "turn").alias("last_role"), F.sum(F.length("text")).alias("n_chars"))
+    """Conversations as a log of traces: a start, a step a turn, an end with the last answer; every seventh is deleted."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trace_id"), "turn", "role", F.length("text").cast("long").alias("step"))
+    row = lambda df, kind, ord_of, at, step="step": df.select("trace_id", ord_of.alias("ord"), F.lit(kind).alias("kind"), at.cast("long").alias("at"), (F.col(step) if step else F.lit(None)).cast("long").alias("step"))
+    starts = row(c.groupBy("trace_id").agg(F.min("turn").alias("turn")), "start", F.col("turn") * 2 - 1, F.col("turn"), None)
+    ends = row(c.where("role = 'assistant'").groupBy("trace_id").agg(F.max("turn").alias("turn")), "end", F.lit(1 << 40).cast("long"), F.col("turn"), None)
+    gone = row(c.where("trace_id % 7 = 0").select("trace_id").distinct(), "delete", F.lit(1 << 41).cast("long"), F.lit(0), None)
+    log = starts.unionByName(row(c, "step", F.col("turn") * 2, F.col("turn"))).unionByName(ends).unionByName(gone)
+    return tables.traces(log).select("trace_id", "started", F.col("ended").alias("ended_at"), "n_steps", F.col("last_step").alias("last_chars"))
 
 
 @query("SELECT role AS action, conv_id AS target FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id*1000+turn DESC) r FROM conversations) WHERE r=1", graph=False)
@@ -271,10 +264,11 @@ def tab_02_last_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.last_audit(audit).select("action", "target")
 
 
-@query("SELECT '2.10.0' AS version, 'AHEAD' AS state", graph=False)
+@query("SELECT '2.'||max(o_orderkey)||'.0' AS version, CASE WHEN max(o_orderkey) > 9 THEN 'AHEAD' WHEN max(o_orderkey) = 9 THEN 'MATCH' ELSE 'BEHIND' END AS state FROM orders", graph=False)
 def ddl_04_version_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = spark.createDataFrame([("2.9.0", 1), ("2.10.0", 2)], "version string, applied_at int")
-    return store.version_state(versions, "2.3.0")
+    """Versions are numbers of orders, applied in the order of their keys; the latest is compared with one in the middle."""
+    versions = table(spark, sf_dir, "orders").select(F.concat(F.lit("2."), F.col("o_orderkey").cast("string"), F.lit(".0")).alias("version"), F.col("o_orderkey").alias("applied_at"))
+    return store.version_state(versions, "2.9.0")
 
 
 @query("SELECT o_custkey, o_orderstatus AS mode, n FROM (SELECT o_custkey, o_orderstatus, count(*) n, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderstatus) r FROM orders GROUP BY 1,2) WHERE r=1", graph=False)
