@@ -2,12 +2,12 @@
 
 Anchors, hashes of 20 consecutive words, are taken only where the position modulo 31 is in a difference cover. For any
 two positions some shift below 31 brings both into the cover, so two equal windows of 50 words share an aligned anchor.
-Anchors that occur once are dropped. Around the others the match is extended: each window of 50 words that contains one
+Anchors of one text are dropped. Around the others the match is extended: each window of 50 words that contains one
 is hashed (96 bits), and goes where the same window starts under a smaller key. Windows are judged on the input.
 
 Shuffled are anchors and the windows around repeated ones, never pairs of documents; a text has one row for a window
 however often it repeats it, so texts of a repeated line make no large groups. Two equal windows meet by the
-anchor they share, so windows around anchors of at most HOT occurrences and windows around hotter ones are handled
+anchor they share, so windows around anchors of at most HOT texts and windows around hotter ones are handled
 apart. Of the former a group holds at most PERIOD * HOT rows, HOT for each alignment, and is sorted. The latter are first
 reduced to their smallest key, within tasks before the shuffle, and then joined back, a join whose hot keys Spark splits.
 """
@@ -30,7 +30,7 @@ PERIOD = 31
 #: A perfect difference set modulo 31: each non-zero difference occurs exactly once.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-#: Anchors that occur more often than this are hot.
+#: Anchors of more texts than this are hot.
 HOT = 10_000
 IN_COVER = np.zeros(PERIOD, bool)
 IN_COVER[list(COVER)] = True
@@ -45,11 +45,28 @@ def _tag(text: str) -> int:
     return xxhash.xxh32_intdigest(text.encode()) >> 1
 
 
+def _anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a text's anchors, and 48-bit hashes of them."""
+    joined, starts, ends = word_bounds(words)
+    digest = xxhash.xxh3_64_intdigest
+    at = np.flatnonzero(IN_COVER[np.arange(len(words) - ANCHOR + 1) % PERIOD])
+    found = [digest(joined[s:e]) for s, e in zip(starts[at].tolist(), ends[at + ANCHOR - 1].tolist(), strict=True)]
+    return at, (np.array(found, np.uint64) >> np.uint64(16)).astype(np.int64)
+
+
+def _once(values: np.ndarray, at: np.ndarray, **kw: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each value once with its first place, whose bits are inverted if there are others."""
+    some, first, times = np.unique(values, return_index=True, return_counts=True, **kw)
+    return some, np.where(times > 1, ~at[first], at[first])
+
+
 def anchors(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(anchor, key, pos): 48-bit hashes of the anchors of all texts that hold a window; equal hashes are only candidates."""
+    """(anchor, key, pos): the anchors of all texts that hold a window; equal hashes are only candidates.
+
+    An anchor that a text repeats is one row, with the inverted bits of its first place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for whole in batches:
             for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
                 found, keys, places = [], [], []
@@ -57,17 +74,28 @@ def anchors(docs: DataFrame, key: str, text: str) -> DataFrame:
                     words = _words(x)
                     if len(words) < WINDOW or d is None:
                         continue
-                    joined, starts, ends = word_bounds(words)
-                    at = np.flatnonzero(IN_COVER[np.arange(len(words) - ANCHOR + 1) % PERIOD])
-                    found.append(np.array([digest(joined[s:e]) for s, e in zip(starts[at].tolist(), ends[at + ANCHOR - 1].tolist(), strict=True)], np.uint64) >> np.uint64(16))
+                    at, hashes = _anchors(words)
+                    hashes, at = _once(hashes, at)
+                    found.append(hashes)
                     keys.append(np.full(len(at), d, np.int64))
                     places.append(at.astype(np.int32))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["anchor", "key", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["anchor", "key", "pos"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "anchor long, key long, pos int")
 
 
+def _everywhere(words: list[bytes], pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks with all places of the anchors that the text repeats."""
+    again = pos < 0
+    if not again.any():
+        return pos, n
+    at, hashes = _anchors(words)
+    known = dict(zip(hashes[np.searchsorted(at, ~pos[again])].tolist(), n[again].tolist(), strict=True))
+    more = [(p, known[h]) for p, h in zip(at.tolist(), hashes.tolist(), strict=True) if h in known]
+    return np.concatenate((pos[~again], [p for p, _ in more])), np.concatenate((n[~again], [x for _, x in more]))
+
+
 def _digests(words: list[bytes], at: np.ndarray) -> np.ndarray:
     """Three 32-bit numbers for each window of 50 words that starts there."""
     joined, starts, ends = word_bounds(words)
@@ -91,7 +119,8 @@ def _windows(marked: DataFrame, hot: bool, limit: int) -> DataFrame:
                     size = len(words) - WINDOW + 1
                     if size < 1:
                         continue
-                    pos, often = np.array(pos), np.array(n) > limit
+                    pos, n = _everywhere(words, np.array(pos), np.array(n))
+                    often = n > limit
 
                     def near(at: np.ndarray, size: int = size) -> np.ndarray:
                         """Starts of the windows that contain an anchor at one of these positions."""
@@ -107,8 +136,8 @@ def _windows(marked: DataFrame, hot: bool, limit: int) -> DataFrame:
                     got = _digests(words, at)
                     h1, h2 = np.ascontiguousarray(got[:, :2]).view("<i8")[:, 0], got[:, 2]
                     if len(np.unique(h1)) < len(h1):
-                        _, first, times = np.unique(got, axis=0, return_index=True, return_counts=True)
-                        h1, h2, at = h1[first], h2[first], np.where(times > 1, ~at[first], at[first])
+                        some, at = _once(np.stack((h1, h2.astype(np.int64)), axis=1), at, axis=0)
+                        h1, h2 = some[:, 0], some[:, 1].astype(np.int32)
                     for c, v in zip(cols, (h1, h2, np.full(len(at), d, np.int64), np.full(len(at), _tag(x), np.int32), at.astype(np.int32)), strict=True):
                         c.append(v)
                 if cols[0]:
