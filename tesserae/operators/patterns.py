@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from .linking import contained
 
 MOST_HOPS = 10
 
@@ -99,8 +100,8 @@ def resolve(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     best = F.min_by("id", F.struct(F.coalesce("file_path", F.lit("")), F.col("id"))).alias("id")
     exact = wanted.join(nodes, F.col("wanted") == F.col("name")).groupBy("wanted").agg(best).withColumn("how", F.lit("exact"))
     rest = wanted.join(exact, "wanted", "left_anti")
-    # wanted is a stated list of names; the inner side of the loop join is that list, never the nodes.
-    loose = nodes.join(F.broadcast(rest), F.col("name").contains(F.col("wanted"))).groupBy("wanted").agg(best).withColumn("how", F.lit("contains"))
+    held = contained(nodes.select(F.col("id").alias("text_id"), F.col("name").alias("text")), rest.select(F.col("wanted").alias("needle_id"), F.col("wanted").alias("needle")))
+    loose = held.select(F.col("needle_id").alias("wanted"), F.col("text_id").alias("id")).join(nodes.select("id", "file_path"), "id").groupBy("wanted").agg(best).withColumn("how", F.lit("contains"))
     return exact.unionByName(loose)
 
 

@@ -112,6 +112,12 @@ def triggered(graph: Graph, shape: Shape) -> DataFrame:
     return hit.distinct() if steps else hit
 
 
+def not_allowed(graph: Graph, hit: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(id) of the triggered entities (id) but for those whose label and name are in a table of allowed ones (label, name)."""
+    exempt = graph.nodes.join(allowed.select("label", "name").distinct(), ["label", "name"], "left_semi").select("id")
+    return hit.join(exempt, "id", "left_anti")
+
+
 def results(graph: Graph, shapes: list[Shape], operation: str = "UPDATE") -> DataFrame:
     """(id, shape_id, severity, priority, suggestion) of all triggered shapes; shapes are a list of rules, not data."""
     out = None

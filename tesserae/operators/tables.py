@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import role_allows, skill_confidence
+from ..shared import materialised
 
 
 def evicted(traces: DataFrame, now: float, ttl: float = 3600.0, most: int = 500) -> DataFrame:
@@ -41,6 +42,26 @@ def skills_in_order(skills: DataFrame, most: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("confidence"), "signature")))
 
 
+def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, p50, ...): exact percentiles of value for each group, between two values in proportion; nulls do not count.
+
+    Equal values are counted first and dealt by range of group and value; a value's rank is its rank within its range,
+    plus all of the group in the ranges before. So a group with very many values is neither sorted nor held in one task.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c")).repartitionByRange(by, value)
+    dealt = materialised(counted.withColumn("_part", F.spark_partition_id()))
+    ranges = dealt.groupBy(by, "_part").agg(F.sum("c").alias("s"))
+    # A row per group and range: their number does not grow with the rows.
+    whole = Window.partitionBy(by)
+    before = ranges.withColumn("n", F.sum("s").over(whole)).withColumn("before", F.sum("s").over(whole.orderBy("_part")) - F.col("s")).drop("s")
+    ranked = dealt.join(before, [by, "_part"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(by, "_part").orderBy(value)))
+    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
+    ends = [at(g(place(p))).alias(f"{k}{x}") for k, p in enumerate(shares) for x, g in (("l", F.floor), ("h", F.ceil))]
+    got = ranked.groupBy(by).agg(F.max("n").alias("n"), *ends)
+    return got.select(by, *[(F.col(f"{k}l") + (F.col(f"{k}h") - F.col(f"{k}l")) * (place(p) - F.floor(place(p)))).alias(f"p{round(p * 100)}") for k, p in enumerate(shares)])
+
+
 def permitted(resources: DataFrame, grants: DataFrame, user: str, needed: str = "reader") -> DataFrame:
     """resources (repo, ...) that the last grant (user, repo, role, ord) of the user to their repo allows."""
     mine = grants.where(F.col("user") == user).groupBy("repo").agg(F.max_by("role", "ord").alias("role")).where(role_allows(F.col("role"), needed))

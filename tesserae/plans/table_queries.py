@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -280,7 +278,10 @@ def agg_06_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value,0.5),6) p50, round(quantile_cont(value,0.95),6) p95, round(quantile_cont(value,0.99),6) p99, round(avg(value),6) mean FROM events GROUP BY 1", graph=False)
 def agg_19_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)], F.round(F.avg("value"), 6).alias("mean"))
+    e = table(spark, sf_dir, "events")
+    found = tables.percentiles(e, "event_type", "value", (0.5, 0.95, 0.99))
+    means = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return means.join(found, "event_type", "left").select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "mean")
 
 
 @query("SELECT p_brand, p_partkey, r AS rank FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) r FROM part) WHERE r<=3", graph=False)
