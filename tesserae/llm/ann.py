@@ -17,7 +17,6 @@ query's k nearest, so copies make no large groups.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, removed_at_exit, shared_dir
+from .common import materialise, new_path
 
 EPS = 1.7
 #: Places of a code, at least.
@@ -201,7 +200,7 @@ def reranked(table: DataFrame, asked: DataFrame, d: int, k: int) -> DataFrame:
     """(query, key, score): for the queries (query, vector) the k nearest that each task found among the rows of the index."""
     spark = table.sparkSession
     blocks = -(-asked.count() // QUERY_BLOCK)
-    folder = removed_at_exit(spark, f"{shared_dir(spark)}/tesserae/{uuid.uuid4().hex}")
+    folder = new_path(spark)
     found = table.select(F.col("key").alias("query"), "key", F.col("scale").alias("score")).limit(0)
     for block in range(blocks):
         # A block is done, and its queries are off the driver, before the next one begins.

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialised as materialise
+from ..shared import new_path, remove
+
+__all__ = ["DOCUMENT_COLUMNS", "connected_components", "materialise", "new_path", "table", "word_bounds"]
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -17,39 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one stands in only where all run on this machine (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors cost one read."""
-    spark = df.sparkSession
-    path = removed_at_exit(spark, f"{shared_dir(spark)}/tesserae/{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed_at_exit(spark: SparkSession, path: str) -> str:
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may have gone first
-        return
-
-
 def word_bounds(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The words joined by one space, and where each starts and ends there; words hold no space."""
     joined = b" ".join(words)
@@ -76,7 +43,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e")).select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct()
-        edges = materialise(small)
+        old, edges = edges, materialise(small)
+        remove(old)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -28,6 +28,10 @@ END = 2
 TOGETHER = 100
 
 
+#: Texts that a tokenizer must encode as it does their words, tried once a worker.
+PROBES = ("a b", " a  b\nc ", "it's 1,000.5 (x)\tÜber\r\nnaïve", "end. Start\n\n- item", "")
+
+
 class WordTokens:
     """Ids of a tokenizers file that drops white space, word by word: neither merges nor patterns reach over a space."""
 
@@ -41,6 +45,10 @@ class WordTokens:
         self.specials = [x for _, x in special]
         self.cut, self.between = special[0] if special else (-1, "")
         self.known: dict[str, bytes] = {}
+        self.marks = {x[0] for x in self.specials}
+        for text in PROBES:
+            if self.tokenizer.encode(text, add_special_tokens=False).ids != np.frombuffer(self.ids([text])[0], "<u4").tolist():
+                raise ValueError("the tokenizer does not work word by word")
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         """Ids of each word. A special token is cut out of a text before anything else, so words beside one stay apart."""
@@ -64,7 +72,7 @@ class WordTokens:
         if len(known) > REMEMBERED:
             known.clear()
         new = set().union(*split).difference(known)
-        odd = [w for w in new if "<" in w and any(x in w for x in self.specials)]
+        odd = [w for w in new if not self.marks.isdisjoint(w) and any(x in w for x in self.specials)]
         once = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd}
         plain = list(new.difference(odd))
         for at in range(0, len(plain), 5_000):

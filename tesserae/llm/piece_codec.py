@@ -5,8 +5,8 @@ before it: merging the two pieces' text again, by the model's scores, must give
 shorter piece is tried, and where none is left the last piece is taken back and the position marked in a bitfield, so
 that no position fails twice. A sequence in which all neighbours are compatible is the one that merging gives.
 
-No piece holds the space mark after another character, so the words of a text, each with the mark before it, are
-encoded alone; every worker keeps the encodings of words it has seen, up to a bound.
+No piece holds the space mark after another character, nor a line break, which the constructor checks, so the words of
+a text, each with the mark before it, are encoded alone; every worker keeps the encodings of words it has seen, up to a bound.
 """
 
 from __future__ import annotations
@@ -48,9 +48,9 @@ class Codec:
                 self.byte_ids[int(p.piece[1:-1], 16)] = i
             elif p.type == NORMAL:
                 self.ids[p.piece], self.score[p.piece] = i, p.score
-                if MARK in p.piece.lstrip(MARK):
-                    raise ValueError("a piece spans words")
-        self.eos = model.trainer_spec.eos_id
+                if MARK in p.piece.lstrip(MARK) or "\n" in p.piece:
+                    raise ValueError("a piece spans words or lines")
+        self.eos, self.longest = model.trainer_spec.eos_id, max(map(len, self.ids))
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             self.automaton.add_word(p, len(p))
@@ -83,7 +83,7 @@ class Codec:
         """The pieces of a text whose characters are all pieces themselves."""
         n, ids, compatible, longest = len(text), self.ids, self.compatible, self.automaton.longest_prefix
         failed, out, at = bytearray(n // 8 + 1), [], 0
-        size = longest(text[:64])
+        size = longest(text[: self.longest])
         while at < n:
             taken = False
             while size:
@@ -96,7 +96,7 @@ class Codec:
             if taken:
                 out.append(piece)
                 at = end
-                size = longest(text[at : at + 64])
+                size = longest(text[at : at + self.longest])
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 last = out.pop()

@@ -14,9 +14,12 @@ KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
 #: A span of an added kind is kept from this score on; the four base kinds are always kept.
 KEEP = 0.5
 BASE = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "secret": 0.3, "ssn": 0.3}
+#: Words in the languages of the documents (English, German, French, Spanish) that make a span of the kind likelier.
 CONTEXT = {
-    "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "credit", "pay"), "phone": ("phone", "tel", "call", "mobile"),
-    "iban": ("iban", "account", "bank"), "secret": ("token", "secret", "password", "api_key", "apikey", "key"), "ssn": ("ssn", "social", "security"),
+    "email": ("mail", "contact", "write", "kontakt", "courriel", "correo"), "ip": ("ip", "host", "server", "address", "adresse", "serveur", "servidor", "dirección"),
+    "card": ("card", "visa", "credit", "pay", "karte", "kreditkarte", "carte", "tarjeta", "crédito"), "phone": ("phone", "tel", "call", "mobile", "telefon", "anruf", "téléphone", "teléfono", "llame"),
+    "iban": ("iban", "account", "bank", "konto", "compte", "banque", "cuenta", "banco"), "secret": ("token", "secret", "password", "api_key", "apikey", "key", "passwort", "schlüssel", "clé", "contraseña", "clave"),
+    "ssn": ("ssn", "social", "security", "sozialversicherung", "sécurité", "seguridad"),
 }
 NEAR, RAISE = 40, 0.3
 
@@ -31,6 +34,7 @@ SECRET = re.compile(r"\b(?:[0-9a-f]{32,64}|[A-Za-z]{2,5}[_-][A-Za-z0-9]{16,64}|A
 SSN = re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 DIGIT = re.compile(r"[0-9]")
+WORD = re.compile(r"[^\W\d]+")
 
 Span = tuple[str, int, int, float]
 
@@ -100,7 +104,7 @@ def find(text: str | None) -> list[Span]:
     out = []
     for kind, s, e in _proposed(text or ""):
         near = f"{text[max(0, s - NEAR) : s]} {text[e : e + NEAR]}".lower()
-        words = set(re.split(r"[^a-z_]+", near))
+        words = set(WORD.findall(near))
         score = min(1.0, BASE[kind] + (RAISE if words & set(CONTEXT[kind]) else 0.0))
         if kind in KINDS[:4] or score >= KEEP:
             out.append((kind, s, e, score))
