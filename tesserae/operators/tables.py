@@ -87,6 +87,11 @@ def last_audit(audit: DataFrame) -> DataFrame:
     return audit.withColumn("r", F.row_number().over(Window.partitionBy("action").orderBy(F.desc("ord")))).where("r = 1").drop("r")
 
 
+def last_row(audit: DataFrame) -> DataFrame:
+    """The last row of (ord, ...), found by an aggregate that is combined within tasks first."""
+    return audit.agg(F.max_by(F.struct("*"), "ord").alias("r")).where("r is not null").select("r.*")
+
+
 def roles(log: DataFrame) -> DataFrame:
     """(user, repo, role) in force after a log of grants and revocations (user, repo, role, ord); a null role revokes."""
     return log.groupBy("user", "repo").agg(F.max_by("role", "ord").alias("role")).where("role is not null")
