@@ -160,8 +160,8 @@ def jaccard(sets: DataFrame, least: float = 0.8) -> DataFrame:
 
     Equal sets count once, under their smallest id (set_classes), so copies give no pairs. Prefix filtering: items are
     ordered from rare to frequent, and only sets that share one of their first n - ceil(least * n) + 1 items are compared;
-    exact, since any other pair overlaps too little. Only ids and sizes go through that join; the items that a candidate
-    pair shares are counted by joins of the pair with both sets.
+    exact, since any other pair overlaps too little. Only ids and sizes go through that join; a candidate pair, once it is
+    distinct, is joined with both sets to count what they share.
     """
     distinct = sets.where("id is not null and item is not null").distinct()
     distinct = materialised(distinct.join(set_classes(sets).where("id = rep").select("id"), "id", "left_semi"))
@@ -171,9 +171,10 @@ def jaccard(sets: DataFrame, least: float = 0.8) -> DataFrame:
     prefix = distinct.join(often, "item").withColumn("at", rank).join(sized, "id").where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "n", "item")
     a, b = prefix.toDF("a", "na", "item"), prefix.toDF("b", "nb", "item")
     met = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > F.lit(least) * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
-    both = met.join(distinct.toDF("a", "item"), "a").join(distinct.toDF("b", "item"), ["b", "item"])
-    common = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return common.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("overlap")).where(F.col("overlap") > least)
+    items = distinct.groupBy("id").agg(F.collect_list("item").alias("items"))
+    both = met.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
+    common = F.size(F.array_intersect("ia", "ib"))
+    return both.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("overlap")).where(F.col("overlap") > least)
 
 
 def modules(members: DataFrame) -> DataFrame:
