@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_template, media, packing, pii, piece_codec, quality, simhash, substring, warc
+from . import ann, html_template, media, packing, pii, piece_codec, quality, simhash, substring, token_alignment, warc
 from .common import table
 
 
@@ -56,7 +56,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_pii, op3_pieces, op4_simhash, op5_quality, op6_warc, op7_packing, op8_substring, op9_ann, op10_media)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_pii, op3_pieces, op4_simhash, op5_quality, op6_warc, op7_packing, op8_substring, op9_ann, op10_media, op11_alignment)}
 
 #: Windows of 50 words are put together by doubling (1, 2, 4, ... words from each position on), with their words as text.
 OP8_SQL = r"""
