@@ -1,6 +1,6 @@
 """The queries opN_<name> of this subpackage over whole tables, with production parameters, and their SQL.
 
-The repeated passages of op8 have SQL. For the others the SQL engine has neither the hashes, tokenizers and image format
+The repeated passages of op8 and the negatives of op12 have SQL. For the others the SQL engine has neither the hashes, tokenizers and image format
 that the contracts name nor a form of the method; each of these is tested against brute force instead.
 """
 
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_template, media, packing, pii, piece_codec, quality, simhash, substring, token_alignment, warc
+from . import ann, hard_negatives, html_template, hyper_language, media, packing, pii, piece_codec, quality, simhash, substring, token_alignment, warc
 from .common import table
 
 
@@ -60,7 +60,18 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_pii, op3_pieces, op4_simhash, op5_quality, op6_warc, op7_packing, op8_substring, op9_ann, op10_media, op11_alignment)}
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row's label is moved on by one first, so that near vectors of another label exist."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", "embedding", moved.alias("label")), F.col("key") % 50 == 0)
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_language.predicted(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_pii, op3_pieces, op4_simhash, op5_quality, op6_warc, op7_packing, op8_substring, op9_ann, op10_media, op11_alignment, op12_negatives, op13_language)}
 
 #: Windows of 50 words are put together by doubling (1, 2, 4, ... words from each position on), with their words as text.
 OP8_SQL = r"""
@@ -78,4 +89,14 @@ marked AS (SELECT doc_id, pos, w, max(c) OVER (PARTITION BY doc_id ORDER BY pos
 kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS m, string_agg(w, ' ' ORDER BY pos) FILTER (NOT gone) AS k FROM marked GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op8_substring": OP8_SQL}
+#: Sums of products of whole numbers are exact in double precision.
+OP12_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS s FROM v a, v WHERE a.vec_id % 50 = 0 AND v.vec_id <> a.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5),
+neg AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, s AS negative_score
+ FROM pos JOIN pairs USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""
+ORACLE_SQL: dict[str, str] = {"op8_substring": OP8_SQL, "op12_negatives": OP12_SQL}

@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .html_template import BLOCKS, events
 
 DATE = "1970-01-01T00:00:00Z"
-#: Headers of a response that both derivatives repeat.
-KEPT = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Concurrent-To")
+#: Headers of a response that both derivatives repeat, every one of them as often as the response has it.
+KEPT = frozenset(x.lower() for x in ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Concurrent-To"))
+#: Compressed bytes that are unpacked at once.
+SLICE = 1 << 16
 HREF = re.compile(r"<(a|img|link|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 META = re.compile(r"<meta\b([^>]*)>", re.I)
 PAIR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>/]+))")
@@ -118,7 +120,7 @@ def _described(headers: Headers, status: str, http: Headers, page: str) -> dict:
     links = [{"path": f"{m[1].upper()}@/{'href' if m[1].lower() in ('a', 'link') else 'src'}", "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in HREF.finditer(page)]
     metas = [{k.lower(): html.unescape(a or b or c) for k, a, b, c in PAIR.findall(m[1])} for m in META.finditer(page)]
     title = TITLE.search(page)
-    return {"Envelope": {"Format": "WARC", "WARC-Header-Metadata": dict(headers), "Payload-Metadata": {"Actual-Content-Type": "application/http; msgtype=response", "HTTP-Response-Metadata": {"Response-Message": status, "Headers": dict(http), "HTML-Metadata": {"Head": {"Title": " ".join(html.unescape(title[1]).split()) if title else "", "Metas": metas}, "Links": links}}}}}
+    return {"Envelope": {"Format": "WARC", "WARC-Header-Metadata": headers, "Payload-Metadata": {"Actual-Content-Type": "application/http; msgtype=response", "HTTP-Response-Metadata": {"Response-Message": status, "Headers": http, "HTML-Metadata": {"Head": {"Title": " ".join(html.unescape(title[1]).split()) if title else "", "Metas": metas}, "Links": links}}}}}
 
 
 def _unchunked(body: bytes) -> bytes:
@@ -134,11 +136,19 @@ def _unchunked(body: bytes) -> bytes:
         at = end + 4 + int(size, 16)
 
 
+def _coding(http: Headers) -> str:
+    return value(http, "Content-Encoding").lower()
+
+
+def _readable(http: Headers) -> bool:
+    return _coding(http) in ("", "identity", "gzip", "x-gzip", "deflate")
+
+
 def _decoded(http: Headers, body: bytes) -> str:
     """The payload as text: without transfer and content coding where they hold, in its character set if that is known, else UTF-8."""
     if value(http, "Transfer-Encoding").lower() == "chunked":
         body = _unchunked(body)
-    coding = value(http, "Content-Encoding").lower()
+    coding = _coding(http)
     if coding in ("gzip", "x-gzip", "deflate"):
         try:
             body = zlib.decompress(body, 47)
@@ -158,7 +168,7 @@ Row = tuple[str | None, str | None, str | None, str | None, str | None, bytes |
 def derive(data: bytes) -> list[Row]:
     """(type, record id, refers to, target, source payload digest, record, error) of a response's derivatives.
 
-    Other types of records have none. A payload that is no text has only the metadata.
+    Other types of records have none. A payload that is no text, or whose coding cannot be undone, has only the metadata.
     """
     headers, block, _ = parse(data)
     if value(headers, "WARC-Type").lower() != "response":
@@ -170,15 +180,16 @@ def derive(data: bytes) -> list[Row]:
     http, payload = fields(lines), block[start:]
     digest = value(headers, "WARC-Payload-Digest") or sha1(payload)
     kind = value(http, "Content-Type").partition(";")[0].strip().lower()
-    page = _decoded(http, payload) if MARKUP.match(kind) or TEXTUAL.match(kind) else ""
+    text = bool(_readable(http) and (MARKUP.match(kind) or TEXTUAL.match(kind)))
+    page = _decoded(http, payload) if text else ""
     made = {"metadata": ("application/json", json.dumps(_described(headers, status, http, page if MARKUP.match(kind) else ""), ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"))}
-    if MARKUP.match(kind) or TEXTUAL.match(kind):
+    if text:
         made["conversion"] = ("text/plain; charset=utf-8", (plain_text(page) if MARKUP.match(kind) else page).encode("utf-8", "replace"))
     target, date = value(headers, "WARC-Target-URI"), value(headers, "WARC-Date")
     out: list[Row] = []
     for name, (content, body) in made.items():
         own = _uuid(f"{source}|{name}")
-        kept = [(k, v) for k in KEPT if (v := value(headers, k))]
+        kept = [(k, v) for k, v in headers if k.lower() in KEPT and v]
         refers = [("WARC-Refers-To", source), *((k, v) for k, v in (("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)) if v)]
         lines = [("WARC-Type", name), ("WARC-Record-ID", own), *refers, *kept, ("WARC-Source-Payload-Digest", digest), ("Content-Type", content), ("WARC-Block-Digest", sha1(body))]
         out.append((name, own, source, target, digest, record(lines, body), None))
@@ -186,29 +197,37 @@ def derive(data: bytes) -> list[Row]:
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str = DATE) -> DataFrame:
-    """(key, record): a response record for every row of pages; null pages are empty, null addresses too."""
+    """(key, record): a response record for every row of pages; null pages are empty, null addresses too.
+
+    Repeated rows have records with identifiers of their own: a row's place in the table is part of its identifier, which
+    stays the same as long as the table is read in the same pieces.
+    """
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                rows = zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([response(u, p, str(k), date) for k, u, p in rows], pa.binary())], [key, "record"])
+                rows = zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([response(u, p, f"{k}|{n}", date) for k, u, p, n in rows], pa.binary())], [key, "record"])
 
-    return pages.select(F.col(key), F.col(url), F.col(page)).mapInArrow(run, f"{key} {kind}, record binary")
+    return pages.select(F.col(key), F.col(url), F.col(page), F.monotonically_increasing_id()).mapInArrow(run, f"{key} {kind}, record binary")
 
 
 def _members(content: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, each unpacked, or the file itself if it is none."""
+    """The gzip members of a file, each unpacked, or the file itself if it is none; what lies behind the last one is left out."""
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        yield member.decompress(content) + member.flush()
-        if not member.eof:
-            raise ValueError("the file is cut short")
-        content = member.unused_data
+    view, at = memoryview(content), 0
+    while view[at : at + 2] == b"\x1f\x8b":
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("the file is cut short")
+            piece = view[at : at + SLICE]
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        yield b"".join(parts)
 
 
 def _split(content: bytes) -> Iterator[tuple[bytes | None, str | None]]:

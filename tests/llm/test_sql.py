@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = con.sql(queries.ORACLE_SQL[name])
     df = queries.QUERIES[name](spark, SF).select(*got.columns)
     assert sorted(map(tuple, df.collect())) == sorted(got.fetchall())

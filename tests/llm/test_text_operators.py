@@ -10,6 +10,7 @@ import http.client
 import io
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -446,12 +447,12 @@ class Visible(html.parser.HTMLParser):
 def test_warc_derivatives(spark):
     pages = spark.createDataFrame([(1, "http://a.example/x", PAGE, "x"), (2, None, None, "x"), (None, "http://b\r\nX: y", "<a href='/z?a=1&amp;b'>t</a>", "x"), (1, "http://a.example/x", PAGE, "x"), (3, "u", "<p>long page</p>" * 60_000, "x")], "page_id long, url string, html string, record string")
     given = {r.page_id: r.html for r in pages.collect()}
-    sources = {r.page_id: read_record(bytes(r.record)) for r in warc.responses(pages).collect()}
+    sources = {x[0]["WARC-Record-ID"]: x for r in warc.responses(pages).collect() for x in [read_record(bytes(r.record))]}
     made = warc.derivatives(warc.responses(pages)).collect()
     assert len(made) == 10 and {r.error for r in made} == {None}
     for r in made:
         headers, body = read_record(bytes(r.record))
-        source, block = sources[r.page_id]
+        source, block = sources[r.refers_to]
         assert headers["WARC-Refers-To"] == r.refers_to == source["WARC-Record-ID"]
         assert headers["WARC-Target-URI"] == headers.get("WARC-Refers-To-Target-URI", "") == source["WARC-Target-URI"] if source["WARC-Target-URI"] else "WARC-Target-URI" not in headers
         assert headers["WARC-Date"] == headers["WARC-Refers-To-Date"] == source["WARC-Date"]
@@ -461,7 +462,7 @@ def test_warc_derivatives(spark):
             json.loads(body)
         else:
             assert body.decode().split() == " ".join(Visible(given[r.page_id] or "").out).split() or r.page_id == 1
-    assert len({r.record_id for r in made}) == 8
+    assert len({r.record_id for r in made}) == 10 and len(sources) == 5
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
@@ -482,6 +483,7 @@ def a_record(kind: str = "response", http_head: bytes = b"Content-Type: text/htm
     (a_record(http_head=b"Transfer-Encoding: chunked", payload=b"4\r\n<p>a\r\n2;x=y\r\nbc\r\n0\r\n\r\n"), "abc"),
     (a_record(http_head=b"Content-Type: text/plain", payload=b"a  <b>"), "a  <b>"),
     (a_record(http_head=b"Content-Type: image/png", payload=b"\x89PNG"), ""),
+    (a_record(http_head=b"Content-Type: text/html\r\nContent-Encoding: br", payload=b"\x0b\x02\x80<p>x"), ""),
     (b"HTTP/1.1 200", ValueError), (a_record()[:-30], ValueError), (a_record().replace(b"content-length", b"length"), ValueError), (a_record(more=b""), ValueError), (b"", ValueError),
 ])
 def test_warc_records_of_others(record, want):
@@ -495,6 +497,27 @@ def test_warc_records_of_others(record, want):
         assert read_record(made["conversion"][5])[1].decode() == want
 
 
+def test_warc_keeps_headers_that_repeat():
+    head = b"Content-Type: text/html\r\nSet-Cookie: a=1\r\nset-cookie: b=2"
+    more = b"WARC-Record-ID: <urn:1>\r\nWARC-Concurrent-To: <urn:2>\r\nwarc-concurrent-to: <urn:3>\r\n"
+    made = {r[0]: r[5] for r in warc.derive(a_record(http_head=head, more=more))}
+    for data in made.values():
+        headers, block, _ = warc.parse(data)
+        assert [v for k, v in headers if k.lower() == "warc-concurrent-to"] == ["<urn:2>", "<urn:3>"]
+    envelope = json.loads(warc.parse(made["metadata"])[1])["Envelope"]
+    assert [v for k, v in envelope["WARC-Header-Metadata"] if k.lower() == "warc-concurrent-to"] == ["<urn:2>", "<urn:3>"]
+    assert [v for k, v in envelope["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"] if k.lower() == "set-cookie"] == ["a=1", "b=2"]
+
+
+def test_warc_files_of_many_members():
+    """A copy of the rest of the file for each member would take minutes."""
+    member = gzip.compress(a_record(payload=np.random.default_rng(1).bytes(17_000)), 0)
+    began = time.time()
+    found = list(warc._split(member * 4_000))
+    assert len(found) == 4_000 and all(e is None for _, e in found) and time.time() - began < 10
+    assert [e is None for _, e in warc._split(member * 2 + member[:-9])] == [True, True, False]
+
+
 def test_warc_files(spark):
     many = [a_record(), a_record(kind="warcinfo"), a_record(payload=b"<p>two")]
     packed = b"".join(gzip.compress(r) for r in many)
