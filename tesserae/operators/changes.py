@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -83,19 +84,23 @@ def listed(lines: DataFrame) -> DataFrame:
 
 @dataclass
 class Update:
-    """What an incremental update finds and makes: changes, impacts, the graph after it, nodes to look at again, one row of counts."""
+    """What an incremental update finds and makes: changes, impacts, the graph after it, nodes to look at again, one row of
+    counts; and, for stores that take changes, the nodes (id) that go with their edges, and the nodes and edges that come."""
 
     changes: DataFrame
     impacts: DataFrame
     graph: Graph
     flagged: DataFrame
     report: DataFrame
+    removed: DataFrame
+    fresh: DataFrame
+    relations: DataFrame
 
 
-def update(graph: Graph, old: DataFrame, new: DataFrame, parsed: Graph, diffs: DataFrame | None = None, depth: int = 3) -> Update:
+def update(graph: Graph, old: DataFrame, new: DataFrame, parsed: Graph | Callable[[DataFrame], Graph], diffs: DataFrame | None = None, depth: int = 3) -> Update:
     """Detect changes between snapshots (path, content), follow their impact, apply them to the graph, and record them.
 
-    parsed holds the nodes and edges of the new files. Nodes of deleted files go with their edges; those of files with a
+    parsed holds the nodes and edges of the new files, or makes them of the files that changed. Nodes of deleted files go with their edges; those of files with a
     changed body or signature are replaced by the parsed ones, and those of added files are added, with the edges from
     them whose ends exist; files with changed documentation alone keep their nodes, and only their vectors are new.
     Concepts and documents that the change reaches are flagged. Nothing is collected: all parts are plans, and only the
@@ -107,8 +112,11 @@ def update(graph: Graph, old: DataFrame, new: DataFrame, parsed: Graph, diffs: D
     touched = graph.nodes.join(kinds, "file_path").select("id", F.col("change_type").alias("change"))
     impacts = materialised(impact.merged(impact.impact(graph.edges, touched, depth), graph.nodes))
     rebuilt = kinds.where("change_type not in ('DELETED', 'DOC_ONLY')")
+    if not isinstance(parsed, Graph):
+        parsed = parsed(new.join(rebuilt.select(F.col("file_path").alias("path")), "path", "left_semi"))
     fresh = parsed.nodes.join(rebuilt, "file_path").select(*graph.nodes.columns, "change_type")
-    left = delete_nodes(graph, touched.where("change <> 'DOC_ONLY'"))
+    removed = touched.where("change <> 'DOC_ONLY'").select("id").distinct()
+    left = delete_nodes(graph, removed)
     nodes = left.nodes.unionByName(fresh.drop("change_type"))
     ids = nodes.select("id")
     relations = parsed.edges.join(fresh.select(F.col("id").alias("src")), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -125,4 +133,4 @@ def update(graph: Graph, old: DataFrame, new: DataFrame, parsed: Graph, diffs: D
         # One row each.
         report = report.crossJoin(r)
     vectors = F.col("nodes_added") + F.col("nodes_updated") + F.col("vectors_of_documentation")
-    return Update(changes, impacts, after, flagged, report.withColumn("vectors_updated", vectors).drop("vectors_of_documentation"))
+    return Update(changes, impacts, after, flagged, report.withColumn("vectors_updated", vectors).drop("vectors_of_documentation"), removed, fresh.select(graph.nodes.columns), relations.select(graph.edges.columns).distinct())

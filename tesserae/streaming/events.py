@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import skills
+from .skills import signature
 
 Handler = Callable[[DataFrame, int], None]
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -28,7 +29,7 @@ def routed(events: DataFrame, routes: dict[str, list[str]]) -> DataFrame:
 
 def signatures(events: DataFrame) -> DataFrame:
     """(signature) of type and property k; unreadable properties are unknown."""
-    return events.select(F.concat_ws(":", F.coalesce("event_type", F.lit("unknown")), F.coalesce(F.get_json_object("props", "$.k"), F.lit("unknown"))).alias("signature"))
+    return events.select(signature(F.col("event_type"), F.col("props")).alias("signature"))
 
 
 def reflection(events: DataFrame) -> DataFrame:
