@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialised
+from .numbering import numbered
 
 # Weight of a relation by kind of change (ADDED, DELETED, SIGNATURE, BODY, DOC_ONLY).
 CHANGES = ("ADDED", "DELETED", "SIGNATURE", "BODY", "DOC_ONLY")
@@ -33,43 +34,78 @@ def severity(score: Column) -> Column:
     return F.when(score >= 0.8, "CRITICAL").when(score >= 0.5, "HIGH").when(score >= 0.2, "MEDIUM").otherwise("LOW")
 
 
+#: Relations in a path are digits, three bits each, and a walk is a number: its source's number and its path behind it.
+KINDS = sorted(WEIGHTS)
+PATH_BITS, WALK_BITS, UNIT = 9, 43, 1000
+LAST = (1 << WALK_BITS) - 1
+
+
+def _source(walk: Column) -> Column:
+    return F.shiftright(walk, PATH_BITS)
+
+
+def _longer(walk: Column, digit: Column) -> Column:
+    """A walk with one more relation."""
+    path = walk.bitwiseAND(F.lit((1 << PATH_BITS) - 1).cast("long"))
+    return walk - path + path * 8 + digit
+
+
 def impact(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
-    """(change, direction, node_id, score, depth) from changed (id, change): each node's best score over all changed nodes.
+    """(change, direction, node_id, score, depth, source_node_id, relation_path) from changed (id, change): each node's best score over all changed nodes, and a walk that gives it.
 
     FORWARD goes to nodes that depend on a changed one, BACKWARD to those it depends on. A score is a relation's weight
     times the depth's decay, not multiplied along the path. Scores below LEAST do not count, and nothing is an impact of
-    itself. Of equal scores the smaller depth counts. Null ids never match; repeated rows count once.
+    itself. Of equal scores the smaller depth counts. Null ids never match; repeated rows count once. The walk's source is
+    the smallest of those whose walks give score and depth over such a last step; if that is the node itself, the largest.
+    Its relations are the least in alphabetical order, or the greatest for the largest source.
 
     A later visit of a node can only lower the scores beyond it, so a level needs no memory of those before: its rows are
-    the nodes at that distance, one per kind of change and direction, however many changed nodes reach them. The smallest
-    and the largest of these tell whether one is another than the node itself. Levels are written to the shared folder.
+    the nodes at that distance, one per kind of change and direction, however many changed nodes reach them. Each keeps
+    its smallest and its largest walk, which also tell whether one is from another than the node itself. Walks are
+    numbers, so levels are aggregates over numbers; they are written to the shared folder.
     """
+    numbers = materialised(numbered(changed.select("id").where("id is not null").distinct(), "no", "id"))
     ways = [edges.select(F.col(a).alias("at"), F.col(b).alias("to"), "rel_type", F.lit(d).alias("direction")) for a, b, d in (("dst", "src", "FORWARD"), ("src", "dst", "BACKWARD"))]
-    steps = ways[0].unionByName(ways[1]).where(F.col("rel_type").isin(*WEIGHTS))
-    front = changed.select(F.col("id").alias("at"), "change").distinct().select("at", "change", F.explode(F.array(F.lit("FORWARD"), F.lit("BACKWARD"))).alias("direction"), F.col("at").alias("lo"), F.col("at").alias("hi"))
+    digit = F.array_position(F.array(*map(F.lit, KINDS)), F.col("rel_type"))
+    steps = ways[0].unionByName(ways[1]).where(F.col("rel_type").isin(*WEIGHTS)).withColumn("digit", digit).join(numbers.select(F.col("id").alias("to"), F.col("no").alias("own")), "to", "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    walk = F.shiftleft("no", PATH_BITS)
+    front = changed.join(numbers, "id").select(F.col("id").alias("at"), "change", walk.alias("lo"), walk.alias("hi")).distinct().withColumn("direction", F.explode(F.array(F.lit("FORWARD"), F.lit("BACKWARD"))))
     found = None
     for d in range(1, min(depth, len(DECAY)) + 1):
         met = front.join(steps, ["at", "direction"]).withColumn("score", weight(F.col("rel_type"), F.col("change")) * DECAY[d - 1]).where(F.col("score") >= LEAST)
-        other = (F.col("lo") != F.col("to")) | (F.col("hi") != F.col("to"))
-        level = met.groupBy("change", "direction", F.col("to").alias("at")).agg(F.max(F.when(other, F.col("score"))).alias("score"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        met = met.select("change", "direction", "to", "own", F.round(F.col("score") * UNIT).cast("long").alias("score"), _longer(F.col("lo"), F.col("digit")).alias("lo"), _longer(F.col("hi"), F.col("digit")).alias("hi"))
+        other = (_source(F.col("lo")) != F.col("own")) | (_source(F.col("hi")) != F.col("own"))
+        first = lambda w: F.max(F.when(other, F.shiftleft("score", WALK_BITS) + w))  # noqa: B023, E731
+        level = met.groupBy("change", "direction", F.col("to").alias("at")).agg(first(LAST - F.col("lo")).alias("least"), first(F.col("hi")).alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("own").alias("own"))
         level = materialised(level) if d < depth else level
-        scored = level.where("score is not null").select("change", "direction", F.col("at").alias("node_id"), "score", F.lit(d).alias("depth"))
+        small, large = LAST - F.col("least").bitwiseAND(F.lit(LAST)), F.col("most").bitwiseAND(F.lit(LAST))
+        chosen = F.when(_source(small) != F.col("own"), small).otherwise(large)
+        rank = F.shiftleft(F.shiftright("least", WALK_BITS) * 4 + 3 - d, WALK_BITS) + LAST - chosen
+        scored = level.where("least is not null").select("change", "direction", F.col("at").alias("node_id"), rank.alias("rank"))
         found = scored if found is None else found.unionByName(scored)
         front = level.select("at", "change", "direction", "lo", "hi")
-    return _best(found, "change", "direction", "node_id")
+    best = found.groupBy("change", "direction", "node_id").agg(F.max("rank").alias("rank"))
+    walk = LAST - F.col("rank").bitwiseAND(F.lit(LAST))
+    named = best.withColumn("no", _source(walk)).join(numbers.withColumnRenamed("id", "source_node_id"), "no")
+    return named.select("change", "direction", "node_id", *_decoded(F.col("rank")), "source_node_id", _path(walk).alias("relation_path"))
+
+
+def _decoded(rank: Column) -> list[Column]:
+    return [(F.shiftright(rank, WALK_BITS + 2) / UNIT).alias("score"), (3 - F.shiftright(rank, WALK_BITS).bitwiseAND(F.lit(3))).cast("int").alias("depth")]
 
 
-def _best(rows: DataFrame, *by: str) -> DataFrame:
-    """The best score and its smallest depth, below 16, as one number: an aggregate over numbers needs no sort."""
-    packed = F.round(F.col("score") * 1_000_000).cast("long") * 16 + 15 - F.col("depth")
-    return rows.groupBy(*by).agg(F.max(packed).alias("b")).select(*by, (F.shiftright("b", 4) / 1_000_000).alias("score"), (15 - F.col("b").bitwiseAND(F.lit(15))).cast("int").alias("depth"))
+def _path(walk: Column) -> Column:
+    digits = [F.shiftright(walk, 3 * k).bitwiseAND(F.lit(7)).cast("int") for k in (2, 1, 0)]
+    return F.array_compact(F.array(*[F.try_element_at(F.array(*map(F.lit, KINDS)), F.when(d > 0, d)) for d in digits]))
 
 
 def merged(impacts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The best row per node and direction over all kinds of change, ties to the smaller depth, with severity."""
-    best = _best(impacts, "node_id", "direction")
+    """The best row per node and direction over all lists and kinds of change, with severity: ties to the smaller depth, then the smaller source, then the smaller path."""
+    # A row's score as a whole number, so that scores that differ by rounding alone tie.
+    least = F.min(F.struct((-F.round(F.col("score") * 1_000_000).cast("long")).alias("s"), "depth", "source_node_id", "relation_path"))
+    best = impacts.groupBy("node_id", "direction").agg(least.alias("b")).select("node_id", "direction", (-F.col("b.s") / 1_000_000).alias("score"), "b.depth", "b.source_node_id", "b.relation_path")
     named = best.join(nodes.select(F.col("id").alias("node_id"), "label", "name", "file_path"), "node_id")
-    return named.select("node_id", "label", "name", "file_path", "direction", F.round("score", 6).alias("impact_score"), severity(F.col("score")).alias("severity"), "depth")
+    return named.select("node_id", "label", "name", "file_path", "direction", F.round("score", 6).alias("impact_score"), severity(F.col("score")).alias("severity"), "depth", "source_node_id", "relation_path")
 
 
 def report(rows: DataFrame) -> DataFrame:

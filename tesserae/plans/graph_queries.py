@@ -142,14 +142,26 @@ IMPACT_SQL = """, w(rel, wt) AS (VALUES ('calls',0.7::DOUBLE),('implements',0.5)
  l3 AS (SELECT l2.src, l2.dir, st.b node, max(st.wt*0.3) score FROM l2 JOIN steps st ON st.a=l2.node AND st.dir=l2.dir WHERE st.b<>l2.src AND st.wt*0.3>=0.05 GROUP BY ALL),
  every AS (SELECT *, 1 d FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3),
  best AS (SELECT node, dir, score, d, row_number() OVER (PARTITION BY node, dir ORDER BY score DESC, d) r FROM every),
- merged AS (SELECT n.id node_id, n.label, n.name, n.file_path, dir AS direction, round(score,6) impact_score, CASE WHEN score>=0.8 THEN 'CRITICAL' WHEN score>=0.5 THEN 'HIGH' WHEN score>=0.2 THEN 'MEDIUM' ELSE 'LOW' END severity, d::INT depth FROM best JOIN nodes n ON n.id=node WHERE r=1)"""
+ kind(rel, digit) AS (VALUES ('calls','1'),('describes','2'),('extends','3'),('implements','4'),('imports','5'),('semantic_impact','6')),
+ hop AS (SELECT dst a, src b, wt, digit, 'FORWARD' dir FROM edges JOIN w ON rel=rel_type JOIN kind k ON k.rel=rel_type UNION ALL SELECT src, dst, wt, digit, 'BACKWARD' FROM edges JOIN w ON rel=rel_type JOIN kind k ON k.rel=rel_type),
+ w1 AS (SELECT DISTINCT s.id src, dir, a AS via, b node, wt score, digit AS path FROM s JOIN hop ON a=s.id WHERE wt>=0.05),
+ w2 AS (SELECT DISTINCT x.src, x.dir, h.a via, h.b node, h.wt*0.6 score, x.path||h.digit AS path FROM w1 x JOIN hop h ON h.a=x.node AND h.dir=x.dir WHERE h.wt*0.6>=0.05),
+ w3 AS (SELECT DISTINCT x.src, x.dir, h.a via, h.b node, h.wt*0.3 score, x.path||h.digit AS path FROM w2 x JOIN hop h ON h.a=x.node AND h.dir=x.dir WHERE h.wt*0.3>=0.05),
+ walks AS (SELECT *, 1 d FROM w1 UNION ALL SELECT *, 2 FROM w2 UNION ALL SELECT *, 3 FROM w3),
+ bound AS (SELECT *, bool_or(src<>node) OVER (PARTITION BY dir, node, via, d, right(path,1)) o FROM walks),
+ near AS (SELECT b.* FROM bound b JOIN best m ON m.r=1 AND m.node=b.node AND m.dir=b.dir AND m.d=b.d AND round(m.score,6)=round(b.score,6) WHERE o),
+ ends AS (SELECT dir, node, min(src||chr(1)||path) lo, max(src||chr(1)||path) hi FROM near GROUP BY ALL),
+ witness AS (SELECT dir, node, CASE WHEN split_part(lo,chr(1),1)<>node THEN lo ELSE hi END x FROM ends),
+ merged AS (SELECT n.id node_id, n.label, n.name, n.file_path, best.dir AS direction, round(score,6) impact_score, CASE WHEN score>=0.8 THEN 'CRITICAL' WHEN score>=0.5 THEN 'HIGH' WHEN score>=0.2 THEN 'MEDIUM' ELSE 'LOW' END severity, d::INT depth,
+  split_part(x,chr(1),1) source_node_id, replace(replace(replace(replace(replace(replace(rtrim(regexp_replace(split_part(x,chr(1),2),'(.)','\\1>','g'),'>'),'1','calls'),'2','describes'),'3','extends'),'4','implements'),'5','imports'),'6','semantic_impact') relation_path
+  FROM best JOIN nodes n ON n.id=best.node JOIN witness USING (dir, node) WHERE r=1)"""
 
 
 @query(IMPACT_SQL + " SELECT * FROM merged")
 def gr_07_impact_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Impact of a changed body of every service, in both directions."""
+    """Impact of a changed body of every service, in both directions, with the service and the relations that lead there."""
     g, found = _impacts(spark, sf_dir, "s:", "BODY")
-    return impact.merged(found, g.nodes)
+    return impact.merged(found, g.nodes).withColumn("relation_path", F.array_join("relation_path", ">"))
 
 
 @query(IMPACT_SQL + " SELECT severity, count(*) n, count(DISTINCT file_path) n_files FROM merged GROUP BY severity")

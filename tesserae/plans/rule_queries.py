@@ -76,11 +76,12 @@ def fil_22_axiom_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.from_axioms(axioms, concepts).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'p:'||l_partkey node_id, direction, round(max(s),6) impact_score, arg_max(d, (s, -d))::INT AS depth FROM (SELECT l_partkey, CASE WHEN l_suppkey%2=0 THEN 'forward' ELSE 'backward' END direction, l_quantity/100.0::DOUBLE s, l_linenumber%3+1 d FROM lineitem) GROUP BY 1,2", graph=False)
+@query("SELECT node_id, direction, round(s,6) impact_score, d::INT AS depth, src source_node_id, rel relation_path FROM (SELECT 'p:'||l_partkey node_id, CASE WHEN l_suppkey%2=0 THEN 'forward' ELSE 'backward' END direction, l_quantity/100.0::DOUBLE s, l_linenumber%3+1 d, 's:'||l_suppkey src, lower(l_returnflag) rel, row_number() OVER (PARTITION BY l_partkey, l_suppkey%2=0 ORDER BY l_quantity DESC, l_linenumber%3, 's:'||l_suppkey, lower(l_returnflag)) r FROM lineitem) WHERE r=1", graph=False)
 def gr_08_merged_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best score of each node and direction, at the smallest depth that has it."""
-    found = table(spark, sf_dir, "lineitem").selectExpr("concat('p:', l_partkey) node_id", "if(l_suppkey % 2 = 0, 'forward', 'backward') direction", "l_quantity / 100.0D score", "l_linenumber % 3 + 1 depth")
-    return impact.merged(found, stored_graph(spark, sf_dir).nodes.where("id like 'p:%'")).select("node_id", "direction", "impact_score", "depth")
+    """The best impact of each node and direction over all sources, with the source and path that it came by."""
+    found = table(spark, sf_dir, "lineitem").selectExpr("concat('p:', l_partkey) node_id", "if(l_suppkey % 2 = 0, 'forward', 'backward') direction", "l_quantity / 100.0D score", "l_linenumber % 3 + 1 depth", "concat('s:', l_suppkey) source_node_id", "array(lower(l_returnflag)) relation_path")
+    best = impact.merged(found, stored_graph(spark, sf_dir).nodes.where("id like 'p:%'"))
+    return best.select("node_id", "direction", "impact_score", "depth", "source_node_id", F.array_join("relation_path", ">").alias("relation_path"))
 
 
 @query(""", w(rel, a, b) AS (VALUES ('calls',0.7::DOUBLE,0.9::DOUBLE),('implements',0.5,0.8),('extends',0.6,0.9),('imports',0.3,0.5),('semantic_impact',0.4,0.5)),

@@ -79,6 +79,54 @@ def test_impact_of_many_sources_is_the_best_of_each(spark):
     assert {m: s for m, (s, _) in got.items()} == want
 
 
+def witnesses(rows, sources, depth=3, column=3):
+    """Every walk, one by one: the source and the relations of the best score, as impact() says."""
+    best: dict = {}
+    for direction in ("FORWARD", "BACKWARD"):
+        walks = {(s, s, ()) for s in sources}
+        for d in range(1, depth + 1):
+            longer = set()
+            for a, b, kind, _ in rows:
+                at, to = (b, a) if direction == "FORWARD" else (a, b)
+                score = impact.WEIGHTS.get(kind, (0,) * 5)[column] * impact.DECAY[d - 1]
+                if score >= impact.LEAST:
+                    longer |= {(s, to, (*path, kind), at, round(score, 6)) for s, n, path in walks if n == at}
+            for to in {w[1] for w in longer}:
+                here = [w for w in longer if w[1] == to]
+                last = {(w[3], w[2][-1]) for w in here if w[0] != to}
+                here = [w for w in here if (w[3], w[2][-1]) in last]
+                if here and max(w[4] for w in here) > best.get((direction, to), (0,))[0]:
+                    top = max(w[4] for w in here)
+                    s, path = min((w[0], w[2]) for w in here if w[4] == top)
+                    if s == to:
+                        s, path = max((w[0], w[2]) for w in here if w[4] == top)
+                    best[direction, to] = (top, d, s, path)
+            walks = {w[:3] for w in longer}
+    return best
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_impact_names_a_source_and_a_path(spark, seed):
+    rng = random.Random(seed)
+    rows = sorted({(f"n{rng.randrange(18)}", f"n{rng.randrange(18)}", rng.choice([*impact.WEIGHTS, "unknown"]), 1.0) for _ in range(55)})
+    sources = [f"n{k}" for k in range(0, 18, 3)]
+    got = impact.impact(spark.createDataFrame(rows, EDGE), spark.createDataFrame([(x, "BODY") for x in [*sources, None, "n0"]], "id string, change string"))
+    assert {(r.direction, r.node_id): (round(r.score, 6), r.depth, r.source_node_id, tuple(r.relation_path)) for r in got.collect()} == witnesses(rows, sources)
+
+
+def test_impact_of_one_source_goes_its_way(spark):
+    rows = [("B", "A", "calls", 1.0), ("C", "B", "imports", 1.0), ("C", "B", "calls", 1.0), ("D", "C", "extends", 1.0), ("A", "D", "calls", 1.0)]
+    got = impact.impact(spark.createDataFrame(rows, EDGE), spark.createDataFrame([("A", "DELETED")], "id string, change string")).where("direction = 'FORWARD'").collect()
+    assert {r.node_id: (r.source_node_id, r.relation_path, round(r.score, 6)) for r in got} == {"B": ("A", ["calls"], 1.0), "C": ("A", ["calls", "calls"], 0.6), "D": ("A", ["calls", "calls", "extends"], 0.27)}
+
+
+def test_merged_impacts_keep_the_first_of_equals(spark):
+    nodes = spark.createDataFrame([("x", "L", "x", None)], "id string, label string, name string, file_path string")
+    rows = [("x", "F", 0.3, 1, "b", ["calls"]), ("x", "F", 0.1 + 0.2, 1, "a", ["imports"]), ("x", "F", 0.3, 2, "0", ["calls"])]
+    best = impact.merged(spark.createDataFrame(rows, "node_id string, direction string, score double, depth int, source_node_id string, relation_path array<string>"), nodes).first()
+    assert (best.source_node_id, best.relation_path, best.depth, best.severity) == ("a", ["imports"], 1, "MEDIUM")
+
+
 def test_label_propagation_and_cohesion(spark):
     assert set(clustering.sweep({"a": {"b", "c"}, "b": {"a", "c"}, "c": {"a", "b"}}).values()).__len__() == 1
     assert len(set(clustering.sweep({"a": {"b"}, "b": {"a"}, "c": {"d"}, "d": {"c"}}).values())) == 2
