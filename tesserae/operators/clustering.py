@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_id
 from ..shared import materialised, remove
+from .numbering import numbered
 
 #: Entities of one file are linked with each other if there are 2 to this many.
 CLIQUE = 30
@@ -79,7 +81,7 @@ def sweep_large(edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).where("x <> y").distinct()
     both = materialised(both)
-    label = both.select(F.col("x").alias("id"), F.col("x").alias("old"), F.col("x").alias("new")).distinct()
+    label, written = both.select(F.col("x").alias("id"), F.col("x").alias("old"), F.col("x").alias("new")).distinct(), None
     for _ in range(sweeps):
         first = True
         while True:
@@ -89,7 +91,9 @@ def sweep_large(edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
             step = label.join(won, F.col("id") == F.col("x")).select("id", "old", F.col("won").alias("new"), (F.col("won") != F.col("new")).alias("moved"))
             step = materialised(step)
             moved = not step.where("moved").isEmpty()
-            label = step.drop("moved")
+            if written is not None:
+                remove(written)
+            written, label = step, step.drop("moved")
             if not moved:
                 break
             first = False
@@ -137,13 +141,52 @@ def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def described(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(community, name, classes, n_functions): the last part of the members' common folder, their classes and functions."""
-    parts = F.filter(F.split(F.regexp_replace(F.coalesce("file_path", F.lit("")), "[^/]*$", ""), "/"), lambda x: x != "")
+    """(community, name, classes, n_functions): the last part of the members' common path, their classes and functions.
+
+    Members of one file alone are named by it. The name is null where no member has a path, or they share no folder; null
+    and empty paths are left out, and a path from the root shares nothing with one that is not.
+    """
+    path = F.when(F.col("file_path") != "", F.col("file_path"))
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    parts = F.when(F.startswith(path, F.lit("/")), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
     full = members.join(nodes, "id").withColumn("parts", parts)
     # The common prefix of all paths is that of the smallest and the largest one.
     ends = full.groupBy("community").agg(F.min("parts").alias("lo"), F.max("parts").alias("hi"), F.array_sort(F.collect_set(F.when(F.col("entity_type") == "class", F.col("name")))).alias("names"), F.count_if(F.col("entity_type") == "function").alias("n_functions"))
     same = F.expr("aggregate(sequence(0, greatest(least(size(lo), size(hi)) - 1, 0)), 0, (k, i) -> case when k = i and i < size(lo) and i < size(hi) and lo[i] = hi[i] then k + 1 else k end)")
-    return ends.withColumn("k", same).select("community", F.when(F.col("k") > 0, F.element_at("lo", F.greatest(F.col("k"), F.lit(1)))).alias("name"), F.array_join("names", ",").alias("classes"), "n_functions")
+    return ends.withColumn("k", same).select("community", F.when(F.col("k") > 0, F.nullif(F.element_at("lo", F.greatest(F.col("k"), F.lit(1))), F.lit(""))).alias("name"), F.array_join("names", ",").alias("classes"), "n_functions")
+
+
+def named(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """described() with module_{N} for communities without a name, N from 0 in order of the communities."""
+    found = described(members, nodes)
+    counted = numbered(found.where("name is null").select("community"), "k", "community")
+    return found.join(counted, "community", "left").select("community", F.coalesce("name", F.concat(F.lit("module_"), F.col("k").cast("string"))).alias("name"), "classes", "n_functions")
+
+
+@dataclass
+class Modules:
+    """Detected modules as nodes (id, community, name, description, size, cohesion), edges to what they contain (src, dst, rel_type), and the tree as rows (parent, child, cohesion, entity_count)."""
+
+    nodes: DataFrame
+    contains: DataFrame
+    tree: DataFrame
+
+
+def saved(edges: DataFrame, members: DataFrame, nodes: DataFrame) -> Modules:
+    """What is kept of the communities members (id, community) of edges (a, b) between nodes (id, file_path, entity_type, name).
+
+    The description lists classes and the number of functions, null if there are neither. The tree is keyed by name; of
+    modules of equal name the last community counts.
+    """
+    members = members.select("id", "community").distinct()
+    described_ = F.concat_ws(" | ", F.when(F.col("classes") != "", F.concat(F.lit("Classes: "), F.replace("classes", F.lit(","), F.lit(", ")))), F.when(F.col("n_functions") > 0, F.concat(F.col("n_functions").cast("string"), F.lit(" function(s)"))))
+    found = modules(members).join(named(members, nodes), "community").join(cohesion(edges, members).select("community", "cohesion"), "community")
+    made = materialised(found.select(F.col("module_id").alias("id"), "community", "name", F.nullif(described_, F.lit("")).alias("description"), F.col("n").alias("size"), "cohesion"))
+    inside = members.join(made.select("community", F.col("id").alias("src")), "community")
+    last = made.groupBy("name").agg(F.max("community").alias("community"))
+    top = made.join(last, ["name", "community"]).select("community", "name", "cohesion", "size")
+    tree = members.join(top, "community").select(F.col("name").alias("parent"), F.col("id").alias("child"), "cohesion", F.col("size").alias("entity_count"))
+    return Modules(made, inside.select("src", F.col("id").alias("dst"), F.lit("contains").alias("rel_type")), tree)
 
 
 def set_classes(sets: DataFrame) -> DataFrame:

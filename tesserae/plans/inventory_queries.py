@@ -365,6 +365,39 @@ def gr_17_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.modules(members).select("module_id", "n")
 
 
+#: Customers of a nation are in one file, orders of a priority in one folder, suppliers in none; each group is a community.
+MODULES_SQL = """WITH m AS (SELECT 'c:'||c_custkey id, 'c'||c_nationkey community, 'n'||c_nationkey||'.py' AS name, c_name class FROM customer UNION ALL SELECT 'o:'||o_orderkey, 'o'||(o_orderkey%3), 'orders', NULL FROM orders UNION ALL SELECT 's:'||s_suppkey, 's'||s_nationkey, NULL, NULL FROM supplier),
+ k AS (SELECT community, 'module_'||(row_number() OVER (ORDER BY community)-1) AS name FROM (SELECT DISTINCT community FROM m WHERE name IS NULL)),
+ g AS (SELECT community, coalesce(any_value(m.name), any_value(k.name)) AS name, count(*) n, string_agg(DISTINCT class, ', ' ORDER BY class) classes, count(*) FILTER (community LIKE 'o%') f,
+  substr(sha256('module|'||sum(('0x'||substr(md5(id),1,12))::BIGINT)::VARCHAR||'|'||count(*)),1,32) module_id FROM m LEFT JOIN k USING (community) GROUP BY 1)"""
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> clustering.Modules:
+    g = stored_graph(spark, sf_dir)
+    c, o, s = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
+    members = c.selectExpr("concat('c:', c_custkey) id", "concat('c', c_nationkey) community").unionByName(o.selectExpr("concat('o:', o_orderkey) id", "concat('o', o_orderkey % 3) community")).unionByName(s.selectExpr("concat('s:', s_suppkey) id", "concat('s', s_nationkey) community"))
+    edges = g.typed("calls").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return clustering.saved(edges, members, g.nodes.where("id like 'c:%' or id like 'o:%' or id like 's:%'"))
+
+
+@query(MODULES_SQL + " SELECT module_id id, name, md5(concat_ws(' | ', 'Classes: '||classes, CASE WHEN f>0 THEN f||' function(s)' END)) description, n AS size FROM g", graph=False)
+def gr_17_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules with their names, counted where there is none, and descriptions."""
+    made = _modules(spark, sf_dir).nodes
+    return made.select("id", "name", F.md5(F.coalesce("description", F.lit(""))).alias("description"), "size")
+
+
+@query(MODULES_SQL + " SELECT module_id src, id dst, 'contains' rel_type FROM m JOIN g USING (community)", graph=False)
+def gr_17_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modules(spark, sf_dir).contains
+
+
+@query(MODULES_SQL + ", t AS (SELECT name, max(community) community FROM g GROUP BY 1) SELECT t.name parent, id child, 0.0::DOUBLE cohesion, n entity_count FROM t JOIN g USING (community) JOIN m USING (community)", graph=False)
+def gr_17_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent and child rows; of the three modules named orders the last counts. Calls leave each module, so none coheres."""
+    return _modules(spark, sf_dir).tree
+
+
 @query("SELECT o_orderkey, regexp_replace('repo/'||o_orderpriority, '^repo/', '/root/repo/') path FROM orders", graph=False)
 def inc_09_absolute_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", changes.absolute(F.concat(F.lit("repo/"), "o_orderpriority"), "/root/repo").alias("path"))
