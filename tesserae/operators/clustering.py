@@ -220,6 +220,36 @@ def jaccard(sets: DataFrame, least: float = 0.8) -> DataFrame:
     return both.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("overlap")).where(F.col("overlap") > least)
 
 
+def overlaps(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, overlap) for sets a of left and b of right, both (id, item), whose overlap is above least.
+
+    Of equal sets one on each side is compared, that of the smallest id. For a set of left all b of equal items have the
+    same overlap, so only the smallest of them is given; sets of left that are equal are all given. Both sides' items are
+    in one order, from rare to frequent, and only sets that share an item of their first n - ceil(least * n) + 1 meet, at
+    such places in both that the rest can still make up the overlap.
+    """
+    sides, all_items = [], None
+    classes = [materialised(set_classes(x)) for x in (left, right)]
+    for x, of in zip((left, right), classes, strict=True):
+        distinct = x.where("id is not null and item is not null").select("id", "item").distinct()
+        sides.append(materialised(distinct.join(of.where("id = rep").select("id"), "id", "left_semi")))
+    all_items = sides[0].select("item").unionByName(sides[1].select("item")).groupBy("item").agg(F.count("*").alias("f"))
+
+    def prefix(x: DataFrame, *names: str) -> DataFrame:
+        sized = x.groupBy("id").agg(F.count("*").alias("n"))
+        at = F.row_number().over(Window.partitionBy("id").orderBy("f", "item"))
+        return x.join(all_items, "item").withColumn("at", at).join(sized, "id").where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "n", "at", "item").toDF(*names, "item")
+
+    a, b = prefix(sides[0], "a", "na", "pa"), prefix(sides[1], "b", "nb", "pb")
+    # What two sets can share at most if their first common item is at these places.
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    possible = (F.least("na", "nb") > F.lit(least) * F.greatest("na", "nb")) & (most / (F.col("na") + F.col("nb") - most) > least)
+    met = a.join(b, "item").groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb")).where(possible).select("a", "b", "na", "nb")
+    common = met.join(sides[0].toDF("a", "item"), "a").join(sides[1].toDF("b", "item"), ["b", "item"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    found = common.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("overlap")).where(F.col("overlap") > least)
+    return classes[0].select("id", F.col("rep").alias("a")).join(found, "a").select(F.col("id").alias("a"), "b", "overlap")
+
+
 def modules(members: DataFrame) -> DataFrame:
     """(community, module_id, n): a module's id stands for its members (id), whatever their order and the community's name.
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance_confidence
+from ..graph import Graph
+from . import clustering
+from .embedding import Embedder
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -49,9 +52,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | N
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def text_search(vectors: DataFrame, queries: DataFrame, embed: Callable[[Column], Column], k: int = 10, where: Column | None = None) -> DataFrame:
+def text_search(vectors: DataFrame, queries: DataFrame, embed: Callable[[Column], Column] | Embedder, k: int = 10, where: Column | None = None) -> DataFrame:
     """(query_id, rank, distance, id, ...): the k nearest rows of vectors (id, embedding, ...), whole, to texts (query_id, text)."""
-    asked = queries.where(F.trim("text") != "").select("query_id", embed(F.col("text")).alias("vector"))
+    asked = queries.where(F.trim("text") != "")
+    asked = embed.vectors(asked, "query_id", "text") if isinstance(embed, Embedder) else asked.select("query_id", embed(F.col("text")).alias("vector"))
     found = search(vectors, asked, k, where).select("query_id", "rank", "distance", "id")
     return found.join(vectors.drop("embedding"), "id").select("query_id", "rank", "distance", "id", *[c for c in vectors.columns if c not in ("id", "embedding")])
 
@@ -88,11 +92,12 @@ def count(vectors: DataFrame, where: Column | None = None) -> DataFrame:
     return (vectors if where is None else vectors.where(where)).agg(F.count("*").alias("n"))
 
 
-def align(names: DataFrame, concepts: DataFrame, near: DataFrame | None = None, least: float = 0.7) -> DataFrame:
-    """(name, concept_id, method, confidence): by exact name, else alias in any case, else the nearest vector, else none.
+def align(names: DataFrame, concepts: DataFrame, near: DataFrame | None = None, least: float = 0.7, graph: Graph | None = None, overlap: float = 0.8) -> DataFrame:
+    """(name, concept_id, method, confidence): by exact name, else alias in any case, else the nearest vector, else the graph, else none.
 
     names: (name); concepts: (concept_id, name, aliases, ord); near: (name, concept_id, distance). Of equal names the
-    first concept wins, of equal aliases the last. Blank names align with none.
+    first concept wins, of equal aliases the last. Blank names align with none. With a graph, names that nothing else
+    aligns take the concept whose code overlaps most, above overlap, with the code around the name's own (structural()).
     """
     exact = concepts.groupBy("name").agg(F.min_by("concept_id", "ord").alias("exact"))
     alias = concepts.select(F.explode("aliases").alias("a"), "concept_id", "ord").groupBy(F.lower("a").alias("low")).agg(F.max_by("concept_id", "ord").alias("alias"))
@@ -105,7 +110,42 @@ def align(names: DataFrame, concepts: DataFrame, near: DataFrame | None = None,
     blank = F.trim("name") == ""
     how = F.when(blank, "none").when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").when(F.col("near").isNotNull(), "vector").otherwise("none")
     got = out.withColumn("method", how)
-    return got.select("name", F.when(F.col("method") != "none", F.coalesce("exact", "alias", "near")).alias("concept_id"), "method", F.when(F.col("method").isin("exact", "alias"), 1.0).when(F.col("method") == "vector", distance_confidence(F.col("d"))).otherwise(0.0).alias("confidence"))
+    if graph is not None:
+        open_ = got.where((F.col("method") == "none") & ~blank)
+        by_graph = structural(graph, open_.select("name"), overlap).join(exact.withColumnRenamed("name", "concept"), "concept").select("name", F.col("exact").alias("like"), "overlap")
+        got = got.join(by_graph, "name", "left").withColumn("method", F.when((F.col("method") == "none") & F.col("like").isNotNull(), "graph_structure").otherwise(F.col("method")))
+    else:
+        got = got.withColumn("like", F.lit(None).cast("string")).withColumn("overlap", F.lit(None).cast("double"))
+    return got.select("name", F.when(F.col("method") != "none", F.coalesce("exact", "alias", "near", "like")).alias("concept_id"), "method", F.when(F.col("method").isin("exact", "alias"), 1.0).when(F.col("method") == "vector", distance_confidence(F.col("d"))).when(F.col("method") == "graph_structure", F.round("overlap", 4)).otherwise(0.0).alias("confidence"))
+
+
+def code_around(graph: Graph, names: DataFrame) -> DataFrame:
+    """(name, id) distinct: code within two relations, either way, of the code of each of names (name), no relation twice."""
+    code = graph.labelled("CodeEntity")
+    starts = code.join(names.select("name").distinct(), "name").select("name", F.col("id").alias("start"))
+    ways = graph.edges.select(F.col("src").alias("here"), F.col("dst").alias("there")).unionByName(graph.edges.select(F.col("dst").alias("here"), F.col("src").alias("there"))).where("here <> there")
+    steps = ways.groupBy("here", "there").agg(F.count("*").alias("n"))
+    one = starts.join(steps, F.col("start") == F.col("here")).select("name", "start", F.col("there").alias("at"), "n")
+    two = one.select("name", "start", "at").join(steps.select("here", "there"), F.col("at") == F.col("here")).where("there <> start").select("name", F.col("there").alias("id"))
+    # Back at the start are those that another relation leads back from; a loop is a relation to itself.
+    back = one.where("n > 1").select("name", F.col("start").alias("id"))
+    loops = starts.join(graph.edges.where("src = dst").select(F.col("src").alias("start")), "start", "left_semi").select("name", F.col("start").alias("id"))
+    every = one.select("name", F.col("at").alias("id")).unionByName(two).unionByName(back).unionByName(loops).distinct()
+    return every.join(code.select("id"), "id", "left_semi").select("name", "id")
+
+
+def structural(graph: Graph, names: DataFrame, least: float = 0.8) -> DataFrame:
+    """(name, concept, overlap): the concept whose code, by derived_from or semantic_impact either way, overlaps most with the code around a name, above least.
+
+    Overlap is that of sets (Jaccard); of equal overlaps the first concept by name counts.
+    """
+    concepts, code = graph.labelled("ConceptEntity"), graph.labelled("CodeEntity").select("id")
+    e = graph.typed("derived_from", "semantic_impact")
+    ends = e.select(F.col("src").alias("concept_id"), F.col("dst").alias("id")).unionByName(e.select(F.col("dst").alias("concept_id"), F.col("src").alias("id")))
+    known = ends.join(code, "id", "left_semi").join(concepts.select(F.col("id").alias("concept_id"), F.col("name").alias("concept")), "concept_id").select("concept", "id")
+    met = clustering.overlaps(code_around(graph, names).toDF("id", "item"), known.toDF("id", "item"), least)
+    best = met.groupBy("a").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "b")).alias("m"))
+    return best.select(F.col("a").alias("name"), F.col("m.b").alias("concept"), (-F.col("m.o")).alias("overlap"))
 
 
 def hashed(text: Column, d: int = 256) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..graph import stored_graph, table
-from ..operators import changes, linking, shapes, store, tables, vectors
+from ..graph import NODE_COLUMNS, Graph, stored_graph, table
+from ..operators import changes, clustering, linking, neighbour_graph, shapes, store, tables, vectors
+from ..operators.embedding import Embedder
+from ..shared import new_path
 from ..streaming import events as stream
 from .graph_queries import query
 
@@ -188,6 +190,54 @@ def vec_09_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.align(c.selectExpr("c_name name"), exact.union(alias))
 
 
+#: Customers are concepts whose code are their orders; a client is code that calls most of these.
+STRUCTURE_SQL = "WITH o AS (SELECT o_custkey c, count(*) n, count(*) FILTER (o_orderkey%9<>0) k FROM orders GROUP BY 1), t AS (SELECT *, k/n::DOUBLE j FROM o WHERE k>0)"
+
+
+@query(STRUCTURE_SQL + " SELECT 'client '||c AS name, CASE WHEN c%5=0 THEN 'x'||c WHEN j>0.8 THEN 'k'||c END concept_id, CASE WHEN c%5=0 THEN 'exact' WHEN j>0.8 THEN 'graph_structure' ELSE 'none' END AS method, CASE WHEN c%5=0 THEN 1.0 WHEN j>0.8 THEN round(j,4) ELSE 0.0 END::DOUBLE confidence FROM t", graph=False)
+def vec_09_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aligner with its fourth step: names of clients that are no concept's, by the code around them."""
+    o, null = table(spark, sf_dir, "orders"), "cast(null as {}) {}"
+    node = lambda df, i, label, name: df.selectExpr(f"{i} id", f"'{label}' label", f"{name} name", *[null.format("int" if c == "lines" else "string", c) for c in NODE_COLUMNS[3:]])
+    keys = o.select("o_custkey").distinct()
+    nodes = node(o, "concat('o:', o_orderkey)", "CodeEntity", "concat('order ', o_orderkey)").unionByName(node(keys, "concat('t:', o_custkey)", "CodeEntity", "concat('client ', o_custkey)")).unionByName(node(keys, "concat('k:', o_custkey)", "ConceptEntity", "concat('customer ', o_custkey)"))
+    edge = lambda df, a, b, kind: df.selectExpr(f"{a} src", f"{b} dst", f"'{kind}' rel_type", "1.0D weight")
+    edges = edge(o, "concat('o:', o_orderkey)", "concat('k:', o_custkey)", "derived_from").unionByName(edge(o.where("o_orderkey % 9 <> 0"), "concat('t:', o_custkey)", "concat('o:', o_orderkey)", "calls"))
+    concepts = keys.selectExpr("concat('k', o_custkey) concept_id", "concat('customer ', o_custkey) name", "cast(array() as array<string>) aliases", "o_custkey ord").unionByName(keys.where("o_custkey % 5 = 0").selectExpr("concat('x', o_custkey) concept_id", "concat('client ', o_custkey) name", "cast(array() as array<string>) aliases", "o_custkey ord"))
+    clients = o.where("o_orderkey % 9 <> 0").selectExpr("concat('client ', o_custkey) name").distinct()
+    return vectors.align(clients, concepts, graph=Graph(nodes, edges))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_partkey id, l_suppkey item FROM lineitem WHERE l_linenumber <= 3), r AS (SELECT DISTINCT l_partkey id, l_suppkey item FROM lineitem), ls AS (SELECT id, string_agg(item, ',' ORDER BY item) s, count(*) n FROM l GROUP BY 1), rs AS (SELECT min(id) id, s, n FROM (SELECT id, string_agg(item, ',' ORDER BY item) s, count(*) n FROM r GROUP BY 1) GROUP BY s, n),
+ p AS (SELECT l.id a, r.id b, count(*) k FROM l JOIN r USING (item) JOIN rs ON rs.id=r.id GROUP BY 1,2) SELECT a, b, round(k/(x.n+y.n-k),6) overlap FROM p JOIN ls x ON x.id=a JOIN rs y ON y.id=b WHERE k/(x.n+y.n-k) > 0.6""", graph=False)
+def gr_18_two_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a part in the first lines of orders against those of all lines, over two collections."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("item"), "l_linenumber")
+    return clustering.overlaps(rows.where("l_linenumber <= 3").drop("l_linenumber"), rows.drop("l_linenumber"), 0.6).withColumn("overlap", F.round("overlap", 6))
+
+
+@query("SELECT query_id, id, rank, round(distance, 9) distance FROM (SELECT q.vec_id query_id, v.vec_id id, 1-list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1-list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON v.vec_id<>q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank<=5", graph=False)
+def vec_05_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against the neighbour graphs of all; on the test tables the beam finds what the SQL does."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = neighbour_graph.search(neighbour_graph.build(v, new_path(spark)), v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")))
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 9).alias("distance"))
+
+
+def _model(texts: list[str]) -> list[list[float]]:
+    """A model that takes no batch with a text of a length that three divides."""
+    if len(texts) > 1 and any(len(t) % 3 == 0 for t in texts):
+        raise ValueError("batch refused")
+    return [[float(len(t)), float(t.count("e")), float(t.count(" "))] for t in texts]
+
+
+@query("SELECT item_id, [length(text)::DOUBLE, (length(text)-length(replace(text,'e','')))::DOUBLE, (length(text)-length(replace(text,' ','')))::DOUBLE]::VARCHAR AS vector FROM benchmark", graph=False)
+def vec_04_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through a model that refuses some batches, whose texts then go one by one."""
+    found = Embedder(_model).vectors(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select("item_id", F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: x.cast("string")), ", "), F.lit("]")).alias("vector"))
+
+
 CHANGES_SQL = "WITH o AS (SELECT doc_id, text FROM documents WHERE doc_id%10<>0), n AS (SELECT doc_id, CASE WHEN doc_id%3=0 THEN text||'!' ELSE text END text FROM documents WHERE doc_id%7<>0), d AS (SELECT coalesce(n.doc_id,o.doc_id)::VARCHAR path, CASE WHEN o.doc_id IS NULL THEN 'ADDED' WHEN n.doc_id IS NULL THEN 'DELETED' WHEN sha256(o.text)<>sha256(n.text) THEN 'BODY' END change_type, sha256(n.text) new_sha FROM o FULL JOIN n ON n.doc_id=o.doc_id)"
 
 
