@@ -80,17 +80,29 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(union(nodes), union(edges))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str], tuple[int, str]] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> int:
+    """The time of the latest change of the tables' files, and their number and sizes, as one number."""
+    seen = []
+    for name in TABLES:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        whole = fs.getContentSummary(at)
+        seen += [fs.getFileStatus(at).getModificationTime(), whole.getLength(), whole.getFileCount()]
+    return hash(tuple(seen))
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """graph_from_tables() laid out once a session by label and relation, so that later plans scan what they need of it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
+    """graph_from_tables() laid out by label and relation, so that later plans scan what they need of it; once a session, and anew if the tables' files have changed."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), _changed(spark, sf_dir)
+    if _STORED.get(key, (None,))[0] != now:
         path = new_path(spark)
         graph_from_tables(spark, sf_dir).save(path)
-        _STORED[key] = path
-    return Graph.load(spark, _STORED[key])
+        _STORED[key] = now, path
+    return Graph.load(spark, _STORED[key][1])
 
 
 #: The same graph in SQL, for the oracle.

@@ -9,16 +9,26 @@ from ..functions.scalars import role_allows, skill_confidence
 from ..shared import materialised
 
 
-def evicted(traces: DataFrame, now: float, ttl: float = 3600.0, most: int = 500) -> DataFrame:
+def evicted(traces: DataFrame, now: float, ttl: float = 3600.0, most: int = 500, start: float = 0.0, at_once: int | None = None) -> DataFrame:
     """(trace_id, reason) to drop from (trace_id, at): older than ttl, then the oldest beyond `most`.
 
-    The cut for the excess is one number, the time of the `most`th newest trace, found by a top-k that Spark merges
-    from its tasks; no global sort.
+    Nothing goes before there are more than start * most traces. at_once bounds one clearing: so many of the oldest expired
+    ones go, and so many of the oldest of the rest while it is beyond `most`; the next clearing goes on. All cuts are top-k
+    selections that Spark merges from its tasks; no global sort.
     """
-    old = traces.where(F.col("at") < now - ttl).select("trace_id", F.lit("expired").alias("reason"))
+    traces = traces.select("trace_id", "at")
+    n = traces.count()
+    if n <= start * most:
+        return traces.select("trace_id", F.lit("expired").alias("reason")).limit(0)
+    old = traces.where(F.col("at") < now - ttl)
+    if at_once is not None:
+        old = materialised(old.orderBy("at", "trace_id").limit(at_once))
+        rest = materialised(traces.join(old.select("trace_id"), "trace_id", "left_anti"))
+        excess = rest.orderBy("at", "trace_id").limit(max(0, min(at_once, rest.count() - most)))
+        return old.select("trace_id", F.lit("expired").alias("reason")).unionByName(excess.select("trace_id", F.lit("excess").alias("reason")))
     live = traces.where(F.col("at") >= now - ttl)
     kept = live.orderBy(F.desc("at"), "trace_id").limit(most).select("trace_id")
-    return old.unionByName(live.join(kept, "trace_id", "left_anti").select("trace_id", F.lit("excess").alias("reason")))
+    return old.select("trace_id", F.lit("expired").alias("reason")).unionByName(live.join(kept, "trace_id", "left_anti").select("trace_id", F.lit("excess").alias("reason")))
 
 
 def traces(log: DataFrame) -> DataFrame:

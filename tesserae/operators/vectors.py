@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,4 +154,9 @@ def hashed(text: Column, d: int = 256) -> Column:
     """Counts of a text's words, in lower case, in d places by their hash; a null text gives zeros. It needs no model."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
     places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(d)))
-    return F.aggregate(places, F.array_repeat(F.lit(0.0), d), lambda sums, at: F.transform(sums, lambda x, i: F.when(i == at, x + 1.0).otherwise(x)))
+
+    @F.pandas_udf("array<double>")
+    def counted(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda p: np.bincount(np.asarray(p, np.int64), minlength=d).astype(np.float64))
+
+    return counted(places)

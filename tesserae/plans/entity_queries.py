@@ -104,9 +104,10 @@ def join_18_changed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.work(changed, stored_graph(spark, sf_dir).labelled("CodeEntity")).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('update_entity','sensitive_data'),('update_entity','region_rules'),('update_entity','http_entry_point'),('update_entity','large_unit'),('update_entity','upstream_chain'),('update_entity','open_suppliers')) v(\"function\", shape_id)", graph=False)
+@query("SELECT 'edit '||p_partkey AS \"function\", shape_id FROM part, (VALUES ('sensitive_data'),('region_rules'),('http_entry_point'),('large_unit'),('upstream_chain'),('open_suppliers')) v(shape_id) WHERE p_size > 30", graph=False)
 def join_19_consulted_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    functions = spark.createDataFrame([("update_entity", ["CodeEntity:UPDATE", "CodeEntity:update"]), ("check_compliance", ["CodeEntity:READ"]), ("generate_api_doc", ["CodeEntity:READ", "DocEntity:CREATE"])], "function string, capabilities array<string>")
+    """Parts as functions: large ones can update code, in either case of the word, others read it or create documents."""
+    functions = table(spark, sf_dir, "part").selectExpr("concat('edit ', p_partkey) function", "case when p_size > 40 then array('CodeEntity:UPDATE', 'CodeEntity:update') when p_size > 30 then array('DocEntity:CREATE', 'CodeEntity:update') when p_size > 10 then array('CodeEntity:READ') else array('CodeEntity:READ', 'DocEntity:CREATE') end capabilities")
     return actions.consulted(functions, shapes.as_table(spark, shapes.SHAPES))
 
 

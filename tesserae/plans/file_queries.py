@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph, table
 from ..operators import shapes, tables, vectors
 from ..shared import new_path
-from ..sources import files, ontologies
+from ..sources import files, ontologies, rules
 from ..streaming import events as stream
 from .graph_queries import CALLS_SQL, _calls, query
 
@@ -78,6 +78,22 @@ def shp_11_upstream_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.triggered(Graph(nodes, g.edges), shapes.Shape("upstream", "^CALLS{1,5} -> CodeEntity", "entry_category", "in", ("http_api", "rpc_service"), "warn", 6, max_depth=5))
 
 
+@query(CALLS_SQL + """ SELECT 'c:'||c_custkey id, 'shape:sensitive_data' shape_id, 'block' severity, 10::BIGINT priority FROM customer WHERE c_nationkey%4 < 2 UNION ALL SELECT 'c:'||c_custkey, 'shape:compliance_check', 'block', 8 FROM customer WHERE c_custkey%5 < 2 AND c_custkey%5 IN (SELECT r_regionkey FROM region)
+ UNION ALL SELECT 'c:'||c_custkey, 'shape:http_entry_point', 'warn', 5 FROM customer WHERE c_mktsegment='BUILDING' UNION ALL SELECT 'c:'||c_custkey, 'shape:refactor_large_code_unit', 'warn', 3 FROM customer WHERE c_custkey%200 > 100
+ UNION ALL SELECT DISTINCT 'c:'||callee, 'shape:upstream_call_chain_risk', 'warn', 6 FROM walk JOIN customer k ON k.c_custkey=caller JOIN customer t ON t.c_custkey=callee WHERE k.c_mktsegment='BUILDING' AND hops <= 5""", graph=False)
+def shp_11_built_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five built-in rules: customers as code that works on nations as data, is subject to regions as rules, and calls one another."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    null = {"id": "", "label": "", "name": "null", "entry_category": "null", "sensitivity": "null", "severity": "null", "lines": "cast(null as int)"}
+    node = lambda df, **known: df.selectExpr(*[f"cast({v} as {'int' if k == 'lines' else 'string'}) {k}" for k, v in (null | known).items()])
+    nodes = node(c, id="concat('c:', c_custkey)", label="'CodeEntity'", name="c_name", entry_category="if(c_mktsegment = 'BUILDING', 'http_api', null)", lines="c_custkey % 200")
+    nodes = nodes.unionByName(node(n, id="concat('n:', n_nationkey)", label="'DataAsset'", sensitivity="element_at(array('restricted', 'confidential', 'internal', 'public'), cast(n_nationkey % 4 + 1 as int))"))
+    nodes = nodes.unionByName(node(r, id="concat('r:', r_regionkey)", label="'ComplianceItem'", severity="element_at(array('critical', 'high', 'medium', 'low', 'low'), cast(r_regionkey + 1 as int))"))
+    edge = lambda b, kind: c.selectExpr("concat('c:', c_custkey) src", f"{b} dst", f"'{kind}' rel_type", "1.0D weight")
+    edges = edge("concat('n:', c_nationkey)", "processes_data").unionByName(edge("concat('r:', c_custkey % 5)", "subject_to")).unionByName(_calls(spark, sf_dir).edges)
+    return shapes.results(Graph(nodes, edges), rules.built_in()).select("id", "shape_id", "severity", F.col("priority").cast("long").alias("priority"))
+
+
 @query("""WITH f AS (SELECT c_mktsegment AS name, min(c_custkey) k FROM customer GROUP BY 1), a AS (SELECT 'nation '||c_nationkey AS name, max(c_custkey) k FROM customer GROUP BY 1)
  SELECT name, 'c'||k concept_id, 'exact' AS method FROM f UNION ALL SELECT name, 'c'||k, 'alias' FROM a""", graph=False)
 def vec_10_concept_index(spark: SparkSession, sf_dir: str) -> DataFrame:

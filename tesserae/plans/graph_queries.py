@@ -211,11 +211,19 @@ def gr_12_same_file_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: In sorted order a module first meets its repository, so in the first sweep all take the repository's label and keep it.
 @query("SELECT 'n:'||n_nationkey id, 'r:'||n_regionkey community FROM nation UNION ALL SELECT 'r:'||r_regionkey, 'r:'||r_regionkey FROM region UNION ALL SELECT 's:'||s_suppkey, 'r:'||n_regionkey FROM supplier JOIN nation ON s_nationkey=n_nationkey", graph=False)
-def gr_13_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gr_13_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, edges = _cluster_edges(spark, sf_dir)
     return clustering.label_propagation(edges, g.nodes.where(F.col("label").isin("ModuleEntity", "RepositoryEntity", "ServiceEntity")))
 
 
+#: In sorted order a conversation comes before its turns and takes the label of the first of them, which all of them then take.
+@query("SELECT DISTINCT 'c:'||conv_id id, min('t:'||conv_id||':'||turn) OVER (PARTITION BY conv_id) community FROM conversations UNION ALL SELECT DISTINCT 't:'||conv_id||':'||turn, min('t:'||conv_id||':'||turn) OVER (PARTITION BY conv_id) FROM conversations", graph=False)
+def gr_13_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations and their turns: a component each, however many turns it has."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c:"), F.col("conv_id").cast("string")).alias("a"), F.concat(F.lit("t:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("b")).distinct()
+    return clustering.label_propagation(turns)
+
+
 @query(CLUSTER_SQL + """, m AS (SELECT 'n:'||n_nationkey id, n_regionkey community FROM nation UNION ALL SELECT 'r:'||r_regionkey, r_regionkey FROM region UNION ALL SELECT 's:'||s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey=n_nationkey),
  i AS (SELECT x.community, count(*) k FROM pairs JOIN m x ON x.id=a JOIN m y ON y.id=b WHERE x.community=y.community GROUP BY 1), z AS (SELECT community, count(*) n FROM m GROUP BY 1)
  SELECT z.community, n, coalesce(k,0) n_inside, round(CASE WHEN n>1 THEN coalesce(k,0)/(n*(n-1)/2) ELSE 0 END, 6) cohesion FROM z LEFT JOIN i USING (community)""")

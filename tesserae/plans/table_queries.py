@@ -294,6 +294,16 @@ def srt_11_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.evicted(traces, now, 20.0, 10)
 
 
+TRACES_SQL = "WITH k AS (SELECT DISTINCT conv_id, 10000.0+conv_id AS t_at FROM conversations), m AS (SELECT max(t_at) now_at FROM k), x AS (SELECT conv_id FROM k, m WHERE t_at < now_at-40 ORDER BY t_at, conv_id LIMIT 5), r AS (SELECT conv_id, row_number() OVER (ORDER BY t_at, conv_id) i, count(*) OVER () n FROM k WHERE conv_id NOT IN (SELECT conv_id FROM x))"
+
+
+@query(TRACES_SQL + " SELECT conv_id trace_id, 'expired' reason FROM x UNION ALL SELECT conv_id, 'excess' FROM r WHERE i <= least(5, n-10)", graph=False)
+def tab_03_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One clearing, of up to five expired and five further traces, as there are more than nine tenths of ten."""
+    traces = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trace_id"), (F.col("conv_id") + 10_000.0).alias("at")).distinct()
+    return tables.evicted(traces, traces.agg(F.max("at")).first()[0] or 0.0, 40.0, 10, 0.9, 5)
+
+
 @query("SELECT conv_id trace_id, min(turn)::BIGINT started, max(CASE WHEN role='assistant' THEN turn END)::BIGINT ended_at, count(*) n_steps, arg_max(length(text), turn) last_chars FROM conversations WHERE conv_id % 7 <> 0 GROUP BY 1", graph=False)
 def tab_03_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a log of traces: a start, a step a turn, an end with the last answer; every seventh is deleted."""

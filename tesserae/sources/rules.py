@@ -24,6 +24,26 @@ SEVERITIES = ("allow", "warn", "block", "escalate")
 LABELS = ("CodeEntity", "DocEntity", "ConceptEntity", "ModuleEntity", "RepositoryEntity", "ServiceEntity", "ResourceEntity", "DataAsset")
 
 
+#: The five rules that a graph of code comes with (fixed values: ids, targets, paths, constraints, severities, priorities).
+BUILT_IN = json.dumps(
+    {
+        "version": "2.1",
+        "shapes": [
+            {"id": "shape:sensitive_data", "name": "sensitive data", "description": "code that works on restricted or confidential data", "target": {"entry_type": "CodeEntity", "operation": "UPDATE"}, "path": "PROCESSES_DATA -> DataAsset", "constraint": {"field": "sensitivity", "operator": "in", "value": ["restricted", "confidential"]}, "severity": "block", "priority": 10, "suggestion": "Ask the data's owner, or work on data that is not sensitive."},
+            {"id": "shape:compliance_check", "name": "compliance", "description": "code under rules of critical or high severity", "target": {"entry_type": "CodeEntity", "operation": "UPDATE"}, "path": "SUBJECT_TO -> ComplianceItem", "constraint": {"field": "severity", "operator": "in", "value": ["critical", "high"]}, "severity": "block", "priority": 8, "suggestion": "Have the rule's exception granted first."},
+            {"id": "shape:http_entry_point", "name": "entry point", "description": "entry points that others call", "target": {"entry_type": "CodeEntity", "operation": "UPDATE"}, "path": "SELF", "constraint": {"field": "entry_category", "operator": "in", "value": ["http_api", "rpc_service"]}, "severity": "warn", "priority": 5, "suggestion": "Keep the interface as its callers know it."},
+            {"id": "shape:refactor_large_code_unit", "name": "large unit", "description": "units of more than a hundred lines", "target": {"entry_type": "CodeEntity", "operation": "UPDATE"}, "path": "SELF", "constraint": {"field": "lines", "operator": ">", "value": 100}, "severity": "warn", "priority": 3, "suggestion": "Split the unit before it is changed."},
+            {"id": "shape:upstream_call_chain_risk", "name": "upstream entry point", "description": "code that entry points call over some steps", "target": {"entry_type": "CodeEntity", "operation": "UPDATE"}, "path": "^CALLS{1,5} -> CodeEntity", "max_depth": 5, "constraint": {"field": "entry_category", "operator": "in", "value": ["http_api", "rpc_service"]}, "severity": "warn", "priority": 6, "suggestion": "Test the entry points above."},
+        ],
+    }
+)
+
+
+def built_in() -> list[Shape]:
+    """The built-in rules, read as any text of rules; their graph has data assets with a sensitivity and compliance items with a severity."""
+    return parse_shapes(BUILT_IN, (*LABELS, "ComplianceItem"), (*NODE_COLUMNS, "severity"))
+
+
 def _loaded(text: str) -> dict:
     found = json.loads(text) if yaml is None or text.lstrip()[:1] == "{" else yaml.safe_load(text)
     return found or {}

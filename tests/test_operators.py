@@ -464,3 +464,23 @@ def test_registered_impacts_take_all_modules(spark):
     changed = g.labelled("ModuleEntity").select("id", F.lit("BODY").alias("change"))
     want = impact.impact(g.edges, changed).count()
     assert sum(r.n for r in catalog.QUERIES["gr_09_impact_all_changes"](spark, "/root/testdata/sf0.001").where("change = 'BODY'").collect()) == want
+
+
+def test_eviction_starts_late_and_clears_some_at_once(spark):
+    traces = spark.createDataFrame([(f"t{k}", float(k)) for k in range(10)], "trace_id string, at double")
+    drop = lambda *a: {r.trace_id: r.reason for r in tables.evicted(traces, 10.0, *a).collect()}
+    assert drop(7.0, 12, 0.9) == {} and drop(7.0, 11, 0.9) == {"t0": "expired", "t1": "expired", "t2": "expired"}
+    assert drop(7.0, 5, 0.9, 2) == {"t0": "expired", "t1": "expired", "t2": "excess", "t3": "excess"}
+    assert drop(20.0, 9, 0.9, 100) == {"t0": "excess"}
+
+
+def test_stored_graph_sees_changed_tables(spark, tmp_path):
+    import shutil
+
+    from tesserae.graph import TABLES, stored_graph, table
+
+    for t in TABLES:
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    before = stored_graph(spark, str(tmp_path)).labelled("RepositoryEntity").count()
+    table(spark, str(tmp_path), "region").limit(2).toPandas().to_parquet(tmp_path / "region.parquet")
+    assert before == 5 and stored_graph(spark, str(tmp_path)).labelled("RepositoryEntity").count() == 2
