@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: A token is of a template only if it is on this many pages of the host, a text only if on as many that are no copies.
-SUPPORT = 3
+#: A token is of a template only if it is on this many pages of the host, a text only if on as many that are no copies; one
+#: page proves nothing, so a host of one page is read with the template of all hosts.
+SUPPORT = 2
 #: Templates up to this size in all are broadcast; beyond it they are joined.
 BROADCAST_BYTES = 32 << 20
 
@@ -37,6 +38,11 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre tr td th
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NEVER = frozenset("head title nav aside footer form menu dialog fieldset option".split())
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notices popup modal newsletter subscribe sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies respond share sharing social related recommended login signup search toolbar skip pagination pager complementary contentinfo".split())
+#: Names that stories have too: their blocks go only if SUPPORT pages of the host have them. Comments, adverts, notices,
+#: menus, sidebars and the like go wherever they are.
+UNSURE = frozenset("side widget related recommended social share sharing reply replies respond search login signup subscribe skip toolbar pagination pager complementary".split())
+#: Roles are no longer than this; blocks below count to the block above them, so that a page of any depth is read in one pass.
+DEEP = 2_000
 #: Words that make no other name of a boilerplate name they stand beside, as in site-footer.
 AROUND = frozenset("site page global top bottom left right box block bar area wrap wrapper container section list item items slot unit inner outer widget widgets".split())
 #: Blocks that go by their name; headings and inline elements never do.
@@ -47,12 +53,46 @@ FORM, FORM_END, WHOLE = (re.compile(x, re.I) for x in (r"<form\b", r"</form\b",
 
 
 class Node:
-    """An open element; bad: boilerplate by its tags, named: the roles, from itself outwards, that are boilerplate by name."""
+    """An open element; bad: boilerplate by its tags, sure: by a name of which there is no doubt, named: the roles, from
+    itself outwards, that are boilerplate by a name in doubt, inside: within an article or main."""
 
-    __slots__ = ("tag", "role", "bad", "named", "link")
+    __slots__ = ("tag", "role", "bad", "sure", "named", "link", "inside", "open")
 
-    def __init__(self, tag: str, role: str, bad: bool, named: tuple[str, ...], link: bool):
-        self.tag, self.role, self.bad, self.named, self.link = tag, role, bad, named, link
+    def __init__(self, tag: str, role: str, bad: bool, sure: bool, named: tuple[str, ...], link: bool, inside: bool):
+        self.tag, self.role, self.bad, self.sure, self.named, self.link, self.inside, self.open = tag, role, bad, sure, named, link, inside, True
+
+
+class Stack:
+    """Open elements, with the places of each tag, of blocks and of containers, so that no search walks over them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def kinds(self, tag: str) -> tuple[str, ...]:
+        return (tag, *(("*block",) if tag in BLOCKS else ()), *(("*container",) if tag in CONTAINERS else ()))
+
+    def push(self, node: Node) -> None:
+        for k in self.kinds(node.tag):
+            self.at.setdefault(k, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, kind: str) -> int:
+        """The place of the innermost open element of a kind, 0 if there is none."""
+        return self.at[kind][-1] if self.at.get(kind) else 0
+
+    def cut(self, k: int) -> None:
+        """Close the element at place k and all within it, and those closed before that are innermost then."""
+        while len(self.nodes) > k or (len(self.nodes) > 1 and not self.nodes[-1].open):
+            node = self.nodes.pop()
+            if node.open:
+                for kind in self.kinds(node.tag):
+                    self.at[kind].pop()
+
+    def close(self, k: int) -> None:
+        """Close the inline element at place k alone; it stays as long as something is open within it."""
+        self.nodes[k].open = False
+        self.at[self.nodes[k].tag].pop()
+        self.cut(len(self.nodes))
 
 
 def _names(attributes: str) -> list[str]:
@@ -60,9 +100,12 @@ def _names(attributes: str) -> list[str]:
     return [w for m in ATTRIBUTE.finditer(attributes) if m.group(1).lower() in ("class", "id", "role") for v in m.groups()[1:] if v for w in v.lower().split()] if "=" in attributes else []
 
 
-def _boilerplate(name: str) -> bool:
+def _boilerplate(name: str) -> int:
+    """0: no name of boilerplate, 1: one in doubt, 2: one without."""
     words = set(WORD.findall(name))
-    return not BOILERPLATE.isdisjoint(words) and words <= BOILERPLATE | AROUND
+    if BOILERPLATE.isdisjoint(words) or not words <= BOILERPLATE | AROUND:
+        return 0
+    return 1 if words <= UNSURE | AROUND else 2
 
 
 def _wrapping_forms(page: str) -> set[int]:
@@ -78,46 +121,48 @@ def _wrapping_forms(page: str) -> set[int]:
 
 def events(page: str) -> Iterator[tuple[str, Node, str]]:
     """("open", node, ""), ("text", innermost node, raw text) and ("break", node, "") for a page, in order."""
-    root = Node("", "", False, (), False)
-    stack, at, wrapping = [root], 0, _wrapping_forms(page)
+    root = Node("", "", False, False, (), False, False)
+    stack, at, wrapping = Stack(root), 0, _wrapping_forms(page)
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            yield "text", stack[-1], page[at : m.start()]
+            yield "text", stack.nodes[-1], page[at : m.start()]
         at = m.end()
         name = m.group(3)
         if not name:
             continue
         name = name.lower()
         if m.group(2):
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name), 0)
+            k = stack.last(name)
             # The end of an inline element closes no block that is still open around it.
-            if k and not (name not in BLOCKS and any(x.tag in BLOCKS for x in stack[k + 1 :])):
-                del stack[k:]
+            if k and not (name not in BLOCKS and stack.last("*block") > k):
+                stack.cut(k)
             elif k:
-                del stack[k]
+                stack.close(k)
             if name in BLOCKS:
-                yield "break", stack[-1], ""
+                yield "break", stack.nodes[-1], ""
             continue
         if name in BLOCKS:
             if name in CONTAINERS or name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th"):
                 # A block ends an open paragraph; a list item ends the one before it.
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in CONTAINERS or stack[k].tag == "p" or stack[k].tag == name), 0)
-                if k and (stack[k].tag == "p" or stack[k].tag == name != "div" and name not in CONTAINERS):
-                    del stack[k:]
-            yield "break", stack[-1], ""
-        up = stack[-1]
+                k = max(stack.last("*container"), stack.last("p"), stack.last(name))
+                if k and (stack.nodes[k].tag == "p" or stack.nodes[k].tag == name != "div" and name not in CONTAINERS):
+                    stack.cut(k)
+            yield "break", stack.nodes[-1], ""
+        up = stack.nodes[-1]
         names = _names(m.group(4))
-        words = [w for n in names for w in WORD.findall(n)]
-        role = f"{up.role}/{name}{''.join('.' + w for w in words)}" if name in BLOCKS else up.role
-        inside = any(x.tag in ("article", "main") for x in stack)
-        bad = up.bad or (name in NEVER and m.start() not in wrapping) or (name == "header" and not inside)
-        named = (role, *up.named) if name in NAMED and any(map(_boilerplate, names)) else up.named
-        node = Node(name, role, bad, named, up.link or name == "a")
+        role = up.role
+        if name in BLOCKS and len(role) < DEEP:
+            words = [w for n in names for w in WORD.findall(n)]
+            role = f"{role}/{name}{''.join('.' + w for w in words)}"
+        bad = up.bad or (name in NEVER and m.start() not in wrapping) or (name == "header" and not up.inside)
+        doubt = max(map(_boilerplate, names), default=0) if name in NAMED else 0
+        named = (role, *up.named) if doubt == 1 and role != up.role else up.named
+        node = Node(name, role, bad, up.sure or doubt == 2, named, up.link or name == "a", up.inside or name in ("article", "main"))
         yield "open", node, ""
         if name not in VOID and not m.group(4).endswith("/"):
-            stack.append(node)
+            stack.push(node)
     if at < len(page):
-        yield "text", stack[-1], page[at:]
+        yield "text", stack.nodes[-1], page[at:]
 
 
 def _id(role: str) -> int:
@@ -140,7 +185,7 @@ def _profile(page: str) -> dict[str, list]:
     at = None
 
     def end(k: int) -> None:
-        if at is not None and not at.bad and not at.named and not "".join(run).isspace():
+        if at is not None and not at.bad and not at.sure and not at.named and not "".join(run).isspace():
             r = found.setdefault(_token(at.role, "".join(run)), [0, k, k, 0, 0, False])
             r[0] += 1
             r[2] = k
@@ -157,13 +202,13 @@ def _profile(page: str) -> dict[str, list]:
         elif node.tag == "br":
             run.append(" ")
         if kind == "open" and node.tag in BLOCKS:
-            r = found.setdefault(node.role, [0, k, k, 0, 0, node.bad or bool(node.named)])
+            r = found.setdefault(node.role, [0, k, k, 0, 0, node.bad or node.sure or bool(node.named)])
             r[0] += 1
             r[2] = k
             if node.named and node.named[0] == node.role:
                 found["!" + node.role] = [1, k, k, 0, 0, True]
         elif kind == "text" and node.role:
-            r = found.setdefault(node.role, [0, k, k, 0, 0, node.bad or bool(node.named)])
+            r = found.setdefault(node.role, [0, k, k, 0, 0, node.bad or node.sure or bool(node.named)])
             n = len(raw) - raw.count(" ")
             r[3] += n
             r[4] += n * node.link
@@ -248,11 +293,15 @@ def templates(pages: DataFrame) -> DataFrame:
 def article(page: str, slots: list[str], general: list[str], texts: set[str], named: set[str] | None) -> str:
     """The text of the slots that the page has, its host's or else the general ones, without the template's own text.
 
-    Blocks with a name of boilerplate are left out if their role is in named, or all of them if that is None.
+    Blocks with a name of boilerplate are left out, those of a name in doubt if their role is in named, or all of them if
+    that is None; where nothing is left then, the page's text is under such names, and they count for nothing.
     If one is an article, or none is less than the body, all articles of the page are; without these main or body or all.
     """
     seen = list(events(page))
-    out = lambda n: n.bad or bool(n.named) and (named is None or not named.isdisjoint(n.named))
+    return _read(seen, slots, general, texts, lambda n: n.bad or n.sure or bool(n.named) and (named is None or not named.isdisjoint(n.named))) or _read(seen, slots, general, texts, lambda n: n.bad)
+
+
+def _read(seen: list[tuple[str, Node, str]], slots: list[str], general: list[str], texts: set[str], out: Callable[[Node], bool]) -> str:
     opened = {n.role for k, n, _ in seen if k == "open"}
     tags: dict[str, list[str]] = {}
     for k, n, _ in seen:

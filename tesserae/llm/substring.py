@@ -6,10 +6,9 @@ Anchors of one text are dropped. Around the others the match is extended: each w
 is hashed (96 bits), and goes where the same window starts under a smaller key. Windows are judged on the input.
 
 Shuffled are anchors and the windows around repeated ones, never pairs of documents; a text has one row for a window
-however often it repeats it, so texts of a repeated line make no large groups. Two equal windows meet by the
-anchor they share, so windows around anchors of at most HOT texts and windows around hotter ones are handled
-apart. Of the former a group holds at most PERIOD * HOT rows, HOT for each alignment, and is sorted. The latter are first
-reduced to their smallest key, within tasks before the shuffle, and then joined back, a join whose hot keys Spark splits.
+however often it repeats it, so texts of a repeated line make no large groups. Windows are reduced to their smallest key,
+within tasks before the shuffle, and joined back, a join whose hot keys Spark splits; so no group is ever held or sorted
+by one task, at any size.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, word_bounds
@@ -30,8 +29,6 @@ PERIOD = 31
 #: A perfect difference set modulo 31: each non-zero difference occurs exactly once.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-#: Anchors of more texts than this are hot.
-HOT = 10_000
 IN_COVER = np.zeros(PERIOD, bool)
 IN_COVER[list(COVER)] = True
 
@@ -85,15 +82,13 @@ def anchors(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "anchor long, key long, pos int")
 
 
-def _everywhere(words: list[bytes], pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks with all places of the anchors that the text repeats."""
+def _everywhere(words: list[bytes], pos: np.ndarray) -> np.ndarray:
+    """Places with all those of the anchors that the text repeats."""
     again = pos < 0
     if not again.any():
-        return pos, n
+        return pos
     at, hashes = _anchors(words)
-    known = dict(zip(hashes[np.searchsorted(at, ~pos[again])].tolist(), n[again].tolist(), strict=True))
-    more = [(p, known[h]) for p, h in zip(at.tolist(), hashes.tolist(), strict=True) if h in known]
-    return np.concatenate((pos[~again], [p for p, _ in more])), np.concatenate((n[~again], [x for _, x in more]))
+    return np.concatenate((pos[~again], at[np.isin(hashes, hashes[np.searchsorted(at, ~pos[again])])]))
 
 
 def _digests(words: list[bytes], at: np.ndarray) -> np.ndarray:
@@ -104,8 +99,8 @@ def _digests(words: list[bytes], at: np.ndarray) -> np.ndarray:
     return np.frombuffer(found, "<i4").reshape(-1, 4)[:, :3]
 
 
-def _windows(marked: DataFrame, hot: bool, limit: int) -> DataFrame:
-    """(h1, h2, key, tag, pos): windows of 50 words around repeated anchors; marked: (key, text, marks of (pos, n)).
+def _windows(marked: DataFrame) -> DataFrame:
+    """(h1, h2, key, tag, pos): windows of 50 words around repeated anchors; marked: (key, text, pos).
 
     A window that a text repeats is one row, with the inverted bits of its first place.
     """
@@ -114,23 +109,18 @@ def _windows(marked: DataFrame, hot: bool, limit: int) -> DataFrame:
         for whole in batches:
             for b in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
                 cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-                for d, x, pos, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                for d, x, pos in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                     words = _words(x)
                     size = len(words) - WINDOW + 1
                     if size < 1:
                         continue
-                    pos, n = _everywhere(words, np.array(pos), np.array(n))
-                    often = n > limit
-
-                    def near(at: np.ndarray, size: int = size) -> np.ndarray:
-                        """Starts of the windows that contain an anchor at one of these positions."""
-                        edge = np.zeros(size + 1, np.int64)
-                        first = np.clip(at - (WINDOW - ANCHOR), 0, size)
-                        np.add.at(edge, first, 1)
-                        np.add.at(edge, np.maximum(np.clip(at + 1, 0, size), first), -1)
-                        return np.cumsum(edge[:-1]) > 0
-
-                    at = np.flatnonzero(near(pos[often] if hot else pos[~often]))
+                    pos = _everywhere(words, np.array(pos))
+                    # Starts of the windows that contain an anchor at one of these positions.
+                    edge = np.zeros(size + 1, np.int64)
+                    first = np.clip(pos - (WINDOW - ANCHOR), 0, size)
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, np.maximum(np.clip(pos + 1, 0, size), first), -1)
+                    at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                     if not len(at):
                         continue
                     got = _digests(words, at)
@@ -146,19 +136,15 @@ def _windows(marked: DataFrame, hot: bool, limit: int) -> DataFrame:
     return marked.mapInArrow(run, "h1 long, h2 int, key long, tag int, pos int")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, cuts): for each key with any, the (tag, pos) of windows that also start under a smaller key, pos as in _windows()."""
     found = anchors(docs, key, text)
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    marks = materialise(found.join(again, "anchor").groupBy("key").agg(F.collect_list(F.struct("pos", F.col("n").cast("int").alias("n"))).alias("m")).select("key", F.col("m.pos").alias("pos"), F.col("m.n").alias("n")))
+    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    marks = materialise(found.join(again, "anchor").groupBy("key").agg(F.collect_list("pos").alias("pos")))
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col(key).isNotNull())
-    cool = _windows(texts.join(marks, "key").select("key", "text", "pos", "n"), False, hot)
-    least = cool.withColumn("first", F.min("key").over(Window.partitionBy("h1", "h2"))).where("key > first").select("key", "tag", "pos")
-    hottest = marks.where(F.exists("n", lambda n: n > hot))
-    if not hottest.isEmpty():
-        warm = _windows(texts.join(hottest, "key").select("key", "text", "pos", "n"), True, hot)
-        first = warm.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
-        least = least.unionByName(warm.join(first, ["h1", "h2"]).where("key > first").select("key", "tag", "pos"))
+    around = _windows(texts.join(marks, "key").select("key", "text", "pos"))
+    first = around.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
+    least = around.join(first, ["h1", "h2"]).where("key > first").select("key", "tag", "pos")
     return least.groupBy("key").agg(F.collect_list(F.struct("tag", "pos")).alias("cuts"))
 
 
@@ -179,7 +165,7 @@ def _kept(text: str | None, cuts: list[dict] | None) -> tuple[list[bytes], np.nd
     return words, gone
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) for every row of docs; keys are integers.
 
     A null or empty text has no words. A row with a null key loses nothing and makes no other row lose anything. Rows
@@ -189,7 +175,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
     kind = docs.schema[key].dataType.simpleString()
     # The texts are dealt by key as for the windows, so Spark shuffles them once; rows without a key need no join.
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col(key).isNotNull())
-    joined = texts.join(repeats(docs, key, text, hot), "key", "left").select(F.col("key").cast(kind).alias(key), F.col("text").alias(text), F.col("cuts").alias("_cuts"))
+    joined = texts.join(repeats(docs, key, text), "key", "left").select(F.col("key").cast(kind).alias(key), F.col("text").alias(text), F.col("cuts").alias("_cuts"))
     joined = joined.unionByName(docs.where(F.col(key).isNull()).select(key, text, F.lit(None).cast(joined.schema["_cuts"].dataType).alias("_cuts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,13 +192,13 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
     return joined.mapInArrow(run, f"{key} {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
-def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def cut(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated passages cut out of text: where any is cut, the kept words are joined by one space.
 
     Odd rows are treated as in removed(); other columns of any name come through unchanged.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct("*").alias("row"))
-    joined = rows.join(repeats(docs, key, text, hot), "key", "left").select("row", "text", "cuts")
+    joined = rows.join(repeats(docs, key, text), "key", "left").select("row", "text", "cuts")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -354,7 +354,7 @@ def hosts(spark, n: int):
     return spark.createDataFrame([(f"{name} {k}", f"http://{name}.example/{k}", made(k)[0]) for name, made in HOSTS.items() for k in range(n)], "page_id string, url string, html string")
 
 
-@pytest.mark.parametrize("n", [8, 3])
+@pytest.mark.parametrize("n", [8, 3, 2])
 def test_fixed_parts_teasers_forms_and_names(spark, n):
     found = {r.page_id: r.text for r in html_template.extract(hosts(spark, n)).collect()}
     for name, made in HOSTS.items():
@@ -364,6 +364,61 @@ def test_fixed_parts_teasers_forms_and_names(spark, n):
     assert {x.split()[0] for x in found if found[x] != without[x]} == {"fixed-around", "fixed-inside", "teaser", "without-names"}
 
 
+def test_hosts_of_two_and_comments_of_one_page(spark):
+    def pair(k):
+        return f"<html><body><div class=wrap><p>The Daily Page</p><div class=text><p>{story(k)}<p>{story(k + 50)}</div><div class=advert><p>Buy {story(k + 7)}</p></div><p>All rights reserved</p></div></body></html>"
+
+    def talk(k):
+        comments = f"<div class=comments><p>Reader Bob says nice piece number {k}</p></div><div class='box cookie-notice'>We use cookies</div>" if k == 4 else ""
+        return f"<html><body><div class=text><p>{story(k, 60)}</p></div>{comments}</body></html>"
+
+    rows = [(f"a{k}", "http://a.example/", pair(k)) for k in range(2)] + [(f"b{k}", "http://b.example/", talk(k)) for k in range(6)] + [("c", "http://c.example/", talk(4)), ("d", "http://d.example/", f"<body><div class='ad box'><p>{story(1)}</p></div></body>")]
+    found = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert found == {f"a{k}": f"{story(k)}\n{story(k + 50)}" for k in range(2)} | {f"b{k}": story(k, 60) for k in range(6)} | {"c": story(4, 60), "d": story(1)}
+
+
+def test_pages_of_any_nesting_are_read_in_one_pass():
+    n = 100_000
+    for page in (f"<body><article><p>{'<span>' * n}deep text</article>", "<div>" * n + "deep text", "<b><p>" * n + "deep text" + "</b>" * n, "<div class=related>" * n + "deep text", "<i>" * n + "x</p>" * n + "<p>deep text"):
+        began = time.time()
+        assert "deep text" in html_template.article(page, [], [], set(), set())
+        assert time.time() - began < 5
+
+
+class Articles(html.parser.HTMLParser):
+    """Blocks of text within <article>, read by the standard library; pages of the test tables have no more in them."""
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.inside, self.skip, self.blocks = 0, 0, [""]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style", "aside", "nav", "form", "footer")
+        if tag in html_template.BLOCKS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style", "aside", "nav", "form", "footer")
+        if tag in html_template.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+
+def test_extracted_text_agrees_with_a_plain_extraction(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r.page_id: r.text for r in queries.op1_html(spark, "/root/testdata/sf0.01").collect()}
+    want = {r.page_id: "\n".join(x for x in (" ".join(b.split()) for b in Articles(r.html or "").blocks) if x) for r in pages.collect()}
+    assert found == want
+
+
 def plain_templates(pages: list[tuple[str, str, str]]) -> dict[str, tuple]:
     """(slots, texts, named) of each host (host, key, html), from whole occurrence vectors."""
     out = {}
@@ -375,8 +430,8 @@ def plain_templates(pages: list[tuple[str, str, str]]) -> dict[str, tuple]:
             for token, row in html_template._profile(page).items():
                 vectors[token].append((key, row[0]))
                 places[token].append(row)
-        named = {t[1:] for t, v in vectors.items() if t[0] == "!" and len(v) >= 3}
-        enough = lambda t, v, own=own, copies=copies: len(v) >= 3 and 2 * len(v) >= len(own) and (t[0] != "#" or (len(v) - copies >= 3 and 2 * (len(v) - copies) >= len(own) - copies))
+        named = {t[1:] for t, v in vectors.items() if t[0] == "!" and len(v) >= 2}
+        enough = lambda t, v, own=own, copies=copies: len(v) >= 2 and 2 * len(v) >= len(own) and (t[0] != "#" or (len(v) - copies >= 2 and 2 * (len(v) - copies) >= len(own) - copies))
         tokens = {t: sorted(v) for t, v in vectors.items() if t[0] != "!" and enough(t, v)}
         mean = {t: [sum(r[i] for r in places[t]) / len(places[t]) for i in (1, 2)] for t in tokens}
         classes: dict[tuple, list[str]] = {}
