@@ -143,7 +143,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     marks = materialise(found.join(again, "anchor").groupBy("key").agg(F.collect_list("pos").alias("pos")))
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col(key).isNotNull())
     around = _windows(texts.join(marks, "key").select("key", "text", "pos"))
-    first = around.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
+    first = around.groupBy("h1", "h2").agg(F.min("key").alias("first"))
     least = around.join(first, ["h1", "h2"]).where("key > first").select("key", "tag", "pos")
     return least.groupBy("key").agg(F.collect_list(F.struct("tag", "pos")).alias("cuts"))
 
