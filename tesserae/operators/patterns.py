@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..shared import materialised
 from .linking import contained
 
 MOST_HOPS = 10
@@ -57,12 +58,37 @@ def reachable(edges: DataFrame, starts: DataFrame, least: int, most: int, direct
     return out
 
 
-def business_impact(graph: Graph, starts: DataFrame, most: int = MOST_HOPS) -> DataFrame:
-    """(start, node, name, distance) distinct: entry points from which starts (id) are called over 1 to most calls.
+def distances(edges: DataFrame, starts: DataFrame, most: int = MOST_HOPS, direction: str = "out") -> DataFrame:
+    """(start, node, hops) distinct: how long the paths of 1 to most edges from starts (id) to nodes are, no edge twice in one path.
 
-    As a path uses no call twice, paths are followed; each step keeps one row a path.
+    Rows are bounded by pairs of nodes and lengths, however many paths there are. A walk repeats an edge only if it goes
+    round a cycle of so many edges or fewer, so of starts that reach none all walks are paths; whether a node is on
+    one, walks from all nodes that the starts reach tell. Only from starts that reach one paths are followed one by one.
     """
-    found = paths(graph.typed("calls"), starts, 1, most, "in").select("start", "node", F.col("hops").alias("distance")).distinct()
+    if not 1 <= most <= MOST_HOPS:
+        raise ValueError(f"hops must be 1 to {MOST_HOPS}")
+    steps = _turned(edges, direction).select("here", "there").distinct()
+    ids = starts.select("id").where("id is not null").distinct()
+    roots = ids
+    if not steps.select(F.col("here").alias("id")).join(ids, "id", "left_anti").isEmpty():
+        level = ids
+        for _ in range(most):
+            level = level.join(steps, F.col("id") == F.col("here")).select(F.col("there").alias("id")).distinct()
+            roots = roots.unionByName(level)
+        roots = materialised(roots.distinct())
+    found = materialised(reachable(edges, roots, 1, most, direction))
+    own = found.join(ids.withColumnRenamed("id", "start"), "start", "left_semi")
+    loops = found.where("start = node").select(F.col("start").alias("id")).distinct()
+    if loops.isEmpty():
+        return own
+    touched = materialised(own.join(loops.withColumnRenamed("id", "node"), "node", "left_semi").select(F.col("start").alias("id")).unionByName(loops).distinct())
+    trails = paths(edges, ids.join(touched, "id", "left_semi"), 1, most, direction).select("start", "node", "hops").distinct()
+    return own.join(touched.withColumnRenamed("id", "start"), "start", "left_anti").select("start", "node", "hops").unionByName(trails)
+
+
+def business_impact(graph: Graph, starts: DataFrame, most: int = MOST_HOPS) -> DataFrame:
+    """(start, node, name, distance) distinct: entry points from which starts (id) are called over 1 to most calls, no call twice."""
+    found = distances(graph.typed("calls"), starts, most, "in").withColumnRenamed("hops", "distance")
     return found.join(graph.nodes.where("entry_category is not null").select(F.col("id").alias("node"), "name"), "node").select("start", "node", "name", "distance")
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +24,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n)
 
 
-#: Queries in one block of a search.
-BLOCK = 4_096
+#: Queries in one block of a search, vectors in one share of the pool, and queries whose products are held at once.
+BLOCK, SHARE, TOGETHER = 4_096, 50_000, 64
 
 
 def _length(v: str) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def _matrices(table: pa.Table, column: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of the vectors in a column: which rows have it, and these as a matrix."""
+    lists = table.column(column).combine_chunks()
+    size, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    rows = {d: np.flatnonzero(size == d) for d in np.unique(size).tolist()}
+    return {d: (at, flat[begin[at][:, None] + np.arange(d)]) for d, at in rows.items()}
+
+
+def _nearest(v: np.ndarray, q: np.ndarray, barred: Callable[[int], np.ndarray], k: int, first: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, distance): the k nearest rows of v to each of q but for the rows barred(query); order tells which of equals comes first."""
+    unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    asks = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
+    score = unit @ asks.T
+    for j in range(len(q)):
+        score[barred(first + j), j] = -np.inf
+    most = min(k, len(v))
+    least = np.partition(score, len(v) - most, axis=0)[len(v) - most]
+    row, col = np.nonzero((score >= least - 1e-9) & np.isfinite(score))
+    # Products of blocks may round equal vectors differently; these do not.
+    dot = np.concatenate([np.einsum("ij,ij->i", v[row[s : s + SHARE]], q[col[s : s + SHARE]]) for s in range(0, len(row), SHARE)]) if len(row) else np.empty(0)
+    distance = 1 - dot / (np.sqrt(np.einsum("ij,ij->i", v, v))[row] * np.sqrt(np.einsum("ij,ij->i", q, q))[col])
+    by = np.lexsort((order[row], distance, col))
+    row, col, distance = row[by], col[by], distance[by]
+    keep = np.arange(len(col)) - np.searchsorted(col, col) < k
+    return row[keep], col[keep], distance[keep]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, block: int = BLOCK, within: str | None = None) -> DataFrame:
@@ -35,21 +65,54 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | N
 
     where filters vectors; within names a column of both that must be equal where the query has a value.
 
-    Each block of about `block` queries meets each share of the vectors in a join on the two; nothing is broadcast by
-    this plan or sent to the driver but the number of queries. Lengths are computed once a vector, and every task cuts
-    its rows to the k nearest of a query before they are shuffled. Distance is 1 - cosine in double precision, ties go to
-    the smaller id. Null and zero vectors, those of another length, and a query's own id take no part.
+    Each block of about `block` queries meets each share of about SHARE vectors in one task, as products of matrices;
+    nothing is broadcast or sent to the driver but the numbers of both, and a task hands on the k nearest of each query.
+    Distance is 1 - cosine in double precision, ties go to the smaller id. Null and zero vectors, those with null or
+    non-finite components or of another length, rows without an id, and a query's own id take no part.
     """
     spark = vectors.sparkSession
-    blocks, shares = max(1, -(-queries.count() // block)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pool = vectors if where is None else vectors.where(where)
+    rows, parallel = pool.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, shares = max(1, -(-queries.count() // block)), max(1, -(-rows // SHARE), min(parallel, -(-rows // 1_000)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    part = lambda name: (F.col(within) if within else F.lit(None).cast("string")).alias(name)
-    pool = (vectors if where is None else vectors.where(where)).select("id", "embedding", _length("embedding").alias("n"), dealt("id", shares).alias("share"), part("_has")).where("n > 0").withColumn("block", every(blocks))
-    asked = queries.select("query_id", "vector", _length("vector").alias("m"), dealt("query_id", blocks).alias("block"), part("_asks")).where("m > 0").withColumn("share", every(shares))
-    dot = F.aggregate(F.zip_with("embedding", "vector", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    met = pool.join(asked.hint("shuffle_hash"), ["block", "share"]).where((F.col("query_id") != F.col("id")) & (F.size("embedding") == F.size("vector")) & (F.col("_asks").isNull() | (F.col("_asks") == F.col("_has"))))
-    scored = met.select("query_id", "id", (1 - dot / (F.col("n") * F.col("m"))).alias("distance"))
+    part = lambda name: (F.col(within).cast("string") if within else F.lit(None).cast("string")).alias(name)
+    usable = lambda df, key, v: df.where(F.col(key).isNotNull() & (_length(v) > 0) & (_length(v) < float("inf")))
+    held = usable(pool.select("id", F.col("embedding").cast("array<double>").alias("v"), part("has"), dealt("id", shares).alias("share")), "id", "v").withColumn("block", every(blocks))
+    asked = usable(queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), part("asks"), dealt("query_id", blocks).alias("block")), "query_id", "v").withColumn("share", every(shares))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, asks = left.column("id").combine_chunks(), right.column("query_id").combine_chunks()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(left) and len(right):
+            order = np.empty(len(left), np.int64)
+            order[pc.sort_indices(ids).to_numpy()] = np.arange(len(left))
+            of_id: dict = {}
+            for p, i in enumerate(ids.to_pylist()):
+                of_id.setdefault(i, []).append(p)
+            has, wants = np.array(left.column("has").to_pylist(), object), right.column("asks").to_pylist()
+            own = [np.array(of_id.get(q, []), np.int64) for q in asks.to_pylist()]
+            mine = _matrices(left, "v")
+            for d, (at, q) in _matrices(right, "v").items():
+                if d not in mine:
+                    continue
+                which, v = mine[d]
+                place = np.full(len(left), -1)
+                place[which] = np.arange(len(which))
+
+                def barred(j: int, at: np.ndarray = at, which: np.ndarray = which, place: np.ndarray = place) -> np.ndarray:
+                    same = place[own[at[j]]]
+                    same = same[same >= 0]
+                    return same if wants[at[j]] is None else np.concatenate((same, np.flatnonzero(has[which] != wants[at[j]])))
+
+                for s in range(0, len(q), TOGETHER):
+                    row, col, distance = _nearest(v, q[s : s + TOGETHER], barred, k, s, order[which])
+                    out.append((which[row], at[s + col], distance))
+        row, col, distance = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table([asks.take(pa.array(col)), ids.take(pa.array(row)), pa.array(distance)], ["query_id", "id", "distance"])
+
+    met = held.groupBy("block", "share").cogroup(asked.groupBy("block", "share"))
+    scored = met.applyInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..graph import EDGE_COLUMNS, NODE_COLUMNS, Graph, stored_graph, table
 from ..graph_log import GraphLog
+from ..operators import entity_actions
 from ..shared import new_path
+from ..sources import parsing
 from ..streaming import cascade, skills, updates, watcher
 from ..streaming import events as stream
 from .graph_queries import query
@@ -95,3 +97,46 @@ def snk_01_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.delete_nodes(log.table("nodes").where((F.col("label") == "ModuleEntity") & (number % 5 == 0)).select("id"))
     log.compact()
     return log.table("nodes").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.endswith("name", F.lit("!"))).alias("n_renamed"), F.sum(F.coalesce("lines", F.lit(0))).alias("n_lines"))
+
+
+#: Orders as requests: updates of services, new concepts, relations of concepts to services, queries, notices, and bad ones.
+REQUESTS_SQL = """, q AS (SELECT o_orderkey k, CASE o_orderkey%6 WHEN 0 THEN 'update' WHEN 1 THEN 'create' WHEN 2 THEN 'relate' WHEN 3 THEN 'query' WHEN 4 THEN 'notify' ELSE 'fly' END AS action FROM orders WHERE o_orderkey < 2000),
+ j AS (SELECT k, action, CASE action WHEN 'update' THEN CASE WHEN k%5=0 THEN 'no properties' END WHEN 'create' THEN CASE WHEN k%5=0 THEN 'no such label: Thing' END WHEN 'relate' THEN CASE WHEN k%5=0 THEN 'no relation or end' END WHEN 'query' THEN CASE WHEN 's:'||k NOT IN (SELECT id FROM nodes) THEN 'no such entity' END WHEN 'notify' THEN CASE WHEN k%5=0 THEN 'no recipients' END ELSE 'no such action: fly' END AS error FROM q)"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    null = {c: f"cast(null as {'int' if c == 'lines' else 'string'})" for c in NODE_COLUMNS[2:]}
+    known = {
+        "request_id": "o_orderkey", "action": "element_at(array('update', 'create', 'relate', 'query', 'notify', 'fly'), cast(o_orderkey % 6 + 1 as int))",
+        "entity_id": "case when o_orderkey % 6 in (1, 2) then concat('k:', o_orderkey div 6) else concat('s:', o_orderkey) end", "label": "case when o_orderkey % 6 <> 1 then null when o_orderkey % 5 = 0 then 'Thing' else 'ConceptEntity' end",
+        "rel_type": "if(o_orderkey % 5 = 0, null, 'derived_from')", "to_id": "concat('s:', o_orderkey)", "recipients": "if(o_orderkey % 5 = 0, cast(array() as array<string>), array('team'))",
+    } | null | {"name": "if(o_orderkey % 6 <= 1 and o_orderkey % 5 <> 0, concat('order ', o_orderkey), null)"}
+    return table(spark, sf_dir, "orders").where("o_orderkey < 2000").selectExpr(*[f"{v} {k}" for k, v in known.items()])
+
+
+@query(REQUESTS_SQL + " SELECT k request_id, action, error IS NULL AS success, error FROM j")
+def act_04_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_actions.judged(_requests(spark, sf_dir), stored_graph(spark, sf_dir).nodes).select("request_id", "action", "success", "error")
+
+
+@query(REQUESTS_SQL + """, ok AS (SELECT * FROM j WHERE error IS NULL), made AS (SELECT 's:'||k id, 'order '||k AS name, 'CodeEntity' label FROM ok WHERE action='update' UNION ALL SELECT 'k:'||(k//6), 'order '||k, 'ConceptEntity' FROM ok WHERE action='create')
+ SELECT coalesce(n.id, m.id) id, coalesce(n.label, m.label) label, coalesce(m.name, n.name) AS name, (SELECT count(DISTINCT 's:'||k) FROM ok WHERE action='relate' AND 'k:'||(k//6)=coalesce(n.id, m.id) AND ('s:'||k IN (SELECT id FROM nodes) OR 's:'||k IN (SELECT id FROM made))) n_relations FROM (SELECT * FROM nodes WHERE label='ServiceEntity') n FULL JOIN made m ON m.id=n.id""")
+def act_04_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services and concepts after the requests are applied, twice to no other effect."""
+    log = GraphLog(spark, new_path(spark)).create(stored_graph(spark, sf_dir))
+    for _ in range(2):
+        entity_actions.applied(log, _requests(spark, sf_dir), "requests")
+    g = log.graph()
+    nodes = g.nodes.where("label in ('ServiceEntity', 'ConceptEntity') or (label = 'CodeEntity' and id like 's:%')")
+    n = g.typed("derived_from").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    return nodes.join(n, "id", "left").select("id", "label", "name", F.coalesce("n", F.lit(0)).alias("n_relations"))
+
+
+@query("""WITH d AS (SELECT doc_id i, doc_id%2 odd, doc_id%5=0 bad FROM documents) SELECT kind, count(*) n FROM (SELECT 'module' kind FROM d UNION ALL SELECT 'parse_error' FROM d WHERE bad AND odd=0 UNION ALL SELECT unnest(['class','function','calls']) FROM d WHERE NOT bad AND odd=0 UNION ALL SELECT unnest(['class','method','calls','uses']) FROM d WHERE NOT bad AND odd=1) GROUP BY 1""", graph=False)
+def prs_01_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of two languages, with their first word in a string; every fifth is broken, and its root row stays."""
+    text = "regexp_extract(coalesce(text, ''), '([A-Za-z]+)', 1)"
+    python = f"if(doc_id % 5 = 0, 'class (:', concat('class D', doc_id, ':\n    def go(self):\n        helper', doc_id % 3, '(\"', {text}, '\")\n'))"
+    plain = f"if(doc_id % 5 = 0, 'nothing here', concat('package p; class D', doc_id, ' {{ void go(int a) {{ helper', doc_id % 3, '(\"', {text}, '\"); Item', doc_id % 7, ' x = new Item', doc_id % 7, '(); }} }}'))"
+    sources = table(spark, sf_dir, "documents").selectExpr("concat('src/d', doc_id, if(doc_id % 2 = 0, '.py', '.java')) path", f"encode(if(doc_id % 2 = 0, {python}, {plain}), 'UTF-8') content")
+    return parsing.entities(sources).groupBy("kind").agg(F.count("*").alias("n"))

@@ -45,12 +45,17 @@ def _outside(call: ast.Call) -> tuple[str, str] | None:
     return ("publishes_to", target) if owner and call.func.attr in PRODUCERS else None
 
 
-def _parsed(path: str, text: str) -> list[tuple]:
-    rows: list[tuple] = [(path, "module", path.rsplit("/", 1)[-1].removesuffix(".py"), None, 0, text.count("\n"), None)]
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return rows
+def root(path: str, text: str) -> tuple:
+    return path, "module", path.rsplit("/", 1)[-1].removesuffix(".py"), None, 0, text.count("\n"), None
+
+
+def tree(path: str, text: str) -> ast.Module:
+    return ast.parse(text)
+
+
+def walked(path: str, text: str, module: ast.Module) -> list[tuple]:
+    """Classes and functions, and what they extend, import and call."""
+    rows: list[tuple] = []
 
     def visit(node: ast.AST, inside: str | None, owner: str | None) -> None:
         for x in (x for x in ast.iter_child_nodes(node) if x not in getattr(node, "decorator_list", ())):
@@ -73,9 +78,22 @@ def _parsed(path: str, text: str) -> list[tuple]:
                         rows.append((path, "calls", owner, None, x.lineno - 1, x.lineno - 1, called))
                 visit(x, inside, owner)
 
-    visit(tree, None, None)
-    reached = [(x.lineno - 1, *found) for x in ast.walk(tree) if isinstance(x, ast.Call) and (found := _outside(x))]
-    return rows + [(path, kind, rows[0][2], None, line, line, target) for line, kind, target in reached]
+    visit(module, None, None)
+    return rows
+
+
+def outside(path: str, text: str, module: ast.Module) -> list[tuple]:
+    """Services and topics that calls reach."""
+    reached = [(x.lineno - 1, *found) for x in ast.walk(module) if isinstance(x, ast.Call) and (found := _outside(x))]
+    return [(path, kind, root(path, text)[2], None, line, line, target) for line, kind, target in reached]
+
+
+def _parsed(path: str, text: str) -> list[tuple]:
+    try:
+        module = tree(path, text)
+    except (SyntaxError, ValueError):
+        return [root(path, text)]
+    return [root(path, text), *walked(path, text, module), *outside(path, text, module)]
 
 
 def python_entities(files: DataFrame, decorators: bool = False) -> DataFrame:

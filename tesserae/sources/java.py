@@ -56,13 +56,22 @@ def _outside(text: str) -> Iterator[tuple[int, str, str]]:
             yield m.start(), "publishes_to", m["text"]
 
 
-def _parsed(path: str, source: str) -> list[tuple]:
-    text = NOISE.sub(lambda m: _blank(m, True), source)
-    plain = NOISE.sub(lambda m: _blank(m, False), source)
-    line = lambda at: plain.count("\n", 0, at)
+def blanked(path: str, source: str) -> tuple[str, str]:
+    """The source without comments, and without strings too."""
+    return NOISE.sub(lambda m: _blank(m, True), source), NOISE.sub(lambda m: _blank(m, False), source)
+
+
+def root(path: str, source: str) -> tuple:
+    plain = blanked(path, source)[1]
     package = PACKAGE.search(plain)
-    rows: list[tuple] = [(path, "module", package[1] if package else path.rsplit("/", 1)[-1].removesuffix(".java"), None, 0, plain.count("\n"), None)]
-    rows += [(path, "imports", None, None, line(m.start(1)), line(m.start(1)), m[1].rsplit(".", 1)[-1]) for m in IMPORT.finditer(plain)]
+    return path, "module", package[1] if package else path.rsplit("/", 1)[-1].removesuffix(".java"), None, 0, plain.count("\n"), None
+
+
+def walked(path: str, source: str, seen: tuple[str, str]) -> list[tuple]:
+    """Types, methods and constructors, and what they extend, implement, import, use and call."""
+    plain = seen[1]
+    line = lambda at: plain.count("\n", 0, at)
+    rows: list[tuple] = [(path, "imports", None, None, line(m.start(1)), line(m.start(1)), m[1].rsplit(".", 1)[-1]) for m in IMPORT.finditer(plain)]
     # Each open brace: the type it opens, the callable it is in, and the place of its row, if any.
     stack: list[tuple[str | None, str | None, int | None]] = []
 
@@ -97,7 +106,18 @@ def _parsed(path: str, source: str) -> list[tuple]:
             *_, at = stack.pop()
             if at is not None:
                 rows[at] = (*rows[at][:5], line(m.start()), None)
-    return rows + [(path, kind, path, None, line(at), line(at), target) for at, kind, target in _outside(text)]
+    return rows
+
+
+def outside(path: str, source: str, seen: tuple[str, str]) -> list[tuple]:
+    """Services and topics that calls reach."""
+    line = lambda at: seen[1].count("\n", 0, at)
+    return [(path, kind, path, None, line(at), line(at), target) for at, kind, target in _outside(seen[0])]
+
+
+def _parsed(path: str, source: str) -> list[tuple]:
+    seen = blanked(path, source)
+    return [root(path, source), *walked(path, source, seen), *outside(path, source, seen)]
 
 
 def java_entities(files: DataFrame) -> DataFrame:

@@ -484,3 +484,16 @@ def test_stored_graph_sees_changed_tables(spark, tmp_path):
     before = stored_graph(spark, str(tmp_path)).labelled("RepositoryEntity").count()
     table(spark, str(tmp_path), "region").limit(2).toPandas().to_parquet(tmp_path / "region.parquet")
     assert before == 5 and stored_graph(spark, str(tmp_path)).labelled("RepositoryEntity").count() == 2
+
+
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+@pytest.mark.parametrize("some", [False, True])
+def test_distances_are_those_of_paths(spark, direction, some):
+    """Chains, a diamond and graphs with cycles, from all nodes or from a few."""
+    rng = random.Random(9)
+    rows = {(f"c{k}", f"c{k + 1}", "calls") for k in range(6)} | {("d0", x, "calls") for x in ("d1", "d2")} | {(x, "d3", kind) for x in ("d1", "d2") for kind in ("calls", "imports")} | {(f"r{rng.randrange(6)}", f"r{rng.randrange(6)}", "calls") for _ in range(8)} | {("e", "r0", "calls"), ("f", "f", "calls")}
+    e = spark.createDataFrame([(*r, 1.0) for r in sorted(rows)], EDGE)
+    names = sorted({x for a, b, _ in rows for x in (a, b)})
+    starts = spark.createDataFrame([(x,) for x in (["e", "d0", "c2", "nowhere"] if some else names)], "id string")
+    got = {tuple(r) for r in patterns.distances(e, starts, 4, direction).select("start", "node", "hops").collect()}
+    assert got == {tuple(r) for r in patterns.paths(e, starts, 1, 4, direction).select("start", "node", "hops").collect()}

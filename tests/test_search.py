@@ -121,3 +121,42 @@ def test_align_takes_the_graph_last(spark):
     got = {r.name: (r.concept_id, r.method, r.confidence) for r in vectors.align(names, concepts, graph=g).collect()}
     assert got == {"term": ("c1", "graph_structure", 0.9), "second": ("c2", "exact", 1.0), "o3": ("c2", "graph_structure", 0.8462), " ": (None, "none", 0.0), "else": (None, "none", 0.0)}
     assert {r.name: r.method for r in vectors.align(names, concepts).collect()}["term"] == "none"
+
+
+def test_a_readers_failure_ends_its_file_alone(spark):
+    from tesserae.sources import files, java, parsing
+
+    sources = [("a.py", b"def f():\n    g_call()\n"), ("b.py", b"def ("), ("c.java", b"package q; class C { }"), ("d.txt", b"x"), ("e.py", None), (None, b"x = 1")]
+    df = spark.createDataFrame(sources, "path string, content binary")
+    rows = [(r.file_path, r.kind, r.name) for r in parsing.entities(df).orderBy("file_path", "start_line", "kind").collect()]
+    assert rows == [("a.py", "function", "f"), ("a.py", "module", "a"), ("a.py", "calls", "f"), ("b.py", "module", "b"), ("b.py", "parse_error", "SyntaxError"), ("c.java", "class", "C"), ("c.java", "module", "q")]
+    plain = lambda d: sorted(map(tuple, d.collect()), key=str)
+    good = df.where("path in ('a.py', 'c.java')")
+    assert plain(parsing.entities(good)) == plain(files.python_entities(good.where("path = 'a.py'")).unionByName(java.java_entities(good.where("path = 'c.java'"))))
+
+    def late(path, text, seen):
+        raise KeyError("calls")
+
+    broken = parsing.Reader(".py", files.root, files.tree, files.walked, late)
+    assert [r[1] for r in parsing.read(broken, "a.py", "def f():\n    pass\n")] == ["module", "function", "parse_error"]
+
+
+def test_actions_are_applied_once(spark, tmp_path):
+    from tesserae.graph_log import GraphLog
+    from tesserae.operators import entity_actions
+
+    nodes = [("a", "CodeEntity", "a", *[None] * 5), ("b", "DocEntity", "b", *[None] * 5)]
+    log = GraphLog(spark, str(tmp_path / "log")).create(Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame([], EDGE)))
+    rows = [
+        (1, "update", "a", None, "new", 7, None, None, None), (2, "update", None, None, "x", None, None, None, None), (3, "update", "a", None, None, None, None, None, None), (4, "create", "c", "ConceptEntity", "c", None, None, None, None),
+        (5, "create", "d", "Other", "d", None, None, None, None), (6, "relate", "c", None, None, None, "describes", "b", None), (7, "relate", "c", None, None, None, "describes", "nowhere", None), (8, "relate", "c", None, None, None, None, "b", None),
+        (9, "notify", None, None, None, None, None, None, ["x"]), (10, "notify", None, None, None, None, None, None, []), (11, "query", "b", None, None, None, None, None, None), (12, "query", "z", None, None, None, None, None, None), (13, None, "a", None, None, None, None, None, None),
+    ]
+    schema = "request_id long, action string, entity_id string, label string, name string, lines int, rel_type string, to_id string, recipients array<string>, entity_type string, file_path string, entry_category string, sensitivity string"
+    asked = spark.createDataFrame([(*r, *[None] * 4) for r in rows], schema)
+    for _ in range(2):
+        done = {r.request_id: r.error for r in entity_actions.applied(log, asked, "t").collect()}
+    assert {k for k, e in done.items() if e is None} >= {1, 4, 6, 7, 9, 11} and {k for k, e in done.items() if e} == {2, 3, 5, 8, 10, 13} | {12}
+    g = log.graph()
+    assert {(r.id, r.label, r.name, r.lines) for r in g.nodes.collect()} == {("a", "CodeEntity", "new", 7), ("b", "DocEntity", "b", None), ("c", "ConceptEntity", "c", None)}
+    assert [(r.src, r.rel_type, r.dst) for r in g.edges.collect()] == [("c", "describes", "b")] and len(log.commits()) == 2
