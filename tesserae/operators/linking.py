@@ -88,8 +88,14 @@ def document_links(docs: DataFrame, index: DataFrame, most: int = LINKS) -> Data
     its last part does, or the name, of over three characters, is an identifier of a fenced python block. Null texts
     link nothing. The limit per document is part of the feature.
 
-    Paths are proposed by an equi join on the rarest word of their last part, names by one on identifiers.
+    Paths are proposed by an equi join on the rarest word of their last part, names by one on identifiers. Of the entities
+    of a path, or of a name, only the first `most` meet documents: any later one has those before it in each document.
     """
+
+    def firsts(by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(by).orderBy("ord", "id"))
+        return index.where(F.col(by).isNotNull()).select("id", "ord", by).distinct().withColumn("r", rank).where(F.col("r") <= most).drop("r")
+
     texts = docs.where("text is not null").select("doc_id", "text")
     words = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", BOUNDARY))).alias("word")).where("word <> ''")
     paths = index.where("file_path <> ''").select("file_path").distinct().withColumn("base", basename(F.col("file_path")))
@@ -100,8 +106,8 @@ def document_links(docs: DataFrame, index: DataFrame, most: int = LINKS) -> Data
     whole, last = bounded(F.col("text"), F.col("file_path")), bounded(F.col("text"), F.col("base")) & (F.col("base") != F.col("file_path"))
     by_path = rarest.join(known, "word").join(texts, "doc_id").select("doc_id", "file_path", F.when(whole, 1).when(last, 2).alias("rule")).where("rule is not null")
     named = texts.select("doc_id", F.explode(code_identifiers(F.col("text"))).alias("name"))
-    found = by_path.join(index.select("id", "ord", "file_path"), "file_path").select("doc_id", "id", "ord", "rule")
-    found = found.unionByName(named.where("length(name) > 3").join(index.select("id", "ord", "name"), "name").select("doc_id", "id", "ord", F.lit(3).alias("rule")))
+    found = by_path.join(firsts("file_path"), "file_path").select("doc_id", "id", "ord", "rule")
+    found = found.unionByName(named.where("length(name) > 3").join(firsts("name"), "name").select("doc_id", "id", "ord", F.lit(3).alias("rule")))
     once = found.groupBy("doc_id", "id", "ord").agg(F.min("rule").alias("rule"))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "id"))).where(F.col("rank") <= most).select("doc_id", "id", "rule", "rank")
 
