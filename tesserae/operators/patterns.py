@@ -64,6 +64,7 @@ def distances(edges: DataFrame, starts: DataFrame, most: int = MOST_HOPS, direct
     Rows are bounded by pairs of nodes and lengths, however many paths there are. A walk repeats an edge only if it goes
     round a cycle of so many edges or fewer, so of starts that reach none all walks are paths; whether a node is on
     one, walks from all nodes that the starts reach tell. Only from starts that reach one paths are followed one by one.
+    Each level is written to the shared folder, so that no task holds the joins of those before it.
     """
     if not 1 <= most <= MOST_HOPS:
         raise ValueError(f"hops must be 1 to {MOST_HOPS}")
@@ -73,10 +74,14 @@ def distances(edges: DataFrame, starts: DataFrame, most: int = MOST_HOPS, direct
     if not steps.select(F.col("here").alias("id")).join(ids, "id", "left_anti").isEmpty():
         level = ids
         for _ in range(most):
-            level = level.join(steps, F.col("id") == F.col("here")).select(F.col("there").alias("id")).distinct()
+            level = materialised(level.join(steps, F.col("id") == F.col("here")).select(F.col("there").alias("id")).distinct())
             roots = roots.unionByName(level)
         roots = materialised(roots.distinct())
-    found = materialised(reachable(edges, roots, 1, most, direction))
+    front, found = roots.select(F.col("id").alias("start"), F.col("id").alias("node")), None
+    for k in range(1, most + 1):
+        front = materialised(front.join(steps, F.col("node") == F.col("here")).select("start", F.col("there").alias("node")).distinct())
+        level = front.withColumn("hops", F.lit(k))
+        found = level if found is None else found.unionByName(level)
     own = found.join(ids.withColumnRenamed("id", "start"), "start", "left_semi")
     loops = found.where("start = node").select(F.col("start").alias("id")).distinct()
     if loops.isEmpty():
