@@ -420,12 +420,13 @@ def f{k}():
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Python file for each customer; some do not parse."""
+    """A Python file for each customer; some do not parse. Few bytes make long work, so their keys are dealt out first."""
     body = F.lit(SOURCE.replace("{{x}}", "{x}"))
     for mark, c in (("{k}", "c_custkey"), ("{n}", "c_nationkey")):
         body = F.replace(body, F.lit(mark), F.col(c).cast("string"))
     broken = F.when(F.col("c_custkey") % 10 == 0, F.lit("def (")).otherwise(body)
-    return table(spark, sf_dir, "customer").select(F.format_string("src/f%d.py", F.col("c_custkey")).alias("path"), broken.cast("binary").alias("content"))
+    keys = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keys.select(F.format_string("src/f%d.py", F.col("c_custkey")).alias("path"), broken.cast("binary").alias("content"))
 
 
 _FILES_SQL = "WITH c AS (SELECT c_custkey k, c_nationkey n, 'src/f'||c_custkey||'.py' file_path FROM customer), g AS (SELECT * FROM c WHERE k%10<>0)"
