@@ -32,7 +32,9 @@ from .common import materialise
 
 MARK = "▁"
 #: A block is full with this many characters, or with so many distinct chunks that the worker knows.
-BLOCK, REMEMBERED = 6_000_000, 500_000
+BLOCK, REMEMBERED = 6_000_000, 250_000
+#: Chunks that a worker may keep between tasks: it stays beside the later stages' memory.
+KEPT = 100_000
 #: New chunks that go to the tokenizers as one text, and the characters of one that goes alone.
 TOGETHER, LONG = 20_000, 1_000
 #: Where both tokenizers end a token: before a space between a character that is no space and one that is no white space,
@@ -102,6 +104,11 @@ class Aligner:
         #: The links of all chunks, A id in the upper 32 bits.
         self.links = array("q")
 
+    def rest(self) -> None:
+        """Forget the chunks if they are more than a worker may keep between tasks."""
+        if len(self.known) > KEPT:
+            self.clear()
+
     def learn(self, chunks: list[str]) -> None:
         """Align chunks that are not known yet: regular ones many at a time, as the one text that they make."""
         plain = [x for x in chunks if regular(x)]
@@ -261,6 +268,8 @@ def _blocks(docs: DataFrame, key: str, text: str, byte_file: str, piece_model: s
                     block, seq = None, seq + 1
         if block is not None:
             yield row()
+            block = None
+        by.rest()
 
     made = f"block long, keys array<{kind}>, {', '.join(f'{c} array<long>' for c in PER_DOC)}, digests array<string>, {', '.join(f'{c} binary' for c in RAW)}, pairs array<long>, links array<long>"
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, made)

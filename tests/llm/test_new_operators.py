@@ -247,3 +247,13 @@ def test_long_texts_are_summed_exactly():
     g, n = hyper_language.grams("ab " * 10)
     many = by.bundles([(g, n * 10_000_000)])
     assert np.array_equal(many, by.bundles([(g, n)]) * 10_000_000)
+
+
+def test_aligner_forgets_many_chunks_between_tasks(plain, monkeypatch):
+    by = token_alignment.Aligner(A_FILE, B_FILE)
+    monkeypatch.setattr(token_alignment, "KEPT", 3)
+    for text, kept in (("one two", True), ("three four five six seven", False), ("one two", True)):
+        found = by.chunks(text)
+        assert ";".join(by.groups[k] for k in found) == ";".join(plain.document(text)[2])
+        by.rest()
+        assert bool(by.known) == kept and (kept or not len(by.links))
