@@ -4,8 +4,8 @@ A shard holds up to SHARD vectors. Each layer above the first holds about one in
 vector's neighbours in a layer are found exactly, by block products within the shard, thinned out so that none lies nearer
 to another neighbour than to the vector, and made mutual. A search scans the highest layer, steps greedily down and keeps
 the `beam` best in the lowest one, going on from the best whose neighbours are unseen. The index is a table with a row a
-vector; a shard is built by one task and searched by one task for each block of queries, and its size is bounded, so
-work grows with the number of shards.
+vector; a shard is built by one task and searched by one task for each block of queries. The sizes of both are bounded, and
+a task goes through them in pieces, so its memory has a bound, and work grows with the number of shards.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in a shard at most, on average, and queries in a block.
-SHARD, QUERIES = 50_000, 65_536
+SHARD, QUERIES = 25_000, 16_384
 #: Neighbours in a layer, candidates they are chosen from, and the share that a layer above holds.
 NEIGHBOURS, CANDIDATES, SPREAD = 32, 64, 32
 #: A layer of no more vectors is the highest.
@@ -27,21 +27,33 @@ TOP = 64
 BEAM = 128
 #: Rows whose products are computed together, and queries that are walked together.
 BLOCK, TOGETHER = 256, 256
+#: Products held at once, and pairs whose vectors are.
+PRODUCTS, PAIRS = 1 << 21, 1 << 14
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
+def _single(vectors: np.ndarray) -> np.ndarray:
+    """unit() in single precision, without whole copies in double."""
+    out = np.empty(vectors.shape, np.float32)
+    for s in range(0, len(vectors), PAIRS):
+        out[s : s + PAIRS] = unit(vectors[s : s + PAIRS])
+    return out
+
+
 def nearest(x: np.ndarray, most: int) -> np.ndarray:
     """The `most` nearest rows of each row of x by inner product, itself left out, nearest first."""
     most = min(most, len(x) - 1)
     out = np.empty((len(x), most), np.int64)
-    for s in range(0, len(x), BLOCK):
-        part = x[s : s + BLOCK] @ x.T
-        part[np.arange(len(part)), np.arange(s, s + len(part))] = -np.inf
-        some = np.argpartition(-part, most - 1, axis=1)[:, :most]
-        out[s : s + BLOCK] = np.take_along_axis(some, np.argsort(-np.take_along_axis(part, some, 1), axis=1, kind="stable"), 1)
+    rows = max(1, min(BLOCK, PRODUCTS // len(x)))
+    for s in range(0, len(x), rows):
+        part = x[s : s + rows] @ x.T
+        np.negative(part, out=part)
+        part[np.arange(len(part)), np.arange(s, s + len(part))] = np.inf
+        some = np.argpartition(part, most - 1, axis=1)[:, :most]
+        out[s : s + rows] = np.take_along_axis(some, np.argsort(np.take_along_axis(part, some, 1), axis=1, kind="stable"), 1)
     return out
 
 
@@ -68,7 +80,7 @@ def mutual(x: np.ndarray, links: np.ndarray, most: int) -> np.ndarray:
     b = links[a, k]
     pairs = np.unique(np.concatenate((a * len(x) + b, b * len(x) + a)))
     a, b = pairs // len(x), pairs % len(x)
-    near = np.concatenate([np.einsum("ij,ij->i", x[a[s : s + (1 << 18)]], x[b[s : s + (1 << 18)]]) for s in range(0, len(a), 1 << 18)]) if len(a) else np.empty(0)
+    near = np.concatenate([np.einsum("ij,ij->i", x[a[s : s + PAIRS]], x[b[s : s + PAIRS]]) for s in range(0, len(a), PAIRS)]) if len(a) else np.empty(0)
     order = np.lexsort((b, -near, a))
     a, b = a[order], b[order]
     nth = np.arange(len(a)) - np.searchsorted(a, a)
@@ -121,14 +133,16 @@ def _walk(x: np.ndarray, q: np.ndarray, links: np.ndarray, start: np.ndarray, be
 def found(x: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, beam: int) -> tuple[np.ndarray, int]:
     """The places of each query's beam, -1 where it is not full, and the number of inner products."""
     out, n = np.full((len(q), beam), -1), 0
+    above = []
+    for members, links in graph[-2:0:-1]:
+        above.append(np.full((len(x), links.shape[1]), -1, np.int32))
+        above[-1][members] = links
     for s in range(0, len(q), TOGETHER):
         part = q[s : s + TOGETHER]
         members = graph[-1][0]
         start = members[(part @ x[members].T).argmax(axis=1)]
         n += len(part) * len(members)
-        for members, links in graph[-2:0:-1]:
-            whole = np.full((len(x), links.shape[1]), -1)
-            whole[members] = links
+        for whole in above:
             place, score, k = _walk(x, part, whole, start, 8)
             start, n = place[np.arange(len(part)), score.argmax(axis=1)], n + k
         if len(graph) == 1:
@@ -140,6 +154,59 @@ def found(x: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], q: np.ndarr
     return out, n
 
 
+def answered(v: np.ndarray, x: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, most: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, place, distance, number of inner products): the `most` nearest that each of q finds among v, ties to the smaller place.
+
+    x is v as unit vectors in single precision. Few queries are answered at once, so that no more than PAIRS of their
+    beams' vectors are held together, however many queries there are.
+    """
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    n, together = 0, max(1, PAIRS // beam)
+    for s in range(0, len(q), TOGETHER):
+        asked = unit(q[s : s + TOGETHER])
+        place, k = found(x, graph, asked.astype(np.float32), beam)
+        n += k
+        for t in range(0, len(asked), together):
+            row, at = np.nonzero(place[t : t + together] >= 0)
+            p = place[t + row, at]
+            distance = 1 - np.einsum("ij,ij->i", unit(v[p]), asked[t + row])
+            order = np.lexsort((p, distance, row))
+            row, p, distance = row[order], p[order], distance[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < most
+            out.append((s + t + row[keep], p[keep], distance[keep]))
+    row, p, distance = (np.concatenate(o) for o in zip(*out, strict=True))
+    return row, p, distance, n
+
+
+def _listed(graph: list[tuple[np.ndarray, np.ndarray]], rows: int) -> pa.Array:
+    """The layers of a graph as a column: each row's neighbours by layer, the lowest first."""
+    member, layer = np.concatenate([m for m, _ in graph]), np.repeat(np.arange(len(graph)), [len(m) for m, _ in graph])
+    lists = np.lexsort((layer, member))
+    sizes = np.concatenate([(near >= 0).sum(axis=1) for _, near in graph])
+    begin, values = np.concatenate(([0], np.cumsum(sizes))), np.concatenate([near[near >= 0] for _, near in graph]).astype(np.int32)
+    sizes = sizes[lists]
+    ends = np.cumsum(sizes)
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values[np.repeat(begin[lists] - ends + sizes, sizes) + np.arange(len(values))]))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(member, minlength=rows)))), pa.int32()), inner)
+
+
+def _layered(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The layers of the graph that _listed() has made."""
+    outer = column.combine_chunks()
+    inner = outer.flatten()
+    height, size, values = (z.to_numpy(zero_copy_only=False) for z in (outer.value_lengths(), inner.value_lengths(), inner.flatten()))
+    first, begin = np.cumsum(height) - height, np.cumsum(size) - size
+    out = []
+    for layer in range(height.max()):
+        members = np.flatnonzero(height > layer)
+        at = first[members] + layer
+        near = np.full((len(members), max(1, size[at].max())), -1, np.int32)
+        row, k = np.nonzero(np.arange(near.shape[1]) < size[at][:, None])
+        near[row, k] = values[begin[at][row] + k]
+        out.append((members, near))
+    return out
+
+
 def _usable(vectors: DataFrame, d: int, column: str) -> DataFrame:
     plain = F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return vectors.where(F.col("id").isNotNull() & (F.size(column) == d) & plain & F.exists(column, lambda v: v != 0))
@@ -162,15 +229,12 @@ def build(vectors: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
         table = table.sort_by("id")
         raw = table.column("embedding").combine_chunks()
         v = raw.flatten().to_numpy().reshape(len(table), -1)
-        x = unit(v).astype(np.float32)
-        links: list[list[list[int]]] = [[] for _ in range(len(x))]
-        for members, near in layers(x):
-            for m, row in zip(members.tolist(), near, strict=True):
-                links[m].append(row[row >= 0].tolist())
-        return pa.table([table.column("shard"), pa.array(np.arange(len(x), dtype=np.int32)), table.column("id"), table.column("embedding"), pa.array(links, pa.list_(pa.list_(pa.int32())))], ["shard", "place", "id", "vector", "links"])
+        links = _listed(layers(_single(v)), len(v))
+        return pa.table([table.column("shard"), pa.array(np.arange(len(v), dtype=np.int32)), table.column("id"), table.column("embedding"), links], ["shard", "place", "id", "vector", "links"])
 
+    # Partitions are stated, as shards are long work on few bytes, which would be put together.
     dealt = usable.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    dealt.groupBy("shard").applyInArrow(run, made).write.parquet(path)
+    dealt.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(run, made).write.parquet(path)
     return spark.read.schema(made).parquet(path)
 
 
@@ -196,26 +260,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, b
             return pa.table([pa.array([], t) for t in (asks, ids, pa.float64(), pa.float64())], names)
         nodes = nodes.sort_by("place")
         v, q = (t.column("vector").combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t in (nodes, some))
-        links = nodes.column("links").to_pylist()
-        graph = []
-        for layer in range(max(map(len, links))):
-            members = np.array([p for p, x in enumerate(links) if len(x) > layer])
-            width = max(1, max(len(links[p][layer]) for p in members))
-            near = np.full((len(members), width), -1)
-            for i, p in enumerate(members.tolist()):
-                near[i, : len(links[p][layer])] = links[p][layer]
-            graph.append((members, near))
-        place, n = found(unit(v).astype(np.float32), graph, unit(q).astype(np.float32), beam)
-        row, at = np.nonzero(place >= 0)
-        p = place[row, at]
-        distance = 1 - np.einsum("ij,ij->i", unit(v)[p], unit(q)[row])
-        # The nearest of a query in this shard, one more than k as its own id may be among them.
-        order = np.lexsort((p, distance, row))
-        row, p, distance = row[order], p[order], distance[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) <= k
-        return pa.table([some.column("query_id").take(pa.array(row[keep])), nodes.column("id").take(pa.array(p[keep])), pa.array(distance[keep]), pa.array(np.full(keep.sum(), n / len(q)))], names)
-
-    met = every.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, f"query_id {query_kind}, id {id_kind}, distance double, n double")
+        # One more than k, as a query's own id may be among them.
+        row, p, distance, n = answered(v, _single(v), _layered(nodes.column("links")), q, k + 1, beam)
+        return pa.table([some.column("query_id").take(pa.array(row)), nodes.column("id").take(pa.array(p)), pa.array(distance), pa.array(np.full(len(row), n / len(q)))], names)
+
+    parts = 2 * blocks * max(1, len(shards))
+    met = every.repartition(parts, "shard", "block").groupBy("shard", "block").cogroup(asked.repartition(parts, "shard", "block").groupBy("shard", "block")).applyInArrow(run, f"query_id {query_kind}, id {id_kind}, distance double, n double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     work = F.sum(F.when(F.col("_r") == 1, F.col("n"))).over(Window.partitionBy("query_id"))
     # A query's rows from one shard have the same number of products; each shard counts once.
