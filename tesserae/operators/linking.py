@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import basename, bounded, code_identifiers, hostname, stable_id
+from ..shared import materialised
 
 LINKS = 50
 
@@ -30,31 +31,39 @@ def unresolved(resolved: DataFrame) -> DataFrame:
 GRAM = 3
 
 
-def _grams(text: Column, length: int) -> Column:
-    """The distinct substrings of a length."""
-    n = F.length(text) - length + 1
-    return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr(text, k, F.lit(length)))).otherwise(F.array().cast("array<string>")))
+def _grams(df: DataFrame, keys: list[str], text: str, lengths: list[int]) -> DataFrame:
+    """(keys, gram): the distinct substrings of some lengths of each row's text.
+
+    They are put together from its characters, as to find the k-th character of a text takes k steps.
+    """
+    some = lambda n: F.transform(F.slice("_c", 1, F.greatest(F.size("_c") - (n - 1), F.lit(0))), lambda c, k: F.concat(c, *[F.get("_c", k + j) for j in range(1, n)]))
+    return df.withColumn("_c", F.split(text, "")).select(*keys, F.explode(F.array_distinct(F.concat(*map(some, lengths)))).alias("gram"))
 
 
 def contained(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(text_id, needle_id) for texts (text_id, text) that hold needles (needle_id, needle) as substrings; empty needles are in none.
 
-    A pair is proposed by an equi join on the needle's rarest substring of GRAM characters, or on the whole of a shorter
-    needle, and confirmed by the text itself. Of the texts only substrings that some needle has go into the join.
+    Needles of up to GRAM characters are joined with the texts' substrings of their length. A pair with a longer one is
+    proposed by an equi join on the needle's rarest substring of GRAM characters and confirmed by the text itself. Needles
+    and their substrings are written first, so that where they are few Spark knows it and sends them to the texts, whose
+    many other substrings then go into no shuffle.
     """
-    wanted = needles.where("length(needle) > 0").select("needle_id", "needle", F.least(F.length("needle"), F.lit(GRAM)).alias("size"))
-    out = None
-    for size in range(1, GRAM + 1):
-        of_size = wanted.where(F.col("size") == size)
-        proposed = of_size.select("needle_id", "needle", F.explode(_grams(F.col("needle"), size)).alias("gram"))
-        known = proposed.select("gram").distinct()
-        held = texts.select("text_id", F.explode(_grams(F.col("text"), size)).alias("gram")).join(known, "gram", "left_semi")
-        often = held.groupBy("gram").agg(F.count("*").alias("f"))
-        # A needle with a substring that no text has is in none.
-        rarest = proposed.join(often, "gram", "left").groupBy("needle_id", "needle").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram")).alias("r")).where("r.f > 0").select("needle_id", "needle", "r.gram")
-        met = rarest.join(held, "gram").select("needle_id", "needle", "text_id").join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle_id")
-        out = met if out is None else out.unionByName(met)
-    return out
+    texts = texts.where("text_id is not null")
+    wanted = materialised(needles.where("length(needle) > 0").select("needle_id", "needle").distinct())
+    size = F.length("needle")
+    short, long = wanted.where(size <= GRAM), wanted.where(size > GRAM)
+    lengths = sorted(r.size for r in short.select(size.alias("size")).distinct().collect())
+    out = _grams(texts, ["text_id"], "text", lengths or [1]).join(short.select("needle_id", F.col("needle").alias("gram")), "gram").select("text_id", "needle_id")
+    if long.isEmpty():
+        return out
+    proposed = _grams(long, ["needle_id", "needle"], "needle", [GRAM])
+    known = materialised(proposed.select("gram").distinct())
+    held = materialised(_grams(texts, ["text_id"], "text", [GRAM]).join(known, "gram", "left_semi"))
+    often = held.groupBy("gram").agg(F.count("*").alias("f"))
+    # A needle with a substring that no text has is in none.
+    rarest = proposed.join(often, "gram", "left").groupBy("needle_id", "needle").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram")).alias("r")).where("r.f > 0").select("needle_id", "needle", "r.gram")
+    met = held.join(materialised(rarest), "gram").select("needle_id", "needle", "text_id").join(texts, "text_id").where(F.contains("text", "needle"))
+    return out.unionByName(met.select("text_id", "needle_id"))
 
 
 def alias_links(entities: DataFrame, assets: DataFrame) -> DataFrame:
