@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import distance_confidence
 from ..graph import Graph
+from ..shared import materialised
 from . import clustering
 from .embedding import Embedder
 
@@ -188,9 +189,11 @@ def code_around(graph: Graph, names: DataFrame) -> DataFrame:
     """(name, id) distinct: code within two relations, either way, of the code of each of names (name), no relation twice."""
     code = graph.labelled("CodeEntity")
     starts = code.join(names.select("name").distinct(), "name").select("name", F.col("id").alias("start"))
-    ways = graph.edges.select(F.col("src").alias("here"), F.col("dst").alias("there")).unionByName(graph.edges.select(F.col("dst").alias("here"), F.col("src").alias("there"))).where("here <> there")
-    steps = ways.groupBy("here", "there").agg(F.count("*").alias("n"))
-    one = starts.join(steps, F.col("start") == F.col("here")).select("name", "start", F.col("there").alias("at"), "n")
+    way = lambda a, b: F.struct(F.col(a).alias("here"), F.col(b).alias("there"))
+    ways = graph.edges.select(F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("way")).select("way.*").where("here <> there")
+    # Both are read more than once below, and by Spark not told apart from new work.
+    steps = materialised(ways.groupBy("here", "there").agg(F.count("*").alias("n")))
+    one = materialised(starts.join(steps, F.col("start") == F.col("here")).select("name", "start", F.col("there").alias("at"), "n"))
     two = one.select("name", "start", "at").join(steps.select("here", "there"), F.col("at") == F.col("here")).where("there <> start").select("name", F.col("there").alias("id"))
     # Back at the start are those that another relation leads back from; a loop is a relation to itself.
     back = one.where("n > 1").select("name", F.col("start").alias("id"))
