@@ -32,11 +32,14 @@ from .common import materialise
 
 MARK = "▁"
 #: A block is full with this many characters, or with so many distinct chunks that the worker knows.
-BLOCK, REMEMBERED = 6_000_000, 250_000
+BLOCK, REMEMBERED = 2_000_000, 160_000
 #: Chunks that a worker may keep between tasks: it stays beside the later stages' memory.
-KEPT = 100_000
+KEPT = 60_000
 #: New chunks that go to the tokenizers as one text, and the characters of one that goes alone.
 TOGETHER, LONG = 20_000, 1_000
+#: A block's row has megabytes: pages and row groups are closed by their bytes after any row, not after a hundred, and a
+#: row group, which is read as a whole, is small.
+WRITTEN = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
 #: Where both tokenizers end a token: before a space between a character that is no space and one that is no white space,
 #: and before a line break between two that are none.
 CUT = re.compile(r"(?<=[^ ])(?= \S)|(?<=\S)(?=\n\S)")
@@ -297,7 +300,7 @@ def align(docs: DataFrame, byte_file: str, piece_model: str, key: str = "doc_id"
     empty table; other columns are not read. The count of an id pair is that of all its links in the corpus; ties at the
     top are all best.
     """
-    blocks = materialise(_blocks(docs, key, text, byte_file, piece_model))
+    blocks = materialise(_blocks(docs, key, text, byte_file, piece_model), **WRITTEN)
     each = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "links")).alias("at", "x")).select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.links").alias("links"))
     counts = each.groupBy("pair").agg(F.sum("links").alias("count")).withColumn("b", F.col("pair").bitwiseAND(LOW))
     top = counts.groupBy("b").agg(F.max("count").alias("most"))
@@ -305,17 +308,16 @@ def align(docs: DataFrame, byte_file: str, piece_model: str, key: str = "doc_id"
     found = each.select("block", "at", "pair").join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("at", "count", "best")).alias("found"))
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(whole.num_rows):
-                row = whole.slice(k, 1)
-                col = lambda c: row.column(row.schema.get_field_index(c))  # noqa: B023, E731
-                keys, per_doc, digests = col("keys").flatten(), [col(c).flatten() for c in PER_DOC], col("digests").flatten()
-                raw = {c: np.frombuffer(col(c)[0].as_py(), np.int32) for c in RAW}
-                x = col("found").flatten()
-                got = {c: x.field(c).to_numpy(zero_copy_only=False) for c in ("at", "count", "best")} if len(x) else {}
-                best, total = _counted(got, raw["begins"], raw["place"], raw["doc"], raw["chunk"], raw["times"], len(keys))
-                yield pa.RecordBatch.from_arrays([keys, *per_doc, pa.array(best), pa.array(total), digests], [key, *PER_DOC, "n_best", "count_sum", "groups_sha256"])
-
-    both = blocks.drop("pairs", "links").join(found, "block", "left")
-    return both.mapInArrow(run, f"{key} {kind}, {', '.join(f'{c} long' for c in PER_DOC)}, n_best long, count_sum long, groups_sha256 string")
+    def run(block: pa.Table) -> pa.Table:
+        row = block.combine_chunks().to_batches()[0]
+        col = lambda c: row.column(row.schema.get_field_index(c))
+        keys, per_doc, digests = col("keys").flatten(), [col(c).flatten() for c in PER_DOC], col("digests").flatten()
+        raw = {c: np.frombuffer(col(c)[0].as_py(), np.int32) for c in RAW}
+        x = col("found").flatten()
+        got = {c: x.field(c).to_numpy(zero_copy_only=False) for c in ("at", "count", "best")} if len(x) else {}
+        best, total = _counted(got, raw["begins"], raw["place"], raw["doc"], raw["chunk"], raw["times"], len(keys))
+        return pa.table([keys, *per_doc, pa.array(best), pa.array(total), digests], [key, *PER_DOC, "n_best", "count_sum", "groups_sha256"])
+
+    # By groups, a batch that goes to Python is one block, however many of them a task has.
+    both = blocks.drop("pairs", "links").join(found, "block", "left").groupBy("block")
+    return both.applyInArrow(run, f"{key} {kind}, {', '.join(f'{c} long' for c in PER_DOC)}, n_best long, count_sum long, groups_sha256 string")

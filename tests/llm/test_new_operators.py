@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import hard_negatives, hyper_language, queries, token_alignment
+from tesserae.shared import materialised
 
 A_FILE, B_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
@@ -257,3 +260,31 @@ def test_aligner_forgets_many_chunks_between_tasks(plain, monkeypatch):
         assert ";".join(by.groups[k] for k in found) == ";".join(plain.document(text)[2])
         by.rest()
         assert bool(by.known) == kept and (kept or not len(by.links))
+
+
+def test_aligner_memory_has_a_bound():
+    """A block of words that are all new ends before the worker holds much."""
+    block = token_alignment.Block(token_alignment.Aligner(A_FILE, B_FILE))
+    rng = random.Random(5)
+    tracemalloc.start()
+    try:
+        while not block.full():
+            block.add(len(block.keys), " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(2_000)))
+        block.columns()
+        assert tracemalloc.get_traced_memory()[1] < 130e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_alignment_hands_on_one_block_at_a_time(spark, docs):
+    """Python gets a block as a group; a batch of a whole partition grows with the input."""
+    plan = token_alignment.align(docs(["a word", "the word"]), A_FILE, B_FILE)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and " MapInArrow" not in plan
+
+
+def test_rows_of_blocks_are_written_in_small_row_groups(spark):
+    """Rows of 4 MB, fewer than the hundred that a writer waits for by default."""
+    rows = spark.range(0, 12, 1, 1).selectExpr("id", "cast(array_join(transform(sequence(0, 65535), k -> sha2(concat(id, k), 256)), '') as binary) x")
+    files = materialised(rows, **token_alignment.WRITTEN).inputFiles()
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert sum(m.num_rows for m in found) == 12 and max(m.row_group(k).num_rows for m in found for k in range(m.num_row_groups)) <= 6
