@@ -154,26 +154,65 @@ def found(x: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], q: np.ndarr
     return out, n
 
 
-def answered(v: np.ndarray, x: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, most: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def distances(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """1 - cosine of each row of v and that of q, summed place by place, as the SQL engine does, so that ties are its ties."""
+    dot, a, b = np.zeros((3, len(v)))
+    for x, y in zip(v.T, q.T, strict=True):
+        dot, a, b = dot + x * y, a + x * x, b + y * y
+    both = np.sqrt(a * b)
+    return 1 - np.clip(dot / np.where((both > 0) & (both < np.inf), both, np.sqrt(a) * np.sqrt(b)), -1, 1)
+
+
+def _first(row: np.ndarray, p: np.ndarray, distance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` nearest of each row, nearest first, ties to the smaller place."""
+    order = np.lexsort((p, distance, row))
+    row, p, distance = row[order], p[order], distance[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < most
+    return row[keep], p[keep], distance[keep]
+
+
+def _checked(v: np.ndarray, x: np.ndarray, q: np.ndarray, asked: np.ndarray, row: np.ndarray, distance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exact answer from the walks' one (row, distance): rows of x whose product is not below that of the last one found are compared in double precision."""
+    # Products of unit vectors in single precision are wrong by half of this at most.
+    slack = (x.shape[1] + 4) * 2.0**-23
+    n = np.bincount(row, minlength=len(q))
+    full = n == most
+    least = np.empty(len(q))
+    least[full] = 1 - distance[np.cumsum(n)[full] - 1] - slack
+    out = []
+    step = max(1, PRODUCTS // len(x))
+    for s in range(0, len(q), step):
+        near, bound, few = asked[s : s + step] @ x.T, least[s : s + step], ~full[s : s + step]
+        if few.any():
+            # A walk that has found too few gives no bound.
+            place = max(0, len(x) - most)
+            bound[few] = np.partition(near[few], place, axis=1)[:, place] - 2 * slack
+        r, p = np.nonzero(near >= bound[:, None].astype(np.float32))
+        exact = [distances(v[p[t : t + PAIRS]], q[s + r[t : t + PAIRS]]) for t in range(0, len(p), PAIRS)]
+        r, p, d = _first(r, p, np.concatenate([np.empty(0), *exact]), most)
+        out.append((s + r, p, d))
+    return tuple(np.concatenate(o) for o in zip(*out, strict=True))
+
+
+def answered(v: np.ndarray, x: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, most: int, beam: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query, place, distance, number of inner products): the `most` nearest that each of q finds among v, ties to the smaller place.
 
     x is v as unit vectors in single precision. Few queries are answered at once, so that no more than PAIRS of their
-    beams' vectors are held together, however many queries there are.
+    beams' vectors are held together, however many queries there are. exact: what the walks missed is found too.
     """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-    n, together = 0, max(1, PAIRS // beam)
+    n, together = len(q) * len(x) if exact else 0, max(1, PAIRS // beam)
     for s in range(0, len(q), TOGETHER):
-        asked = unit(q[s : s + TOGETHER])
-        place, k = found(x, graph, asked.astype(np.float32), beam)
+        asked = unit(q[s : s + TOGETHER]).astype(np.float32)
+        place, k = found(x, graph, asked, beam)
         n += k
         for t in range(0, len(asked), together):
             row, at = np.nonzero(place[t : t + together] >= 0)
             p = place[t + row, at]
-            distance = 1 - np.einsum("ij,ij->i", unit(v[p]), asked[t + row])
-            order = np.lexsort((p, distance, row))
-            row, p, distance = row[order], p[order], distance[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < most
-            out.append((s + t + row[keep], p[keep], distance[keep]))
+            row, p, distance = _first(row, p, distances(v[p], q[s + t + row]), most)
+            if exact:
+                row, p, distance = _checked(v, x, q[s + t : s + min(t + together, len(asked))], asked[t : t + together], row, distance, most)
+            out.append((s + t + row, p, distance))
     row, p, distance = (np.concatenate(o) for o in zip(*out, strict=True))
     return row, p, distance, n
 
@@ -238,11 +277,12 @@ def build(vectors: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
     return spark.read.schema(made).parquet(path)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, block: int = QUERIES) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, block: int = QUERIES, exact: bool = False) -> DataFrame:
     """(query_id, id, distance, rank, products): the k nearest that the index finds to each of queries (query_id, vector).
 
     Distance is 1 - cosine in double precision of the original vectors, ties go to the smaller id, a query's own id takes
     no part. products is the number of inner products for the query's block in all shards, a query, on average.
+    exact: the nearest of all, by a check of each shard's rows against the last of those that its graph has given.
     """
     shards = [r.shard for r in index.select("shard").distinct().collect()]
     spark = index.sparkSession
@@ -261,7 +301,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, b
         nodes = nodes.sort_by("place")
         v, q = (t.column("vector").combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t in (nodes, some))
         # One more than k, as a query's own id may be among them.
-        row, p, distance, n = answered(v, _single(v), _layered(nodes.column("links")), q, k + 1, beam)
+        row, p, distance, n = answered(v, _single(v), _layered(nodes.column("links")), q, k + 1, beam, exact)
         return pa.table([some.column("query_id").take(pa.array(row)), nodes.column("id").take(pa.array(p)), pa.array(distance), pa.array(np.full(len(row), n / len(q)))], names)
 
     parts = 2 * blocks * max(1, len(shards))

@@ -78,6 +78,30 @@ def test_index_finds_the_nearest(spark, tmp_path, shard):
     assert shard < 3_000 or work < 300
 
 
+@pytest.mark.parametrize("shard", [1_100, 5_000])
+def test_checked_index_misses_nothing(spark, tmp_path, shard):
+    """Vectors without structure and a short beam, copies of some under other ids, and a far group that no walk reaches."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((3_000, 32))
+    v[100:400], v[2_980:] = v[0], v[2_980] + 1e-9 * rng.standard_normal((20, 32))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, embedding array<double>")
+    asked = df.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = neighbour_graph.build(df, str(tmp_path / "index"), shard)
+    got = {(r.query_id, r["rank"]): r.id for r in neighbour_graph.search(index, asked, 5, 8, exact=True).collect()}
+    for q in range(0, 3_000, 20):
+        d = neighbour_graph.distances(v, np.repeat(v[q : q + 1], 3_000, axis=0))
+        d[q] = 9
+        assert [got[q, k] for k in range(1, 6)] == np.argsort(d, kind="stable")[:5].tolist()
+
+
+def test_distances_are_those_of_the_sql_engine():
+    duckdb = pytest.importorskip("duckdb")
+    v, q = np.random.default_rng(4).standard_normal((2, 500, 64)).astype(np.float32).astype(float)
+    q[:9] = v[:9]
+    rows = [duckdb.execute("SELECT 1-list_cosine_similarity(?::DOUBLE[], ?::DOUBLE[])", [a.tolist(), b.tolist()]).fetchone()[0] for a, b in zip(v, q, strict=True)]
+    assert neighbour_graph.distances(v, q).tolist() == rows
+
+
 def test_index_of_nothing_and_of_little(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1])], "id string, embedding array<double>")
     asked = df.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
